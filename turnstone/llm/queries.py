@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnstone.llm import chat_format, mixing, pii, sql
-from turnstone.llm.common import table
+from turnstone.llm import chat_format, decontaminate, mixing, pii, sql, sstable
+from turnstone.llm.common import shared_dir, table
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(mixing.with_levels(table(spark, sf_dir, "documents")))
 
 
+def op2_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark)
+    manifest = sstable.write_shards(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2, by_word=True)
+    return sstable.digest(sstable.read_shards(spark, path, manifest))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -22,5 +29,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_conversations(rows.unionByName(hard)))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op5_pii, op9_chat_format)}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.digest(decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"), keep_text=False))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_tables, op5_pii, op9_chat_format, op10_decontaminate)}
 ORACLE_SQL = {"op1_mix_sources": sql.mix_sql(), "op5_pii": sql.pii_sql(), "op9_chat_format": sql.CHAT}
