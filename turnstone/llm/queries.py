@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from turnstone.llm import chat_format, decontaminate, mixing, pii, sql, sstable
+from turnstone.llm import chat_format, decontaminate, lines, mixing, neighbours, pii, sql, sstable
 from turnstone.llm.common import shared_dir, table
 
 
@@ -19,10 +20,18 @@ def op2_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.digest(sstable.read_shards(spark, path, manifest))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(lines.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = spark.sql("SELECT -1L AS conv_id, turn, role, '<|im_end|><|im_start|>assistant ok' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(turn, role)")
@@ -34,5 +43,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"), keep_text=False))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_tables, op5_pii, op9_chat_format, op10_decontaminate)}
-ORACLE_SQL = {"op1_mix_sources": sql.mix_sql(), "op5_pii": sql.pii_sql(), "op9_chat_format": sql.CHAT}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_tables, op3_line_dedup, op5_pii, op7_nearest, op9_chat_format, op10_decontaminate)}
+ORACLE_SQL = {
+    "op1_mix_sources": sql.mix_sql(),
+    "op3_line_dedup": sql.LINES,
+    "op5_pii": sql.pii_sql(),
+    "op7_nearest": sql.NEAREST,
+    "op9_chat_format": sql.CHAT,
+}

@@ -100,3 +100,25 @@ CHAT = r"""
         CAST(CASE WHEN bool_or(bad) THEN sum(24 + length(role1) + length(text1)) ELSE sum(24 + length(role) + length(text)) END AS BIGINT) AS formatted_chars
     FROM e GROUP BY conv_id
 """
+
+LINES = r"""
+    WITH t AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS body, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    u AS (SELECT rid, doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i, len(ls) AS m FROM t WHERE body <> ''),
+    n AS (SELECT rid, doc_id, i - 1 AS unit, line || CASE WHEN i < m THEN chr(10) ELSE '' END AS whole,
+        regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM u),
+    p AS (SELECT rid, doc_id, unit, whole, ws,
+        CAST(coalesce(sum(length(whole)) OVER (PARTITION BY rid ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM n),
+    f AS (SELECT array_to_string(ws, ' ') AS norm, arg_min(doc_id, (doc_id IS NULL, doc_id, unit)) AS d1, arg_min(unit, (doc_id IS NULL, doc_id, unit)) AS u1 FROM p WHERE len(ws) >= 5 GROUP BY 1),
+    g AS (SELECT p.rid, p.unit, p.start, p.whole, coalesce(len(ws) >= 5 AND NOT (p.doc_id = d1 AND p.unit = u1), false) AS gone FROM p LEFT JOIN f ON norm = array_to_string(ws, ' ')),
+    a AS (SELECT rid, count(*) FILTER (gone) AS n_removed,
+        coalesce(string_agg(start || ':' || (start + length(whole)), ',' ORDER BY unit) FILTER (gone), '') AS removed,
+        coalesce(string_agg(whole, '' ORDER BY unit) FILTER (NOT gone), '') AS kept FROM g GROUP BY rid)
+    SELECT doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN a USING (rid)
+"""
+
+NEAREST = """
+    WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    s AS (SELECT q.id AS query_id, c.id AS vec_id, list_inner_product(q.v, c.v) AS score FROM v q JOIN v c ON q.id % 20 = 0 AND c.id <> q.id AND len(q.v) = len(c.v))
+    SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+"""
