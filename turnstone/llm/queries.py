@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm import chat_format, decontaminate, lines, mixing, neighbours, pii, sql, sstable
+from turnstone.llm import chat_format, decontaminate, language, lines, mixing, neighbours, pii, sql, sstable
 from turnstone.llm.common import shared_dir, table
 
 
@@ -28,6 +28,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs.select("doc_id", "text"), language.fit(docs), keep_text=False)
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -43,7 +49,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"), keep_text=False))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_tables, op3_line_dedup, op5_pii, op7_nearest, op9_chat_format, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_tables, op3_line_dedup, op5_pii, op6_language, op7_nearest, op9_chat_format, op10_decontaminate)}
 ORACLE_SQL = {
     "op1_mix_sources": sql.mix_sql(),
     "op3_line_dedup": sql.LINES,
