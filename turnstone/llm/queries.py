@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm import chat_format, decontaminate, language, lines, mixing, neighbours, pii, sql, sstable
+from turnstone.llm import chat_format, decontaminate, jaccard, language, lines, mixing, neighbours, pii, sql, sstable
 from turnstone.llm.common import shared_dir, table
 
 
@@ -24,6 +24,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(lines.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -49,7 +53,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"), keep_text=False))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_tables, op3_line_dedup, op5_pii, op6_language, op7_nearest, op9_chat_format, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_tables, op3_line_dedup, op4_jaccard_join, op5_pii, op6_language, op7_nearest, op9_chat_format, op10_decontaminate)}
 ORACLE_SQL = {
     "op1_mix_sources": sql.mix_sql(),
     "op3_line_dedup": sql.LINES,
