@@ -8,7 +8,7 @@ from array import array
 from tokenizers import Tokenizer
 
 #: Words that a task remembers the ids of; beyond it forgets all and starts anew (speed only).
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 #: White space that this module doesn't cut words at itself: such a text is encoded in one go.
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 

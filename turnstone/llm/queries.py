@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm import chat_format, decontaminate, jaccard, language, lines, mixing, neighbours, pii, sql, sstable
+from turnstone.llm import chat_format, decontaminate, jaccard, language, lines, mixing, neighbours, pii, sql, sstable, suffix_dedup
 from turnstone.llm.common import shared_dir, table
 
 
@@ -42,6 +42,10 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = spark.sql("SELECT -1L AS conv_id, turn, role, '<|im_end|><|im_start|>assistant ok' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(turn, role)")
@@ -53,7 +57,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"), keep_text=False))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_tables, op3_line_dedup, op4_jaccard_join, op5_pii, op6_language, op7_nearest, op9_chat_format, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_tables, op3_line_dedup, op4_jaccard_join, op5_pii, op6_language, op7_nearest, op8_suffix_dedup, op9_chat_format, op10_decontaminate)}
 ORACLE_SQL = {
     "op1_mix_sources": sql.mix_sql(),
     "op3_line_dedup": sql.LINES,

@@ -56,14 +56,23 @@ class Bytes:
         self.folded = LOWER[self.raw] if fold else self.raw
         self._sums: np.ndarray | None = None
 
-    def hashes(self, at: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the folded substrings [at, end)."""
+    def sums(self) -> np.ndarray:
         if self._sums is None:
             n = len(self.folded)
             self._sums = np.zeros(n + 1, np.uint64)
             np.cumsum(_CODE[self.folded] * _power("up", _BASE, n), out=self._sums[1:])
-        inv = _power("down", _INV, len(self.folded) + 1)
-        return mix((self._sums[end] - self._sums[at]) * inv[at] + (end - at).astype(np.uint64))
+        return self._sums
+
+    def hashes(self, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the folded substrings [at, end)."""
+        sums, inv = self.sums(), _power("down", _INV, len(self.folded) + 1)
+        return mix((sums[end] - sums[at]) * inv[at] + (end - at).astype(np.uint64))
+
+    def rolling(self, size: int) -> np.ndarray:
+        """The hashes of all substrings of that size, by their first byte."""
+        sums, inv = self.sums(), _power("down", _INV, len(self.folded) + 1)
+        n = len(self.folded) - size + 1
+        return mix((sums[size:] - sums[:-size]) * inv[:n] + U(size))
 
     def words(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of all words; for each text its first word's number (and one more at the end)."""
