@@ -1,0 +1,75 @@
+"""Plans: revisions, bindings to sessions, recovery."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def plan_revisions(bodies: DataFrame, plan: list[str], order: list[str], body_hash: str, opaque: Column | None = None) -> DataFrame:
+    """plan..., revisions, updates, partial: adjacent equal bodies are one revision, a return to an older one counts anew.
+
+    opaque: edits whose result isn't known; they count as no revision but make the history partial.
+    """
+    hidden = F.lit(False) if opaque is None else F.coalesce(opaque, F.lit(False))
+    seen = bodies.withColumn("__hidden", hidden)
+    known = seen.where(~F.col("__hidden") & F.col(body_hash).isNotNull())
+    before = F.lag(body_hash).over(Window.partitionBy(*plan).orderBy(*order))
+    counts = known.withColumn("__new", before.isNull() | (before != F.col(body_hash))).groupBy(*plan).agg(F.count_if("__new").alias("revisions"))
+    partial = seen.groupBy(*plan).agg(F.bool_or("__hidden").alias("partial"))
+    out = partial.join(counts, plan, "left").withColumn("revisions", F.coalesce("revisions", F.lit(0)))
+    return out.withColumn("updates", F.greatest(F.lit(0), F.col("revisions") - 1).cast("long"))
+
+
+#: Why a session owns a plan, the strongest first, and what evidence that is.
+REASONS = (("directory", "Observed"), ("path", "Observed"), ("key", "Corroborated"), ("event", "Derived"))
+
+
+def bind_owner(claims: DataFrame, plan: str, session: str, reason: str) -> DataFrame:
+    """plan, session, state, evidence: bound when exactly one session claims it, Ambiguous with several."""
+    rank = F.array_position(F.array(*[F.lit(r) for r, _ in REASONS]), F.col(reason))
+    got = claims.groupBy(plan).agg(F.count_distinct(session).alias("__n"), F.min(session).alias("__s"), F.min(rank).alias("__r"))
+    evidence = F.element_at(F.array(*[F.lit(e) for _, e in REASONS]), F.col("__r").cast("int"))
+    one = F.col("__n") == 1
+    return got.select(plan, F.when(one, F.col("__s")).alias(session), F.when(one, "Bound").when(F.col("__n") > 1, "Ambiguous").otherwise("Unavailable").alias("state"), F.when(one, evidence).otherwise(F.when(F.col("__n") > 1, "Ambiguous").otherwise("Unavailable")).alias("evidence"))
+
+
+def match_artifact(activities: DataFrame, artifacts: DataFrame, activity_id: str, plan: str) -> DataFrame:
+    """(activity, plan): by path_key, else by structured key, and only where exactly one artifact has it."""
+    def one(key: str, left: DataFrame) -> DataFrame:
+        a = artifacts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.min(plan).alias(plan)).where("__n = 1")
+        return left.join(a, key).select(activity_id, plan, F.lit(key).alias("by"))
+
+    first = one("path_key", activities)
+    return first.unionByName(one("structured_key", activities.join(first.select(activity_id), activity_id, "left_anti")))
+
+
+def sole_plan(contents: DataFrame, plans: DataFrame, session: str, plan: str) -> DataFrame:
+    """Path-less contents of sessions that own exactly one plan, with that plan."""
+    one = plans.groupBy(session).agg(F.count(F.lit(1)).alias("__n"), F.min(plan).alias(plan)).where("__n = 1").drop("__n")
+    return contents.join(one, session)
+
+
+def recover_missing(activities: DataFrame, artifacts: DataFrame, path_key: str, order: str, content: str, confirmed: Column) -> DataFrame:
+    """Plans that no file shows any more: the last known body per path with a confirmed existence."""
+    gone = activities.where(F.col(path_key).isNotNull()).join(artifacts.select(path_key).distinct(), path_key, "left_anti")
+    got = gone.groupBy(path_key).agg(F.bool_or(confirmed).alias("__ok"), F.max_by(content, F.when(F.col(content).isNotNull(), F.col(order))).alias(content))
+    return got.where("__ok").drop("__ok")
+
+
+def merge_artifacts(artifacts: DataFrame, plan: str, content: str, modified: str, path: str) -> DataFrame:
+    """One artifact per plan: with content first, then the newest; all paths as alternates."""
+    best = F.struct(F.col(content).isNotNull().cast("int"), modified, path)
+    return artifacts.groupBy(plan).agg(F.max_by(F.struct(content, modified, path), best).alias("__b"), F.array_sort(F.collect_set(path)).alias("alternates")).select(plan, *[F.col(f"__b.{c}").alias(c) for c in (content, modified, path)], "alternates")
+
+
+def hide_sessions(plans: DataFrame, visible: DataFrame, session: str) -> DataFrame:
+    """Plans whose session isn't visible are orphans: the binding goes, the plan stays."""
+    v = visible.select(F.col(session).alias("__v")).distinct()
+    return plans.join(v, F.col(session) == F.col("__v"), "left").withColumn(session, F.col("__v")).drop("__v")
+
+
+def stable_id(text: Column) -> Column:
+    """A plan id of safe characters; above 96 of them 80 and 12 digits of a hash."""
+    safe = F.regexp_replace(F.lower(text), "[^a-z0-9._-]+", "-")
+    return F.when(F.length(safe) > 96, F.concat(F.substring(safe, 1, 80), F.lit("-"), F.substring(F.sha2(text, 256), 1, 12))).otherwise(safe)
