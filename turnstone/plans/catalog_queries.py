@@ -1 +1,308 @@
-"""Queries over the catalog and texts."""
+"""Queries over the session catalog: merges, placement, roll-ups, relations, fingerprints."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from turnstone.functions import text, tools
+from turnstone.operators import catalog, placement, plan_docs, relations, summary, usage
+from turnstone.plans.adapters import OBSERVATIONS_SQL, USAGE_SQL, observations, table, usage_samples
+from turnstone.plans.registry import query
+
+_ENTRIES = """entries AS (
+    SELECT o_custkey AS session, 1 AS rank, 'orders' AS source, CASE WHEN o_orderkey % 4 = 0 THEN 'Unknown' ELSE 'w' || (o_orderkey % 9) END AS workspace,
+        CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_custkey AS VARCHAR) ELSE o_orderpriority END AS title, o_orderdate AS started, o_orderdate AS active, o_orderstatus = 'O' AS open, o_orderkey,
+        ['Derived', 'Heuristic', 'Observed'][o_orderkey % 3 + 1] AS evidence, 'f' || (o_orderkey % 6) AS file, o_orderkey % 13 AS weight FROM orders)"""
+
+
+@query(f"""
+    WITH {_ENTRIES}, r AS (SELECT *, o_orderkey AS rk, CASE evidence WHEN 'Observed' THEN 6 WHEN 'Derived' THEN 4 ELSE 3 END AS e FROM entries)
+    SELECT session, min(started) AS started, max(active) AS active, bool_or(open) AS open, CASE max(e) WHEN 6 THEN 'Observed' WHEN 4 THEN 'Derived' ELSE 'Heuristic' END AS evidence,
+        coalesce(arg_min(workspace, rk) FILTER (workspace <> 'Unknown'), 'Unknown') AS workspace, coalesce(arg_min(title, rk) FILTER (title <> CAST(session AS VARCHAR)), CAST(session AS VARCHAR)) AS title,
+        string_agg(DISTINCT file, ',' ORDER BY file) AS files, 'o' || arg_max(rk, (weight + CASE WHEN workspace <> 'Unknown' THEN 10 ELSE 0 END, -rk)) AS richest,
+        coalesce(arg_max('v' || (rk % 3), rk) FILTER (rk % 3 > 0), '') AS kind FROM r GROUP BY session""")
+def catalog_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    entries = o.select(
+        F.col("o_custkey").alias("session"),
+        k.alias("rank"),
+        F.concat(F.lit("o"), k.cast("string")).alias("source"),
+        F.when(k % 4 == 0, "Unknown").otherwise(F.concat(F.lit("w"), (k % 9).cast("string"))).alias("workspace"),
+        F.when(k % 5 == 0, F.col("o_custkey").cast("string")).otherwise(F.col("o_orderpriority")).alias("title"),
+        F.lit(None).cast("string").alias("model"),
+        F.col("o_orderdate").alias("started"),
+        F.col("o_orderdate").alias("active"),
+        (F.col("o_orderstatus") == "O").alias("open"),
+        F.element_at(F.array(F.lit("Derived"), F.lit("Heuristic"), F.lit("Observed")), (k % 3 + 1).cast("int")).alias("evidence"),
+        F.array(F.concat(F.lit("f"), (k % 6).cast("string"))).alias("files"),
+        F.create_map(F.lit("kind"), F.when(k % 3 > 0, F.concat(F.lit("v"), (k % 3).cast("string"))).otherwise("")).alias("metadata"),
+        (k % 13).alias("weight"),
+    )
+    got = catalog.merge_sessions(entries, "session", "rank")
+    return got.select("session", "started", "active", "open", "evidence", "workspace", "title", F.array_join("files", ",").alias("files"), "richest", F.element_at("metadata", "kind").alias("kind"))
+
+
+
+@query("""
+    WITH p AS (SELECT l_orderkey, l_linenumber * 100000 + l_partkey AS ord, 't' || l_partkey AS title, CASE l_linenumber WHEN 1 THEN 40 WHEN 3 THEN 90 WHEN 5 THEN 90 WHEN 2 THEN 55 WHEN 4 THEN 55 ELSE 100 END AS priority FROM lineitem)
+    SELECT l_orderkey, arg_max(title, (priority, ord)) AS title, CAST(max(priority) AS INT) AS priority FROM p GROUP BY l_orderkey""")
+def title_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = ("history", "cache", "ai", "cache", "ai")
+    kind = F.coalesce(F.get(F.array(*map(F.lit, kinds)), (F.col("l_linenumber") - 1).cast("int")), F.lit("custom"))
+    worth = F.create_map(*[F.lit(x) for kv in catalog.TITLE_PRIORITY.items() for x in kv])
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 100_000 + F.col("l_partkey")).alias("ord"), F.concat(F.lit("t"), F.col("l_partkey").cast("string")).alias("title"), F.element_at(worth, kind).alias("priority"))
+    return catalog.priority_pick(rows, ["l_orderkey"], "title", "priority", "ord")
+
+
+@query("""
+    SELECT o_custkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS o_totalprice, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS o_orderstatus FROM orders GROUP BY o_custkey""")
+def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.latest_snapshot(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice", "o_orderstatus")
+
+
+@query("""
+    WITH e AS (SELECT o_custkey, o_orderkey, o_orderstatus FROM orders), g AS (SELECT o_custkey, max(o_orderkey) FILTER (o_orderstatus = 'O') AS o, max(o_orderkey) FILTER (o_orderstatus = 'F') AS s, count(*) FILTER (o_orderstatus = 'O') AS n FROM e GROUP BY ALL)
+    SELECT o_custkey, o IS NOT NULL AND (s IS NULL OR o > s) AS open, greatest(0, n - 1) AS resumes FROM g""")
+def session_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.lifecycle(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey", F.col("o_orderstatus") == "O", F.col("o_orderstatus") == "F")
+
+
+@query("""
+    WITH r AS (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders)
+    SELECT o_orderkey, n <= 500 OR o_orderstatus = 'P' AS detailed FROM r""")
+def session_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.most_recent(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderkey", 500, F.col("o_orderstatus") == "P").select("o_orderkey", "detailed")
+
+
+@query("""
+    WITH n AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS n, l_quantity > 45 AS long FROM lineitem)
+    SELECT l_orderkey, l_linenumber, CASE WHEN long THEN 'line too long' ELSE 'too many records' END AS reason FROM n WHERE long OR n > 200""")
+def capped_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejects of a cap of 200 records a supplier and of 45 characters a line (quantity stands for it)."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("raw", F.repeat(F.lit("x"), F.col("l_quantity").cast("int")))
+    return catalog.capped(rows, ["l_suppkey"], ["l_orderkey", "l_linenumber"], 200, "raw", 45)[1].select("l_orderkey", "l_linenumber", "reason")
+
+
+@query("""
+    WITH f AS (SELECT 'f' || (o_orderkey % 400) AS file, o_custkey FROM orders WHERE o_orderkey < 2000)
+    SELECT file, CASE WHEN count(DISTINCT o_custkey) = 1 THEN CAST(min(o_custkey) AS VARCHAR) ELSE file END AS session_id, count(DISTINCT o_custkey) > 1 AS conflict FROM f GROUP BY file""")
+def id_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").where("o_orderkey < 2000").select(F.concat(F.lit("f"), (F.col("o_orderkey") % 400).cast("string")).alias("file"), "o_custkey")
+    return catalog.id_consensus(rows, "file", "o_custkey")
+
+
+@query("""
+    WITH t AS (SELECT *, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS p FROM conversations)
+    SELECT role, turn % 3 AS number, count(*) AS merged, arg_max(conv_id, (CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 0 END, -(conv_id * 100 + turn))) AS conv_id FROM t GROUP BY role, turn % 3, p""")
+def turn_consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("role", (F.col("turn") % 3).alias("number"), "text", "conv_id", F.when(F.col("conv_id") % 2 == 0, F.col("conv_id")).alias("request"), (F.col("conv_id") * 100 + F.col("turn")).alias("ord"))
+    return catalog.consolidate_turns(rows, ["role"], "number", F.lower(text.collapse(F.col("text"))), "request", "ord").select("role", "number", "merged", "conv_id")
+
+
+@query(f"""
+    WITH {OBSERVATIONS_SQL}, n AS (SELECT session, role, count(*) AS n FROM obs GROUP BY ALL) SELECT session, string_agg(role || '=' || n, ',' ORDER BY role) AS counts FROM n GROUP BY session""")
+def event_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = catalog.type_counts(observations(spark, sf_dir), ["session"], "role")
+    return got.select("session", F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("counts"))
+
+
+@query("""
+    WITH c AS (SELECT o_custkey AS s, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
+    SELECT s, o_orderkey FROM c WHERE n > s % 4""")
+def inherited_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("s"), "o_orderkey")
+    seeds = o.select("s").distinct().withColumn("seed", F.col("s") % 4)
+    return catalog.inherited_turns(o, seeds, ["s"], ["o_orderkey"], "seed")
+
+
+@query("""
+    WITH a AS (SELECT c_custkey AS left_id, CAST(floor(c_acctbal) AS INT) % 500 AS k, c_mktsegment AS w FROM customer), b AS (SELECT s_suppkey AS right_id, CAST(floor(s_acctbal) AS INT) % 500 AS k, ['BUILDING', 'MACHINERY'][s_suppkey % 2 + 1] AS w FROM supplier),
+    x AS (SELECT *, count(*) OVER (PARTITION BY k) AS na FROM a), y AS (SELECT *, count(*) OVER (PARTITION BY k) AS nb FROM b)
+    SELECT k, left_id, right_id FROM x JOIN y USING (k) WHERE lower(x.w) = lower(y.w) OR (na = 1 AND nb = 1)""")
+def session_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = lambda c: (F.floor(c).cast("int") % 500).alias("k")
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("left_id"), k("c_acctbal"), F.col("c_mktsegment").alias("w"))
+    b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("right_id"), k("s_acctbal"), F.element_at(F.array(F.lit("BUILDING"), F.lit("MACHINERY")), (F.col("s_suppkey") % 2 + 1).cast("int")).alias("w"))
+    return catalog.match_sessions(a, b, "k", "w")
+
+
+_URL = "SELECT page_id, regexp_replace(regexp_extract(url, '^https?://([^?#]*)', 1), '/+$', '') AS p FROM pages"
+
+
+@query(f"""
+    WITH u AS ({_URL}), r AS (SELECT DISTINCT lower(array_to_string(list_slice(string_split(p, '/'), 1, 2), '/')) AS root, 'w' || length(p) % 3 AS w FROM u),
+    g AS (SELECT root, count(*) AS n, min(w) AS w FROM r GROUP BY root),
+    a AS (SELECT p, d, array_to_string(list_slice(string_split(lower(p), '/'), 1, d), '/') AS root FROM (SELECT p, unnest(range(1, len(string_split(p, '/')) + 1)) AS d FROM (SELECT DISTINCT p FROM u)))
+    SELECT page_id, b.w AS workspace FROM u LEFT JOIN (SELECT p, CASE WHEN arg_max(n, d) = 1 THEN arg_max(w, d) END AS w FROM a JOIN g USING (root) GROUP BY p) b USING (p)""")
+def path_workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.regexp_replace(F.regexp_extract("url", r"^https?://([^?#]*)", 1), "/+$", "")
+    u = table(spark, sf_dir, "pages").select("page_id", p.alias("p"))
+    roots = u.select(F.substring_index("p", "/", 2).alias("root"), F.concat(F.lit("w"), (F.length("p") % 3).cast("string")).alias("workspace"))
+    return placement.most_specific_root(u, roots, "p", "root", "workspace").select("page_id", "workspace")
+
+
+@query("""
+    WITH s AS (SELECT page_id % 60 AS session, 'w' || (length(url) % 5) AS workspace, ['native-id', 'project-key', 'tool-path', 'attachment', 'mention'][page_id % 5 + 1] AS kind, [95, 90, 75, 70, 65][page_id % 5 + 1] AS score FROM pages),
+    p AS (SELECT session, workspace, least(99, max(score) + 5 * (count(DISTINCT kind) - 1)) AS score, count(DISTINCT kind) AS kinds, bool_or(kind = 'native-id') AS native, bool_or(kind = 'project-key') AS project FROM s GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS nx, count(*) OVER (PARTITION BY session) AS n FROM p WHERE score >= 60 WINDOW w AS (PARTITION BY session ORDER BY score DESC, workspace))
+    SELECT session, CASE WHEN c THEN workspace END AS workspace, CASE WHEN c THEN 'Inferred' ELSE 'Ambiguous' END AS state,
+        CASE WHEN NOT c THEN 'Ambiguous' WHEN native OR kinds >= 2 THEN 'Corroborated' WHEN project THEN 'Derived' ELSE 'Heuristic' END AS evidence, CAST(score AS INT) AS score, n - 1 AS alternatives
+    FROM (SELECT *, nx IS NULL OR score - nx >= 15 AS c FROM r WHERE r = 1)""")
+def workspace_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = list(placement.SIGNALS)
+    at = (F.col("page_id") % 5).cast("int")
+    rows = table(spark, sf_dir, "pages").select((F.col("page_id") % 60).alias("session"), F.concat(F.lit("w"), (F.length("url") % 5).cast("string")).alias("workspace"), F.get(F.array(*map(F.lit, kinds)), at).alias("kind"), F.get(F.array(*[F.lit(placement.SIGNALS[k]) for k in kinds]), at).alias("score"))
+    return placement.infer_workspace(rows, "session", "workspace", "kind", "score")
+
+
+@query(f"""
+    WITH u AS (SELECT page_id, p, page_id % 3 = 0 AS open FROM ({_URL})),
+    a AS (SELECT array_to_string(list_slice(string_split(p, '/'), 1, d), '/') AS folder, p, open, page_id FROM (SELECT *, unnest(range(1, len(string_split(p, '/')) + 1)) AS d FROM u)),
+    g AS (SELECT folder, count(*) AS sessions, count(*) FILTER (open) AS open, max(page_id) AS active, count(*) FILTER (p = folder) AS here FROM a GROUP BY folder),
+    k AS (SELECT regexp_replace(folder, '/[^/]*$', '') AS folder, count(*) AS children FROM g WHERE contains(folder, '/') GROUP BY 1)
+    SELECT folder, sessions, open, active, coalesce(children, 0) AS children FROM g LEFT JOIN k USING (folder) WHERE NOT (coalesce(children, 0) = 1 AND here = 0)""")
+def folder_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.regexp_replace(F.regexp_extract("url", r"^https?://([^?#]*)", 1), "/+$", "")
+    rows = table(spark, sf_dir, "pages").select(p.alias("p"), (F.col("page_id") % 3 == 0).alias("open"), "page_id")
+    return placement.folder_rollup(rows.withColumnRenamed("page_id", "active"), "p", "open", "active")
+
+
+@query("""
+    SELECT o_orderkey, CASE WHEN n = 1 THEN 'Resolved' WHEN n > 1 THEN 'Ambiguous' ELSE 'Unresolved' END AS state, CASE WHEN n = 1 THEN t END AS target
+    FROM (SELECT o_orderkey, o_custkey % 900 AS k FROM orders) LEFT JOIN (SELECT c_custkey % 1000 AS k, count(*) AS n, min(c_custkey) AS t FROM customer WHERE c_custkey % 7 > 0 GROUP BY 1) USING (k)""")
+def relation_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 900).alias("k"))
+    c = table(spark, sf_dir, "customer").where("c_custkey % 7 > 0").select((F.col("c_custkey") % 1000).alias("k"), F.col("c_custkey").alias("target"))
+    return relations.resolve(o, c, "o_orderkey", "k", "target")
+
+
+@query("""
+    WITH e AS (SELECT 'o' || o_custkey AS s, 'p' || l_partkey AS t FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
+    SELECT node, CAST(sum(o) AS BIGINT) AS outbound, CAST(sum(i) AS BIGINT) AS inbound FROM (SELECT s AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT t, 0, 1 FROM e) GROUP BY node""")
+def relation_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("o"), F.col("o_custkey").cast("string")).alias("s"))
+    e = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("t")).join(o, "l_orderkey")
+    return relations.degrees(e, "s", "t")
+
+
+@query("""
+    WITH g AS (SELECT l_suppkey, l_partkey, min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem GROUP BY ALL HAVING count(*) > 1)
+    SELECT l_suppkey, l_partkey, first, l_orderkey * 10 + l_linenumber AS other FROM lineitem JOIN g USING (l_suppkey, l_partkey) WHERE l_orderkey * 10 + l_linenumber <> first""")
+def duplicate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    return relations.duplicates(rows, "l_suppkey", "l_partkey", "id")
+
+
+@query("""
+    WITH RECURSIVE n AS (SELECT c_custkey AS node, CASE WHEN c_custkey % 5 > 0 THEN c_custkey // 5 END AS parent FROM customer),
+    t AS (SELECT node, node AS root, 0 AS depth FROM n WHERE parent IS NULL OR parent = node UNION ALL SELECT n.node, t.root, t.depth + 1 FROM n JOIN t ON n.parent = t.node WHERE n.parent <> n.node)
+    SELECT node, root, CAST(depth AS BIGINT) AS depth FROM t""")
+def parent_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), F.when(F.col("c_custkey") % 5 > 0, F.floor(F.col("c_custkey") / 5)).alias("parent"))
+    return relations.root_of(n, "node", "parent")
+
+
+@query(None)
+def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.fingerprint(table(spark, sf_dir, "orders"))
+
+
+@query("""
+    WITH o AS (SELECT o_orderkey AS path, o_custkey AS length, o_orderdate AS modified FROM orders WHERE o_orderkey % 10 > 0), n AS (SELECT o_orderkey AS path, CASE WHEN o_orderkey % 17 = 0 THEN 0 ELSE o_custkey END AS length, o_orderdate AS modified FROM orders WHERE o_orderkey % 11 > 0)
+    SELECT path, c AS change FROM (SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' WHEN o.length <> n.length THEN 'changed' END AS c FROM o FULL JOIN n ON o.path = n.path) WHERE c IS NOT NULL""")
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_custkey").alias("length"), F.col("o_orderdate").alias("modified"))
+    new = o.where("path % 11 > 0").withColumn("length", F.when(F.col("path") % 17 == 0, 0).otherwise(F.col("length")))
+    return catalog.snapshot_diff(o.where("path % 10 > 0"), new)
+
+
+@query(f"""
+    WITH {OBSERVATIONS_SQL} SELECT session, count(DISTINCT k) AS turns, count(*) FILTER (role = 'ToolRequest') AS tools, count(*) FILTER (role = 'ToolFailure') AS failures, count(*) FILTER (role = 'ToolRequest' AND k % 5 = 3) AS mcp_calls,
+        round(sum(duration_ms) FILTER (role IN ('ToolSuccess', 'ToolFailure')), 2) AS tool_ms, CAST(sum(length(path)) FILTER (role = 'PromptSubmitted') AS BIGINT) AS prompt_chars, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000.0 AS wall_ms FROM obs GROUP BY session""")
+def session_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs = observations(spark, sf_dir).withColumn("kind", F.when(F.col("tool") == "tool3", "Mcp").otherwise("Shell"))
+    got = summary.kpi_summary(obs, ["session"], "k", "role", "ts", "duration_ms", "path", "kind")
+    return got.select("session", "turns", "tools", "failures", "mcp_calls", F.round("tool_ms", 2).alias("tool_ms"), "prompt_chars", "wall_ms")
+
+
+@query(f"""
+    WITH {OBSERVATIONS_SQL} SELECT session, string_agg(DISTINCT path, ',' ORDER BY path) FILTER (k % 5 IN (0, 1)) AS read, string_agg(DISTINCT path, ',' ORDER BY path) FILTER (k % 5 IN (2, 3)) AS written, string_agg(DISTINCT path, ',' ORDER BY path) FILTER (k % 5 = 4) AS deleted FROM obs GROUP BY session""")
+def access_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.get(F.array(*map(F.lit, ("FileRead", "FileRead", "FileWrite", "FileEdit", "FileDelete"))), (F.col("k") % 5).cast("int"))
+    got = summary.access_by_kind(observations(spark, sf_dir).withColumn("kind", kinds), ["session"], "kind", "path")
+    return got.select("session", *[F.nullif(F.array_join(c, ","), F.lit("")).alias(c) for c in ("read", "written", "deleted")])
+
+
+@query(f"""
+    WITH {OBSERVATIONS_SQL}, e AS (SELECT DISTINCT session, 'skill' || (k % 6) AS skill, k // 10 % 5 AS s FROM obs)
+    SELECT session, skill, string_agg(['Available', 'Mentioned', 'Attached', 'Loaded', 'Invoked'][s + 1], ',' ORDER BY s) AS stages FROM e GROUP BY ALL""")
+def skill_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = observations(spark, sf_dir).withColumns({"name": F.concat(F.when(F.col("k") % 2 == 0, "Skill").otherwise("skill"), (F.col("k") % 6).cast("string")), "stage": F.get(F.array(*map(F.lit, summary.STAGES)), (F.floor(F.col("k") / 10) % 5).cast("int"))})
+    return summary.skill_stages(rows, ["session"], "name", "stage").select("session", "skill", F.array_join("stages", ",").alias("stages"))
+
+
+@query(f"""
+    WITH {OBSERVATIONS_SQL}, f AS (SELECT session, path, min((ts, event_id)) AS seen FROM obs WHERE role = 'ToolRequest' GROUP BY ALL)
+    SELECT session, string_agg(path, ',' ORDER BY seen) AS commands FROM f GROUP BY session""")
+def first_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = summary.first_seen(observations(spark, sf_dir).where("role = 'ToolRequest'"), ["session"], "path", ["ts", "event_id"])
+    return got.select("session", F.array_join("values", ",").alias("commands"))
+
+
+@query(f"""
+    WITH {OBSERVATIONS_SQL} SELECT session, tool AS agent, arg_min(role, event_id) AS type, arg_max(path, event_id) FILTER (k % 3 > 0) AS message, arg_max(duration_ms, event_id) AS last_ms, round(sum(duration_ms), 2) AS total_ms FROM obs GROUP BY ALL""")
+def subagent_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs = observations(spark, sf_dir).withColumns({"agent": F.col("tool"), "said": F.when(F.col("k") % 3 > 0, F.col("path"))})
+    got = summary.subagents(obs, ["session"], "agent", ["event_id"], "role", "path", "role", "said", "duration_ms")
+    return got.select("session", "agent", "type", "message", "last_ms", F.round("total_ms", 2).alias("total_ms"))
+
+
+@query(f"""
+    WITH {OBSERVATIONS_SQL}, n AS (SELECT session, count(DISTINCT k) AS t, count(*) FILTER (role = 'ToolRequest') AS q, count(*) FILTER (role = 'ToolFailure') AS f FROM obs GROUP BY session)
+    SELECT session, concat_ws(' · ', CASE WHEN t = 1 THEN '1 turn' WHEN t > 1 THEN t || ' turns' END, CASE WHEN q = 1 THEN '1 tool' WHEN q > 1 THEN q || ' tools' END, CASE WHEN f = 1 THEN '1 failure' WHEN f > 1 THEN f || ' failures' END) AS badge FROM n""")
+def session_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = summary.kpi_summary(observations(spark, sf_dir), ["session"], "k", "role", "ts", "duration_ms", "path", "tool")
+    return got.select("session", summary.badge(F.col("turns"), F.col("tools"), F.col("failures")).alias("badge"))
+
+
+@query("SELECT o_custkey % 100 AS workspace, count(*) AS opened FROM orders GROUP BY 1")
+def open_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.open_counts(table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("workspace")), "workspace")
+
+
+@query(f"""
+    WITH {USAGE_SQL}, o AS (SELECT session, max(ord) AS o FROM samples WHERE behavior = 'Final' GROUP BY session)
+    SELECT session, record_id FROM samples LEFT JOIN o USING (session) WHERE o IS NULL OR ord > o""")
+def usage_after_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.after_last_open(usage_samples(spark, sf_dir), ["session"], "ord", F.col("behavior") == "Final").select("session", "record_id")
+
+
+@query("""
+    WITH n AS (SELECT DISTINCT ['totalNanoAiu', 'inputTokens', 'cache_read', 'durationMs', 'output-tokens', 'reasoning_tokens', 'count'][l_partkey % 7 + 1] AS name, l_partkey % 7 AS i FROM lineitem)
+    SELECT name, ['nano-AIU', 'tokens', 'tokens', 'ms', 'tokens', 'tokens', 'requests'][i + 1] AS unit, concat_ws(',', CASE WHEN i = 1 THEN 'input' END, CASE WHEN i = 4 THEN 'output' END, CASE WHEN i = 2 THEN 'cache_read' END, CASE WHEN i = 5 THEN 'reasoning' END) AS families FROM n""")
+def usage_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("totalNanoAiu", "inputTokens", "cache_read", "durationMs", "output-tokens", "reasoning_tokens", "count")
+    rows = table(spark, sf_dir, "lineitem").select(F.get(F.array(*map(F.lit, names)), (F.col("l_partkey") % 7).cast("int")).alias("name")).distinct()
+    families = F.concat_ws(",", *[F.when(c, k) for k, c in tools.token_family(F.col("name")).items()])
+    return rows.select("name", tools.usage_unit(F.col("name")).alias("unit"), families.alias("families"))
+
+
+@query("""
+    WITH a AS (SELECT l_orderkey AS p, l_linenumber * 100000 + l_partkey AS ord, CASE WHEN l_quantity > 10 THEN 'b' || l_partkey END AS body, l_discount > 0.05 AS ok FROM lineitem), f AS (SELECT DISTINCT o_orderkey AS p FROM orders WHERE o_orderstatus = 'O')
+    SELECT p, arg_max(body, ord) FILTER (body IS NOT NULL) AS body FROM a WHERE p NOT IN (SELECT p FROM f) GROUP BY p HAVING bool_or(ok)""")
+def recovered_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("p"), (F.col("l_linenumber") * 100_000 + F.col("l_partkey")).alias("ord"), F.when(F.col("l_quantity") > 10, F.concat(F.lit("b"), F.col("l_partkey").cast("string"))).alias("body"), (F.col("l_discount") > 0.05).alias("ok"))
+    files = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("p"))
+    return plan_docs.recover_missing(a, files, "p", "ord", "body", F.col("ok"))
+
+
+@query("""
+    WITH a AS (SELECT c_custkey AS activity, c_custkey % 50 AS path_key, c_nationkey AS structured_key FROM customer), b AS (SELECT s_suppkey AS plan, s_suppkey % 80 AS path_key, s_nationkey AS structured_key FROM supplier),
+    o AS (SELECT path_key, min(plan) AS plan FROM b GROUP BY 1 HAVING count(*) = 1), s AS (SELECT structured_key, min(plan) AS plan FROM b GROUP BY 1 HAVING count(*) = 1), x AS (SELECT activity, plan, 'path_key' AS by FROM a JOIN o USING (path_key))
+    SELECT * FROM x UNION ALL SELECT activity, plan, 'structured_key' FROM a JOIN s USING (structured_key) WHERE activity NOT IN (SELECT activity FROM x)""")
+def plan_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("activity"), (F.col("c_custkey") % 50).alias("path_key"), F.col("c_nationkey").alias("structured_key"))
+    b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("plan"), (F.col("s_suppkey") % 80).alias("path_key"), F.col("s_nationkey").alias("structured_key"))
+    return plan_docs.match_artifact(a, b, "activity", "plan")
