@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+import string
 from array import array
 
 from tokenizers import Tokenizer
 
-#: Words that a task remembers the ids of; beyond it forgets all and starts anew (speed only).
-REMEMBERED = 200_000
+#: Words in each of the two generations that a task remembers the ids of (speed only).
+REMEMBERED = 250_000
 #: White space that this module doesn't cut words at itself: such a text is encoded in one go.
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 
@@ -29,7 +30,7 @@ class Encoder:
 
     def __init__(self, path: str, end_id: int | None, by_word: bool):
         self.t = Tokenizer.from_file(path)
-        self.model, self.normal = self.t.model, self.t.normalizer
+        self.model = self.t.model
         self.kind = "H" if self.t.get_vocab_size(True) <= 1 << 16 and (end_id or 0) < 1 << 16 else "I"
         self.width = array(self.kind).itemsize
         self.end = b"" if end_id is None else array(self.kind, [end_id]).tobytes()
@@ -41,14 +42,18 @@ class Encoder:
         return array(self.kind, self.t.encode(text, add_special_tokens=False).ids).tobytes()
 
     def word(self, w: str) -> bytes:
-        """Of a word without white space. One of common letters alone is the tokenizer's model's business only."""
-        if w[-1] in ".," and w[:-1].isalpha():
-            return self.known[w[:-1]] + self.known[w[-1]]
-        if w.isalpha() and max(w) < "ɐ":
-            plain = w.lower() if w.isascii() else self.normal.normalize_str(w)
-            if plain.isalpha():
-                if plain != w:
+        """Of a word without white space. Letters and the ASCII punctuation behind them are encoded apart, as the
+        tokenizer does; common letters alone are its model's business only."""
+        if not w.isalpha():
+            core = w.rstrip(string.punctuation)
+            if core != w and core.isalpha():
+                return self.known[core] + self.known[w[len(core) :]]
+        elif w.isascii() or max(w) < "ɐ":
+            plain = w.lower()
+            if plain != w:
+                if plain.isalpha():
                     return self.known[plain]
+            else:
                 if not w.isascii():
                     plain = "".join(map(self.letters.__getitem__, w.encode()))
                 return array(self.kind, [x.id for x in self.model.tokenize(plain)]).tobytes()
@@ -63,13 +68,20 @@ class Encoder:
 
 
 class _Known(dict):
+    """Ids by word, in two generations: words of the old one that come again pass into the new one."""
+
     def __init__(self, encoder: Encoder):
         self.encoder = encoder
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, w: str) -> bytes:
-        if len(self) > REMEMBERED:
+        out = self.old.get(w)
+        if out is None:
+            out = self.encoder.word(w)
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
             self.clear()
-        self[w] = out = self.encoder.word(w)
+        self[w] = out
         return out
 
 
