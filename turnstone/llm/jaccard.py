@@ -1,16 +1,19 @@
 """N-gram Jaccard join by T-occurrence search (DivideSkip).
 
 1. Every text becomes its set of word shingles; equal sets are one class, which later stands for all its copies.
-2. Prefixes. Of two sets that reach the threshold, each set's first |s| - ceil(t |s|) + 1 shingles, in any one
-   order of all shingles, hold a common one. The order puts shingles last that tasks see often (a bounded list
-   that only costs or saves time), so that shared passages bring few sets together. Sets with a common
-   prefix shingle are joined to groups.
-3. T-occurrence search inside the groups, in blocks of a bounded mass: an inverted index over whole sets; for
+2. A set that has a partner shares most of itself. With the shingles in order of hash, two sets that reach the
+   threshold share l of their first |s| - ceil(t |s|) + l ones, for any l. So such prefixes, for an l of a tenth of
+   the set, tell which sets can have a partner at all: the ones of whose prefix enough is in other sets, too.
+   Of those left, whole sets are asked the same.
+3. Among those the prefix for l = 1 brings sets together that share one of its shingles. Its order puts those
+   last that step 2 saw most often (a bounded list that costs or saves time only), so that passages which many
+   documents have in common don't join strangers.
+4. T-occurrence search inside the groups, in blocks of a bounded mass: an inverted index over whole sets; for
    a set that needs T shared shingles, its short lists are heap-merged, long ones are only probed by
    bisection for the sets found, and those that reach the exact overlap are linked.
-4. Components of the links.
+5. Components of the links.
 
-No pair of sets is emitted: lists give stars, and a block gives each set's root.
+No pair of sets is emitted: lists give stars, and a block gives each set's root. No text is shuffled.
 """
 
 from __future__ import annotations
@@ -23,19 +26,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from turnstone.llm.bloom import bloom
 from turnstone.llm.common import stage_table
 from turnstone.llm.components import components
-from turnstone.llm.words import SPACED, U, Bytes, mix, pieces
+from turnstone.llm.words import PIECE, SPACED, U, Bytes, mix, pieces
 
 WORDS, PERCENT = 5, 80
 #: Shingles that at most are put last for being frequent.
 FREQUENT = 1 << 18
 #: Shingles in a block of the search at most (one larger set is a block by itself).
-BLOCK = 400_000
-#: Slices of the space of hashes in which prefix shingles meet.
-SLICES = 256
+BLOCK = 1_000_000
+#: Classes in groups up to which their table is broadcast (40 bytes each); beyond, it is joined by a shuffle.
+BROADCAST = 1_000_000
+#: Slices of the space of hashes in which shingles meet: a constant, as each set may have a row in every slice.
+SLICES = 32
+#: Sets in which a prefix shingle must be seen to be a candidate for that list.
+FEW = 6
 
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
@@ -77,223 +84,305 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
     """Batches of (…, text) in bounded pieces, with the texts' sets."""
     for b in batches:
         texts = b.column(b.num_columns - 1).to_pylist()
-        for i, j in pieces(texts):
+        for i, j in pieces(texts, PIECE // 2):
             yield b.slice(i, j - i), shingle_sets(texts[i:j])
 
 
-def frequent_shingles(docs: DataFrame, most: int = FREQUENT) -> np.ndarray:
-    """Sorted hashes of shingles that tasks see in several different sets; the most frequent ones, `most` at most.
-
-    Over all documents; only an order of shingles depends on it, so that counts below 2 in a task may be
-    left out, and no result changes with it.
-    """
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n (set size), fp of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        held: list[np.ndarray] = []
-        mass = 0
+        for b, sets in _texts(batches):
+            n = [len(s) for s in sets]
+            fp = [fingerprint(s) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64())], names=["doc_id", "n", "fp"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp long")
+
+
+def shared_depth(n):
+    """How many shingles of their prefixes two sets have to share, the smaller of them of size n."""
+    return n // 10 if isinstance(n, int) else F.floor(n / 10)
+
+
+class _Postings:
+    """Collects (set, shingles) of a task and deals them out by slices of the space of hashes, packed."""
+
+    def __init__(self, slices: int):
+        self.slices = slices
+        self.clear()
+
+    def clear(self) -> None:
+        self.h: list[np.ndarray] = []
+        self.fp: list[int] = []
+        self.mass = 0
 
-        def counted() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = n > 1
-            return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["h", "n"])
+    def add(self, fp: int, shingles: np.ndarray) -> None:
+        self.h.append(shingles)
+        self.fp.append(fp)
+        self.mass += len(shingles)
 
+    def full(self) -> bool:
+        return self.mass > 1_000_000 or len(self.fp) >= 1 << 16
+
+    def batch(self) -> pa.RecordBatch:
+        """(slice, h: 32 bits of each hash, of: 16 bits, which of the fps, fp) rows."""
+        h = np.concatenate(self.h) if self.h else np.zeros(0, np.uint64)
+        of = np.repeat(np.arange(len(self.h), dtype=np.uint16), [len(x) for x in self.h]) if self.h else np.zeros(0, np.uint16)
+        at = ((h >> U(32)) * U(self.slices) >> U(32)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        edge = np.searchsorted(at[order], np.arange(self.slices + 1))
+        low, of, fps = (h & U(0xFFFFFFFF)).astype(np.uint32)[order], of[order], np.array(self.fp, np.int64)
+        rows = []
+        for k, (i, j) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+            if j > i:
+                used, new = np.unique(of[i:j], return_inverse=True)
+                rows.append((k, low[i:j].tobytes(), new.astype(np.uint16).tobytes(), fps[used].tobytes()))
+        self.clear()
+        cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["slice", "h", "of", "fp"])
+
+
+_PACKED = "slice int, h binary, of binary, fp binary"
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(slice, hashes, fps), by hash, each (hash, fp) once, of a task's slices.
+
+    A hash is known by 32 bits inside its slice here: two that fall together make a set or a group too
+    many, never one too few.
+    """
+    parts: dict[int, tuple[list, list]] = {}
+    for b in batches:
+        for k, h, of, fp in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            parts.setdefault(k, ([], []))[0].append(np.frombuffer(h, np.uint32))
+            parts[k][1].append(np.frombuffer(fp, np.int64)[np.frombuffer(of, np.uint16)])
+    for k in list(parts):
+        hs, fps = parts.pop(k)
+        h, fp = np.concatenate(hs), np.concatenate(fps)
+        order = np.lexsort((fp, h))
+        h, fp = h[order], fp[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (fp[1:] != fp[:-1])])
+        yield k, h[new], fp[new]
+
+
+def _slice_count(docs: DataFrame) -> int:
+    """Slices of the space of hashes; `spark.turnstone.slices` raises it on a large cluster."""
+    return int(docs.sparkSession.conf.get("spark.turnstone.slices", str(SLICES)))
+
+
+def shared_prefixes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Rows of two kinds: (fp, n): how many shingles of a set's prefix other sets have in theirs, in parts to be
+    summed; and with `often` set, (slice and 32 bits of a hash, n): shingles in FEW or more sets.
+    """
+    slices = _slice_count(docs)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, seen = _Postings(slices), set()
         for _, sets in _texts(batches):
             for s in sets:
                 if len(s) and (f := fingerprint(s)) not in seen:
                     seen.add(f)
-                    held.append(s)
-                    mass += len(s)
-            if mass > 4_000_000:
-                yield counted()
-                held, mass = [], 0
-                seen = set()
-        yield counted()
+                    out.add(f, s[: prefix_size(len(s), percent) - 1 + max(1, shared_depth(len(s)))])
+            if out.full():
+                yield out.batch()
+                seen.clear()
+        yield out.batch()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, h, fp in _slices(batches):
+            head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            count = np.diff(np.append(head, len(h)))
+            f, n = np.unique(fp[np.repeat(count > 1, count)], return_counts=True)
+            many = np.flatnonzero(count >= FEW)
+            key = (np.int64(k) << np.int64(32)) | h[head[many]].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f, key])), pa.array(np.concatenate([n, count[many]]).astype(np.int64)), pa.array(np.arange(len(f) + len(many)) >= len(f))], names=["fp", "n", "often"])
 
-    found = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 3")
-    top = found.orderBy(F.col("n").desc(), "h").limit(most).select("h").toArrow()
-    return np.sort(top.column(0).to_numpy().view(np.uint64)) if top.num_rows else np.zeros(0, np.uint64)
+    # 16 bits number the sets of a row: one batch has fewer than 2 ** 16
+    return docs.select("text").mapInArrow(emit, _PACKED).repartition("slice").mapInArrow(meet, "fp long, n long, often boolean")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), fp of every document."""
+def shared_sizes(sets: DataFrame) -> DataFrame:
+    """(fp, n) in parts to be summed: how many of a set's shingles are in other sets of the table (fp, s), too."""
+    slices = _slice_count(sets)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Postings(slices)
+        for b in batches:
+            for f, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                out.add(f, np.frombuffer(s, np.uint64))
+                if out.full():
+                    yield out.batch()
+        yield out.batch()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, h, fp in _slices(batches):
+            head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            count = np.diff(np.append(head, len(h)))
+            f, n = np.unique(fp[np.repeat(count > 1, count)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(n.astype(np.int64))], names=["fp", "n"])
+
+    return sets.select("fp", "s").mapInArrow(emit, _PACKED).repartition("slice").mapInArrow(meet, "fp long, n long")
+
+
+def _only(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The sets of the wanted classes (fp), by a bounded filter: no shuffle, and a few others at most."""
+    sent = sets.sparkSession.sparkContext.broadcast(bloom(wanted, "fp"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, sets in _texts(batches):
-            n = [len(s) for s in sets]
-            fp = [fingerprint(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64())], names=["doc_id", "n", "fp"])
+        for b in batches:
+            yield b.filter(pa.array(sent.value.holds(b.column(0).to_numpy().view(np.uint64))))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp long")
+    return sets.mapInArrow(run, sets.schema)
 
 
-def prefix_stars(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """(a, b) pairs of classes: each list of a prefix shingle as a star of its smallest class.
+def _name(h: np.ndarray, slices: int) -> np.ndarray:
+    """A hash as shared_prefixes tells it."""
+    return (((h >> U(32)) * U(slices) >> U(32)) << U(32) | h & U(0xFFFFFFFF)).astype(np.int64)
 
-    Postings go to slices of the space of hashes as packed arrays, so that a slice's lists are made in one sort.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+
+def prefix_stars(sets: DataFrame, frequent: np.ndarray, percent: int = PERCENT) -> DataFrame:
+    """(a, b) pairs of sets (fp, s): each list of a prefix shingle as a star of its smallest set."""
+    sent, slices = sets.sparkSession.sparkContext.broadcast(frequent), _slice_count(sets)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = sent.value
-
-        def packed(hs: list[np.ndarray], fps: list[np.ndarray]) -> pa.RecordBatch:
-            h, fp = np.concatenate(hs), np.concatenate(fps)
-            order = np.argsort(h, kind="stable")
-            h, fp = h[order], fp[order]
-            edge = np.searchsorted(h >> U(56), np.arange(SLICES + 1, dtype=np.uint64))
-            rows = [(k, h[i:j].tobytes(), fp[i:j].tobytes()) for k, (i, j) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if j > i]
-            cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["slice", "h", "fp"])
-
-        hs, fps, mass, seen = [], [], 0, set()
-        for _, sets in _texts(batches):
-            for s in sets:
-                if not len(s) or (f := fingerprint(s)) in seen:
-                    continue
-                seen.add(f)
+        out, often = _Postings(slices), sent.value
+        for b in batches:
+            for f, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = np.frombuffer(s, np.uint64)
                 p = prefix_size(len(s), percent)
                 if len(often):
-                    late = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
+                    name = _name(s, slices)
+                    late = often[np.minimum(np.searchsorted(often, name), len(often) - 1)] == name
                     s = np.concatenate([s[~late][:p], s[late][: max(0, p - int((~late).sum()))]])
-                else:
-                    s = s[:p]
-                hs.append(s)
-                fps.append(np.full(len(s), f, np.int64))
-                mass += len(s)
-            if mass > 2_000_000:
-                yield packed(hs, fps)
-                hs, fps, mass, seen = [], [], 0, set()
-        if mass:
-            yield packed(hs, fps)
+                out.add(f, s[:p])
+                if out.full():
+                    yield out.batch()
+        yield out.batch()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices: dict[int, tuple[list, list]] = {}
-        for b in batches:
-            for k, h, fp in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                slices.setdefault(k, ([], []))[0].append(np.frombuffer(h, np.uint64))
-                slices[k][1].append(np.frombuffer(fp, np.int64))
-        for k in list(slices):
-            hs, fps = slices.pop(k)
-            h, fp = np.concatenate(hs), np.concatenate(fps)
-            order = np.lexsort((fp, h))
-            h, fp = h[order], fp[order]
+        for _, h, fp in _slices(batches):
             head = np.concatenate([[True], h[1:] != h[:-1]])
             hub = fp[np.flatnonzero(head)][np.cumsum(head) - 1]
-            other = fp != hub
-            a, b = hub[other], fp[other]
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
-            yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
+            pairs = np.unique(np.stack([hub, fp], axis=1)[fp != hub], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    postings = docs.select("text").mapInArrow(emit, "slice int, h binary, fp binary")
-    return postings.repartition("slice").mapInArrow(meet, "a long, b long")
+    return sets.select("fp", "s").mapInArrow(emit, _PACKED).repartition("slice").mapInArrow(meet, "a long, b long")
 
 
 class Block:
     """The inverted index of some sets, and the search in it.
 
-    Shingles with the same list of sets are one list with a weight.
+    Shingles with the same list of sets are one list with a weight. label: the class of each set so far.
     """
 
     def __init__(self, sets: list[np.ndarray], percent: int):
-        self.percent, self.size = percent, [len(s) for s in sets]
-        self.parent = list(range(len(sets)))
+        self.percent = percent
+        self.size = np.array([len(s) for s in sets])
+        self.label = np.arange(len(sets))
+        self.members = {k: [k] for k in range(len(sets))}
         h = np.concatenate(sets)
         doc = np.repeat(np.arange(len(sets)), self.size)
         order = np.argsort(h, kind="stable")
         h, doc = h[order], doc[order]
         head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        code = np.random.default_rng(11).integers(1, 1 << 63, len(sets), dtype=np.uint64)
         count = np.diff(np.append(head, len(h)))
-        which = np.add.reduceat(code[doc], head)
+        code = np.random.default_rng(11).integers(1, 1 << 63, len(sets), dtype=np.uint64)
         shared = np.flatnonzero(count > 1)
-        _, one, weight = np.unique(which[shared], return_index=True, return_counts=True)
-        one = head[shared[one]] if len(shared) else np.zeros(0, np.int64)
-        length = np.diff(np.append(head, len(h)))[np.searchsorted(head, one)] if len(one) else np.zeros(0, np.int64)
-        self.lists = [doc[i : i + n] for i, n in zip(one.tolist(), length.tolist(), strict=True)]
-        self.weight = weight.tolist() if len(one) else []
-        self.of: list[list[int]] = [[] for _ in sets]
-        for j, docs in enumerate(self.lists):
-            for d in docs.tolist():
-                self.of[d].append(j)
-
-    def needed(self, n: int) -> int:
+        _, one, self.weight = np.unique(np.add.reduceat(code[doc], head)[shared], return_index=True, return_counts=True)
+        self.length = count[shared[one]]
+        # lists one after another, and for each set its lists, the shortest first
+        self.edge = np.concatenate([[0], np.cumsum(self.length)])
+        place = np.repeat(head[shared[one]] - self.edge[:-1], self.length) + np.arange(self.edge[-1])
+        self.docs = doc[place]
+        which = np.repeat(np.arange(len(self.length)), self.length)
+        order = np.lexsort((self.length[which], self.docs))
+        self.of = which[order]
+        self.of_edge = np.searchsorted(self.docs[order], np.arange(len(sets) + 1))
+        self.shared = np.bincount(self.docs, self.weight[which], len(sets)).astype(np.int64)
+        self.reach = np.bincount(self.docs, (self.weight * (self.length - 1))[which], len(sets))
+
+    def needed(self, n):
         """Shared shingles that any partner of a set of n must have: ceil(t n)."""
         return -(-self.percent * n // 100)
 
-    def hopeful(self, d: int) -> bool:
-        return sum(self.weight[j] for j in self.of[d]) >= self.needed(self.size[d])
-
-    def root(self, d: int) -> int:
-        while self.parent[d] != d:
-            self.parent[d] = self.parent[self.parent[d]]
-            d = self.parent[d]
-        return d
-
-    def search(self, d: int) -> list[int]:
-        """All sets that reach the threshold with set d."""
-        need = self.needed(self.size[d])
-        lists = sorted(self.of[d], key=lambda j: len(self.lists[j]))
+    def unite(self, a: int, b: int) -> bool:
+        a, b = int(self.label[a]), int(self.label[b])
+        if a == b:
+            return False
+        if len(self.members[a]) < len(self.members[b]):
+            a, b = b, a
+        moved = self.members.pop(b)
+        self.label[moved] = a
+        self.members[a] += moved
+        return True
+
+    def _merge(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sets, weights) of the union of short lists: by a heap, or where they are many by one sort of the same runs."""
+        runs = [self.docs[self.edge[j] : self.edge[j + 1]] for j in lists]
+        if sum(map(len, runs)) <= 64:
+            sets, sums = [], []
+            for c, w in heapq.merge(*[[(c, int(self.weight[j])) for c in r.tolist()] for j, r in zip(lists, runs, strict=True)]):
+                if sets and sets[-1] == c:
+                    sums[-1] += w
+                else:
+                    sets.append(c)
+                    sums.append(w)
+            return np.array(sets, np.int64), np.array(sums, np.int64)
+        sets, at = np.unique(np.concatenate(runs), return_inverse=True)
+        return sets, np.bincount(at, np.repeat(self.weight[lists], [len(r) for r in runs])).astype(np.int64)
+
+    def search(self, d: int) -> np.ndarray:
+        """The sets outside d's class that reach the threshold with set d."""
+        need = int(self.needed(self.size[d]))
+        lists = self.of[self.of_edge[d] : self.of_edge[d + 1]]
         # the longest lists, as long as a set found in none of the others can't reach the need
-        spare, cut = 0, len(lists)
-        while cut and spare + self.weight[lists[cut - 1]] < need:
-            cut -= 1
-            spare += self.weight[lists[cut]]
-        short, long = lists[:cut], lists[cut:]
-        counts: dict[int, int] = {}
-        if sum(len(self.lists[j]) for j in short) <= 2048:
-            for c, w in heapq.merge(*[[(c, self.weight[j]) for c in self.lists[j].tolist()] for j in short]):
-                counts[c] = counts.get(c, 0) + w
-        else:  # the same merge of sorted runs, by one sort
-            merged = np.concatenate([self.lists[j] for j in short])
-            total = np.bincount(merged, np.repeat([self.weight[j] for j in short], [len(self.lists[j]) for j in short]), len(self.size))
-            counts = {int(c): int(total[c]) for c in np.flatnonzero(total)}
-        out = []
-        for c, n in counts.items():
-            if c == d:
-                continue
-            rest = spare
-            for j in long:
-                if n + rest < need:
-                    break
-                rest -= self.weight[j]
-                own = self.lists[j]
-                at = np.searchsorted(own, c)
-                if at < len(own) and own[at] == c:
-                    n += self.weight[j]
-            if 100 * n >= self.percent * (self.size[d] + self.size[c] - n):
-                out.append(c)
-        return out
+        tail = np.cumsum(self.weight[lists][::-1])
+        k = int(np.searchsorted(tail, need))
+        spare, cut = (int(tail[k - 1]) if k else 0), len(lists) - k
+        if not cut:
+            return np.zeros(0, np.int64)
+        found, n = self._merge(lists[:cut])
+        for j in [-1, *lists[cut:].tolist()]:
+            if j >= 0:
+                own = self.docs[self.edge[j] : self.edge[j + 1]]
+                at = np.minimum(np.searchsorted(own, found), len(own) - 1)
+                n = n + self.weight[j] * (own[at] == found)
+                spare -= int(self.weight[j])
+                fine = n + spare >= need
+            else:
+                fine = (n + spare >= need) & (self.label[found] != self.label[d])
+            if not fine.all():
+                found, n = found[fine], n[fine]
+                if not len(found):
+                    return found
+        return found[100 * n >= self.percent * (self.size[d] + self.size[found] - n)]
 
     def link(self, members: list[int], queries: set[int] | None = None) -> None:
         """Unites all linked sets of a group; of pairs inside one class no link is looked for.
 
         A link has to be found from one of its ends: classes are done once all but one were searched whole.
+        Sets that share most come first, as they unite most. queries: search these only, and all of them.
         """
-        members = [d for d in members if self.hopeful(d)]
-        todo = [d for d in members if queries is None or d in queries]
-        while todo:
-            groups: dict[int, list[int]] = {}
+        at = np.array(members)
+        at = at[self.shared[at] >= self.needed(self.size[at])]
+        todo = at[np.argsort(-self.reach[at], kind="stable")].tolist()
+        if queries is not None:
+            todo = [d for d in todo if d in queries]
+        classes, largest = len(at), None
+        while todo and classes > 1:
+            put_off = []
             for d in todo:
-                groups.setdefault(self.root(d), []).append(d)
-            if queries is None:
-                if len({self.root(d) for d in members}) == 1:
-                    break
-                if len(groups) == 1:
-                    break
-                last = max(groups, key=lambda r: len(groups[r]))
-                now = [d for r, own in groups.items() if r != last for d in own] if len(groups) < len(todo) else todo[:1]
-            else:
-                now = todo
-            for d in now:
-                for c in self.search(d):
-                    a, b = self.root(d), self.root(c)
-                    if a != b:
-                        self.parent[max(a, b)] = min(a, b)
-            done = set(now)
-            todo = [d for d in todo if d not in done]
+                if classes == 1:
+                    return
+                if queries is None and largest is not None and self.label[d] == self.label[largest]:
+                    put_off.append(d)
+                    continue
+                for c in self.search(d).tolist():
+                    classes -= self.unite(c, d)
+                if largest is None or len(self.members[int(self.label[d])]) > len(self.members[int(self.label[largest])]):
+                    largest = d
+            todo = put_off if len({int(self.label[d]) for d in put_off}) > 1 else []
 
 
 def _link_groups(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -310,7 +399,7 @@ def _link_groups(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
             mixed = any(r[2] for r in rows[i:j])
             block.link(list(range(i, j)), {k for k in range(i, j) if not rows[k][2]} if mixed else None)
             i = j
-        pairs = [(rows[k][1], rows[block.root(k)][1]) for k in range(len(rows)) if block.root(k) != k]
+        pairs = [(rows[k][1], rows[r][1]) for k, r in enumerate(block.label.tolist()) if rows[r][1] != rows[k][1]]
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
     held: list[tuple] = []
@@ -327,22 +416,25 @@ def _link_groups(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
         yield solve(held)
 
 
-def _with_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """wanted (fp, rep, …) with its set, made anew from the representative document's text."""
-    names = [c for c in wanted.columns if c != "rep"]
-    d = docs.select(F.col("doc_id").alias("rep"), "text")
-    rows = wanted.join(d, wanted["rep"].eqNullSafe(d["rep"])).select(*[wanted[c] for c in names], "text")
-    schema = T.StructType([f for f in wanted.schema.fields if f.name != "rep"] + [T.StructField("s", T.BinaryType())])
-    fp_at = names.index("fp")
+def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(fp, s) of the wanted classes (fp), from a scan of the texts; other tasks may give a class once more.
+
+    The scan knows them by a bounded filter; a class that it lets through in error has no partner and links nothing.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(bloom(wanted, "fp"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, sets in _texts(batches):
-            # rows that share the representative's id but have another text drop out
-            fine = pa.array([len(s) > 0 and fingerprint(s) == f for s, f in zip(sets, b.column(fp_at).to_pylist(), strict=True)])
-            out = pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([s.tobytes() for s in sets], pa.binary())], names=[*names, "s"])
-            yield out.filter(fine)
+        seen: set[int] = set()
+        for _, sets in _texts(batches):
+            full = [s for s in sets if len(s)]
+            fp = np.array([fingerprint(s) for s in full], np.int64)
+            fine = np.flatnonzero(sent.value.holds(fp.view(np.uint64)))
+            new = [k for k in fine.tolist() if not (int(fp[k]) in seen or seen.add(int(fp[k])))]
+            yield pa.RecordBatch.from_arrays([pa.array(fp[new]), pa.array([full[k].tobytes() for k in new], pa.binary())], names=["fp", "s"])
+            if len(seen) > 500_000:
+                seen.clear()
 
-    return rows.mapInArrow(run, schema)
+    return docs.select("text").mapInArrow(run, "fp long, s binary")
 
 
 def _links(rows: DataFrame, percent: int) -> DataFrame:
@@ -368,17 +460,30 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = stage_table(classes(docs))
     own = stage_table(known.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
-    groups = stage_table(components(prefix_stars(docs, frequent_shingles(docs), percent)))
-    member = own.join(groups, own["fp"] == groups["node"]).select("fp", "rep", "n", F.col("root").alias("near"))
+    parts = stage_table(shared_prefixes(docs, percent))
+    often = parts.where("often").orderBy(F.col("n").desc(), "fp").limit(FREQUENT).select("fp").toArrow()
+    frequent = np.sort(often.column(0).to_numpy())
+    depth = parts.where("NOT often").groupBy("fp").agg(F.sum("n").alias("depth"))
+    partner = F.ceil(F.col("n") * percent / 100)
+    hopeful = own.join(depth, "fp").where(F.col("depth") >= F.greatest(F.lit(1), shared_depth(partner))).select("fp")
+    sets = stage_table(_sets_of(docs, stage_table(hopeful)))
+    # among those, a set has to have its share of whole sets, not only of prefixes
+    whole = shared_sizes(sets).groupBy("fp").agg(F.sum("n").alias("whole"))
+    sets = _only(sets, stage_table(own.join(whole, "fp").where(F.col("whole") >= partner).select("fp")))
+    groups = stage_table(components(prefix_stars(sets, frequent, percent)))
+    member = own.join(groups, own["fp"] == groups["node"]).select("fp", "n", F.col("root").alias("near"))
     mass = stage_table(member.groupBy("near").agg(F.sum("n").alias("mass"), F.min("fp").alias("hub")))
-    small = member.join(mass.where(F.col("mass") <= block), "near").select(F.col("near").alias("group"), "fp", "rep", F.lit(0).alias("role"))
-    links = stage_table(_links(_with_sets(small, docs), percent))
-    if not (large := mass.where(F.col("mass") > block)).isEmpty():
-        sets = stage_table(_with_sets(member.join(large, "near").select("near", "fp", "rep", "hub", F.ceil(F.col("mass") / (block // 2)).cast("int").alias("blocks")), docs).dropDuplicates(["fp"]))
-        links = _large_groups(sets, links, percent, block)
-        roots = components(links)
+    member = stage_table(member.join(mass, "near").drop("n"))
+    if member.count() <= BROADCAST:
+        member = F.broadcast(member)
+    small = sets.join(member.where(F.col("mass") <= block), "fp").select(F.col("near").alias("group"), "fp", F.lit(0).alias("role"), "s")
+    links = stage_table(_links(small, percent))
+    large = member.where(F.col("mass") > block)
+    if not large.isEmpty():
+        placed = sets.join(large, "fp").select("near", "fp", "hub", F.ceil(F.col("mass") / (block // 2)).alias("blocks"), "s")
+        roots = components(_large_groups(stage_table(placed), links, percent, block))
     else:
-        roots = links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        roots = links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
     roots = stage_table(roots)
     least = roots.join(own, roots["node"] == own["fp"]).groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = own.join(roots.join(least, "root"), own["fp"] == F.col("node"), "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
@@ -390,7 +495,7 @@ def _large_groups(sets: DataFrame, links: DataFrame, percent: int, block: int) -
     placed = sets.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
     group = lambda *c: F.xxhash64("near", *c).alias("group")
     hub = placed.where(F.col("fp") == F.col("hub")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
-    once = placed.unionByName(hub).select(group("block"), "fp", F.lit(0).alias("role"), "s").dropDuplicates(["group", "fp"])
+    once = placed.unionByName(hub).select(group("block"), "fp", F.lit(0).alias("role"), "s")
     links = stage_table(links.unionByName(_links(once, percent)))
     roots = stage_table(components(links))
     at = placed.join(roots, placed["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
@@ -403,5 +508,4 @@ def _large_groups(sets: DataFrame, links: DataFrame, percent: int, block: int) -
     asked = rest.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).select(group("block", "part"), "fp", F.lit(0).alias("role"), "s")
     found = placed.join(rest.groupBy("near").agg(F.max("parts").alias("parts")), "near").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     both = asked.unionByName(found.select(group("block", "part"), "fp", F.lit(1).alias("role"), "s"))
-    both = both.groupBy("group", "fp").agg(F.min("role").alias("role"), F.first("s").alias("s"))
     return stage_table(links.unionByName(_links(both, percent)))
