@@ -10,7 +10,7 @@ one whose positions meet in every round:
   350   pairs of 200-byte ranks at offset 150, for the four groups of windows of each position that is left
   400   pairs of 200-byte ranks at offset 200, for the windows of the groups that are left
 
-Groups whose whole surroundings are the same bytes need no last round. Between rounds only names that were
+Groups whose whole surroundings are the same bytes need no last round; one of them goes on for all. Between rounds only names that were
 seen twice go on, as a bounded Bloom filter to the next scan of the texts; what it lets through in error
 meets nobody. No text is shuffled before the spans are known.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from turnstone.llm.bloom import bloom
 from turnstone.llm.common import stage_table
-from turnstone.llm.words import U, Bytes, mix, pieces
+from turnstone.llm.words import PIECE, U, Bytes, mix, pieces
 
 LENGTH, GRAM = 400, 50
 SPREAD = LENGTH // 2 + 1
@@ -98,7 +98,7 @@ def _scan(docs: DataFrame, work: Callable[[np.ndarray, Suffixes], list[np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
-            for i, j in pieces(texts):
+            for i, j in pieces(texts, PIECE // 2):
                 s = Suffixes(texts[i:j])
                 if len(s.at):
                     cols = work(rows[i:j], s)
@@ -120,24 +120,26 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     def rows350(rows: np.ndarray, s: Suffixes) -> list[np.ndarray]:
         text, low, high, name, around = groups(s)
         start = s.b.start[text]
-        return [rows[text], low - start, high - start, name, around]
+        return [rows[text], (low - start).astype(np.int32), (high - start).astype(np.int32), name, around]
 
-    cut = stage_table(_scan(docs, rows350, "row long, low long, high long, name long, around long"))
-    kinds = stage_table(cut.groupBy("name", "around").agg(F.count(F.lit(1)).alias("n")))
+    cut = stage_table(_scan(docs, rows350, "row long, low int, high int, name long, around long"))
+    kinds = stage_table(cut.groupBy("name", "around").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first")))
     # the same surroundings twice: all of their windows are repeated
     sure = cut.join(kinds.where("n > 1").select("name", "around"), ["name", "around"]).select("row", "low", "high")
     mixed = kinds.groupBy("name").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    seen350 = sc.broadcast(bloom(stage_table(kinds.join(mixed, "name").select("around")), "around"))
+    # one text speaks for each of the surroundings of a name
+    speaker = kinds.join(mixed, "name").select(F.col("around").bitwiseXOR(F.col("first")).alias("key"))
+    seen350 = sc.broadcast(bloom(stage_table(speaker), "key"))
 
     def rows400(rows: np.ndarray, s: Suffixes) -> list[np.ndarray]:
         text, low, high, _, around = groups(s)
-        kept = np.flatnonzero(seen350.value.holds(around))
+        kept = np.flatnonzero(seen350.value.holds(around ^ rows[text].view(np.uint64)))
         count = high[kept] - low[kept] + 1
         at = np.repeat(low[kept] - (np.cumsum(count) - count), count) + np.arange(count.sum())
         text = np.repeat(text[kept], count)
-        return [rows[text], at - s.b.start[text], s.names400(at)]
+        return [rows[text], (at - s.b.start[text]).astype(np.int32), s.names400(at)]
 
-    windows = stage_table(_scan(docs, rows400, "row long, at long, name long"))
+    windows = stage_table(_scan(docs, rows400, "row long, at int, name long"))
     again = windows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
     return sure.unionByName(windows.join(again, "name").select("row", F.col("at").alias("low"), F.col("at").alias("high")))
 
@@ -151,8 +153,20 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     texts are documents of their own; an empty table gives an empty one. Other columns are left out.
     """
     numbered = docs.select(F.col(key), F.col(text).alias("text"), F.xxhash64(key, text).alias("row"))
-    spans = repeated_spans(numbered).groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("found"))
-    joined = numbered.join(spans.withColumnRenamed("row", "own"), F.col("row") == F.col("own"), "left").select(key, "text", F.transform("found", lambda s: s["low"]).alias("low"), F.transform("found", lambda s: s["high"]).alias("high"))
+    spans = stage_table(repeated_spans(numbered).groupBy("row").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high")))
+    sent = docs.sparkSession.sparkContext.broadcast(bloom(spans.select("row"), "row"))
+
+    def touched(yes: bool) -> DataFrame:
+        """Texts that may have spans, or that surely have none; only the former are shuffled."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(sent.value.holds(b.column(2).to_numpy().view(np.uint64)) == yes))
+
+        return numbered.mapInArrow(run, numbered.schema)
+
+    none = F.lit(None).cast("array<int>")
+    joined = touched(True).join(spans, "row", "left").select(key, "text", "low", "high").unionByName(touched(False).select(key, "text", none.alias("low"), none.alias("high")))
     span = pa.struct([pa.field("start", pa.int64()), pa.field("end", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +176,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 raw = (t.as_py() or "").encode()
                 runs: list[dict] = []
                 if low.is_valid:
-                    start, end = low.values.to_numpy(), high.values.to_numpy() + LENGTH
+                    start, end = low.values.to_numpy().astype(np.int64), high.values.to_numpy().astype(np.int64) + LENGTH
                     order = np.argsort(start, kind="stable")
                     start, end = start[order], np.maximum.accumulate(end[order])
                     head = np.concatenate([[True], start[1:] > end[:-1]])
