@@ -9,7 +9,7 @@ from array import array
 from tokenizers import Tokenizer
 
 #: Words in each of the two generations that a task remembers the ids of (speed only).
-REMEMBERED = 250_000
+REMEMBERED = 160_000
 #: White space that this module doesn't cut words at itself: such a text is encoded in one go.
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Bytes of text that are worked on at once inside a task; one longer text is a piece by itself.
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15 | 1)
