@@ -88,6 +88,15 @@ def test_jaccard_of_odd_rows(spark):
     assert jaccard.jaccard_groups(table(spark)).count() == 0
 
 
+def test_jaccard_of_more_short_texts_than_a_batch_numbers(spark):
+    pair = F.transform(F.sequence(F.lit(1), F.lit(24)), lambda j: F.concat_ws("x", F.lit("w"), F.floor(F.col("id") / 2), F.when((j == 24) & (F.col("id") % 2 == 1), 99).otherwise(j)))
+    paired = F.col("id").between(65_000, 71_999)
+    docs = spark.range(0, 80_000, 1, 1).select(F.col("id").alias("doc_id"), F.when(paired, F.array_join(pair, " ")).otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    got = jaccard.jaccard_groups(docs).toPandas().set_index("doc_id")["component_id"]
+    assert len(got) == 80_000
+    assert [i for i, c in got.items() if c != (i // 2 * 2 if 65_000 <= i < 72_000 else i)] == []
+
+
 def removed_by_force(bodies, size):
     seen = {}
     for i, b in enumerate(bodies):

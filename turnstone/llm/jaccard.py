@@ -123,10 +123,13 @@ class _Postings:
         self.mass += len(shingles)
 
     def full(self) -> bool:
+        """To be asked after every set: 16 bits number the sets of a batch."""
         return self.mass > 1_000_000 or len(self.fp) >= 1 << 16
 
     def batch(self) -> pa.RecordBatch:
         """(slice, h: 32 bits of each hash, of: 16 bits, which of the fps, fp) rows."""
+        if len(self.fp) > 1 << 16:
+            raise ValueError(f"{len(self.fp)} sets are more than 16 bits number")
         h = np.concatenate(self.h) if self.h else np.zeros(0, np.uint64)
         of = np.repeat(np.arange(len(self.h), dtype=np.uint16), [len(x) for x in self.h]) if self.h else np.zeros(0, np.uint16)
         at = ((h >> U(32)) * U(self.slices) >> U(32)).astype(np.int64)
@@ -184,9 +187,9 @@ def shared_prefixes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 if len(s) and (f := fingerprint(s)) not in seen:
                     seen.add(f)
                     out.add(f, s[: prefix_size(len(s), percent) - 1 + max(1, shared_depth(len(s)))])
-            if out.full():
-                yield out.batch()
-                seen.clear()
+                    if out.full():
+                        yield out.batch()
+                        seen.clear()
         yield out.batch()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +201,6 @@ def shared_prefixes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             key = (np.int64(k) << np.int64(32)) | h[head[many]].astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f, key])), pa.array(np.concatenate([n, count[many]]).astype(np.int64)), pa.array(np.arange(len(f) + len(many)) >= len(f))], names=["fp", "n", "often"])
 
-    # 16 bits number the sets of a row: one batch has fewer than 2 ** 16
     return docs.select("text").mapInArrow(emit, _PACKED).repartition("slice").mapInArrow(meet, "fp long, n long, often boolean")
 
 
