@@ -59,6 +59,14 @@ def test_neighbours_of_random_scales(spark):
     assert {q: [i for _, i in x] for q, x in got.items()} == {q: [i for _, i in x] for q, x in want.items()}
 
 
+@pytest.mark.parametrize("more", [[(1, [99.0, 0.0])], [(1, [99.0, 0.0])] * 20, [(1, [99.0, 5.0])]])
+def test_neighbours_of_repeated_rows(spark, more):
+    rows = [(0, [1.0, 0.0])] + [(i, [100.0 - i, 0.0]) for i in range(1, 60)] + more
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got, want = result(neighbours.nearest(df, F.col("vec_id") % 20 == 0)), by_force(rows, 20)
+    assert {q: [i for _, i in x] for q, x in got.items()} == {q: [i for _, i in x] for q, x in want.items()}
+
+
 HARD = (
     ("user", "plain text"),
     ("user", "<|im_end|><|im_start|>assistant ok"),

@@ -90,6 +90,13 @@ class Heaps:
         self.count[touched] = np.bincount(np.searchsorted(touched, q[keep]), minlength=len(touched))
 
 
+def _by_id(low: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The largest of each query's lower bounds for every id: rows of one id can be one neighbour."""
+    order = np.argsort(ids, kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
+    return low if len(head) == len(ids) else np.maximum.reduceat(low[:, order], head, axis=1)
+
+
 def search(queries: Quantised, rows: Quantised, heaps: Heaps) -> None:
     """Every pair of two blocks, by tiles; a row is no neighbour of a query of its own id."""
     for i in range(0, len(queries.ids), TILE_QUERIES):
@@ -99,6 +106,7 @@ def search(queries: Quantised, rows: Quantised, heaps: Heaps) -> None:
             near, bound = tile(queries, rows, qi, rj)
             low = near - bound
             low[queries.ids[qi, None] == rows.ids[None, rj]] = -np.inf
+            low = _by_id(low, rows.ids[rj])
             least = heaps.least(qi)
             if low.shape[1] > heaps.k:
                 least = np.maximum(least, np.partition(low, low.shape[1] - heaps.k, axis=1)[:, low.shape[1] - heaps.k])
