@@ -146,6 +146,15 @@ def test_line_dedup(spark):
     assert lines.remove_repeats(table(spark)).count() == 0
 
 
+def test_line_dedup_cuts_each_text_of_a_key_by_itself(spark):
+    shared = "shared line with six plain words"
+    clean = "other words that stand in no second text\nand one more line of this kind"
+    for key in (None, 7):
+        rows = [(1, shared), (key, f"first line of this text alone\n{shared}"), (key, clean)]
+        got = sorted((r["text"], [tuple(s) for s in r["removed"]]) for r in lines.remove_repeats(table(spark, *rows)).where("NOT doc_id <=> 1").collect())
+        assert got == [("first line of this text alone\n", [(30, 62)]), (clean, [])]
+
+
 def test_decontamination_equals_brute_force(spark, docs, texts):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     find = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low(t))

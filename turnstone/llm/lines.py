@@ -21,7 +21,7 @@ LEAST_WORDS = 5
 
 
 def units_of(docs: DataFrame, key: str, text: str, separator: str, least_words: int) -> DataFrame:
-    """key, unit (number in the text), start and end (code points, its separator included), hi, lo (128-bit digest).
+    """doc (key), row (hash of the text), unit (number in the text), start and end (code points, its separator included), hi, lo (128-bit digest).
 
     A unit is normalised by lower-casing A-Z and by single blanks for runs of ASCII white space. Units of
     fewer than least_words words are not returned.
@@ -30,10 +30,10 @@ def units_of(docs: DataFrame, key: str, text: str, separator: str, least_words:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            keys, row_of, texts = (b.column(k).to_pylist() for k in range(3))
             for i, j in pieces(texts):
                 rows = []
-                for key_, t in zip(keys[i:j], texts[i:j], strict=True):
+                for key_, row, t in zip(keys[i:j], row_of[i:j], texts[i:j], strict=True):
                     if not t:
                         continue
                     raw, at = t.encode(), 0
@@ -45,26 +45,26 @@ def units_of(docs: DataFrame, key: str, text: str, separator: str, least_words:
                         words = unit.lower().split()
                         if len(words) >= least_words:
                             d = xxhash.xxh3_128_intdigest(b" ".join(words))
-                            rows.append((key_, n, at, end, (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)))
+                            rows.append((key_, row, n, at, end, (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)))
                         at = end
-                cols = list(zip(*rows, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc", "unit", "start", "end", "hi", "lo"])
+                cols = list(zip(*rows, strict=True)) or [()] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc", "row", "unit", "start", "end", "hi", "lo"])
 
-    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t")).mapInArrow(run, "doc long, unit long, start long, end long, hi long, lo long")
+    return docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("row"), F.col(text).alias("t")).mapInArrow(run, "doc long, row long, unit long, start long, end long, hi long, lo long")
 
 
 def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text", separator: str = "\n", least_words: int = LEAST_WORDS) -> DataFrame:
-    """The units to remove: key, unit, start, end, and where each stays: first_doc, first_unit.
+    """The units to remove: key, row (hash of the text), unit, start, end, and where each stays: first_doc, first_unit.
 
     Rank: the smaller key, then the earlier unit; null keys last. Rows of one key count as one document: in
-    repeated rows the same units stay. A digest may belong to a third of all documents: occurrences are
+    repeated rows the same units stay, but different texts of one key have their own units. A digest may belong to a third of all documents: occurrences are
     pre-aggregated before they are shuffled, and the join back is one that Spark splits when it is skewed.
     """
     units = stage_table(units_of(docs, key, text, separator, least_words))
     rank = F.struct(F.col("doc").isNull().alias("none"), "doc", "unit")
     first = units.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hi", "lo", F.col("first.doc").alias("first_doc"), F.col("first.unit").alias("first_unit"))
     hit = units.join(first, ["hi", "lo"]).where(~(F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("unit") == F.col("first_unit"))))
-    return hit.select(F.col("doc").alias(key), "unit", "start", "end", "first_doc", "first_unit").dropDuplicates([key, "unit"])
+    return hit.select(F.col("doc").alias(key), "row", "unit", "start", "end", "first_doc", "first_unit").dropDuplicates([key, "row", "unit"])
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", separator: str = "\n", least_words: int = LEAST_WORDS) -> DataFrame:
@@ -74,10 +74,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", sep
     least_words words and an empty table stay as they are; a column named `removed` is replaced.
     """
     gone = repeated_units(docs, key, text, separator, least_words)
-    spans = gone.groupBy(F.col(key).alias("__key")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
+    spans = gone.groupBy(F.col(key).alias("__key"), F.col("row").alias("__row")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
     kept = docs.drop("removed")
     named = [f.name for f in kept.schema.fields]
-    found = kept.join(spans, kept[key].cast("long").eqNullSafe(spans["__key"]), "left").select(*[kept[f"`{c}`"] for c in named], F.coalesce("removed", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("removed"))
+    same = kept[key].cast("long").eqNullSafe(spans["__key"]) & (F.xxhash64(kept[text]) == spans["__row"])
+    found = kept.join(spans, same, "left").select(*[kept[f"`{c}`"] for c in named], F.coalesce("removed", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("removed"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
