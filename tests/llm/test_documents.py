@@ -315,3 +315,24 @@ def test_pii_validators_context_and_redaction(spark):
     assert got[1]["pii"] == [] and got[4]["pii"] == []
     assert pii.redact(pii.find_pii(rows)).where("doc_id = 10").first()["text"] == "call me: <phone>."
     assert pii.find_pii(table(spark)).count() == 0
+
+
+def test_pii_account_numbers_before_and_after_other_words(spark):
+    code, spaced, other = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    texts = [
+        f"IBAN {code} The account",
+        f"{spaced} Bitte",
+        f"é😀 {spaced} BITTE ZAHLEN SIE BIS MORGEN",
+        f"{code} 1234567",
+        f"{code} ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+        f"{code} {other}.",
+        f"AB12 {code}",
+        f"{spaced[:-1]}1 Bitte",
+        f"{code}x",
+    ]
+    want = [[code], [spaced], [spaced], [code], [code], [code, other], [code], [], [code]]
+    got = {r["doc_id"]: r for r in pii.find_pii(table(spark, *enumerate(texts))).collect()}
+    for i, t in enumerate(texts):
+        assert [t[s["start"] : s["end"]] for s in got[i]["pii"] if s["kind"] == "iban"] == want[i], t
+    near = [s["score"] for i in (0, 1) for s in got[i]["pii"] if s["kind"] == "iban"]
+    assert near == [pytest.approx(1.0), pytest.approx(0.9)]

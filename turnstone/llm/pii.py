@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Kind:
-    """pattern: as Java reads it; score: what a confirmed span is worth without context words; context: words nearby that raise it."""
+    """pattern: as Java reads it; score: what a confirmed span is worth without context words; context: words nearby that raise it; group: of the pattern, what is proposed."""
 
     name: str
     pattern: str
     score: float
     context: str
     base: bool = True
+    group: int = 0
 
 
 def _from(chars: str) -> str:
@@ -30,15 +31,17 @@ def _from(chars: str) -> str:
 
 
 LOCAL = "A-Za-z0-9._%+-"
+#: Code points on either side of a span that are searched for context words, and what one adds.
+NEARBY, RAISE = 40, 0.1
+#: The longest run that an account number can be the start of; the words after it look the same.
+ACCOUNT = "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+"
 KINDS = (
     Kind("email", rf"{_from(LOCAL)}[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, "mail|contact|write|reply"),
     Kind("ip", rf"{_from('0-9')}[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, "ip|host|server|addr|address|login"),
     Kind("card", r"(?:(?<![0-9])(?<![0-9][ -])|\G)[0-9](?:[ -]?[0-9])++", 0.8, "card|visa|mastercard|amex|credit|debit|payment"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", 0.5, "phone|tel|call|mobile|fax|whatsapp"),
-    Kind("iban", r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Z0-9])", 0.9, "iban|account|bank|transfer|konto|compte|cuenta", base=False),
+    Kind("iban", rf"(?<![A-Z0-9])(?=({ACCOUNT}[\s\S]{{0,{NEARBY}}}))", 0.9, "iban|account|bank|transfer|konto|compte|cuenta", base=False, group=1),
 )
-#: Code points on either side of a span that are searched for context words, and what one adds.
-NEARBY, RAISE = 40, 0.1
 
 
 def luhn(digits: Column) -> Column:
@@ -65,36 +68,86 @@ def confirmed(kind: str, m: Column) -> Column:
     if kind == "phone":
         return F.length(digits).between(9, 15)
     if kind == "iban":
-        return mod97(F.replace(m, F.lit(" "), F.lit("")))
+        code = F.replace(m, F.lit(" "), F.lit(""))
+        return F.when(F.length(code) >= 15, mod97(code)).otherwise(False)
     return F.lit(True)
 
 
+_NONE = "array<struct<start:bigint,rank:int,end:bigint,kind:string,score:double,base:boolean>>"
+
+
+def _near(kind: Kind, g: Column) -> Column:
+    return F.lower(g).rlike(rf"\b(?:{kind.context})\b")
+
+
+def _span(kind: Kind, start: Column, end: Column, near: Column) -> Column:
+    return F.struct(
+        start.alias("start"),
+        F.lit([k.name for k in KINDS].index(kind.name)).alias("rank"),
+        end.alias("end"),
+        F.lit(kind.name).alias("kind"),
+        F.least(F.lit(1.0), F.lit(kind.score) + F.when(near, RAISE).otherwise(0.0)).alias("score"),
+        F.lit(kind.base).alias("base"),
+    )
+
+
+def _cuts(run: Column, after: Column) -> Column:
+    """What of a run of groups can be the account number: its first groups, more of them first; the whole of a run that ends inside a word comes last, or not at all."""
+    groups = F.split(run, " ")
+    n = F.size(groups)
+    whole = F.array(run)
+    fewer = F.when(n > 1, F.transform(F.sequence(n - 1, F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(groups, 1, k), " "))).otherwise(F.array().cast("array<string>"))
+    return F.when(after.rlike("^[A-Z0-9]"), fewer).when(after.rlike("^[a-z_]"), F.concat(fewer, whole)).otherwise(F.concat(whole, fewer))
+
+
+def _account_spans(kind: Kind) -> Column:
+    """Confirmed spans from <kind>_m (runs from every possible start, with what follows them) and <kind>_g (one blank
+    and the text, cut at those starts): at each start the longest cut that is confirmed, if no span before reaches it.
+    """
+    m, gaps = F.col(f"{kind.name}_m"), F.col(f"{kind.name}_g")
+    split = F.transform(m, lambda x: F.struct(x.alias("x"), F.regexp_extract(x, f"^{ACCOUNT}", 0).alias("run")))
+    cuts = F.transform(split, lambda s: F.struct(s["x"].alias("x"), _cuts(s["run"], s["x"].substr(F.length(s["run"]) + 1, F.lit(1))).alias("cuts")))
+    best = F.transform(cuts, lambda s: F.struct(s["x"].alias("x"), F.length(F.get(F.filter(s["cuts"], lambda c: confirmed(kind.name, c)), 0)).alias("len")))
+    item = F.transform(
+        best,
+        lambda s, i: F.struct(
+            F.length(F.get(gaps, i)).alias("gap"),
+            s["len"].alias("len"),
+            (_near(kind, F.right(F.get(gaps, i), F.lit(NEARBY))) | _near(kind, s["x"].substr(s["len"] + 1, F.lit(NEARBY)))).alias("near"),
+        ),
+    )
+    none = F.array().cast(_NONE)
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        fine = x["len"].isNotNull() & (start >= acc["end"])
+        end = start + x["len"]
+        return F.struct(start.alias("at"), F.when(fine, end).otherwise(acc["end"]).alias("end"), F.when(fine, F.concat(acc["found"], F.array(_span(kind, start, end, x["near"])))).otherwise(acc["found"]).alias("found"))
+
+    # the blank before the text isn't counted
+    begin = F.struct(F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("end"), none.alias("found"))
+    return F.when(F.size(m) > 0, F.aggregate(item, begin, step, lambda acc: acc["found"])).otherwise(none)
+
+
 def _spans(kind: Kind) -> Column:
     """Confirmed spans from the columns <kind>_m (matches) and <kind>_g (gaps around them)."""
+    if kind.group:
+        return _account_spans(kind)
     m, gaps = F.col(f"{kind.name}_m"), F.col(f"{kind.name}_g")
-    near = lambda g: F.lower(g).rlike(rf"\b(?:{kind.context})\b")
     item = F.transform(
         m,
         lambda x, i: F.struct(
             F.length(F.get(gaps, i)).alias("gap"),
             F.length(x).alias("len"),
             confirmed(kind.name, x).alias("ok"),
-            (near(F.right(F.get(gaps, i), F.lit(NEARBY))) | near(F.left(F.get(gaps, i + 1), F.lit(NEARBY)))).alias("near"),
+            (_near(kind, F.right(F.get(gaps, i), F.lit(NEARBY))) | _near(kind, F.left(F.get(gaps, i + 1), F.lit(NEARBY)))).alias("near"),
         ),
     )
-    none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string,score:double,base:boolean>>")
-    order = [k.name for k in KINDS].index(kind.name)
+    none = F.array().cast(_NONE)
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
-        span = F.struct(
-            start.alias("start"),
-            F.lit(order).alias("rank"),
-            (start + x["len"]).alias("end"),
-            F.lit(kind.name).alias("kind"),
-            F.least(F.lit(1.0), F.lit(kind.score) + F.when(x["near"], RAISE).otherwise(0.0)).alias("score"),
-            F.lit(kind.base).alias("base"),
-        )
+        span = _span(kind, start, start + x["len"], x["near"])
         return F.struct((start + x["len"]).alias("at"), F.when(x["ok"], F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
 
     return F.when(F.size(m) > 0, F.aggregate(item, F.struct(F.lit(0).cast("long").alias("at"), none.alias("found")), step, lambda acc: acc["found"])).otherwise(none)
@@ -110,9 +163,9 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     body = F.coalesce(F.col(text), F.lit(""))
     kept = [c for c in docs.columns if c != "pii"]
-    found = docs.select(*[F.col(f"`{c}`") for c in kept], *[F.regexp_extract_all(body, F.lit(k.pattern), F.lit(0)).alias(f"{k.name}_m") for k in KINDS])
+    found = docs.select(*[F.col(f"`{c}`") for c in kept], *[F.regexp_extract_all(body, F.lit(k.pattern), F.lit(k.group)).alias(f"{k.name}_m") for k in KINDS])
     # a text without a match is not split
-    found = found.withColumns({f"{k.name}_g": F.when(F.size(f"{k.name}_m") > 0, F.split(body, k.pattern, -1)) for k in KINDS})
+    found = found.withColumns({f"{k.name}_g": F.when(F.size(f"{k.name}_m") > 0, F.split(F.concat(F.lit(" "), body) if k.group else body, k.pattern, -1)) for k in KINDS})
     spans = F.array_sort(F.concat(*[_spans(k) for k in KINDS]))
     return found.select(*[F.col(f"`{c}`") for c in kept], F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["score"].alias("score"), s["base"].alias("base"))).alias("pii"))
 
