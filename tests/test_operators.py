@@ -22,20 +22,33 @@ def total(spark, *samples):
     return usage.usage_total(spark.createDataFrame(rows, SAMPLE), ["session"]).first()["total"]
 
 
-@pytest.mark.parametrize(
-    ("samples", "want"),
-    [
-        ([("t", "1", "outputTokens", 20, "Request", "Delta", False), ("t", "2", "outputTokens", 30, "Request", "Delta", False), ("s", "3", "outputTokens", 90, "Session", "Final", False)], 90),
-        ([("t1", "1", "x", 100, "Turn", "Cumulative", False), ("t1", "2", "x", 140, "Turn", "Cumulative", False), ("t2", "3", "x", 80, "Turn", "Cumulative", False)], 220),
-        ([("t1", "1", "x", 25, "Turn", "Delta", False), ("t1", "2", "x", 20, "Turn", "Delta", True)], 20),
-        ([("s", "1", "model-a.inputTokens", 40, "Session", "Final", False), ("s", "2", "model-b.inputTokens", 60, "Session", "Final", False)], 100),
-        ([("s", "0", "tokenDetails.input", 100, "Session", "Final", False), ("s", "1", "modelMetrics.a.inputTokens", 40, "Session", "Final", False), ("s", "2", "modelMetrics.b.inputTokens", 60, "Session", "Final", False)], 100),
-        ([("s", "1", "agentMetrics.x.modelMetrics.m.inputTokens", 10, "Session", "Final", False), ("s", "2", "agentMetrics.y.modelMetrics.m.inputTokens", 20, "Session", "Final", False)], 30),
-        ([("s", "1", "modelMetrics.m.inputTokens", 1028, "Session", "Final", False), ("s", "2", "modelMetrics.n.inputTokens", 320, "Session", "Final", False), ("s", "3", "agentMetrics.x.modelMetrics.m.inputTokens", 1028, "Session", "Final", False)], 1348),
-    ],
-)
-def test_usage_precedence(spark, samples, want):
-    assert total(spark, *samples) == want
+def test_usage_counts_what_a_record_tells_by_several_names_once(spark):
+    alias = [("t", "r1", n, 50, "Turn", "Delta", False) for n in ("usage.input_tokens", "inputTokens", "input")]
+    assert total(spark, *alias) == 50
+    assert total(spark, *alias, ("t", "r2", "input-token", 7, "Turn", "Delta", False)) == 57
+    assert total(spark, *alias, ("t", "r1", "inputTokens", 50, "Turn", "Delta", True)) == 50  # told with authority, too: only that counts
+
+
+def test_usage_families_are_whole_last_parts(spark):
+    rows = [("t", "r", n, v, "Turn", "Cumulative", False) for n, v in (("input", 5), ("maxInputTokens", 900), ("inputAudioTokens", 30), ("cacheReadInputTokens", 11), ("cache_read", 10))]
+    assert total(spark, *rows) == 5 + 900 + 30 + 11
+
+
+def test_usage_scopes_and_behaviors(spark):
+    turn = lambda n, v, b, auth=False, t="t1", name="output": (t, n, name, v, "Turn", b, auth)
+    assert total(spark, turn("a", 4, "Cumulative"), turn("b", 9, "Cumulative"), turn("c", 6, "Cumulative", t="t2")) == 15
+    assert total(spark, turn("a", 4, "Delta"), turn("b", 9, "Unknown"), ("q", "z", "output", 1000, "Request", "Delta", False)) == 13
+    assert total(spark, turn("a", 4, "Delta"), turn("b", 9, "Cumulative"), turn("c", 2, "Final")) == 2
+    assert total(spark, turn("a", 80, "Final"), turn("b", 3, "Delta", True), turn("c", 5, "Delta", True)) == 8
+    assert total(spark, turn("a", 70, "Delta"), ("s", "b", "usage.output", 12, "Session", "Final", False), ("s", "c", "gpt.output", 500, "Session", "Final", False)) == 12
+
+
+def test_usage_of_models_and_agents(spark):
+    final = lambda n, v, name: ("s", n, name, v, "Session", "Final", False)
+    assert total(spark, final("a", 3, "modelMetrics.big.input"), final("b", 4, "small.inputTokens")) == 7
+    # an agent's copy of a listed model's figure goes; what is only the agent's stays
+    assert total(spark, final("a", 3, "modelMetrics.big.input"), final("b", 2, "agentMetrics.x.modelMetrics.big.inputTokens"), final("c", 9, "agentMetrics.x.modelMetrics.tiny.input")) == 12
+    assert total(spark, final("a", 3, "big.input"), final("b", 2, "agentMetrics.x.modelMetrics.big.input")) == 5
 
 
 def test_waves(spark):
@@ -167,17 +180,77 @@ def test_captures_are_idempotent(spark, tmp_path):
     assert captures.delete_sessions(spark, store, rows.where("session_id = 's2'"), str(tmp_path / "left")) == 1
 
 
+def run_stream(df, out, cp, mode="append"):
+    """Runs a stream over all of its input and gives what it wrote."""
+    q = df.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(cp)).outputMode(mode).trigger(availableNow=True).start()
+    assert q.awaitTermination(240), "the stream doesn't end"
+    return df.sparkSession.read.schema(df.schema).parquet(str(out))
+
+
+def landed(spark, df, at, parts, by):
+    for k in range(parts):
+        df.where(f"{by} = {k}").coalesce(1).write.parquet(str(at / f"{k}"))
+    return spark.readStream.schema(df.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(at))
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [("s", i, r, t) for i, (r, t) in enumerate([("ToolRequest", "a"), ("ToolRequest", "b"), ("ToolSuccess", "b"), ("ToolRequest", "a"), ("ToolFailure", "a"), ("ToolSuccess", "a")])]
-    df = spark.createDataFrame(rows, "session string, event_id long, role string, tool string").withColumn("ts", F.timestamp_seconds("event_id"))
-    for k in range(3):
-        df.where(f"floor(event_id / 2) = {k}").coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
-    stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = observe.pair_requests(stream).writeStream.format("memory").queryName("pairs").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {(r["request_id"], r["result_id"]) for r in spark.table("pairs").collect()}
+    df = spark.createDataFrame(rows, "session string, event_id long, role string, tool string").withColumn("ts", F.timestamp_seconds(F.col("event_id") + 10**6))
+    stream = landed(spark, df, tmp_path / "in", 3, "floor(event_id / 2)")
+    got = {(r["request_id"], r["result_id"]) for r in run_stream(observe.pair_requests(stream), tmp_path / "out", tmp_path / "cp").collect()}
     assert got == {("1", "2"), ("0", "4"), ("3", "5")}
     seen = spark.readStream.schema(df.schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    q = observe.idempotent(seen.withColumn("dedupe_key", F.col("tool"))).writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "cp2")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert spark.table("once").count() == 2
+    assert run_stream(observe.idempotent(seen.withColumn("dedupe_key", F.col("tool"))), tmp_path / "out2", tmp_path / "cp2").count() == 2
+
+
+def test_stream_state_of_a_session(spark, tmp_path):
+    told = [
+        ("PromptSubmitted", None, None, 0), ("ToolRequest", "a", "srv", 1), ("TurnStop", None, None, 2), ("ToolSuccess", "a", None, 3),
+        ("PromptSubmitted", None, None, 4), ("ToolRequest", "a", None, 5), ("SessionEnd", None, None, 6), ("ToolSuccess", "a", None, 6),
+        ("PromptSubmitted", None, None, 8), ("ToolRequest", "a", None, 9),
+    ]
+    df = spark.createDataFrame([("s", i, r, t, v, at) for i, (r, t, v, at) in enumerate(told)], "session string, event_id long, role string, tool string, server string, at long").withColumn("ts", F.timestamp_seconds(F.col("at") + 10**6)).drop("at")
+    for parts in (1, 5):
+        at = tmp_path / f"p{parts}"
+        stream = landed(spark, df, at / "in", parts, f"floor(event_id * {parts} / 10)")
+        got = {int(r["event_id"]): (r["turn_id"], r["request_id"], r["server"]) for r in run_stream(observe.session_steps(stream), at / "out", at / "cp").collect()}
+        assert got == {
+            0: ("derived-1", None, None), 1: ("derived-1", None, "srv"), 2: ("derived-1", None, None), 3: (None, None, "srv"),
+            4: ("derived-2", None, None), 5: ("derived-2", None, "srv"), 6: ("derived-2", None, None) if parts == 5 else got[6], 7: got[7],
+            8: ("derived-1", None, None), 9: ("derived-1", None, None),
+        }
+        assert got[7][1] == "5"  # in one batch before the end, in several drained behind it
+
+
+def test_stream_of_segments(spark, tmp_path):
+    whole = "\ufefffirst\r\n\nzweite Zeile é\nthird"
+    raw = whole.encode()
+    cuts = [0, 4, 15, 26, len(raw)]
+    parts = [(0, "f", 0, cuts[i], raw[cuts[i] : cuts[i + 1]].decode()) for i in range(4)] + [(4, "f", 0, 15, raw[15:26].decode()), (5, "f", 0, len(raw), " line\nfourth\n"), (6, "f", 1, 0, "anew\nrest")]
+    df = spark.createDataFrame(parts, "n long, path string, generation long, offset long, chunk string")
+    stream = landed(spark, df, tmp_path / "in", 7, "n")
+    got = sorted((r["generation"], r["byte_offset"], r["raw"]) for r in run_stream(observe.tail_lines(stream), tmp_path / "out", tmp_path / "cp").collect())
+    files = spark.createDataFrame([("f", whole + " line\nfourth\n")], "path string, value string")
+    want = sorted((0, r["byte_offset"], r["raw"]) for r in transcripts.split_lines(files).collect())
+    assert [x[2] for x in got] == [x[2] for x in want] + ["anew"] and [x[1] for x in got][1:] == [x[1] for x in want][1:] + [0]
+
+
+def test_stream_of_late_rows(spark, tmp_path):
+    rows = [(0, "c1", 5, "t1", "transcript"), (1, "c1", 3, "h1", "hook"), (1, "c1", 6, "h2", "hook"), (0, "c2", 1, "h3", "hook"), (2, "c2", 9, "t2", "transcript")]
+    df = spark.createDataFrame(rows, "n long, call_id string, at long, event_id string, origin string").withColumns({"ts": F.timestamp_seconds(F.col("at") + 10**6), "session": F.lit("s")})
+    got = {r["event_id"]: r["change_kind"] for r in run_stream(observe.change_kinds(landed(spark, df, tmp_path / "in", 3, "n")), tmp_path / "out", tmp_path / "cp").collect()}
+    assert got == {"t1": "Added", "h1": "PromotePrimary", "h2": "Merged", "h3": "Added", "t2": "Merged"}
+    seen = spark.createDataFrame([("s", 10_000)], "session string, at long").select("session", F.timestamp_seconds(F.col("at") + 10**6).alias("last_ts"))
+    late = spark.createDataFrame([("s", 1), ("s", 9_000), ("new", 1)], "session string, at long").withColumn("ts", F.timestamp_seconds(F.col("at") + 10**6))
+    assert sorted((r["session"], r["at"], r["late"]) for r in observe.with_late_marked(late, "ts", seen).collect()) == [("new", 1, False), ("s", 1, True), ("s", 9000, False)]
+
+
+def test_activity_windows_and_refresh(spark, tmp_path):
+    df = spark.createDataFrame([(0, "s", 0), (0, "s", 60), (0, "s", 7200), (1, "s", 90_000)], "n long, session string, at long").withColumn("ts", F.timestamp_seconds(F.col("at") + 10**6))
+    stream = landed(spark, df, tmp_path / "in", 2, "n")
+    got = run_stream(observe.activity_windows(stream), tmp_path / "out", tmp_path / "cp").collect()
+    assert sorted(r["events"] for r in got) == [1, 2]
+    written = []
+    each = observe.refresh_touched(lambda: df, lambda d: d.groupBy("session").count(), lambda d, epoch: written.append((epoch, [tuple(r) for r in d.collect()])))
+    each(df.limit(1), 3)
+    assert written == [(3, [("s", 4)])]

@@ -1,7 +1,12 @@
-"""The same rules over streams: idempotent rows, keyed session state, refresh of touched sessions."""
+"""The same rules over streams: idempotent rows, tailed files, keyed session state, late rows, refresh of touched sessions.
+
+Stateful parts take event time with a watermark. Their timers are event-time timers: they fire when the watermark passes,
+and ask for no batches without data, so a run with trigger(availableNow=True) ends.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,42 +22,129 @@ def idempotent(rows: DataFrame, ts: str = "ts", key: str = "dedupe_key", delay:
     return rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-PAIRS = "session string, request_id string, result_id string, tool string, outcome string"
-STATE = "open_ids string, open_tools string"
+LINES = "path string, generation long, byte_offset long, raw string"
+
 
+def tail_lines(segments: DataFrame) -> DataFrame:
+    """Whole lines (path, generation, byte_offset, raw) of a stream of landed segments (path, generation, offset, chunk).
 
-def pair_requests(rows: DataFrame, timeout: str = "2 hours") -> DataFrame:
-    """(session, request_id, result_id, tool, outcome) of a stream of (session, ts, event_id, role, tool).
+    A segment is what was appended to a file since the last one, `offset` bytes into it. The part behind the last line feed is
+    held back until a later segment ends it; a segment told again gives nothing new; a file that was truncated comes as a
+    new generation and starts anew. Blank lines are left out, a byte-order mark and CR are dropped. State is a line's beginning per file.
+    """
 
-    A result closes the earliest open request of its tool; a session's end, or two hours without rows, forgets
-    its open requests. State is one row of open calls per session.
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        generation, at, rest = state.get if state.exists else (-1, 0, b"")
+        rows = pd.concat(list(batches)).sort_values(["generation", "offset"])
+        out = []
+        for g, offset, chunk in zip(rows["generation"], rows["offset"], rows["chunk"], strict=True):
+            if g > generation:
+                generation, at, rest = int(g), int(offset), b""
+            raw = chunk.encode()
+            known = at + len(rest) - int(offset)
+            if g < generation or known < 0 or known >= len(raw):
+                continue  # an old generation, a gap, or nothing new
+            *whole, last = (rest + raw[known:]).split(b"\n")
+            for line in whole:
+                text = line.decode().removeprefix("﻿" if at == 0 else "").removesuffix("\r")
+                if text.strip():
+                    out.append((key[0], generation, at, text))
+                at += len(line) + 1
+            rest = last
+        state.update((generation, at, rest))
+        yield pd.DataFrame(out, columns=["path", "generation", "byte_offset", "raw"])
+
+    return segments.groupBy("path").applyInPandasWithState(step, LINES, "generation long, at long, rest binary", "append", GroupStateTimeout.NoTimeout)
+
+
+STEPS = "session string, event_id string, role string, tool string, turn_id string, request_id string, server string"
+_CLOSING = ("TurnStop", "SessionEnd")
+
+
+def session_steps(rows: DataFrame, ts: str = "ts", delay: str = WATERMARK, drain: str = "5 seconds", timeout: str = "2 hours") -> DataFrame:
+    """What a session's state tells about each event of a stream of (session, ts, event_id, role, tool, server).
+
+    turn_id: derived-n after the n-th prompt; request_id: for a result, the earliest open request of its tool; server: the one last
+    told for the tool. A turn's stop forgets the open requests; a session's end forgets all, and numbers turns from one again.
+
+    Rows of a micro-batch go by time, those that close something behind others of the same time. The end of a session is
+    drained: rows of its time that come later still find its state, until the watermark is `drain` past it. Rows older than the
+    watermark are dropped, as everywhere. A session without rows for `timeout` is forgotten.
     """
+    wait, idle = (int(pd.Timedelta(t).total_seconds() * 1000) for t in (drain, timeout))
+    fresh = {"turn": 0, "in_turn": False, "open": [], "servers": {}, "end": None, "last": 0}
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        ids, tools = ([x.split("\x1f") if x else [] for x in state.get] if state.exists else ([], []))
+        s = json.loads(state.get[0]) if state.exists else json.loads(json.dumps(fresh))
+        new = pd.concat(list(batches))
+        new = new.assign(closing=new["role"].isin(_CLOSING), ms=new["ts"].astype("datetime64[ms]").astype("int64"))
         out = []
-        for pdf in batches:
-            for r in pdf.sort_values(["ts", "event_id"]).itertuples():
-                if r.role == "ToolRequest":
-                    ids.append(str(r.event_id))
-                    tools.append(r.tool)
-                elif r.role in ("ToolSuccess", "ToolFailure") and r.tool in tools:
-                    at = tools.index(r.tool)
-                    out.append((key[0], ids.pop(at), str(r.event_id), tools.pop(at), r.role))
-                elif r.role == "SessionEnd":
-                    ids, tools = [], []
-        if ids:
-            state.update(("\x1f".join(ids), "\x1f".join(tools)))
-            state.setTimeoutDuration(timeout_ms)
-        elif state.exists:
+        for r in new.sort_values(["ms", "closing", "event_id"]).itertuples():
+            if s["end"] is not None and r.ms > s["end"]:
+                s = json.loads(json.dumps(fresh))
+            s["last"] = max(s["last"], r.ms)
+            request = None
+            if r.role == "PromptSubmitted":
+                s["turn"], s["in_turn"] = s["turn"] + 1, True
+            if r.server is not None and r.tool is not None:
+                s["servers"][r.tool] = r.server
+            if r.role == "ToolRequest":
+                s["open"].append([str(r.event_id), r.tool])
+            elif r.role in ("ToolSuccess", "ToolFailure"):
+                at = next((i for i, (_, t) in enumerate(s["open"]) if t == r.tool), None)
+                request = s["open"].pop(at)[0] if at is not None else None
+            turn = f"derived-{s['turn']}" if s["in_turn"] else None
+            out.append((key[0], str(r.event_id), r.role, r.tool, turn, request, s["servers"].get(r.tool)))
+            if r.role in _CLOSING:
+                s["in_turn"] = False
+                if r.role == "TurnStop":
+                    s["open"] = []
+                else:
+                    s["end"] = r.ms
+        state.update((json.dumps(s),))
+        due = s["end"] + wait if s["end"] is not None else s["last"] + idle
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in STEPS.split(", ")])
+
+    timed = rows.withWatermark(ts, delay).select("session", F.col(ts).alias("ts"), F.col("event_id").cast("string").alias("event_id"), "role", "tool", "server")
+    return timed.groupBy("session").applyInPandasWithState(step, STEPS, "state string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def pair_requests(rows: DataFrame, ts: str = "ts", delay: str = WATERMARK, timeout: str = "2 hours") -> DataFrame:
+    """(session, request_id, result_id, tool, outcome) of a stream of (session, ts, event_id, role, tool): session_steps' pairs."""
+    steps = session_steps(rows.withColumn("server", F.lit(None).cast("string")), ts, delay, timeout=timeout)
+    return steps.where("request_id IS NOT NULL").select("session", "request_id", F.col("event_id").alias("result_id"), "tool", F.col("role").alias("outcome"))
+
+
+def change_kinds(rows: DataFrame, ts: str = "ts", delay: str = WATERMARK, timeout: str = "2 hours") -> DataFrame:
+    """(session, call_id, event_id, change_kind) of a stream of (session, call_id, ts, event_id, origin: hook or transcript).
+
+    The first row of a call is Added. A hook that comes behind its transcript row takes the primary place, which a
+    PromotePrimary row tells whoever keeps the earlier one; any other later row is Merged. A call is forgotten when the watermark
+    is `timeout` past its last row.
+    """
+    idle = int(pd.Timedelta(timeout).total_seconds() * 1000)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
             state.remove()
-        yield pd.DataFrame(out, columns=["session", "request_id", "result_id", "tool", "outcome"])
+            return
+        primary, last = state.get if state.exists else (None, 0)
+        out = []
+        for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
+            kind = "Added" if primary is None else "PromotePrimary" if (primary, r.origin) == ("transcript", "hook") else "Merged"
+            primary = r.origin if kind != "Merged" else primary
+            last = max(last, int(r.ts.timestamp() * 1000))
+            out.append((*key, str(r.event_id), kind))
+        state.update((primary, last))
+        state.setTimeoutTimestamp(max(last + idle, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["session", "call_id", "event_id", "change_kind"])
 
-    timeout_ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
-    return rows.groupBy("session").applyInPandasWithState(step, PAIRS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = rows.withWatermark(ts, delay).select("session", "call_id", F.col(ts).alias("ts"), F.col("event_id").cast("string").alias("event_id"), "origin")
+    return timed.groupBy("session", "call_id").applyInPandasWithState(step, "session string, call_id string, event_id string, change_kind string", "origin string, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def activity_windows(rows: DataFrame, ts: str = "ts", gap: str = "30 minutes", delay: str = WATERMARK) -> DataFrame:
@@ -69,3 +161,11 @@ def refresh_touched(read: Callable[[], DataFrame], summarise: Callable[[DataFram
         write(summarise(read().join(touched, key, "left_semi")), epoch)
 
     return each
+
+
+def with_late_marked(rows: DataFrame, ts: str, seen: DataFrame, key: str = "session", delay: str = WATERMARK) -> DataFrame:
+    """For foreachBatch: rows with `late`, whether they are older than their session's last seen time (key, last_ts) less `delay`.
+
+    A stream's stateful parts drop such rows; a batch that stores them first finds here which sessions to compute anew.
+    """
+    return rows.join(seen.select(key, "last_ts"), key, "left").withColumn("late", F.coalesce(F.col(ts) < F.col("last_ts") - F.expr(f"INTERVAL {delay}"), F.lit(False))).drop("last_ts")
