@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: Names and order of the enumerations.
 PROVIDERS = ("Unknown", "Cursor", "ClaudeCode", "GitHubCopilot")
@@ -59,6 +60,12 @@ EVENTS = {
         ("Stop", "TurnStop", "", "Output", "Stop", "None", ""),
         ("StopFailure", "RuntimeError", "", "Output", "Failure", "None", ""),
         ("TeammateIdle", "Generic", "", "None", "Normal", "None", ""),
+        ("ConfigChange", "ConfigChange", "", "None", "Normal", "None", ""),
+        ("CwdChanged", "WorkingDirectoryChange", "", "None", "Normal", "None", ""),
+        ("DirectoryAdded", "DirectoryChange", "", "None", "Normal", "None", ""),
+        ("FileChanged", "Generic", "", "None", "Normal", "None", ""),
+        ("WorktreeCreate", "Generic", "", "None", "Normal", "None", ""),
+        ("WorktreeRemove", "Generic", "", "None", "Normal", "None", ""),
         ("PreCompact", "CompactionStart", "", "Input", "Compaction", "None", ""),
         ("PostCompact", "CompactionEnd", "", "Output", "Compaction", "None", ""),
         ("Elicitation", "Generic", "", "Input", "Normal", "None", ""),
@@ -93,9 +100,11 @@ EVENTS = {
         ("Stop", "TurnStop", "", "Output", "Stop", "None", ""),
     ),
 }
-EVENT_COLUMNS = "surface string, native_event string, role string, scope_override string, direction string, tone string, match_strategy string, opens string"
+#: The traits of an event, in the order that they have above.
+TRAITS = ("role", "scope_override", "direction", "tone", "match_strategy", "opens")
 
 
-def event_traits(spark: SparkSession) -> DataFrame:
-    """(surface, native_event) to traits: a few dozen rows, a literal table."""
-    return spark.createDataFrame([(surface, *row) for surface, rows in EVENTS.items() for row in rows], EVENT_COLUMNS)
+def event_traits(surface: Column, native_event: Column) -> Column:
+    """The traits (struct of TRAITS) of a surface's event, null for an unknown one: looked up in a literal map, without a join."""
+    entries = [x for of, rows in EVENTS.items() for event, *traits in rows for x in (F.lit(f"{of}\x1f{event}"), F.struct(*[F.lit(t).alias(n) for n, t in zip(TRAITS, traits, strict=True)]))]
+    return F.try_element_at(F.create_map(*entries), F.concat(surface, F.lit("\x1f"), native_event))

@@ -127,17 +127,32 @@ def command_text(args: Column, most: int = 120) -> Column:
     return F.nullif(preview(F.coalesce(get("command"), get("cmd"), get("script")), most), F.lit(""))
 
 
+#: Units by what a figure's name holds (anywhere, or at its end), or is; the first that fits.
+UNITS = (
+    ("nano-AIU", ("nanoaiu",), (), ()),
+    ("premium requests", ("premiumrequest",), (), ()),
+    ("ms", ("duration", "latency"), ("ms",), ()),
+    ("tokens", ("token",), (), ("input", "output", "cache_read", "cache_write")),
+    ("requests", (), (), ("count",)),
+)
+OTHER_UNIT = "provider units"
+
+
 def usage_unit(name: Column) -> Column:
-    """The unit of a provider's usage figure, by its name."""
-    low = F.lower(name)
-    return (
-        F.when(low.contains("nanoaiu"), "nano-AIU")
-        .when(low.contains("premiumrequest"), "premium requests")
-        .when(low.endswith("ms") | low.contains("duration") | low.contains("latency"), "ms")
-        .when(low.contains("token") | name.isin("input", "output", "cache_read", "cache_write"), "tokens")
-        .when(low == "count", "requests")
-        .otherwise("provider units")
-    )
+    """The unit of a provider's usage figure, by its name. Names as a whole compare with their case, but for "count"."""
+    low, out = F.lower(name), F.lit(OTHER_UNIT)
+    for unit, parts, ends, whole in reversed(UNITS):
+        signs = [low.contains(p) for p in parts] + [low.endswith(e) for e in ends] + ([(low if unit == "requests" else name).isin(*whole)] if whole else [])
+        out = F.when(F.greatest(*signs, F.lit(False)), unit).otherwise(out)
+    return out
+
+
+def mcp_key(server: Column, tool: Column, name: Column) -> Column:
+    """What an MCP call counts under: "server/tool"; the tool alone where it is flat and begins with its server's name, or without a server."""
+    rest = F.regexp_extract(name, r"(?s)^mcp__(?:.+?__)?(.*)$", 1)
+    own = F.coalesce(tool, F.when(name.startswith("mcp__"), rest).otherwise(name))
+    some = F.coalesce(server != "", F.lit(False)) & F.coalesce(own != "", F.lit(False))
+    return F.when(some & own.startswith(F.concat(server, F.lit("-"))), own).when(some, F.concat(server, F.lit("/"), own)).otherwise(F.coalesce(own, server, F.lit("MCP")))
 
 
 def token_family(name: Column) -> dict[str, Column]:

@@ -40,7 +40,7 @@ def merge_sessions(entries: DataFrame, key: str, source_rank: str) -> DataFrame:
         evidence_name(F.max(evidence_rank(F.col("evidence")))).alias("evidence"),
         F.coalesce(F.min_by("workspace", have("workspace", known)), F.lit("Unknown")).alias("workspace"),
         F.max_by("model", have("model")).alias("model"),
-        F.coalesce(F.min_by("title", have("title", F.col("title") != F.col(key).cast("string"))), F.first("title")).alias("title"),
+        F.coalesce(F.min_by("title", have("title", F.col("title") != F.col(key).cast("string"))), F.min_by("title", have("title"))).alias("title"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("files")))).alias("files"),
         F.array_sort(F.collect_set("source")).alias("sources"),
         F.max_by("source", F.struct(F.col("weight") + F.when(known, 10).otherwise(0), -rank)).alias("richest"),
@@ -146,8 +146,8 @@ def match_sessions(left: DataFrame, right: DataFrame, key: str, workspace: str)
 
 
 def fingerprint(rows: DataFrame) -> DataFrame:
-    """One row: how many rows, and a hash of their contents that their order doesn't change."""
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*sorted(rows.columns))).alias("content"), F.sum(F.pmod(F.hash(*sorted(rows.columns)), F.lit(1 << 20))).alias("sums"))
+    """One row: how many rows, and two sums over hashes of their contents, which the rows' order doesn't change and equal rows don't cancel in."""
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(20,0)")).alias("content"), F.sum(F.pmod(F.hash(*sorted(rows.columns)), F.lit(1 << 20))).alias("sums"))
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -162,3 +162,32 @@ def merge_manifests(manifests: DataFrame, by: list[str]) -> DataFrame:
     rank = F.when(F.col("coverage") == "Missed", 3).when(F.col("coverage") == "Backfilled", 2).when(F.col("coverage") == "Live", 1).otherwise(0)
     got = manifests.groupBy(*by).agg(F.max_by("coverage", F.struct(rank, "coverage")).alias("coverage"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("files")))).alias("files"))
     return got
+
+
+def strongest(rows: DataFrame, by: list[str], order: list[Column], values: list[str], most: int) -> DataFrame:
+    """by..., top: the first `most` rows in an order, as structs; how evidence, alternatives and paths are cut. Only they are collected."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    kept = rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most)
+    return kept.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__n", *values))).alias("__top")).select(*by, F.transform("__top", lambda t: F.struct(*[t[v].alias(v) for v in values])).alias("top"))
+
+
+def visible_events(rows: DataFrame) -> DataFrame:
+    """Events that a session shows: no prompts (its turns tell them), and no bare records of a provider's own kind that say nothing."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    prompt = F.coalesce((F.col("role") == "PromptSubmitted") | (F.col("kind") == "PromptSubmitted"), F.lit(False))
+    bare = F.col("role").isin("Generic", "Message") & (F.col("kind") == "ProviderSpecific") & blank("text") & blank("tool") & blank("status") & F.col("skill").isNull()
+    return rows.where(~prompt & ~F.coalesce(bare, F.lit(False)))
+
+
+#: Roles that count in a summary though their event is marked as left out.
+STRUCTURAL = ("ToolRequest", "AgentThought", "CompactionStart", "CompactionEnd", "SubagentStart", "SubagentStop")
+
+
+def summarised_events(rows: DataFrame) -> DataFrame:
+    """Events that a summary counts."""
+    return rows.where(~F.coalesce("excluded", F.lit(False)) | F.col("role").isin(*STRUCTURAL))
+
+
+def without_shells(sessions: DataFrame) -> DataFrame:
+    """Sessions less those without any turn whose workspace isn't a known one."""
+    return sessions.where((F.coalesce("turns", F.lit(0)) > 0) | (F.col("workspace_kind") == "Normal"))

@@ -133,3 +133,45 @@ def queue_matches(rows: DataFrame, keys: list[str], order: list[str], kind: str,
 
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + [f"request_id {types[row_id]}", f"result_id {types[row_id]}"])
     return rows.groupBy(*keys).applyInPandas(match, schema)
+
+
+def learned_alias(rows: DataFrame, matches: DataFrame, by: list[str], alias: str, order: str, hook: str) -> DataFrame:
+    """Adds `hook` to the rows of an alias (a transcript's own call id) that come after its first match.
+
+    matches: by, alias, order and hook of rows that a signature has matched.
+    """
+    known = matches.where(F.col(alias).isNotNull()).groupBy(*by, alias).agg(F.min_by(hook, order).alias(hook), F.min(order).alias("__since"))
+    return rows.join(known, [*by, alias], "left").withColumn(hook, F.when(F.col(order) > F.col("__since"), F.col(hook))).drop("__since")
+
+
+def inner_executions(rows: DataFrame, keys: list[str], order: list[str], starts: Column, ends: Column, row_id: str, owner: str) -> DataFrame:
+    """(keys, end id, start id, nested_in) of every end of an inner execution.
+
+    An end takes the start of its keys if exactly one is open, which closes it; with none open, or several, it nests in its
+    owner (null: an orphan). Several open ones stay open, so what comes after a second start is never told apart again: a
+    window over the keys is enough.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    s = rows.where(starts | ends).withColumn("__start", starts).withColumn("__after", F.coalesce(F.lag("__start").over(w), F.lit(False)))
+    s = s.withColumns({"__prior": F.lag(row_id).over(w), "__mixed": F.max(F.col("__start") & F.col("__after")).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    start = F.when(F.col("__after") & ~F.col("__mixed"), F.col("__prior"))
+    return s.where(~F.col("__start")).select(*keys, F.col(row_id).alias("end_id"), start.alias("start_id"), F.coalesce(start, F.col(owner)).alias("nested_in"))
+
+
+def thought_steps(thoughts: DataFrame, bindings: DataFrame, by: list[str], step: str, order: str, hook: str) -> DataFrame:
+    """thoughts with the hook that their assistant step is bound to: the first binding of the step, if it came before the thought."""
+    first = bindings.where(F.col(step).isNotNull()).groupBy(*by, step).agg(F.min_by(hook, order).alias(hook), F.min(order).alias("__since"))
+    return thoughts.join(first, [*by, step], "left").withColumn(hook, F.when(F.col("__since") < F.col(order), F.col(hook))).drop("__since")
+
+
+def open_requests(rows: DataFrame, probes: DataFrame, by: list[str], order: str, call: str, is_request: Column, is_result: Column, request_id: str) -> DataFrame:
+    """(probe columns, request_id): the requests that are open when a probe of the same keys comes: no result of the call before it.
+
+    A request is open in an interval of the order, so this is one join on the keys with a range condition, after results
+    have been joined to their calls.
+    """
+    asked = rows.where(is_request).select(*by, call, F.col(order).alias("__from"), F.col(request_id).alias("request_id"))
+    done = rows.where(is_result).groupBy(*by, call).agg(F.min(order).alias("__to"))
+    spans = asked.join(done, [*by, call], "left").drop(call)
+    inside = (F.col(order) > F.col("__from")) & (F.col("__to").isNull() | (F.col(order) < F.col("__to")))
+    return probes.join(spans, by).where(inside).drop("__from", "__to")

@@ -93,3 +93,16 @@ def badge(turns: Column, tools: Column, failures: Column) -> Column:
 
 def open_counts(rows: DataFrame, workspace: str) -> DataFrame:
     return rows.groupBy(workspace).agg(F.count(F.lit(1)).alias("opened"))
+
+
+def hook_summary(observations: DataFrame, bindings: DataFrame, transcripts: DataFrame, by: list[str]) -> DataFrame:
+    """by..., tools, failures, unmatched: figures of a session's hooks, with transcript tools that no hook stands for counted once.
+
+    observations: by, event_id, role, excluded (out of the summary); bindings: by, call_id; transcripts: by, call_id, role.
+    """
+    seen = observations.where(~F.coalesce("excluded", F.lit(False))).groupBy(*by).agg(F.count_if(F.col("role") == "ToolRequest").alias("__t"), F.count_if(F.col("role") == "ToolFailure").alias("__f"))
+    calls = transcripts.groupBy(*by, "call_id").agg(F.max((F.col("role") == "ToolFailure").cast("int")).alias("__failed"))
+    alone = calls.join(bindings.select(*by, "call_id").distinct(), [*by, "call_id"], "left_anti")
+    more = alone.groupBy(*by).agg(F.count(F.lit(1)).alias("unmatched"), F.sum("__failed").alias("__g"))
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return seen.join(more, by, "full").select(*by, (n("__t") + n("unmatched")).alias("tools"), (n("__f") + n("__g")).alias("failures"), n("unmatched").alias("unmatched"))

@@ -85,3 +85,20 @@ def prompt_revisions(rows: DataFrame, by: list[str], order: list[str], body_hash
     changed = ~F.col(body_hash).eqNullSafe(F.lag(body_hash).over(w)) | (F.row_number().over(w) == 1)
     numbered = rows.withColumn("__new", changed).withColumn("revision", F.count_if("__new").over(_upto(by, order)))
     return numbered.groupBy(*by, "revision").agg(F.first(body_hash).alias(body_hash), F.count(F.lit(1)).alias("occurrences"), *[F.min(c).alias(f"first_{c}") for c in order[:1]])
+
+
+def place_system_prompts(prompts: DataFrame, turns: DataFrame, by: list[str], turn_id: str, ts: str, turn_start: str) -> DataFrame:
+    """prompts with `before_turn`: the turn that they stand just before: their own by id, else the latest that began by their time."""
+    known = turns.select(*by, F.col(turn_id).alias("__id"), F.lit(True).alias("__known"))
+    own = prompts.join(known, [*[prompts[c] == known[c] for c in by], prompts[turn_id] == known["__id"]], "left").select(*[prompts[c] for c in prompts.columns], "__known")
+    marks = own.select(*by, F.col(ts).alias("__at"), F.lit(1).alias("__kind"), F.struct(*prompts.columns, "__known").alias("__row"), F.lit(None).cast(dict(turns.dtypes)[turn_id]).alias("__turn"))
+    begun = turns.select(*by, F.col(turn_start).alias("__at"), F.lit(0).alias("__kind"), F.lit(None).cast(marks.schema["__row"].dataType).alias("__row"), F.col(turn_id).alias("__turn"))
+    w = Window.partitionBy(*by).orderBy("__at", "__kind", "__turn").rowsBetween(Window.unboundedPreceding, 0)
+    asof = marks.unionByName(begun).withColumn("__last", F.last("__turn", ignorenulls=True).over(w)).where("__kind = 1")
+    return asof.select("__row.*", "__last").withColumn("before_turn", F.when(F.coalesce("__known", F.lit(False)), F.col(turn_id)).otherwise(F.col("__last"))).drop("__known", "__last")
+
+
+def display_order(rows: DataFrame, by: list[str], ts: str, ordinal: str, row_id: str, starts: Column, ends: Column) -> DataFrame:
+    """Adds position (from 1) in a session's chronological order: starts first, ends last, else by effective time, ordinal and id. A late row takes the place of its time."""
+    edge = F.when(starts, 0).when(ends, 2).otherwise(1)
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(edge, ts, ordinal, row_id)).cast("long"))

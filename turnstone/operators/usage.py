@@ -6,42 +6,69 @@ behavior (Delta, Cumulative, Final, Unknown), ts, authoritative, ord (order of a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnstone.functions.tools import token_family
+
+#: The last parts of names (letters and digits, lower-cased) that are one family; any other is its own.
+FAMILIES = {
+    "inputtokens": ("input", "inputtoken", "inputtokens"),
+    "outputtokens": ("output", "outputtoken", "outputtokens"),
+    "cachereadtokens": ("cacheread", "cachereadtoken", "cachereadtokens", "cachereadinputtokens"),
+    "cachewritetokens": ("cachewrite", "cachewritetoken", "cachewritetokens", "cachecreationinputtokens"),
+    "reasoningtokens": ("reasoning", "reasoningtoken", "reasoningtokens", "thinkingtoken", "thinkingtokens"),
+}
+#: First parts under which figures aren't a model's.
+GENERAL = ("usage", "tokendetails")
+
+
+def _parts(name: Column) -> Column:
+    """The parts of a dotted name, lower-cased, without blanks around and empty ones."""
+    return F.filter(F.transform(F.split(F.lower(name), r"\."), lambda p: F.trim(p)), lambda p: p != "")
+
 
 def is_model_metric(name: Column) -> Column:
-    """Figures of one model: two parts at least, and under modelMetrics, under agentMetrics, or under a model's own name."""
-    parts = F.split(name, r"\.")
-    low = F.lower(name)
-    other = ~F.lower(parts[0]).isin("usage", "tokendetails")
-    return (F.size(parts) >= 2) & (low.contains("modelmetrics") | low.startswith("agentmetrics") | other)
+    """Figures of one model: two parts at least, one of them modelMetrics, or the first agentMetrics or a model's own name."""
+    parts = _parts(name)
+    return (F.size(parts) >= 2) & (F.array_contains(parts, "modelmetrics") | ~F.get(parts, F.lit(0)).isin(*GENERAL))
+
+
+def metric_family(name: Column) -> Column:
+    """The kind of figure, by the last part of its name."""
+    leaf = F.regexp_replace(F.coalesce(F.element_at(_parts(name), -1), F.lower(name)), r"[^\p{L}\p{Nd}]", "")
+    return reduce(lambda out, kv: F.when(leaf.isin(*kv[1]), kv[0]).otherwise(out), FAMILIES.items(), leaf)
+
+
+def _listed_model(name: Column) -> Column:
+    """The part after modelMetrics; null without one."""
+    parts = _parts(name)
+    at = F.array_position(parts, "modelmetrics").cast("int")
+    return F.when(at > 0, F.get(parts, at))
 
 
 def metric_identity(name: Column) -> Column:
-    """What figures of several names are one metric: the owner (model, or agent and model) and the family of the last part."""
-    low = F.lower(F.replace(name, F.lit("-"), F.lit("_")))
-    parts = F.split(low, r"\.")
-    last = F.regexp_replace(F.element_at(parts, -1), "_", "")
-    cache = last.contains("cache")
-    family = (
-        F.when(cache & (last.contains("write") | last.contains("creation")), "cache_write")
-        .when(cache, "cache_read")
-        .when(last.contains("reason") | last.contains("thinking"), "reasoning")
-        .when(last.contains("input"), "input")
-        .when(last.contains("output"), "output")
-        .otherwise(last)
+    """What figures of several names are one metric: the owner (a model, an agent, or an agent's model) and the family."""
+    parts, model = _parts(name), _listed_model(name)
+    agent = F.get(parts, F.lit(0)) == "agentmetrics"
+    within = agent & (F.array_position(parts, "modelmetrics") >= 3)
+    owner = (
+        F.when(model.isNotNull() & within, F.concat(F.lit("agent:"), F.get(parts, F.lit(1)), F.lit(":model:"), model))
+        .when(model.isNotNull(), F.concat(F.lit("model:"), model))
+        .when(agent, F.concat(F.lit("agent:"), F.get(parts, F.lit(1))))
+        .otherwise(F.concat(F.lit("model:"), F.get(parts, F.lit(0))))
     )
-    at = F.array_position(parts, "modelmetrics").cast("int")
-    agent = F.when(low.startswith("agentmetrics"), F.concat(F.lit("agent:"), F.get(parts, F.lit(1)), F.lit(":")))
-    model = F.when(at > 0, F.concat(F.lit("model:"), F.get(parts, at), F.lit(":"))).when(is_model_metric(name) & ~low.startswith("agentmetrics"), F.concat(F.lit("model:"), parts[0], F.lit(":")))
-    return F.concat(F.coalesce(agent, F.lit("")), F.coalesce(model, F.lit("")), family)
+    return F.when(is_model_metric(name), F.concat(owner, F.lit(":"), metric_family(name))).otherwise(metric_family(name))
 
 
 def distinct_samples(samples: DataFrame, by: list[str]) -> DataFrame:
     """Samples without repeats of one measurement; names and units compare without case, the first stays."""
-    keys = [*by, "record_id", F.lower("name"), "value", F.lower("unit"), "scope", "behavior", "bucket"]
-    return samples.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy("ord"))).where("__r = 1").drop("__r")
+    keys = [*by, "record_id", "value", "scope", "behavior", "bucket"]
+    named = samples.withColumns({"__name": F.lower("name"), "__unit": F.lower("unit")})
+    first = F.min_by(F.struct("name", "unit", "ts", "authoritative", "ord"), "ord").alias("__first")
+    return named.groupBy(*keys, "__name", "__unit").agg(first).select(*keys, "__first.*")
 
 
 def usage_total(samples: DataFrame, by: list[str]) -> DataFrame:
@@ -50,36 +77,60 @@ def usage_total(samples: DataFrame, by: list[str]) -> DataFrame:
     1. repeats of one measurement count once;
     2. Session samples, if any, stand alone, else Turn samples, else all; of Session samples those that aren't
        of single models, if any, stand alone, else agents' copies of models' figures go;
-    3. per metric and bucket authoritative samples, if any, stand alone; the latest Final wins, else the largest
-       Cumulative, else Deltas and Unknowns add up;
+    3. per metric and bucket what one record tells by several names counts once; authoritative samples, if any,
+       stand alone; the latest Final wins, else the largest Cumulative, else Deltas and Unknowns add up;
     4. metrics and buckets add up.
 
-    One shuffle by `by`; hot sessions pre-aggregate per metric and bucket.
+    Samples are dealt out once, by record, for both kinds of repeats, so a session may have any share of them. Rule 3
+    needs no other bucket: its cells are summed, pre-aggregated, to a row per metric and scope, and only
+    those few rows meet by `by` for rule 2.
     """
-    w = Window.partitionBy(*by)
-    s = distinct_samples(samples, by).withColumn("__model", is_model_metric(F.col("name")))
-    s = s.withColumn("__rank", F.when(F.col("scope") == "Session", 2).when(F.col("scope") == "Turn", 1).otherwise(0))
-    s = s.withColumn("__top", F.max("__rank").over(w)).where((F.col("__top") == 0) | (F.col("__rank") == F.col("__top")))
-    plain = F.max((~F.col("__model")).cast("int")).over(w) == 1
-    s = s.withColumn("__plain", plain).where((F.col("__top") != 2) | ~F.col("__plain") | ~F.col("__model"))
-    s = s.withColumn("metric", metric_identity(F.col("name")))
-    # an agent's copy of a model's figure: the same metric without the agent is there, too
-    owner = F.regexp_replace("metric", "^agent:[^:]*:", "")
-    s = s.withColumns({"__owner": owner, "__agent": F.col("metric") != owner})
-    s = s.withColumn("__direct", F.max((~F.col("__agent")).cast("int")).over(Window.partitionBy(*by, "__owner")) == 1)
-    s = s.where((F.col("__top") != 2) | ~F.col("__agent") | ~F.col("__direct"))
-    s = s.withColumn("__bucket", F.when(F.col("scope") == "Session", F.concat(F.lit("session:"), "bucket")).when(F.col("scope") == "Turn", F.concat(F.lit("turn:"), "bucket")).otherwise(F.concat(F.lit("request:"), "record_id")))
-    cell = Window.partitionBy(*by, "metric", "__bucket")
-    s = s.withColumn("__auth", F.max(F.col("authoritative").cast("int")).over(cell)).where((F.col("__auth") == 0) | F.col("authoritative"))
-    low = F.lower("name")
-    liking = F.when(low.startswith("modelmetrics."), 2).when(low.contains("modelmetrics"), 1).otherwise(0)
-    final = F.max_by(F.when(F.col("behavior") == "Final", F.col("value")), F.when(F.col("behavior") == "Final", F.struct("ts", liking, "ord")))
-    cells = s.groupBy(*by, "metric", "__bucket").agg(
-        final.alias("__final"),
-        F.max(F.when(F.col("behavior") == "Cumulative", F.col("value"))).alias("__cumulative"),
-        F.coalesce(F.sum(F.when(F.col("behavior").isin("Delta", "Unknown"), F.col("value"))), F.lit(0)).alias("__delta"),
+    name = F.col("name")
+    s = distinct_samples(samples.repartition(*by, "record_id", "bucket"), by)
+    s = s.withColumns(
+        {
+            "__rank": F.when(F.col("scope") == "Session", 2).when(F.col("scope") == "Turn", 1).otherwise(0),
+            "metric": metric_identity(name),
+            "__model": F.coalesce(is_model_metric(name), F.lit(False)),
+            "__listed": F.lower(name).startswith("modelmetrics."),
+            # an agent's copy of a model's figure
+            "__copy": F.lower(name).startswith("agentmetrics.") & F.lower(name).contains(".modelmetrics."),
+            "__liking": F.when(F.lower(name).startswith("modelmetrics."), 2).when(F.lower(name).contains(".modelmetrics."), 1).otherwise(0),
+        }
     )
-    return cells.groupBy(*by).agg(F.sum(F.coalesce("__final", "__cumulative", "__delta")).cast("long").alias("total"))
+    s = s.withColumn("__of", F.regexp_extract("metric", "^(?:agent:.*?:)?model:(.*)$", 1))
+    kind = ["__rank", "metric", "__model", "__copy", "__of"]  # the last three follow from the metric
+    told = [*by, "record_id", "value", "scope", "behavior", "bucket", "authoritative", *kind]
+    s = s.groupBy(*told).agg(F.min_by(F.struct("ts", "__liking", "ord"), "ord").alias("__when"), F.max("__listed").alias("__listed"))
+    cell = F.when(F.col("__rank") > 0, F.concat(F.col("scope"), F.lit(":"), "bucket")).otherwise(F.concat(F.lit("Request:"), "record_id"))
+
+    def value(fine: Column) -> Column:
+        final = fine & (F.col("behavior") == "Final")
+        return F.coalesce(
+            F.max_by(F.when(final, F.col("value")), F.when(final, F.col("__when"))),
+            F.max(F.when(fine & (F.col("behavior") == "Cumulative"), F.col("value"))),
+            F.sum(F.when(fine & F.col("behavior").isin("Delta", "Unknown"), F.col("value"))),
+            F.lit(0),
+        )
+
+    sure = F.coalesce(F.col("authoritative"), F.lit(False))
+    cells = s.withColumn("__cell", cell).groupBy(*by, "__cell", *kind).agg(F.when(F.max(sure), value(sure)).otherwise(value(F.lit(True))).alias("__value"), F.max("__listed").alias("__listed"))
+    m = cells.groupBy(*by, *kind).agg(F.sum("__value").alias("__value"), F.max("__listed").alias("__listed"))
+    w = Window.partitionBy(*by)
+    m = m.withColumns({"__top": F.max("__rank").over(w), "__plain": F.coalesce(F.max((F.col("__rank") == 2) & ~F.col("__model")).over(w), F.lit(False))})
+    m = m.withColumn("__told", F.collect_set(F.when((F.col("__rank") == 2) & F.col("__listed"), F.col("__of"))).over(w))
+    session = F.when(F.col("__plain"), ~F.col("__model")).otherwise(~(F.col("__copy") & F.coalesce(F.array_contains("__told", F.col("__of")), F.lit(False))))
+    kept = m.where((F.col("__rank") == F.col("__top")) & ((F.col("__top") != 2) | session))
+    return kept.groupBy(*by).agg(F.sum("__value").cast("long").alias("total"))
+
+
+def token_totals(samples: DataFrame, by: list[str]) -> DataFrame:
+    """by..., input, output, cache_read, cache_write, reasoning: usage_total of each family of tokens. Without any input sample input is null; the others are 0."""
+    families = token_family(F.col("name"))
+    of = F.explode(F.filter(F.array(*[F.when(fits, F.lit(f)) for f, fits in families.items()]), lambda f: f.isNotNull()))
+    totals = usage_total(samples.where("unit = 'tokens'").withColumn("family", of), [*by, "family"])
+    pick = lambda f: F.max(F.when(F.col("family") == f, F.col("total")))
+    return totals.groupBy(*by).agg(*[(pick(f) if f == "input" else F.coalesce(pick(f), F.lit(0))).cast("long").alias(f) for f in families])
 
 
 def usage_by_name(samples: DataFrame, by: list[str]) -> DataFrame:
@@ -97,3 +148,68 @@ def session_rescope(samples: DataFrame, token_input: Column, cache_read: Column)
 def after_last_open(rows: DataFrame, by: list[str], order: str, opens: Column) -> DataFrame:
     """Rows after a session's last start or resume: final figures told before it no longer hold."""
     return rows.withColumn("__open", F.max(F.when(opens, F.col(order))).over(Window.partitionBy(*by))).where(F.col("__open").isNull() | (F.col(order) > F.col("__open"))).drop("__open")
+
+
+_SAMPLE = "array<struct<name: string, value: bigint, unit: string, scope: string, behavior: string>>"
+
+
+def _sample(name: Column | str, value: Column, unit: str, scope: str, behavior: Column | str) -> Column:
+    lit = lambda x: F.lit(x) if isinstance(x, str) else x
+    return F.struct(lit(name).alias("name"), value.alias("value"), F.lit(unit).alias("unit"), F.lit(scope).alias("scope"), lit(behavior).alias("behavior"))
+
+
+def _some(*samples: Column) -> Column:
+    return F.filter(F.array(*samples).cast(_SAMPLE), lambda s: s["value"].isNotNull())
+
+
+def assistant_usage(message: Column) -> Column:
+    """Samples of an assistant message's `usage`: what it has read counts as a snapshot, what it wrote adds up; server tools by name."""
+    n = lambda p: F.try_variant_get(message, f"$.usage.{p}", "bigint")
+    read = [_sample(p, n(p), "tokens", "Turn", "Cumulative") for p in ("input_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")]
+    written = [_sample("output_tokens", n("output_tokens"), "tokens", "Turn", "Delta"), _sample("thinking_tokens", n("output_tokens_details.thinking_tokens"), "tokens", "Turn", "Delta")]
+    tools = F.map_entries(F.coalesce(F.try_variant_get(message, "$.usage.server_tool_use", "map<string, bigint>"), F.create_map().cast("map<string, bigint>")))
+    more = F.transform(tools, lambda e: _sample(e["key"], e["value"], "requests", "Turn", "Delta"))
+    return F.concat(_some(*read, *written), F.filter(more.cast(_SAMPLE), lambda s: s["value"].isNotNull()))
+
+
+#: Figures of a cost row and their units, and those that it has of each model.
+COST = {"totalAPIDuration": "ms", "totalAPIDurationWithoutRetries": "ms", "totalToolDuration": "ms", "totalDuration": "ms", "totalLinesAdded": "lines", "totalLinesRemoved": "lines"}
+MODEL_COST = {"inputTokens": "tokens", "outputTokens": "tokens", "cacheReadInputTokens": "tokens", "cacheCreationInputTokens": "tokens", "webSearchRequests": "requests"}
+
+
+def cost_state(row: Column) -> Column:
+    """Samples of a session's cost row: final figures, dollars as whole millionths, and each model's under its name."""
+    final = [_sample(p, F.try_variant_get(row, f"$.{p}", "bigint"), unit, "Session", "Final") for p, unit in COST.items()]
+    dollars = F.coalesce(F.try_variant_get(row, "$.totalCostUSD", "double"), F.try_variant_get(row, "$.total_cost_usd", "double"))
+    final.append(_sample("total_cost_usd", F.round(dollars * 1_000_000).cast("bigint"), "micro-usd", "Session", "Final"))
+    models = F.map_entries(F.coalesce(F.try_variant_get(row, "$.modelUsage", "map<string, variant>"), F.create_map().cast("map<string, variant>")))
+    per = F.flatten(F.transform(models, lambda m: F.array(*[_sample(F.concat(m["key"], F.lit(f".{p}")), F.try_variant_get(m["value"], f"$.{p}", "bigint"), unit, "Session", "Final") for p, unit in MODEL_COST.items()])))
+    return F.concat(_some(*final), F.filter(per.cast(_SAMPLE), lambda s: s["value"].isNotNull()))
+
+
+def token_fields(stop: Column, inputs: Column, outputs: Column, cache_read: Column, cache_write: Column) -> Column:
+    """Samples of an event's own token fields: final on a stop; else what was read is a snapshot, and what was written adds up."""
+    snapshot, added = F.when(stop, "Final").otherwise("Cumulative"), F.when(stop, "Final").otherwise("Delta")
+    return _some(
+        _sample("input_tokens", inputs, "tokens", "Turn", snapshot),
+        _sample("output_tokens", outputs, "tokens", "Turn", added),
+        _sample("cache_read_tokens", cache_read, "tokens", "Turn", snapshot),
+        _sample("cache_write_tokens", cache_write, "tokens", "Turn", added),
+    )
+
+
+def metadata_usage(metadata: Column) -> Column:
+    """Samples (name, value, unit, behavior) of a session's metadata map: its usage.final.* keys, without any its usage.latest.* keys."""
+    entries = F.map_entries(metadata)
+    of = lambda prefix: F.filter(entries, lambda e: e["key"].startswith(prefix) & ~e["key"].endswith(".unit"))
+    final = F.size(of("usage.final.")) > 0
+    some = F.filter(F.when(final, of("usage.final.")).otherwise(of("usage.latest.")), lambda e: e["value"].try_cast("bigint").isNotNull())
+    return F.transform(
+        some,
+        lambda e: F.struct(
+            F.regexp_replace(e["key"], r"^usage\.(?:final|latest)\.", "").alias("name"),
+            e["value"].try_cast("bigint").alias("value"),
+            F.coalesce(F.try_element_at(metadata, F.concat(e["key"], F.lit(".unit"))), F.lit("provider units")).alias("unit"),
+            F.when(final, "Final").otherwise("Cumulative").alias("behavior"),
+        ),
+    )

@@ -291,19 +291,33 @@ def learned_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("session", "event_id", "learned_server")
 
 
-_USAGE = f"""WITH {USAGE_SQL}, d AS (SELECT DISTINCT ON (session, record_id, lower(name), value, lower(unit), scope, behavior, bucket) * FROM samples ORDER BY ord),
-    m AS (SELECT *, name LIKE 'model-%' AS model, CASE scope WHEN 'Session' THEN 2 WHEN 'Turn' THEN 1 ELSE 0 END AS rk FROM d)"""
-
-
-def _usage_sql(by: str) -> str:
-    return f"""{_USAGE},
+#: The names' metrics spelled out, apart from the operator's rules: (name, metric, of a model, listed, a copy, of what).
+_METRICS = ", ".join(
+    [
+        "('maxinputtokens', 'maxinputtokens', false, false, NULL)",
+        "('input', 'inputtokens', false, false, NULL), ('usage.input_tokens', 'inputtokens', false, false, NULL)",
+        "('outputtokens', 'outputtokens', false, false, NULL)",
+        "('cachereadtokens', 'cachereadtokens', false, false, NULL), ('usage.cache_read_input_tokens', 'cachereadtokens', false, false, NULL)",
+        *[
+            f"('model-{i}.inputtokens', '{i} input', true, false, NULL), ('modelmetrics.model-{i}.thinkingtokens', '{i} reasoning', true, true, NULL), ('agentmetrics.a.modelmetrics.model-{i}.reasoning', 'a {i} reasoning', true, false, 'modelmetrics.model-{i}.thinkingtokens')"
+            for i in range(3)
+        ],
+    ]
+)
+
+
+def _usage_sql(by: str, extra: str = "") -> str:
+    return f"""WITH {USAGE_SQL}, metrics(low, metric, model, listed, copied) AS (VALUES {_METRICS}),
+    d AS (SELECT DISTINCT ON (session, record_id, lower(name), value, lower(unit), scope, behavior, bucket) * FROM samples ORDER BY ord),
+    m AS (SELECT d.*, metric, model, copied, low, CASE scope WHEN 'Session' THEN 2 WHEN 'Turn' THEN 1 ELSE 0 END AS rk{extra} FROM d JOIN metrics ON lower(name) = low),
     t AS (SELECT *, max(rk) OVER (PARTITION BY {by}) AS top FROM m),
-    f AS (SELECT *, bool_or(NOT model) OVER (PARTITION BY {by}) AS plain FROM t WHERE top = 0 OR rk = top),
-    g AS (SELECT *, CASE WHEN model THEN 'model:' || split_part(name, '.', 1) || ':input' ELSE 'input' END AS metric,
-        CASE scope WHEN 'Session' THEN 's:' || bucket WHEN 'Turn' THEN 't:' || bucket ELSE 'r:' || record_id END AS cell FROM f WHERE top <> 2 OR NOT plain OR NOT model),
-    h AS (SELECT *, bool_or(authoritative) OVER (PARTITION BY {by}, metric, cell) AS auth FROM g),
-    c AS (SELECT {by}, metric, cell, arg_max(value, (ts, ord)) FILTER (behavior = 'Final') AS fin, max(value) FILTER (behavior = 'Cumulative') AS cum,
-        coalesce(sum(value) FILTER (behavior = 'Delta'), 0) AS delta FROM h WHERE NOT auth OR authoritative GROUP BY {by}, metric, cell)
+    f AS (SELECT *, bool_or(NOT model) OVER (PARTITION BY {by}) AS plain, list(low) OVER (PARTITION BY {by}) AS lows FROM t WHERE rk = top),
+    g AS (SELECT *, CASE WHEN rk > 0 THEN scope || ':' || bucket ELSE 'r:' || record_id END AS cell FROM f
+        WHERE top <> 2 OR (plain AND NOT model) OR (NOT plain AND NOT coalesce(list_contains(lows, copied), false))),
+    u AS (SELECT DISTINCT ON ({by}, metric, record_id, value, scope, behavior, bucket, authoritative) * FROM g ORDER BY ord),
+    h AS (SELECT *, bool_or(authoritative) OVER (PARTITION BY {by}, metric, cell) AS auth FROM u),
+    c AS (SELECT {by}, metric, cell, arg_max(value, (ts, CASE WHEN low LIKE 'modelmetrics.%' THEN 2 WHEN low LIKE '%.modelmetrics.%' THEN 1 ELSE 0 END, ord)) FILTER (behavior = 'Final') AS fin,
+        max(value) FILTER (behavior = 'Cumulative') AS cum, coalesce(sum(value) FILTER (behavior = 'Delta'), 0) AS delta FROM h WHERE NOT auth OR authoritative GROUP BY {by}, metric, cell)
     SELECT {by}, CAST(sum(coalesce(fin, cum, delta)) AS BIGINT) AS total FROM c GROUP BY {by}"""
 
 
@@ -312,11 +326,21 @@ def usage_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.usage_total(usage_samples(spark, sf_dir), ["session"])
 
 
-@query(f"SELECT * FROM ({_usage_sql('session, name_key').replace('WITH samples AS (SELECT', 'WITH samples AS (SELECT *, lower(name) AS name_key FROM (SELECT', 1).replace('ON l_orderkey = o_orderkey)', 'ON l_orderkey = o_orderkey))', 1)}) WHERE total <> 0")
+@query(f"SELECT * FROM ({_usage_sql('session, name_key', ', low AS name_key')}) WHERE total <> 0")
 def usage_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.usage_by_name(usage_samples(spark, sf_dir), ["session"]).select("session", "name_key", "total")
 
 
+_FAMILY = ", CASE WHEN low LIKE '%cache%' THEN 'cache_read' WHEN low LIKE '%reason%' OR low LIKE '%thinking%' THEN 'reasoning' WHEN low LIKE '%output%' THEN 'output' ELSE 'input' END AS family"
+
+
+@query(f"""
+    SELECT session, max(total) FILTER (family = 'input') AS input, coalesce(max(total) FILTER (family = 'output'), 0) AS output, coalesce(max(total) FILTER (family = 'cache_read'), 0) AS cache_read,
+        CAST(0 AS BIGINT) AS cache_write, coalesce(max(total) FILTER (family = 'reasoning'), 0) AS reasoning FROM ({_usage_sql('session, family', _FAMILY)}) GROUP BY session""")
+def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.token_totals(usage_samples(spark, sf_dir), ["session"])
+
+
 @query(f"""
     WITH {OBSERVATIONS_SQL}, n AS (SELECT tool, count(*) FILTER (role = 'ToolRequest') AS requests, count(*) FILTER (role IN ('ToolSuccess', 'ToolFailure')) AS results,
         sum(duration_ms) FILTER (role IN ('ToolSuccess', 'ToolFailure')) AS ms FROM obs GROUP BY tool)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnstone.dims import SURFACES
 from turnstone.functions.times import effective_timestamp, native_timestamp
 
 #: Columns of an envelope and where its document has them.
@@ -37,12 +38,15 @@ def parse(raw: DataFrame, value: str = "value", path: str = "path") -> DataFrame
     text = lambda p: F.try_variant_get("payload", p, "string")
     observed = F.coalesce(F.try_to_timestamp("observed"), file_time(F.col(path)))
     native = native_timestamp(text("$.timestamp"))
+    told = F.coalesce(text("$.hook_event_name"), text("$.event"))
+    # one surface's payloads may name the event in another dialect: there the configuration goes first
+    configured_first = F.coalesce(F.lower(F.trim(F.coalesce("detectedSurface", "configuredSurface"))).isin("copilotcli", str(SURFACES.index("CopilotCli"))), F.lit(False))
     return out.withColumns(
         {
             "event_id": F.coalesce("event_id", F.substring(F.sha2(value, 256), 1, 32)),
             "observed": observed,
             "ts": effective_timestamp(native, observed),
-            "native_event": F.coalesce(text("$.hook_event_name"), text("$.event"), F.col("configured_event")),
+            "native_event": F.when(configured_first, F.coalesce("configured_event", told)).otherwise(F.coalesce(told, "configured_event")),
             "session_id": F.coalesce(text("$.session_id"), text("$.sessionId"), text("$.conversation_id")),
             "tool_name": F.coalesce(text("$.tool_name"), text("$.toolName")),
             "tool_call_id": text("$.tool_use_id"),
