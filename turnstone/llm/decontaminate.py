@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from turnstone.llm.common import stage_table
 from turnstone.llm.words import ALNUM, Bytes, with_columns
 
 WINDOW = 13
-#: Bytes of benchmark text whose phrases are sent to all tasks at once; more are searched in turns.
-PHRASE_BYTES = 16 << 20
+#: Bytes of benchmark text whose phrases are sent to all tasks at once (about 15 bytes of arrays a byte); more are searched in turns.
+PHRASE_BYTES = 4 << 20
 SAMPLE = 8
 
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
@@ -28,22 +29,33 @@ _SPAN = pa.struct([pa.field("start", pa.int64()), pa.field("end", pa.int64())])
 
 
 class Phrases:
-    """Windows of benchmark items, as numbers of words: rows of `codes`, filled up with -1 on the left."""
+    """Windows of benchmark items, as numbers of words: rows of `codes`, filled up with -1 on the left.
+
+    All in arrays: item_at[edge[p] : edge[p + 1]] are the items (numbers in `names`) of phrase p.
+    """
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
         b = Bytes([t for _, t in items])
         at, end, first = b.words(ALNUM)
+        self.names, name_of = np.unique(np.array([n for n, _ in items], dtype=object), return_inverse=True)
         self.words, ids = np.unique(b.hashes(at, end), return_inverse=True)
-        rows: dict[tuple, set[str]] = {}
-        for k, (name, _) in enumerate(items):
-            w = ids[first[k] : first[k + 1]].tolist()
-            for i in range(max(1, len(w) - window + 1) if w else 0):
-                rows.setdefault(tuple(w[i : i + window]), set()).add(name)
-        self.items = [sorted(x) for x in rows.values()]
-        self.length = np.fromiter(map(len, rows), np.int64, len(rows))
-        self.codes = np.full((len(rows), window), -1, np.int64)
-        for i, r in enumerate(rows):
-            self.codes[i, window - len(r) :] = np.array(r) + 1
+        n = np.diff(first)
+        count = np.where(n > 0, np.maximum(1, n - window + 1), 0)
+        owner = np.repeat(np.arange(len(items)), count)
+        start = np.repeat(first[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        length = np.minimum(n[owner], window)
+        codes = np.full((len(owner), window), -1, np.int32)
+        for k in range(window):  # the k-th word from the end
+            some = length > k
+            codes[some, window - 1 - k] = ids[start[some] + length[some] - 1 - k] + 1
+        self.codes, phrase = np.unique(codes, axis=0, return_inverse=True)
+        pairs = np.unique(phrase.ravel() * max(1, len(self.names)) + name_of[owner])
+        self.item_at = pairs % max(1, len(self.names))
+        self.edge = np.searchsorted(pairs // max(1, len(self.names)), np.arange(len(self.codes) + 1))
+        self.length = (self.codes >= 0).sum(axis=1)
+
+    def items(self, phrase: int) -> list[str]:
+        return self.names[self.item_at[self.edge[phrase] : self.edge[phrase + 1]]].tolist()
 
 
 class FmIndex:
@@ -138,7 +150,7 @@ def shard_hits(texts: list[str | None], phrases: Phrases) -> list[pa.Array]:
     n_hit = np.add.reduceat(np.append(hit, False).astype(np.int64), first[:-1]) * (counts > 0) if len(texts) else counts
     items: list[set[str]] = [set() for _ in texts]
     for d, p in pairs:
-        items[d].update(phrases.items[p])
+        items[d].update(phrases.items(p))
     spans: list[list[dict]] = [[] for _ in texts]
     if pairs:
         chars = np.concatenate([[0], np.cumsum(b.raw & 0xC0 != 0x80)])
@@ -170,8 +182,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", ke
     each get their result; columns of these names are replaced.
 
     The phrases that every task gets are bounded: of a benchmark above `phrase_bytes` (measured first)
-    one slice of the items after another is searched for, which adds a pass over the documents each.
-    Word counts and hits then are of the union of the slices' spans.
+    one slice of the items after another is searched for, which adds a pass over the documents each, written out
+    before the next slice is fetched. Word counts and hits then are of the union of the slices' spans.
     """
     named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     total = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
@@ -183,6 +195,9 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", ke
         last = turn == turns - 1
         had = out.columns
         out = with_columns(out, text, FIELDS, lambda texts, sent=sent: shard_hits(texts, sent.value), () if keep_text or not last else (text,)) if turn == 0 else _next(out, text, sent, keep_text or not last, had)
+        if not last:
+            out = stage_table(out)
+            sent.destroy()
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 

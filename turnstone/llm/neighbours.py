@@ -141,7 +141,8 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id",
     without an id take no part; vectors of different lengths are no pairs; equal (id, vector) rows count
     once; a query with fewer candidates gets them all; an empty table gives none. Other columns are
     ignored. The queries sent to the tasks are bounded: they are counted first, and above
-    query_bytes they go in as many passes over the rows as it takes, each of about that size.
+    query_bytes they go in as many passes over the rows as it takes, each of about that size; what a pass finds is
+    written out before the next part is fetched.
     """
     spark = rows.sparkSession
     good = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & usable("v"))
@@ -170,7 +171,11 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id",
                 q = np.broadcast_to(queries[d].ids[:, None], real.shape)[real]
                 yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(h.id[real]), pa.array(h.score[real])], names=["query_id", "vec_id", "score"])
 
-        parts.append(good.mapInArrow(run, "query_id long, vec_id long, score double"))
+        part = good.mapInArrow(run, "query_id long, vec_id long, score double")
+        if passes > 1:  # one part of the queries at a time is held
+            part = stage_table(part)
+            sent.destroy()
+        parts.append(part)
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
