@@ -18,6 +18,8 @@ from turnstone.llm.words import LOWER, U, Bytes, with_columns
 
 #: The training sample: documents a language (those with the smallest hashes), and chains of them.
 DOCUMENTS, CHAINS = 400, 4000
+#: Bytes of a document of the sample at most, so that a language's share of it has a bound, too.
+TEXT_BYTES = 256 << 10
 #: Words in a chain at most; slots of hashed features.
 CHAIN, SLOTS = 64, 1 << 18
 #: Chains that are spliced of two languages, as a share of all, so that transitions can be learned.
@@ -197,9 +199,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
     Learned from a bounded sample: of each language the `documents` rows with the smallest hash of key and
     text (chosen in every task before anything is shuffled), and of their chains CHAINS at most. Rows
-    with a null label or text are no examples; without any, the model knows no language.
+    with a null label or text or one above TEXT_BYTES are no examples; without any, the model knows no language.
     """
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key, text).alias("h"))
+    rows = docs.where(F.col(lang).isNotNull() & (F.octet_length(text) <= TEXT_BYTES) & ~held_out(key)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key, text).alias("h"))
     order = Window.partitionBy("lang").orderBy("h")
     sample = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= documents).orderBy("lang", "n").collect()
     return Model(sorted({r["lang"] for r in sample})).train([r["text"] for r in sample], [r["lang"] for r in sample])
