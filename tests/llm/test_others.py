@@ -85,13 +85,14 @@ def test_chat_round_trip(spark):
     made = chat_format.format_conversations(df)
     assert made.where("round_trip").count() == 9
     assert {r["conv_id"]: r["escape_level"] for r in made.collect()}[9] == 0
-    back = {r["conv_id"]: r["t"] for r in made.select("conv_id", chat_format.recovered(made).alias("t")).collect()}
+    back = {r["conv_id"]: r["t"] for r in made.select("conv_id", chat_format.parse(F.col("formatted")).alias("t")).collect()}
     for c in back:
         assert [tuple(t) for t in back[c]] == [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == c), key=lambda r: r[1])]
-    for r in made.collect():
+    for r in made.withColumn("loss", chat_format.loss_text()).collect():
         said = [x[3] for x in sorted((x for x in rows if x[0] == r["conv_id"]), key=lambda x: x[1]) if x[2] == "assistant"]
         plain = [r["formatted"][s["start"] : s["end"]] for s in r["loss_spans"]]
-        assert len(plain) == len(said)
+        assert len(plain) == len(said) and r["loss"] == "".join(said)
+        assert r["formatted"].startswith(chat_format.MARK) == (r["escape_level"] == 1)
         if r["escape_level"] == 0:
             assert plain == said
         assert all(m not in p for p in plain for m in (chat_format.START, chat_format.END))

@@ -7,6 +7,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch while a table is staged: documents may be long, and a batch is held by Spark and by Python.
+BATCH_ROWS = 1000
+#: Bytes of a row group of staged tables: what a task that writes holds in memory, and what one that reads may split by.
+ROW_GROUP = 16 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, whatever store sf_dir is in."""
@@ -37,5 +42,21 @@ def stage_table(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, str(min(int(before), BATCH_ROWS)) if int(before) > 0 else str(BATCH_ROWS))
+    try:
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    finally:
+        spark.conf.set(batch, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Deletes the folder of a staged table, which nothing that is still to run may read."""
+    spark = df.sparkSession
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        if "/turnstone-" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -3,21 +3,31 @@
 Units (lines, or paragraphs) are normalised and hashed where the text is; digests are grouped over all
 documents, the earliest occurrence of each stays, and all others are removed. Only digests and
 offsets are shuffled until the spans are known.
+
+A passage may begin and end inside a line, where no whole line repeats. shared_passages finds those by finer units, the
+sentences of lines: it removes nothing, and tells how long a run of units a document has that other documents have, too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnstone.llm.bloom import bloom, fits
 from turnstone.llm.common import stage_table
-from turnstone.llm.words import pieces
+from turnstone.llm.words import PIECE, SPACED, U, Bytes, mix, pieces
 
 LEAST_WORDS = 5
+#: Bytes that end a sentence or a line.
+STOP = np.zeros(256, bool)
+STOP[[0x0A, 0x21, 0x2E, 0x3F]] = True
+_BASE = U(0xD1342543DE82EF95)
+_INV = U(pow(int(_BASE), -1, 1 << 64))
 
 
 def units_of(docs: DataFrame, key: str, text: str, separator: str, least_words: int) -> DataFrame:
@@ -94,10 +104,76 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", sep
     return found.mapInArrow(cut, found.schema)
 
 
-def digest(cleaned: DataFrame) -> DataFrame:
+def _sentences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, number in it, words, name) of the sentences of texts: what stands between stops, if it has a word."""
+    b = Bytes(texts)
+    at, end, first = b.words(SPACED & ~STOP)
+    n = len(at)
+    stop = np.cumsum(STOP[b.raw])[at] if n else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(texts)), np.diff(first))
+    head = np.flatnonzero(np.concatenate([[True], (stop[1:] != stop[:-1]) | (owner[1:] != owner[:-1])])) if n else np.zeros(0, np.int64)
+    words = np.diff(np.append(head, n))
+    up, down = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)])) for x in (_BASE, _INV))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(b.hashes(at, end) * up[:n])]) if n else np.zeros(1, np.uint64)
+    name = mix((sums[head + words] - sums[head]) * down[head] + words.astype(np.uint64))
+    of = owner[head]
+    return of, np.arange(len(head)) - np.searchsorted(of, of), words, name
+
+
+def shared_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc, row (hash of the text), shared_words, longest_shared_words of the documents that share a sentence.
+
+    A sentence is what stands between line feeds, dots, exclamation and question marks, and has a word; sentences are equal
+    as units of lines are. One that documents of two keys have is shared (a null key is a document by its text); the first of them
+    counts as well as the others. The longest run of shared sentences is a passage; passages count in words. Null and empty texts,
+    and an empty table, share nothing. First the names of sentences are grouped; then only those seen twice are
+    looked for, and their numbers, no texts, are shuffled.
+    """
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.xxhash64(text)).alias("doc"), F.xxhash64(text).alias("row"), F.col(text).alias("t"))
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j in pieces(b.column(2), PIECE // 2):
+                of, _, _, name = _sentences(b.column(2).slice(i, j - i))
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), b.column(0).slice(i, j - i).take(pa.array(of))], names=["name", "doc"])
+
+    ends = rows.mapInArrow(names, "name long, doc long").groupBy("name").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
+    shared = stage_table(ends.where("a <> b").select("name"))
+    sent = docs.sparkSession.sparkContext.broadcast(bloom(shared, "name")) if fits(shared) else None
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j in pieces(b.column(2), PIECE // 2):
+                of, unit, words, name = _sentences(b.column(2).slice(i, j - i))
+                if sent is not None:
+                    of, unit, words, name = (x[fine] for fine in [sent.value.holds(name)] for x in (of, unit, words, name))
+                at = pa.array(of)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i).take(at) for c in (0, 1)), pa.array(unit.astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(name.view(np.int64))], names=["doc", "row", "unit", "words", "name"])
+
+    found = rows.mapInArrow(placed, "doc long, row long, unit int, words int, name long").join(shared, "name")
+    units = found.groupBy("doc", "row").agg(F.array_sort(F.collect_set(F.struct("unit", "words"))).alias("units"))
+    n = lambda x: F.lit(x).cast("long")
+    start = F.struct(n(-2).alias("last"), n(0).alias("run"), n(0).alias("best"), n(0).alias("total"))
+
+    def step(acc, u):
+        run = F.when(u["unit"] == acc["last"] + 1, acc["run"]).otherwise(n(0)) + u["words"]
+        return F.struct(u["unit"].cast("long").alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"), (acc["total"] + u["words"]).alias("total"))
+
+    sums = units.select("doc", "row", F.aggregate("units", start, step).alias("s"))
+    return sums.select("doc", "row", F.col("s.total").alias("shared_words"), F.col("s.best").alias("longest_shared_words"))
+
+
+def with_passages(docs: DataFrame, found: DataFrame, text: str, key: str = "doc_id") -> DataFrame:
+    """docs with shared_passages' two columns, 0 where nothing is shared. `text`: the column of docs with the hash of the text."""
+    out = docs.join(found, (F.coalesce(docs[key].cast("long"), docs[text]) == found["doc"]) & (docs[text] == found["row"]), "left")
+    return out.select(*[docs[c] for c in docs.columns if c != text], *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("shared_words", "longest_shared_words")])
+
+
+def digest(cleaned: DataFrame, *more: str) -> DataFrame:
     """Counts, spans and a digest of remove_repeats' rows."""
     return cleaned.select(
         "doc_id",
+        *more,
         F.size("removed").cast("long").alias("n_removed"),
         F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("removed"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),

@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Kind:
-    """pattern: as Java reads it; score: what a confirmed span is worth without context words; context: words nearby that raise it; group: of the pattern, what is proposed."""
+    """pattern: as Java reads it; score: what a confirmed span is worth without context words; context: words nearby that raise it;
+    sign: a plain string, or else a pattern, that every text with a match has; group: of the pattern, what is proposed."""
 
     name: str
     pattern: str
     score: float
     context: str
+    sign: str
     base: bool = True
     group: int = 0
 
@@ -36,11 +38,11 @@ NEARBY, RAISE = 40, 0.1
 #: The longest run that an account number can be the start of; the words after it look the same.
 ACCOUNT = "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+"
 KINDS = (
-    Kind("email", rf"{_from(LOCAL)}[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, "mail|contact|write|reply"),
-    Kind("ip", rf"{_from('0-9')}[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, "ip|host|server|addr|address|login"),
-    Kind("card", r"(?:(?<![0-9])(?<![0-9][ -])|\G)[0-9](?:[ -]?[0-9])++", 0.8, "card|visa|mastercard|amex|credit|debit|payment"),
-    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", 0.5, "phone|tel|call|mobile|fax|whatsapp"),
-    Kind("iban", rf"(?<![A-Z0-9])(?=({ACCOUNT}[\s\S]{{0,{NEARBY}}}))", 0.9, "iban|account|bank|transfer|konto|compte|cuenta", base=False, group=1),
+    Kind("email", rf"{_from(LOCAL)}[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, "mail|contact|write|reply", "@"),
+    Kind("ip", rf"{_from('0-9')}[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, "ip|host|server|addr|address|login", r"[0-9]\.[0-9]"),
+    Kind("card", r"(?:(?<![0-9])(?<![0-9][ -])|\G)[0-9](?:[ -]?[0-9])++", 0.8, "card|visa|mastercard|amex|credit|debit|payment", "[0-9](?:[ -]?[0-9]){11}"),
+    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", 0.5, "phone|tel|call|mobile|fax|whatsapp", "+"),
+    Kind("iban", rf"(?<![A-Z0-9])(?=({ACCOUNT}[\s\S]{{0,{NEARBY}}}))", 0.9, "iban|account|bank|transfer|konto|compte|cuenta", "[A-Z]{2}[0-9]{2}", base=False, group=1),
 )
 
 
@@ -73,11 +75,30 @@ def confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _matches(kind: Kind) -> str:
+    """The column of a kind's proposed strings; no table of text names one so."""
+    return f"\x00{kind.name}_matches"
+
+
+def _gaps(kind: Kind) -> str:
+    """The column of what is left between them."""
+    return f"\x00{kind.name}_gaps"
+
+
 _NONE = "array<struct<start:bigint,rank:int,end:bigint,kind:string,score:double,base:boolean>>"
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def _near(kind: Kind, g: Column) -> Column:
-    return F.lower(g).rlike(rf"\b(?:{kind.context})\b")
+    """Whether a context word stands in g, as a word of letters and digits of ASCII."""
+    return F.translate(g, _UPPER, _LOWER).rlike(rf"(?:^|[^a-z0-9_])(?:{kind.context})(?:[^a-z0-9_]|$)")
+
+
+def _may_hold(kind: Kind, body: Column) -> Column:
+    """A cheap look before the pattern is tried."""
+    return body.contains(kind.sign) if len(kind.sign) == 1 else body.rlike(kind.sign)
 
 
 def _span(kind: Kind, start: Column, end: Column, near: Column) -> Column:
@@ -101,10 +122,10 @@ def _cuts(run: Column, after: Column) -> Column:
 
 
 def _account_spans(kind: Kind) -> Column:
-    """Confirmed spans from <kind>_m (runs from every possible start, with what follows them) and <kind>_g (one blank
+    """Confirmed spans from _matches (runs from every possible start, with what follows them) and _gaps (one blank
     and the text, cut at those starts): at each start the longest cut that is confirmed, if no span before reaches it.
     """
-    m, gaps = F.col(f"{kind.name}_m"), F.col(f"{kind.name}_g")
+    m, gaps = F.col(_matches(kind)), F.col(_gaps(kind))
     split = F.transform(m, lambda x: F.struct(x.alias("x"), F.regexp_extract(x, f"^{ACCOUNT}", 0).alias("run")))
     cuts = F.transform(split, lambda s: F.struct(s["x"].alias("x"), _cuts(s["run"], s["x"].substr(F.length(s["run"]) + 1, F.lit(1))).alias("cuts")))
     best = F.transform(cuts, lambda s: F.struct(s["x"].alias("x"), F.length(F.get(F.filter(s["cuts"], lambda c: confirmed(kind.name, c)), 0)).alias("len")))
@@ -130,10 +151,10 @@ def _account_spans(kind: Kind) -> Column:
 
 
 def _spans(kind: Kind) -> Column:
-    """Confirmed spans from the columns <kind>_m (matches) and <kind>_g (gaps around them)."""
+    """Confirmed spans from the columns _matches and _gaps."""
     if kind.group:
         return _account_spans(kind)
-    m, gaps = F.col(f"{kind.name}_m"), F.col(f"{kind.name}_g")
+    m, gaps = F.col(_matches(kind)), F.col(_gaps(kind))
     item = F.transform(
         m,
         lambda x, i: F.struct(
@@ -163,9 +184,10 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     body = F.coalesce(F.col(text), F.lit(""))
     kept = [c for c in docs.columns if c != "pii"]
-    found = docs.select(*[F.col(f"`{c}`") for c in kept], *[F.regexp_extract_all(body, F.lit(k.pattern), F.lit(k.group)).alias(f"{k.name}_m") for k in KINDS])
+    proposed = lambda k: F.when(_may_hold(k, body), F.regexp_extract_all(body, F.lit(k.pattern), F.lit(k.group)))
+    found = docs.select(*[F.col(f"`{c}`") for c in kept], *[proposed(k).alias(_matches(k)) for k in KINDS])
     # a text without a match is not split
-    found = found.withColumns({f"{k.name}_g": F.when(F.size(f"{k.name}_m") > 0, F.split(F.concat(F.lit(" "), body) if k.group else body, k.pattern, -1)) for k in KINDS})
+    found = found.withColumns({_gaps(k): F.when(F.size(_matches(k)) > 0, F.split(F.concat(F.lit(" "), body) if k.group else body, k.pattern, -1)) for k in KINDS})
     spans = F.array_sort(F.concat(*[_spans(k) for k in KINDS]))
     return found.select(*[F.col(f"`{c}`") for c in kept], F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["score"].alias("score"), s["base"].alias("base"))).alias("pii"))
 
@@ -195,4 +217,5 @@ def digest(found: DataFrame) -> DataFrame:
         *[count(k.name).alias(f"n_{k.name}") for k in KINDS if k.base],
         F.sha2(joined(F.filter("pii", lambda s: s["base"])), 256).alias("base_sha256"),
         joined(F.col("pii")).alias("spans"),
+        F.array_join(F.transform(F.filter("pii", lambda s: s["base"]), lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",").alias("base_scores"),
     )

@@ -21,7 +21,9 @@ def op2_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.digest(lines.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = lines.digest(lines.remove_repeats(docs.withColumn("row", F.xxhash64("text"))), "row")
+    return lines.with_passages(cleaned, lines.shared_passages(docs), "row")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,13 +47,14 @@ def mix_sql(share: tuple[int, int] = (1, 2), epochs: int = 2, seed: int = 17) ->
     """
 
 
-#: The patterns as the contract words them, for an engine whose matching never backtracks.
+#: The patterns as the contract words them, for an engine whose matching never backtracks; what a span scores in hundredths, and
+#: the words nearby that add ten to it.
 _PII = (
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    ("card", r"[0-9]([\x20-]?[0-9])+"),
-    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
-    ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b"),
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", 90, "mail|contact|write|reply"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", 60, "ip|host|server|addr|address|login"),
+    ("card", r"[0-9]([\x20-]?[0-9])+", 80, "card|visa|mastercard|amex|credit|debit|payment"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 50, "phone|tel|call|mobile|fax|whatsapp"),
+    ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b", 90, "iban|account|bank|transfer|konto|compte|cuenta"),
 )
 _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
 _PII_OK = {
@@ -67,23 +68,25 @@ _PII_OK = {
 
 def pii_sql() -> str:
     parts = []
-    for rank, (kind, pattern) in enumerate(_PII):
+    for rank, (kind, pattern, score, words) in enumerate(_PII):
+        near = " OR ".join(f"regexp_matches(translate({g}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(^|[^a-z0-9_])({words})([^a-z0-9_]|$)')" for g in ("right(g, 40)", "left(g2, 40)"))
         parts.append(f"""
-        SELECT doc_id, rid, '{kind}' AS kind, {rank} AS rank, s AS start, s + length(m) AS "end" FROM (
+        SELECT doc_id, rid, '{kind}' AS kind, {rank} AS rank, s AS start, s + length(m) AS "end", least(100, {score} + CASE WHEN {near} THEN 10 ELSE 0 END) AS score FROM (
             SELECT *, sum(length(g) + coalesce(length(lm), 0)) OVER (PARTITION BY rid ORDER BY i) AS s FROM (
-                SELECT doc_id, rid, i, m, g, lag(m) OVER (PARTITION BY rid ORDER BY i) AS lm FROM (
-                    SELECT doc_id, rid, unnest(ms) AS m, unnest(list_slice(gs, 1, len(ms))) AS g, unnest(range(1, len(ms) + 1)) AS i FROM (
+                SELECT doc_id, rid, i, m, g, g2, lag(m) OVER (PARTITION BY rid ORDER BY i) AS lm FROM (
+                    SELECT doc_id, rid, unnest(ms) AS m, unnest(list_slice(gs, 1, len(ms))) AS g, unnest(list_slice(gs, 2, len(ms) + 1)) AS g2, unnest(range(1, len(ms) + 1)) AS i FROM (
                         SELECT doc_id, rid, regexp_extract_all(body, '{pattern}') AS ms, regexp_split_to_array(body, '{pattern}') AS gs FROM d) WHERE len(ms) > 0)))
         WHERE {_PII_OK[kind]}""")
     base = "rank < 4"
     return f"""
     WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS body FROM documents),
     s AS ({" UNION ALL ".join(parts)}),
-    a AS (SELECT rid, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k, _ in _PII[:4])},
+    a AS (SELECT rid, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k, *_ in _PII[:4])},
         string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST("end" AS BIGINT), ',' ORDER BY start, rank) FILTER ({base}) AS b,
-        string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST("end" AS BIGINT), ',' ORDER BY start, rank) AS spans FROM s GROUP BY rid)
-    SELECT doc_id, {", ".join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k, _ in _PII[:4])},
-        sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (rid)
+        string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST("end" AS BIGINT), ',' ORDER BY start, rank) AS spans,
+        string_agg(score, ',' ORDER BY start, rank) FILTER ({base}) AS scores FROM s GROUP BY rid)
+    SELECT doc_id, {", ".join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k, *_ in _PII[:4])},
+        sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS base_scores FROM d LEFT JOIN a USING (rid)
     """
 
 
@@ -97,7 +100,8 @@ CHAT = r"""
         sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
         CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
         sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-        CAST(CASE WHEN bool_or(bad) THEN sum(24 + length(role1) + length(text1)) ELSE sum(24 + length(role) + length(text)) END AS BIGINT) AS formatted_chars
+        CAST(CASE WHEN bool_or(bad) THEN 12 + sum(24 + length(role1) + length(text1)) ELSE sum(24 + length(role) + length(text)) END AS BIGINT) AS formatted_chars,
+        true AS round_trip
     FROM e GROUP BY conv_id
 """
 
@@ -112,8 +116,16 @@ LINES = r"""
     g AS (SELECT p.rid, p.unit, p.start, p.whole, coalesce(len(ws) >= 5 AND NOT (p.doc_id = d1 AND p.unit = u1), false) AS gone FROM p LEFT JOIN f ON norm = array_to_string(ws, ' ')),
     a AS (SELECT rid, count(*) FILTER (gone) AS n_removed,
         coalesce(string_agg(start || ':' || (start + length(whole)), ',' ORDER BY unit) FILTER (gone), '') AS removed,
-        coalesce(string_agg(whole, '' ORDER BY unit) FILTER (NOT gone), '') AS kept FROM g GROUP BY rid)
-    SELECT doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN a USING (rid)
+        coalesce(string_agg(whole, '' ORDER BY unit) FILTER (NOT gone), '') AS kept FROM g GROUP BY rid),
+    s0 AS (SELECT rid, doc_id, body, list_filter(list_transform(regexp_split_to_array(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\n.!?]'),
+        lambda p: array_to_string(regexp_extract_all(p, '[^\x20\x09-\x0D]+'), ' ')), lambda p: p <> '') AS ss FROM t),
+    s1 AS (SELECT rid, coalesce(CAST(doc_id AS VARCHAR), md5(body)) AS doc, unnest(ss) AS norm, unnest(range(len(ss))) AS unit FROM s0),
+    s2 AS (SELECT norm FROM s1 GROUP BY norm HAVING count(DISTINCT doc) > 1),
+    s3 AS (SELECT rid, unit, len(string_split(norm, ' ')) AS words, unit - row_number() OVER (PARTITION BY rid ORDER BY unit) AS island FROM s1 SEMI JOIN s2 USING (norm)),
+    s4 AS (SELECT rid, sum(words) AS words FROM s3 GROUP BY rid, island),
+    s5 AS (SELECT rid, CAST(sum(words) AS BIGINT) AS shared_words, CAST(max(words) AS BIGINT) AS longest_shared_words FROM s4 GROUP BY rid)
+    SELECT doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, sha256(coalesce(kept, '')) AS kept_sha256,
+        coalesce(shared_words, 0) AS shared_words, coalesce(longest_shared_words, 0) AS longest_shared_words FROM t LEFT JOIN a USING (rid) LEFT JOIN s5 USING (rid)
 """
 
 NEAREST = """

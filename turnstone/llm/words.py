@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -46,13 +47,16 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
 
 
 class Bytes:
-    """Texts' UTF-8 bytes behind each other, a blank after each; start[i], size[i]: of text i."""
+    """Texts' UTF-8 bytes behind each other, a blank after each; start[i], size[i]: of text i.
 
-    def __init__(self, texts: list[str | None], fold: bool = True):
-        raw = [t.encode() if t else b"" for t in texts]
+    texts: a list, or an Arrow array of strings, whose bytes are taken as they lie.
+    """
+
+    def __init__(self, texts: list[str | None] | pa.Array, fold: bool = True):
+        raw = [memoryview(x.as_buffer()) if x.is_valid else b"" for x in texts] if isinstance(texts, pa.Array) else [t.encode() if t else b"" for t in texts]
         self.size = np.fromiter(map(len, raw), np.int64, len(raw))
         self.start = np.concatenate([[0], np.cumsum(self.size + 1)])[:-1]
-        self.raw = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+        self.raw = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
         self.folded = LOWER[self.raw] if fold else self.raw
         self._sums: np.ndarray | None = None
 
@@ -81,11 +85,11 @@ class Bytes:
         return at, end, np.append(np.searchsorted(at, self.start), len(at))
 
 
-def pieces(texts: list[str | None], most: int = PIECE) -> Iterator[tuple[int, int]]:
-    """Runs [i, j) of texts of about `most` characters at most."""
+def pieces(texts: list[str | None] | pa.Array, most: int = PIECE) -> Iterator[tuple[int, int]]:
+    """Runs [i, j) of texts of about `most` characters at most (bytes, of an Arrow array)."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist() if isinstance(texts, pa.Array) else [len(t) if t else 0 for t in texts]
     i = total = 0
-    for j, t in enumerate(texts):
-        n = len(t) if t else 0
+    for j, n in enumerate(sizes):
         if total and total + n > most:
             yield i, j
             i, total = j, 0
@@ -105,9 +109,9 @@ def with_columns(docs: DataFrame, text: str, fields: T.StructType, work: Callabl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(b.schema.get_field_index("\x00text")).to_pylist()
+            texts = b.column(b.schema.get_field_index("\x00text"))
             for i, j in pieces(texts):
                 part = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(n)) for n in names] + work(texts[i:j]), names=[*names, *fields.names])
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(n)) for n in names] + work(texts.slice(i, j - i).to_pylist()), names=[*names, *fields.names])
 
     return docs.select(*[docs[f"`{n}`"] for n in names], docs[f"`{text}`"].alias("\x00text")).mapInArrow(run, out)
