@@ -1,16 +1,18 @@
 """Operators over documents, against brute force and on odd tables."""
 
 import hashlib
+import itertools
 import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from turnstone.llm import decontaminate, jaccard, language, lines, mixing, pii, sstable, suffix_dedup
+from turnstone.llm import decontaminate, encode, jaccard, language, lines, mixing, pii, sstable, suffix_dedup
 from turnstone.llm.common import shared_dir
 
 DATA = "/root/testdata/sf0.001"
@@ -77,6 +79,43 @@ def test_jaccard_threshold_is_met_exactly(spark):
     assert got == {i: v[1] for i, v in groups_by_force({9: a, 8: d, 7: e, 6: b, 5: c}).items()}
 
 
+def test_jaccard_of_long_texts_at_exactly_the_threshold(spark):
+    long = " ".join(f"w{i}" for i in range(400_004))  # 400,000 shingles, of which `short` has 320,000
+    short = " ".join(f"w{i}" for i in range(320_004))
+    less = " ".join(f"w{i}" for i in range(1, 320_003))
+    rows = spark.createDataFrame([(1, long), (2, short), (3, less + " x"), (4, long[::-1])], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(rows).collect()}
+    assert got == {1: (400_000, 1), 2: (320_000, 1), 3: (319_999, 1), 4: (400_000, 4)}  # 3 reaches 1 by way of 2 only
+
+
+def test_shingles_of_a_text_cut_into_windows(spark):
+    text = ("Some words, é and\tothers " * 130_000)[: 2 * (1 << 20) + 77] + "x" * (1 << 20) + " the end"
+    for words in (1, 5):
+        assert np.array_equal(jaccard._long_set(np.frombuffer(text.encode(), np.uint8), words), jaccard.shingle_sets([text, None], words)[0])
+    one = "y" * 3_000_000
+    assert [len(s) for s in jaccard.shingle_sets([one + " z"])] == [1] and np.array_equal(jaccard.shingle_sets([one + " z"])[0], jaccard.shingle_sets([one + " z", ""])[0])
+
+
+def test_counts_of_shared_shingles(spark):
+    """Every given row of a class counts each of its shingles that another class has, however batches fall."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 4000, 300).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(40)]
+    given = [(i, s) for i, s in enumerate(sets)] + [(3, sets[3])] * 2
+    owners = {}
+    for i, s in given:
+        for h in s.tolist():
+            owners.setdefault(h, set()).add(i)
+    want = {i: sum(len(owners[h]) > 1 for h in s.tolist()) * (3 if i == 3 else 1) for i, s in enumerate(sets)}
+    rows = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in given], "fp long, s binary").repartition(3)
+    for most in (100_000, 900):
+        made = jaccard.shared_counts(rows, 7, lambda n: n, most)
+        assert {r["fp"]: r["n"] for r in made.where("NOT often").collect()} == want
+        # rows of one class may count several times here
+        rows_of = {h: len(own) + 2 * (3 in own) for h, own in owners.items()}
+        sure, maybe = ({*jaccard._name(np.array([h for h, n in x.items() if n >= jaccard.FEW], np.uint64), 7).tolist()} for x in ({h: len(own) for h, own in owners.items()}, rows_of))
+        assert sure <= {r["fp"] for r in made.where("often").collect()} <= maybe
+
+
 def test_jaccard_of_odd_rows(spark):
     got = sorted(map(str, jaccard.jaccard_groups(table(spark, *ODD)).collect()))
     assert len(got) == len(ODD)
@@ -123,6 +162,27 @@ def test_suffix_dedup_equals_brute_force(spark, docs, texts):
     assert any(v[1] for v in want.values())
 
 
+def test_suffix_dedup_of_a_text_in_parts():
+    """Every window of a long text belongs to one part, and has the same rank there."""
+    text = "".join(map(chr, np.random.default_rng(6).integers(97, 100, 5000)))
+    texts = pa.array(["first", text, None, "last"])
+
+    def windows(chunk):
+        out = {}
+        for i, _, s in suffix_dedup._parts(texts, chunk):
+            of, low, high, *_ = s.groups(np.arange(len(s.at)))
+            for t, a, z in zip(of.tolist(), low.tolist(), high.tolist(), strict=True):
+                for at in range(a, z + 1):
+                    place = (i + t, at - int(s.b.start[t]) + s.base)
+                    assert place not in out
+                    out[place] = tuple(int(x[0]) for x in s.rank400(np.array([at])))
+        return out
+
+    whole = windows(1 << 20)
+    assert set(whole) == {(1, at) for at in range(5000 - suffix_dedup.LENGTH + 1)}
+    assert windows(700) == windows(1000) == whole
+
+
 def test_suffix_dedup_edges_and_odd_rows(spark):
     rng = np.random.default_rng(3)
     noise = ["".join(map(chr, rng.integers(97, 122, 900))) for _ in range(6)]
@@ -155,6 +215,16 @@ def test_line_dedup_cuts_each_text_of_a_key_by_itself(spark):
         assert got == [("first line of this text alone\n", [(30, 62)]), (clean, [])]
 
 
+def test_shared_passages(spark):
+    inner = "One sentence of the passage here. Another of it stands behind!\nAnd a third one. Fin"
+    rows = [(1, f"Own words begin. and lead in {inner} to other things."), (2, f"Foreign start {inner}. the rest"), (3, "Nothing at all of that."), (None, "another OF it  stands\tbehind"), (4, None), (5, ""), (6, "twice twice. twice twice."), (6, "twice twice")]
+    got = {(r["doc"], r["shared_words"], r["longest_shared_words"]) for r in lines.shared_passages(table(spark, *rows)).collect()}
+    unkeyed = [x for x in got if x[0] not in (1, 2)]
+    # the first sentence begins inside one of other words, and the last ends so
+    assert got - set(unkeyed) == {(1, 9, 9), (2, 9, 9)} and [x[1:] for x in unkeyed] == [(5, 5)]
+    assert lines.shared_passages(table(spark)).count() == 0
+
+
 def test_decontamination_equals_brute_force(spark, docs, texts):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     find = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low(t))
@@ -205,6 +275,24 @@ def test_language_on_held_out_rows(spark):
     assert {r["lang_pred"] for r in language.identify(table(spark, (1, "words here")), language.fit(table(spark))).collect()} == {language.UNKNOWN}
 
 
+def test_forward_backward_equals_enumeration():
+    rng = np.random.default_rng(4)
+    for k, lengths in ((2, [4, 3, 1]), (3, [5, 5, 2]), (1, [3])):
+        steps = max(lengths)
+        emit, trans, begin = rng.normal(size=(len(lengths), steps, k)), rng.normal(size=(k, k)), rng.normal(size=k)
+        post, pairs = language.forward_backward(emit, np.array(lengths), trans, begin)
+        want, want_pairs = np.zeros_like(post), np.zeros((k, k))
+        for c, n in enumerate(lengths):
+            paths = list(itertools.product(range(k), repeat=n))
+            weight = np.array([np.exp(begin[p[0]] + sum(emit[c, t, y] for t, y in enumerate(p)) + sum(trans[a, b] for a, b in itertools.pairwise(p))) for p in paths])
+            for p, x in zip(paths, weight / weight.sum(), strict=True):
+                for t, y in enumerate(p):
+                    want[c, t, y] += x
+                for a, b in itertools.pairwise(p):
+                    want_pairs[a, b] += x
+        assert np.allclose(post, want) and np.allclose(pairs, want_pairs)
+
+
 def test_language_labels_switching_words(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.fit(docs)
@@ -254,6 +342,26 @@ def test_token_tables_round_trip(spark, docs, texts):
     assert sstable.lookup(path, rows, 777_777) == []
 
 
+ALPHABET = [*"aabcdeests  \n\t'-.,#0123456789AZ", "don't", "we'LL", "'s", "İ", "ß", "ẞ", "ﬁ", "Σ", "ς", "é", "e\u0301", "\u0307", "\u0327", "क", "्", "日本", "ⅷ", "½", "😀", "👩‍👩‍👧", "\u200b", "\u00ad", "\xa0", "\x1c", "\u2028", "<|", "|>", "<|endoftext|>", "<|startoftext|>", "K", "ſ", "Å", "\x00", "\ufeff"]
+
+
+def test_encoder_equals_the_library_on_random_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc, t, rng = encode.Encoder(path, 2, True), Tokenizer.from_file(path), np.random.default_rng(8)
+    for _ in range(20_000):
+        text = "".join(ALPHABET[i] for i in rng.integers(0, len(ALPHABET), rng.integers(1, 12)))
+        assert np.frombuffer(enc.ids(text), np.uint16).tolist() == [*t.encode(text, add_special_tokens=False).ids, 2], repr(text)
+
+
+def test_starts_of_many_shards(spark):
+    rows = [(r, f"s{r:06d}-{i}", r, 1, 10 * r + i) for r in range(2500) for i in range(2)]
+    made = sstable._with_starts(spark.createDataFrame(rows, "range int, file string, first_key long, n_docs long, n_tokens long").repartition(3))
+    got, start = {r["file"]: r["start"] for r in made.collect()}, 0
+    for _, file, _, _, n in rows:
+        assert got[file] == start
+        start += n
+
+
 def test_token_tables_of_odd_rows(spark):
     for rows in (ODD, ()):
         path = shared_dir(spark)

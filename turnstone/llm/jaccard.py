@@ -1,6 +1,7 @@
 """N-gram Jaccard join by T-occurrence search (DivideSkip).
 
-1. Every text becomes its set of word shingles; equal sets are one class, which later stands for all its copies.
+1. Every text becomes its set of word shingles, once; sets are staged, packed. Equal sets are one class, which
+   later stands for all its copies.
 2. A set that has a partner shares most of itself. With the shingles in order of hash, two sets that reach the
    threshold share l of their first |s| - ceil(t |s|) + l ones, for any l. So such prefixes, for an l of a tenth of
    the set, tell which sets can have a partner at all: the ones of whose prefix enough is in other sets, too.
@@ -14,21 +15,26 @@
 5. Components of the links.
 
 No pair of sets is emitted: lists give stars, and a block gives each set's root. No text is shuffled.
+
+In steps 2 and 3 shingles meet by slices of the space of hashes. There are as many as the mass asks for, and a task
+takes one after the other. A shingle that several sets of a task's batch hold is counted there and goes on once, so
+one that is in a third of all sets costs its slice one entry a batch.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnstone.llm.bloom import bloom
-from turnstone.llm.common import stage_table
+from turnstone.llm.bloom import keep_named
+from turnstone.llm.common import drop_staged, stage_table
 from turnstone.llm.components import components
 from turnstone.llm.words import PIECE, SPACED, U, Bytes, mix, pieces
 
@@ -39,36 +45,61 @@ FREQUENT = 1 << 18
 BLOCK = 1_000_000
 #: Classes in groups up to which their table is broadcast (40 bytes each); beyond, it is joined by a shuffle.
 BROADCAST = 1_000_000
-#: Slices of the space of hashes in which shingles meet: a constant, as each set may have a row in every slice.
-SLICES = 32
+#: Shingles of a batch that a task deals out, and of a slice in which they meet, about.
+BATCH, SLICE = 500_000, 1_000_000
 #: Sets in which a prefix shingle must be seen to be a candidate for that list.
 FEW = 6
-
-
-def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+#: Classes that a task remembers having given.
+SEEN = 200_000
+
+
+def _word_hashes(raw: Bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes, and for each text its first word's number (and one more at the end)."""
+    at, end, first = raw.words(SPACED)
+    return raw.hashes(at, end), first
+
+
+def _runs(h: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of all runs of so many words."""
+    run = np.zeros(max(0, len(h) - words + 1), np.uint64)
+    for k in range(words if len(run) else 0):
+        run = mix(run + h[k : len(h) - words + 1 + k])
+    return run
+
+
+def _few(h: np.ndarray) -> np.ndarray:
+    """The set of a text of fewer words than a shingle: the whole sequence as one, or none."""
+    x = np.full(min(1, len(h)), len(h), np.uint64)
+    for k in range(len(h)):
+        x = mix(x + h[k : k + 1])
+    return x
+
+
+def _long_set(text: np.ndarray, words: int) -> np.ndarray:
+    """The set of one long text (its bytes), by windows that are cut between words and overlap by a shingle less one word."""
+    blank = ~SPACED[text]
+    out, at, carry = np.zeros(0, np.uint64), 0, np.zeros(0, np.uint64)
+    while at < len(text):
+        end = min(at + PIECE, len(text))
+        if end < len(text):
+            back = np.flatnonzero(blank[at:end])
+            more = np.flatnonzero(blank[end:]) if not len(back) else back
+            end = at + int(back[-1]) + 1 if len(back) else end + int(more[0]) + 1 if len(more) else len(text)
+        h = np.concatenate([carry, _word_hashes(Bytes(pa.array([text[at:end].tobytes()], pa.binary())))[0]])
+        run = _runs(h, words)
+        out = np.union1d(out, run)
+        carry, at = h[max(0, len(h) - words + 1) :], end
+    return out if len(out) else _few(carry)
+
+
+def shingle_sets(texts: list[str | None] | pa.Array, words: int = WORDS) -> list[np.ndarray]:
     """Each text's sorted set of 64-bit shingle hashes; with fewer words than a shingle, the whole sequence is one."""
-    b = Bytes(texts)
-    at, end, first = b.words(SPACED)
-    h = b.hashes(at, end)
-    n = len(h)
-    if n >= words:
-        run = np.zeros(n - words + 1, np.uint64)
-        for k in range(words):
-            run = mix(run + h[k : n - words + 1 + k])
-    else:
-        run = np.zeros(0, np.uint64)
-    out = []
-    for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if j - i >= words:
-            out.append(np.unique(run[i : j - words + 1]))
-        elif j > i:
-            x = np.full(1, j - i, np.uint64)
-            for k in range(i, j):
-                x = mix(x + h[k : k + 1])
-            out.append(x)
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    if len(texts) == 1 and texts[0].is_valid and texts[0].as_buffer().size > 2 * PIECE:
+        return [_long_set(np.frombuffer(texts[0].as_buffer(), np.uint8), words)]
+    h, first = _word_hashes(Bytes(texts))
+    run = _runs(h, words)
+    return [np.unique(run[i : j - words + 1]) if j - i >= words else _few(h[i:j]) for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
 
 def fingerprint(s: np.ndarray) -> int:
@@ -80,24 +111,28 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n + (-percent * n) // 100 + 1
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Batches of (…, text) in bounded pieces, with the texts' sets."""
-    for b in batches:
-        texts = b.column(b.num_columns - 1).to_pylist()
-        for i, j in pieces(texts, PIECE // 2):
-            yield b.slice(i, j - i), shingle_sets(texts[i:j])
-
+def packed_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, n (set size), fp (class) of every document, and s: the set, where a task sees the class first.
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), fp of every document."""
+    A task that has seen many classes forgets them, so a class may be given several times; `given` marks it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, sets in _texts(batches):
-            n = [len(s) for s in sets]
-            fp = [fingerprint(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64())], names=["doc_id", "n", "fp"])
+        seen: set[int] = set()
+        for b in batches:
+            texts = b.column(1)
+            for i, j in pieces(texts, PIECE // 2):
+                sets = shingle_sets(texts.slice(i, j - i))
+                fp = [fingerprint(s) if len(s) else None for s in sets]
+                new = [f is not None and not (f in seen or seen.add(f)) for f in fp]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.int64()), pa.array(new), pa.array([s.tobytes() if x else None for s, x in zip(sets, new, strict=True)], pa.binary())],
+                    names=["doc_id", "n", "fp", "given", "s"],
+                )
+                if len(seen) > SEEN:
+                    seen.clear()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp long, given boolean, s binary")
 
 
 def shared_depth(n):
@@ -105,171 +140,199 @@ def shared_depth(n):
     return n // 10 if isinstance(n, int) else F.floor(n / 10)
 
 
-class _Postings:
-    """Collects (set, shingles) of a task and deals them out by slices of the space of hashes, packed."""
+def _dealt(sets: Iterator[tuple[int, np.ndarray]], slices: int, local: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], most: int = BATCH) -> Iterator[pa.RecordBatch]:
+    """(fp, shingles) of a task as rows by slices of the space of hashes.
 
-    def __init__(self, slices: int):
-        self.slices = slices
-        self.clear()
-
-    def clear(self) -> None:
-        self.h: list[np.ndarray] = []
-        self.fp: list[int] = []
-        self.mass = 0
-
-    def add(self, fp: int, shingles: np.ndarray) -> None:
-        self.h.append(shingles)
-        self.fp.append(fp)
-        self.mass += len(shingles)
+    A row holds a slice's part of a batch: h, 32 bits of each hash; of, which of the fps; w, in how many sets of
+    the batch it is. What more than one class of the batch holds comes once, with w over 1, and `local` says of it what
+    is known already: (head, fp by hash, of each hash's number) to two columns of longs, which go on as rows without w.
+    """
 
-    def full(self) -> bool:
-        """To be asked after every set: 16 bits number the sets of a batch."""
-        return self.mass > 1_000_000 or len(self.fp) >= 1 << 16
+    def batch(h: list[np.ndarray], fp: list[int]) -> pa.RecordBatch:
+        of = np.repeat(np.arange(len(h), dtype=np.uint32), [len(x) for x in h])
+        h, fp = np.concatenate(h), np.array(fp, np.int64)
+        order = np.argsort(h, kind="stable")
+        h, of = h[order], of[order]
+        head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        count = np.diff(np.append(head, len(h)))
+        by = fp[of]
+        many = (count > 1) & (np.minimum.reduceat(by, head) != np.maximum.reduceat(by, head))
+        inside = np.repeat(many, count)
+        known = local(by[inside], np.repeat(np.arange(int(many.sum())), count[many]))
+        goes = ~inside
+        goes[head[many]] = True
+        w = np.ones(len(h), np.uint16)
+        w[head[many]] = np.minimum(count[many], 65_535)
+        h, of, w = h[goes], of[goes], w[goes]
+        at = ((h >> U(32)) * U(slices) >> U(32)).astype(np.int64)
+        edge = np.searchsorted(at, np.arange(slices + 1))
+        low, rows = (h & U(0xFFFFFFFF)).astype(np.uint32), []
+        for k in np.flatnonzero(np.diff(edge)).tolist():
+            i, j = int(edge[k]), int(edge[k + 1])
+            used, new = np.unique(of[i:j], return_inverse=True)
+            rows.append((k, low[i:j].tobytes(), w[i:j].tobytes(), new.astype(np.uint32).tobytes(), fp[used].tobytes()))
+        if len(known[0]):
+            rows.append((int(known[0][0]) % slices, known[1].astype(np.int64).tobytes(), None, None, known[0].astype(np.int64).tobytes()))
+        cols = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["slice", "h", "w", "of", "fp"])
+
+    hs, fps, mass = [], [], 0
+    for f, s in sets:
+        hs.append(s)
+        fps.append(f)
+        mass += len(s)
+        if mass >= most:
+            yield batch(hs, fps)
+            hs, fps, mass = [], [], 0
+    if mass:
+        yield batch(hs, fps)
+
+
+_DEALT = "slice int, h binary, w binary, of binary, fp binary"
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray] | tuple[np.ndarray, np.ndarray]]:
+    """Of a task's rows, by slice: (slice, h, fp, w) ordered by h and fp, for one slice at a time; and pairs of columns, as `local` gave them.
+
+    A hash is known by 32 bits inside its slice: of two that fall together each still counts, so a set or a
+    group may be one too many, never one too few.
+    """
 
-    def batch(self) -> pa.RecordBatch:
-        """(slice, h: 32 bits of each hash, of: 16 bits, which of the fps, fp) rows."""
-        if len(self.fp) > 1 << 16:
-            raise ValueError(f"{len(self.fp)} sets are more than 16 bits number")
-        h = np.concatenate(self.h) if self.h else np.zeros(0, np.uint64)
-        of = np.repeat(np.arange(len(self.h), dtype=np.uint16), [len(x) for x in self.h]) if self.h else np.zeros(0, np.uint16)
-        at = ((h >> U(32)) * U(self.slices) >> U(32)).astype(np.int64)
-        order = np.argsort(at, kind="stable")
-        edge = np.searchsorted(at[order], np.arange(self.slices + 1))
-        low, of, fps = (h & U(0xFFFFFFFF)).astype(np.uint32)[order], of[order], np.array(self.fp, np.int64)
-        rows = []
-        for k, (i, j) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
-            if j > i:
-                used, new = np.unique(of[i:j], return_inverse=True)
-                rows.append((k, low[i:j].tobytes(), new.astype(np.uint16).tobytes(), fps[used].tobytes()))
-        self.clear()
-        cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["slice", "h", "of", "fp"])
+    def rows() -> Iterator[tuple]:
+        for b in batches:
+            yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
 
+    for k, group in itertools.groupby(rows(), key=lambda r: r[0]):
+        hs, fps, ws = [], [], []
+        for _, h, w, of, fp in group:
+            if w is None:
+                yield np.frombuffer(fp, np.int64), np.frombuffer(h, np.int64)
+                continue
+            hs.append(np.frombuffer(h, np.uint32))
+            ws.append(np.frombuffer(w, np.uint16))
+            fps.append(np.frombuffer(fp, np.int64)[np.frombuffer(of, np.uint32)])
+        if hs:
+            h, fp, w = np.concatenate(hs), np.concatenate(fps), np.concatenate(ws)
+            order = np.lexsort((fp, h))
+            yield k, h[order], fp[order], w[order]
 
-_PACKED = "slice int, h binary, of binary, fp binary"
 
+def _deal(sets: DataFrame, slices: int, emit: Callable, meet: Callable, schema: str) -> DataFrame:
+    return sets.select("fp", "s").mapInArrow(emit, _DEALT).repartition("slice").sortWithinPartitions("slice").mapInArrow(meet, schema)
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(slice, hashes, fps), by hash, each (hash, fp) once, of a task's slices.
 
-    A hash is known by 32 bits inside its slice here: two that fall together make a set or a group too
-    many, never one too few.
-    """
-    parts: dict[int, tuple[list, list]] = {}
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
     for b in batches:
-        for k, h, of, fp in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            parts.setdefault(k, ([], []))[0].append(np.frombuffer(h, np.uint32))
-            parts[k][1].append(np.frombuffer(fp, np.int64)[np.frombuffer(of, np.uint16)])
-    for k in list(parts):
-        hs, fps = parts.pop(k)
-        h, fp = np.concatenate(hs), np.concatenate(fps)
-        order = np.lexsort((fp, h))
-        h, fp = h[order], fp[order]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (fp[1:] != fp[:-1])])
-        yield k, h[new], fp[new]
-
-
-def _slice_count(docs: DataFrame) -> int:
-    """Slices of the space of hashes; `spark.turnstone.slices` raises it on a large cluster."""
-    return int(docs.sparkSession.conf.get("spark.turnstone.slices", str(SLICES)))
-
-
-def shared_prefixes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Rows of two kinds: (fp, n): how many shingles of a set's prefix other sets have in theirs, in parts to be
-    summed; and with `often` set, (slice and 32 bits of a hash, n): shingles in FEW or more sets.
-    """
-    slices = _slice_count(docs)
+        for f, s in zip(b.column(0), b.column(1), strict=True):
+            yield f.as_py(), np.frombuffer(s.as_buffer(), np.uint64)
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, seen = _Postings(slices), set()
-        for _, sets in _texts(batches):
-            for s in sets:
-                if len(s) and (f := fingerprint(s)) not in seen:
-                    seen.add(f)
-                    out.add(f, s[: prefix_size(len(s), percent) - 1 + max(1, shared_depth(len(s)))])
-                    if out.full():
-                        yield out.batch()
-                        seen.clear()
-        yield out.batch()
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, h, fp in _slices(batches):
-            head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            count = np.diff(np.append(head, len(h)))
-            f, n = np.unique(fp[np.repeat(count > 1, count)], return_counts=True)
-            many = np.flatnonzero(count >= FEW)
-            key = (np.int64(k) << np.int64(32)) | h[head[many]].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f, key])), pa.array(np.concatenate([n, count[many]]).astype(np.int64)), pa.array(np.arange(len(f) + len(many)) >= len(f))], names=["fp", "n", "often"])
+def _summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, with the sum of its values."""
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return key, np.bincount(at, np.concatenate(values), len(key)).astype(np.int64)
 
-    return docs.select("text").mapInArrow(emit, _PACKED).repartition("slice").mapInArrow(meet, "fp long, n long, often boolean")
 
+def shared_counts(sets: DataFrame, slices: int, part: Callable[[int], int], most: int = BATCH) -> DataFrame:
+    """Of rows (fp, s), of whose shingles the first part(n) count, rows of two kinds.
 
-def shared_sizes(sets: DataFrame) -> DataFrame:
-    """(fp, n) in parts to be summed: how many of a set's shingles are in other sets of the table (fp, s), too."""
-    slices = _slice_count(sets)
+    (fp, n): how many of them sets of other classes have among theirs, too, for all rows of the class together;
+    and with `often` set, (slice and 32 bits of a hash, n): shingles in FEW or more sets.
+    """
+
+    def counted(by: np.ndarray, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(by, return_counts=True)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Postings(slices)
-        for b in batches:
-            for f, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                out.add(f, np.frombuffer(s, np.uint64))
-                if out.full():
-                    yield out.batch()
-        yield out.batch()
+        return _dealt(((f, s[: part(len(s))]) for f, s in _rows(batches)), slices, counted, most)
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, h, fp in _slices(batches):
-            head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            count = np.diff(np.append(head, len(h)))
-            f, n = np.unique(fp[np.repeat(count > 1, count)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(n.astype(np.int64))], names=["fp", "n"])
+    def packed(f: np.ndarray, n: np.ndarray, often: bool) -> pa.RecordBatch:
+        """Counts by slices of the classes, as the shingles went by slices of theirs."""
+        at = f.view(np.uint64) % U(slices)
+        order = np.argsort(at, kind="stable")
+        at, f, n = at[order], f[order], n[order]
+        edge = np.searchsorted(at, np.arange(slices + 1, dtype=np.uint64))
+        some = np.flatnonzero(np.diff(edge)).tolist()
+        parts = [x[edge[k] : edge[k + 1]].tobytes() for x in (f, n) for k in some]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(parts[: len(some)], pa.binary()), pa.array(parts[len(some) :], pa.binary()), pa.array([often] * len(some), pa.bool_())], names=["slice", "key", "n", "often"])
 
-    return sets.select("fp", "s").mapInArrow(emit, _PACKED).repartition("slice").mapInArrow(meet, "fp long, n long")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, ns, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for got in _met(batches):
+            if len(got) == 2:
+                f, n = got
+            else:
+                k, h, fp, w = got
+                first = np.concatenate([[True], h[1:] != h[:-1]])
+                head = np.flatnonzero(first)
+                size = np.diff(np.append(head, len(h)))
+                kinds = np.add.reduceat(first | np.concatenate([[True], fp[1:] != fp[:-1]]), head, dtype=np.int64)
+                total = kinds + np.add.reduceat(w.astype(np.int64) - 1, head)
+                f, n = np.unique(fp[np.repeat(total > 1, size) & (w == 1)], return_counts=True)
+                many = total >= FEW
+                yield packed((np.int64(k) << np.int64(32)) | h[head[many]].astype(np.int64), total[many], True)
+            # a task sums up over its slices
+            fs.append(f)
+            ns.append(n)
+            held += len(f)
+            if held > SLICE:
+                yield packed(*_summed(fs, ns), False)
+                fs, ns, held = fs[:1], ns[:1], 0
+        yield packed(*_summed(fs, ns), False)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = ((k, np.frombuffer(f, np.int64), np.frombuffer(n, np.int64), o) for b in batches for k, f, n, o in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for (_, often), group in itertools.groupby(whole, key=lambda r: (r[0], r[3])):
+            parts = list(group)
+            f, n = _summed([r[1] for r in parts], [r[2] for r in parts])
+            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(n), pa.array(np.full(len(f), often))], names=["fp", "n", "often"])
+
+    met = _deal(sets, slices, emit, meet, "slice int, key binary, n binary, often boolean")
+    return met.repartition("slice").sortWithinPartitions("slice", "often").mapInArrow(add, "fp long, n long, often boolean")
 
 
-def _only(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The sets of the wanted classes (fp), by a bounded filter: no shuffle, and a few others at most."""
-    sent = sets.sparkSession.sparkContext.broadcast(bloom(wanted, "fp"))
+def _name(h: np.ndarray, slices: int) -> np.ndarray:
+    """A hash as shared_counts tells it."""
+    return (((h >> U(32)) * U(slices) >> U(32)) << U(32) | h & U(0xFFFFFFFF)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(sent.value.holds(b.column(0).to_numpy().view(np.uint64))))
 
-    return sets.mapInArrow(run, sets.schema)
+def _stars(hub: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    pairs = np.unique(np.stack([hub, fp], axis=1)[fp != hub], axis=0)
+    return pairs[:, 0], pairs[:, 1]
 
 
-def _name(h: np.ndarray, slices: int) -> np.ndarray:
-    """A hash as shared_prefixes tells it."""
-    return (((h >> U(32)) * U(slices) >> U(32)) << U(32) | h & U(0xFFFFFFFF)).astype(np.int64)
+def prefix_stars(sets: DataFrame, slices: int, frequent: np.ndarray, percent: int = PERCENT) -> DataFrame:
+    """(a, b) pairs of sets (fp, s): each list of a prefix shingle as a star of its smallest set (in a batch, of its first)."""
+    sent = sets.sparkSession.sparkContext.broadcast(frequent)
 
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        often = sent.value
+        for f, s in _rows(batches):
+            p = prefix_size(len(s), percent)
+            if len(often):
+                name = _name(s, slices)
+                late = often[np.minimum(np.searchsorted(often, name), len(often) - 1)] == name
+                s = np.concatenate([s[~late][:p], s[late][: max(0, p - int((~late).sum()))]])
+            yield f, s[:p]
 
-def prefix_stars(sets: DataFrame, frequent: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """(a, b) pairs of sets (fp, s): each list of a prefix shingle as a star of its smallest set."""
-    sent, slices = sets.sparkSession.sparkContext.broadcast(frequent), _slice_count(sets)
+    def starred(by: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        head = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+        return _stars(by[head][of] if len(of) else by, by)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, often = _Postings(slices), sent.value
-        for b in batches:
-            for f, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = np.frombuffer(s, np.uint64)
-                p = prefix_size(len(s), percent)
-                if len(often):
-                    name = _name(s, slices)
-                    late = often[np.minimum(np.searchsorted(often, name), len(often) - 1)] == name
-                    s = np.concatenate([s[~late][:p], s[late][: max(0, p - int((~late).sum()))]])
-                out.add(f, s[:p])
-                if out.full():
-                    yield out.batch()
-        yield out.batch()
+        return _dealt(prefixes(batches), slices, starred)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, h, fp in _slices(batches):
-            head = np.concatenate([[True], h[1:] != h[:-1]])
-            hub = fp[np.flatnonzero(head)][np.cumsum(head) - 1]
-            pairs = np.unique(np.stack([hub, fp], axis=1)[fp != hub], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        for got in _met(batches):
+            if len(got) == 2:
+                a, b = got
+            else:
+                _, h, fp, _ = got
+                first = np.concatenate([[True], h[1:] != h[:-1]])
+                a, b = _stars(fp[np.flatnonzero(first)][np.cumsum(first) - 1], fp)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return sets.select("fp", "s").mapInArrow(emit, _PACKED).repartition("slice").mapInArrow(meet, "a long, b long")
+    return _deal(sets, slices, emit, meet, "a long, b long")
 
 
 class Block:
@@ -405,43 +468,25 @@ def _link_groups(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
     held: list[tuple] = []
-    mass, last = 0, None
+    mass, last = 0, (None, None, None)
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if row[0] != last and mass > BLOCK // 2:
+        for *key, s in zip(*(c.to_pylist() for c in b.columns[:3]), b.column(3), strict=True):
+            row = (*key, s.as_py())
+            if row[:3] == last:
+                continue  # a class that was given several times
+            if row[0] != last[0] and mass > BLOCK // 2:
                 yield solve(held)
                 held, mass = [], 0
-            last = row[0]
+            last = row[:3]
             held.append(row)
             mass += len(row[3]) // 8
     if held:
         yield solve(held)
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(fp, s) of the wanted classes (fp), from a scan of the texts; other tasks may give a class once more.
-
-    The scan knows them by a bounded filter; a class that it lets through in error has no partner and links nothing.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(bloom(wanted, "fp"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for _, sets in _texts(batches):
-            full = [s for s in sets if len(s)]
-            fp = np.array([fingerprint(s) for s in full], np.int64)
-            fine = np.flatnonzero(sent.value.holds(fp.view(np.uint64)))
-            new = [k for k in fine.tolist() if not (int(fp[k]) in seen or seen.add(int(fp[k])))]
-            yield pa.RecordBatch.from_arrays([pa.array(fp[new]), pa.array([full[k].tobytes() for k in new], pa.binary())], names=["fp", "s"])
-            if len(seen) > 500_000:
-                seen.clear()
-
-    return docs.select("text").mapInArrow(run, "fp long, s binary")
-
-
 def _links(rows: DataFrame, percent: int) -> DataFrame:
     """Links of rows (group, fp, role, s), each group in one task."""
-    dealt = rows.select("group", "fp", "role", "s").repartition("group").sortWithinPartitions("group", "fp")
+    dealt = rows.select("group", "fp", "role", "s").repartition("group").sortWithinPartitions("group", "fp", "role")
     return dealt.mapInArrow(lambda batches: _link_groups(batches, percent), "a long, b long")
 
 
@@ -459,20 +504,24 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK)
     group's first set; then the sets that this has not united with the group's largest class against
     every block. Links inside one class can't change a component and aren't looked for.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = stage_table(classes(docs))
-    own = stage_table(known.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
-    parts = stage_table(shared_prefixes(docs, percent))
+    packed = stage_table(packed_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
+    known = stage_table(packed.select("doc_id", "n", "fp"))
+    own = stage_table(packed.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.sum(F.col("given").cast("long")).alias("times")))
+    mass = own.agg(F.sum(F.col("n") * F.col("times"))).first()[0] or 0
+    slices = 1 + mass * (100 - percent + 10) // (100 * SLICE)
+    parts = stage_table(shared_counts(packed.where("given"), slices, lambda n: prefix_size(n, percent) - 1 + max(1, shared_depth(n))))
     often = parts.where("often").orderBy(F.col("n").desc(), "fp").limit(FREQUENT).select("fp").toArrow()
     frequent = np.sort(often.column(0).to_numpy())
-    depth = parts.where("NOT often").groupBy("fp").agg(F.sum("n").alias("depth"))
+    depth = parts.where("NOT often").select("fp", F.col("n").alias("depth"))
     partner = F.ceil(F.col("n") * percent / 100)
-    hopeful = own.join(depth, "fp").where(F.col("depth") >= F.greatest(F.lit(1), shared_depth(partner))).select("fp")
-    sets = stage_table(_sets_of(docs, stage_table(hopeful)))
+    hopeful = own.join(depth, "fp").where(F.col("depth") >= F.col("times") * F.greatest(F.lit(1), shared_depth(partner))).select("fp")
+    sets = stage_table(keep_named(packed.where("given").select("fp", "s"), "fp", stage_table(hopeful)))
+    drop_staged(packed)
     # among those, a set has to have its share of whole sets, not only of prefixes
-    whole = shared_sizes(sets).groupBy("fp").agg(F.sum("n").alias("whole"))
-    sets = _only(sets, stage_table(own.join(whole, "fp").where(F.col("whole") >= partner).select("fp")))
-    groups = stage_table(components(prefix_stars(sets, frequent, percent)))
+    whole = shared_counts(sets, slices, lambda n: n).where("NOT often").select("fp", F.col("n").alias("whole"))
+    likely, sets = sets, stage_table(keep_named(sets, "fp", stage_table(own.join(whole, "fp").where(F.col("whole") >= F.col("times") * partner).select("fp"))))
+    drop_staged(likely)
+    groups = stage_table(components(stage_table(prefix_stars(sets, slices, frequent, percent))))
     member = own.join(groups, own["fp"] == groups["node"]).select("fp", "n", F.col("root").alias("near"))
     mass = stage_table(member.groupBy("near").agg(F.sum("n").alias("mass"), F.min("fp").alias("hub")))
     member = stage_table(member.join(mass, "near").drop("n"))
@@ -487,6 +536,7 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK)
     else:
         roots = links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
     roots = stage_table(roots)
+    drop_staged(sets)
     least = roots.join(own, roots["node"] == own["fp"]).groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = own.join(roots.join(least, "root"), own["fp"] == F.col("node"), "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     return known.join(of_class, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
