@@ -138,11 +138,11 @@ def inherited_turns(turns: DataFrame, seeds: DataFrame, by: list[str], order: li
 
 def match_sessions(left: DataFrame, right: DataFrame, key: str, workspace: str) -> DataFrame:
     """(left_id, right_id): sessions with one key and one workspace, or the only ones of their key on both sides."""
-    a, b = left.select(key, F.col(workspace).alias("__wa"), "left_id"), right.select(key, F.col(workspace).alias("__wb"), "right_id")
-    a = a.withColumn("__na", F.count(F.lit(1)).over(Window.partitionBy(key)))
-    b = b.withColumn("__nb", F.count(F.lit(1)).over(Window.partitionBy(key)))
-    j = a.join(b, key)
-    return j.where(F.coalesce(F.lower("__wa") == F.lower("__wb"), F.lit(False)) | ((F.col("__na") == 1) & (F.col("__nb") == 1))).select(key, "left_id", "right_id")
+    a, b = left.select(key, F.lower(workspace).alias("__w"), "left_id"), right.select(key, F.lower(workspace).alias("__w"), "right_id")
+    same = a.join(b, [key, "__w"]).select(key, "left_id", "right_id")
+    sole = lambda d, i: d.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.min(i).alias(i)).where("__n = 1").drop("__n")
+    only = sole(a, "left_id").join(sole(b, "right_id"), key).select(key, "left_id", "right_id")
+    return same.unionByName(only).distinct()
 
 
 def fingerprint(rows: DataFrame) -> DataFrame:

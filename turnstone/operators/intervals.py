@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,21 +26,41 @@ def turn_by_interval(rows: DataFrame, turns: DataFrame, by: list[str], ts: str,
     return got.withColumn(turn_id, F.when(~F.coalesce(late, F.lit(False)), F.col("__found.turn"))).select(*names, turn_id)
 
 
+def reach_segments(rows: DataFrame, by: list[str], ts: str, seconds: float, name: str = "__segment") -> DataFrame:
+    """Adds the number of the row's segment: one ends where nothing follows within `seconds`, so rows of two segments are out of reach.
+
+    What is sequential inside a key then needs a segment at a time, not the key's whole history.
+    """
+    w = Window.partitionBy(*by).orderBy(ts)
+    far = F.coalesce(micros(ts) - micros(F.lag(ts).over(w)) > int(seconds * 1e6), F.lit(False))
+    return rows.withColumn("__far", far).withColumn(name, F.count_if("__far").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("__far")
+
+
 def adopt_pending(prompts: DataFrame, pending: DataFrame, by: list[str], prompt_ts: str, pending_ts: str, prompt_id: str, pending_id: str, seconds: int = 30) -> DataFrame:
-    """(prompt_id, pending_id): each prompt takes the nearest pending row in [ts, ts + seconds], each row goes once.
+    """(prompt_id, pending_id): prompts, by time, take the nearest row in [ts, ts + seconds] that no prompt before has taken.
 
-    Equi-join on the keys and a time bucket (a row's own and the next), then the range. Where several prompts
-    want a row the nearest prompt has it, and the others none.
+    The nearest row that is left is the first one, so rows go by time to the prompt that waits longest, if it still does. One
+    segment of rows within reach of each other is worked on at once.
     """
-    bucket = lambda c: F.floor(micros(c) / 1e6 / seconds)
-    a = prompts.select(*by, F.col(prompt_id), F.col(prompt_ts).alias("__p"), F.explode(F.array(bucket(prompt_ts), bucket(prompt_ts) + 1)).alias("__b"))
-    b = pending.select(*by, F.col(pending_id), F.col(pending_ts).alias("__q"), bucket(pending_ts).alias("__b"))
-    near = a.join(b, [*by, "__b"]).where(F.col("__q").between(F.col("__p"), F.col("__p") + F.expr(f"INTERVAL {seconds} SECONDS")))
-    gap = micros("__q") - micros("__p")
-    best = near.withColumn("__gap", gap)
-    best = best.withColumn("__r", F.row_number().over(Window.partitionBy(*by, prompt_id).orderBy("__gap", pending_id))).where("__r = 1")
-    best = best.withColumn("__s", F.row_number().over(Window.partitionBy(*by, pending_id).orderBy("__gap", prompt_id))).where("__s = 1")
-    return best.select(*by, prompt_id, pending_id)
+    types = {c: dict(prompts.dtypes)[c] for c in by} | {prompt_id: dict(prompts.dtypes)[prompt_id], pending_id: dict(pending.dtypes)[pending_id]}
+    a = prompts.select(*by, F.col(prompt_ts).alias("__at"), F.lit(0).alias("__kind"), F.col(prompt_id).alias("__a"), F.lit(None).cast(types[pending_id]).alias("__b"))
+    b = pending.select(*by, F.col(pending_ts).alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast(types[prompt_id]).alias("__a"), F.col(pending_id).alias("__b"))
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["__at", "__kind", "__a", "__b"])
+        waiting: deque = deque()
+        out = []
+        for at, kind, p, q in zip(pdf["__at"], pdf["__kind"], pdf["__a"], pdf["__b"], strict=True):
+            while waiting and (at - waiting[0][0]).total_seconds() > seconds:
+                waiting.popleft()
+            if kind == 0:
+                waiting.append((at, p))
+            elif waiting:
+                out.append((*(pdf[k].iloc[0] for k in by), waiting.popleft()[1], q))
+        return pd.DataFrame(out, columns=[*by, prompt_id, pending_id])
+
+    both = reach_segments(a.unionByName(b), by, "__at", seconds)
+    return both.groupBy(*by, "__segment").applyInPandas(match, ", ".join(f"`{c}` {t}" for c, t in types.items()))
 
 
 def repeated_within(rows: DataFrame, keys: list[str], order: list[str], ts: str, seconds: float, resets: Column | None = None, segment_by: list[str] | None = None) -> DataFrame:

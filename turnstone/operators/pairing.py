@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnstone.functions.times import micros
+from turnstone.operators.intervals import reach_segments
 
 
 def pair_by_id(requests: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,17 +75,11 @@ def greedy_by_skew(rows: DataFrame, keys: list[str], order: list[str], side: str
     """(keys, left_id, right_id): in arrival order each row takes the free one of the other side with the least skew.
 
     Both sides ("left", "right" in the column `side`) come interleaved; a candidate is used once, and not
-    beyond most_seconds; equal skews go to the earlier arrival. Sequential by nature: one group of
-    keys at a time, and only rows that have a partner in reach reach Python.
+    beyond most_seconds; equal skews go to the earlier arrival. Sequential by nature: inside a segment of rows
+    that are within reach of each other.
     """
     types = dict(rows.dtypes)
-    reach = int(most_seconds)
-    near = rows.withColumn("__b", F.floor(micros(ts) / 1e6 / reach))
-    # a row can only match one of the other side in its own or a neighbouring bucket
-    other = near.select(*keys, F.col(side).alias("__side"), F.explode(F.array(F.col("__b") - 1, F.col("__b"), F.col("__b") + 1)).alias("__b")).distinct()
-    kept = near.join(other, [*keys, "__b"]).where(F.col(side) != F.col("__side")).select(*keys, *order, side, ts, row_id)
-    names = list(dict.fromkeys([*keys, *order, side, ts, row_id]))
-    kept = kept.select(*names)
+    kept = reach_segments(rows.select(*dict.fromkeys([*keys, *order, side, ts, row_id])), keys, ts, most_seconds)
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
@@ -107,7 +101,7 @@ def greedy_by_skew(rows: DataFrame, keys: list[str], order: list[str], side: str
         return got[[*keys, "left_id", "right_id"]]
 
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + [f"left_id {types[row_id]}", f"right_id {types[row_id]}"])
-    return kept.groupBy(*keys).applyInPandas(match, schema)
+    return kept.groupBy(*keys, "__segment").applyInPandas(match, schema)
 
 
 def queue_matches(rows: DataFrame, keys: list[str], order: list[str], kind: str, args: str, row_id: str) -> DataFrame:

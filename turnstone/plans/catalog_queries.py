@@ -86,10 +86,11 @@ def capped_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH f AS (SELECT 'f' || (o_orderkey % 400) AS file, o_custkey FROM orders WHERE o_orderkey < 2000)
-    SELECT file, CASE WHEN count(DISTINCT o_custkey) = 1 THEN CAST(min(o_custkey) AS VARCHAR) ELSE file END AS session_id, count(DISTINCT o_custkey) > 1 AS conflict FROM f GROUP BY file""")
+    WITH f AS (SELECT '/logs/f' || (o_orderkey // 3) || '.jsonl' AS file, 'f' || (o_orderkey // 3) AS name, CASE WHEN o_orderkey % 9 < 6 THEN o_orderkey // 3 ELSE o_custkey END AS o_custkey FROM orders)
+    SELECT file, CASE WHEN count(DISTINCT o_custkey) = 1 THEN CAST(min(o_custkey) AS VARCHAR) ELSE min(name) END AS session_id, count(DISTINCT o_custkey) > 1 AS conflict FROM f GROUP BY file""")
 def id_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where("o_orderkey < 2000").select(F.concat(F.lit("f"), (F.col("o_orderkey") % 400).cast("string")).alias("file"), "o_custkey")
+    n = F.floor(F.col("o_orderkey") / 3)
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("/logs/f"), n.cast("string"), F.lit(".jsonl")).alias("file"), F.when(F.col("o_orderkey") % 9 < 6, n).otherwise(F.col("o_custkey")).alias("o_custkey"))
     return catalog.id_consensus(rows, "file", "o_custkey")
 
 
@@ -171,10 +172,10 @@ def folder_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT o_orderkey, CASE WHEN n = 1 THEN 'Resolved' WHEN n > 1 THEN 'Ambiguous' ELSE 'Unresolved' END AS state, CASE WHEN n = 1 THEN t END AS target
-    FROM (SELECT o_orderkey, o_custkey % 900 AS k FROM orders) LEFT JOIN (SELECT c_custkey % 1000 AS k, count(*) AS n, min(c_custkey) AS t FROM customer WHERE c_custkey % 7 > 0 GROUP BY 1) USING (k)""")
+    FROM (SELECT o_orderkey, o_custkey % 900 AS k FROM orders) LEFT JOIN (SELECT CASE WHEN c_custkey % 7 > 0 THEN c_custkey % 1000 ELSE -c_custkey END AS k, count(*) AS n, min(c_custkey) AS t FROM customer GROUP BY 1) USING (k)""")
 def relation_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 900).alias("k"))
-    c = table(spark, sf_dir, "customer").where("c_custkey % 7 > 0").select((F.col("c_custkey") % 1000).alias("k"), F.col("c_custkey").alias("target"))
+    c = table(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 7 > 0, F.col("c_custkey") % 1000).otherwise(-F.col("c_custkey")).alias("k"), F.col("c_custkey").alias("target"))
     return relations.resolve(o, c, "o_orderkey", "k", "target")
 
 
@@ -280,13 +281,15 @@ def usage_after_open(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH n AS (SELECT DISTINCT ['totalNanoAiu', 'inputTokens', 'cache_read', 'durationMs', 'output-tokens', 'reasoning_tokens', 'count'][l_partkey % 7 + 1] AS name, l_partkey % 7 AS i FROM lineitem)
-    SELECT name, ['nano-AIU', 'tokens', 'tokens', 'ms', 'tokens', 'tokens', 'requests'][i + 1] AS unit, concat_ws(',', CASE WHEN i = 1 THEN 'input' END, CASE WHEN i = 4 THEN 'output' END, CASE WHEN i = 2 THEN 'cache_read' END, CASE WHEN i = 5 THEN 'reasoning' END) AS families FROM n""")
+    WITH n AS (SELECT l_orderkey, l_linenumber, l_partkey % 9 AS i, ['total', 'session', 'x'][l_suppkey % 3 + 1] || ['NanoAiu', 'InputTokens', 'CacheReadTokens', 'DurationMs', '-output-tokens', '_reasoning_tokens', 'PremiumRequests', 'Latency', 'Odd'][l_partkey % 9 + 1] AS name FROM lineitem)
+    SELECT l_orderkey, l_linenumber, name, ['nano-AIU', 'tokens', 'tokens', 'ms', 'tokens', 'tokens', 'premium requests', 'ms', 'provider units'][i + 1] AS unit,
+        concat_ws(',', CASE WHEN i = 1 THEN 'input' END, CASE WHEN i = 4 THEN 'output' END, CASE WHEN i = 2 THEN 'cache_read' END, CASE WHEN i = 5 THEN 'reasoning' END) AS families FROM n""")
 def usage_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("totalNanoAiu", "inputTokens", "cache_read", "durationMs", "output-tokens", "reasoning_tokens", "count")
-    rows = table(spark, sf_dir, "lineitem").select(F.get(F.array(*map(F.lit, names)), (F.col("l_partkey") % 7).cast("int")).alias("name")).distinct()
+    pick = lambda c, *v: F.get(F.array(*map(F.lit, v)), (F.col(c) % len(v)).cast("int"))
+    name = F.concat(pick("l_suppkey", "total", "session", "x"), pick("l_partkey", "NanoAiu", "InputTokens", "CacheReadTokens", "DurationMs", "-output-tokens", "_reasoning_tokens", "PremiumRequests", "Latency", "Odd"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", name.alias("name"))
     families = F.concat_ws(",", *[F.when(c, k) for k, c in tools.token_family(F.col("name")).items()])
-    return rows.select("name", tools.usage_unit(F.col("name")).alias("unit"), families.alias("families"))
+    return rows.select("l_orderkey", "l_linenumber", "name", tools.usage_unit(F.col("name")).alias("unit"), families.alias("families"))
 
 
 @query("""

@@ -75,12 +75,11 @@ def session_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     WITH s AS (SELECT conv_id, turn, sha256(text) AS h, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, lag(sha256(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS p
-        FROM conversations WHERE role = 'system' OR turn % 3 = 0),
+        FROM conversations),
     r AS (SELECT *, count(*) FILTER (n = 1 OR h IS DISTINCT FROM p) OVER (PARTITION BY conv_id ORDER BY turn) AS revision FROM s)
     SELECT conv_id AS session, revision, first(h) AS body_hash, count(*) AS occurrences, min(turn) AS first_turn FROM r GROUP BY ALL""")
 def prompt_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").where((F.col("role") == "system") | (F.col("turn") % 3 == 0))
-    rows = rows.select(F.col("conv_id").alias("session"), "turn", F.sha2("text", 256).alias("body_hash"))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), "turn", F.sha2("text", 256).alias("body_hash"))
     return turns.prompt_revisions(rows, ["session"], ["turn"], "body_hash")
 
 
@@ -141,13 +140,26 @@ def carried_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("session", "event_id", "call_path", "clock")
 
 
-@query(None)
+@query(f"""
+    WITH RECURSIVE {OBSERVATIONS_SQL}, r AS (SELECT session, event_id, role, row_number() OVER ({_W}) AS n FROM obs WHERE role IN ('ToolRequest', 'ToolSuccess')),
+    s AS (SELECT session, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS stack, CAST(NULL AS BIGINT) AS end_id, CAST(NULL AS BIGINT) AS start_id FROM (SELECT DISTINCT session FROM r)
+        UNION ALL SELECT s.session, r.n, CASE WHEN role = 'ToolRequest' THEN list_append(stack, event_id) WHEN len(stack) = 0 THEN stack ELSE list_slice(stack, 1, len(stack) - 1) END,
+            CASE WHEN role = 'ToolSuccess' AND len(stack) > 0 THEN event_id END, CASE WHEN role = 'ToolSuccess' AND len(stack) > 0 THEN stack[len(stack)] END FROM s JOIN r ON r.session = s.session AND r.n = s.n + 1)
+    SELECT session, end_id, start_id FROM s WHERE end_id IS NOT NULL""")
 def compaction_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests as starts and successes as ends of compactions."""
     return pairing.brackets(observations(spark, sf_dir), ["session"], ORDER, F.col("role") == "ToolRequest", F.col("role") == "ToolSuccess", "event_id")
 
 
-@query(None)
+@query(f"""
+    WITH RECURSIVE {OBSERVATIONS_SQL}, r AS (SELECT session, tool, event_id, role = 'ToolRequest' AS l, epoch_us(ts) AS t, row_number() OVER (PARTITION BY session, tool ORDER BY ts, event_id) AS n FROM obs WHERE role IN ('ToolRequest', 'ToolSuccess')),
+    s AS (SELECT session, tool, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(t BIGINT, i BIGINT)[]) AS ls, CAST([] AS STRUCT(t BIGINT, i BIGINT)[]) AS rs, CAST(NULL AS BIGINT) AS left_id, CAST(NULL AS BIGINT) AS right_id FROM (SELECT DISTINCT session, tool FROM r)
+        UNION ALL SELECT session, tool, n, CASE WHEN l AND NOT fits THEN list_append(ls, own) WHEN NOT l AND fits THEN list_filter(ls, lambda x: x.i <> pick.i) ELSE ls END,
+            CASE WHEN NOT l AND NOT fits THEN list_append(rs, own) WHEN l AND fits THEN list_filter(rs, lambda x: x.i <> pick.i) ELSE rs END,
+            CASE WHEN fits THEN CASE WHEN l THEN own.i ELSE pick.i END END, CASE WHEN fits THEN CASE WHEN l THEN pick.i ELSE own.i END END
+        FROM (SELECT *, coalesce(abs(pick.t - own.t) <= 1800000000, false) AS fits FROM (SELECT *, pool[list_position(list_transform(pool, lambda x: abs(x.t - own.t)), list_min(list_transform(pool, lambda x: abs(x.t - own.t))))] AS pick FROM (
+            SELECT s.session, s.tool, r.n, l, ls, rs, {{'t': r.t, 'i': r.event_id}} AS own, CASE WHEN l THEN rs ELSE ls END AS pool FROM s JOIN r ON r.session = s.session AND r.tool = s.tool AND r.n = s.n + 1))))
+    SELECT session, tool, left_id, right_id FROM s WHERE left_id IS NOT NULL""")
 def greedy_skew_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests and successes of one signature within 30 minutes, each once."""
     side = F.when(F.col("role") == "ToolRequest", "left").when(F.col("role") == "ToolSuccess", "right")
@@ -155,7 +167,12 @@ def greedy_skew_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.greedy_by_skew(rows, ["session", "tool"], ORDER, "side", "ts", "event_id", 1800.0)
 
 
-@query(None)
+@query(f"""
+    WITH RECURSIVE {OBSERVATIONS_SQL}, r AS (SELECT session, tool, event_id, role = 'ToolRequest' AS asks, path, row_number() OVER (PARTITION BY session, tool ORDER BY ts, event_id) AS n FROM obs WHERE role IN ('ToolRequest', 'ToolSuccess')),
+    s AS (SELECT session, tool, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(a VARCHAR, i BIGINT)[]) AS held, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS BIGINT) AS result_id FROM (SELECT DISTINCT session, tool FROM r)
+        UNION ALL SELECT session, tool, n, CASE WHEN asks THEN list_append(held, {{'a': path, 'i': event_id}}) ELSE list_filter(held, lambda x: x.i <> pick.i) END, CASE WHEN NOT asks THEN pick.i END, CASE WHEN NOT asks AND pick.i IS NOT NULL THEN event_id END
+        FROM (SELECT *, held[coalesce(nullif(list_position(list_transform(held, lambda x: x.a), path), 0), 1)] AS pick FROM (SELECT s.session, s.tool, r.n, asks, path, event_id, held FROM s JOIN r ON r.session = s.session AND r.tool = s.tool AND r.n = s.n + 1)))
+    SELECT session, tool, request_id, result_id FROM s WHERE request_id IS NOT NULL""")
 def queue_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("role") == "ToolRequest", "request").when(F.col("role") == "ToolSuccess", "result")
     rows = observations(spark, sf_dir).withColumn("kind", kind).where("kind IS NOT NULL").select("session", "tool", "ts", "event_id", "kind", "path")
@@ -173,13 +190,17 @@ def turn_by_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.turn_by_interval(rows, t, ["session"], "ts", "turn_id", "start", "stop").select("session", "event_id", "turn_id")
 
 
-_ADOPT = """p AS (SELECT session, event_id AS prompt_id, ts FROM obs WHERE role = 'PromptSubmitted'), q AS (SELECT session, event_id AS pending_id, ts FROM obs WHERE role = 'FileAccess'),
-    c AS (SELECT session, prompt_id, pending_id, q.ts - p.ts AS gap FROM p JOIN q USING (session) WHERE q.ts BETWEEN p.ts AND p.ts + INTERVAL {s} SECONDS),
-    r AS (SELECT *, row_number() OVER (PARTITION BY session, prompt_id ORDER BY gap, pending_id) AS r FROM c),
-    adopted AS (SELECT session, prompt_id, pending_id FROM (SELECT *, row_number() OVER (PARTITION BY session, pending_id ORDER BY gap, prompt_id) AS s FROM r WHERE r = 1) WHERE s = 1)"""
+#: Prompt by prompt, with a list of what is taken.
+_ADOPT = """p AS (SELECT session, event_id AS prompt_id, ts, row_number() OVER (PARTITION BY session ORDER BY ts, event_id) AS n FROM obs WHERE role = 'PromptSubmitted'),
+    q AS (SELECT session, event_id AS pending_id, ts FROM obs WHERE role = 'FileAccess'),
+    c AS (SELECT session, n, prompt_id, list(pending_id ORDER BY q.ts, pending_id) FILTER (q.ts BETWEEN p.ts AND p.ts + INTERVAL {s} SECONDS) AS near FROM p LEFT JOIN q USING (session) GROUP BY session, n, prompt_id),
+    w AS (SELECT session, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS prompt_id, CAST(NULL AS BIGINT) AS pending_id FROM (SELECT DISTINCT session FROM p)
+        UNION ALL SELECT w.session, c.n, CASE WHEN len(list_filter(near, lambda x: NOT list_contains(taken, x))) > 0 THEN list_append(taken, list_filter(near, lambda x: NOT list_contains(taken, x))[1]) ELSE taken END,
+            c.prompt_id, list_filter(near, lambda x: NOT list_contains(taken, x))[1] FROM w JOIN c ON c.session = w.session AND c.n = w.n + 1),
+    adopted AS (SELECT session, prompt_id, pending_id FROM w WHERE pending_id IS NOT NULL)"""
 
 
-@query(f"WITH {OBSERVATIONS_SQL}, {_ADOPT.format(s=7200)} FROM adopted")
+@query(f"WITH RECURSIVE {OBSERVATIONS_SQL}, {_ADOPT.format(s=7200)} FROM adopted")
 def adopt_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts adopt a file access of the two hours after them (the table's events are minutes apart)."""
     obs = observations(spark, sf_dir)
@@ -188,7 +209,7 @@ def adopt_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.adopt_pending(p, q, ["session"], "p_ts", "q_ts", "prompt_id", "pending_id", 7200)
 
 
-@query(f"WITH {OBSERVATIONS_SQL}, {_ADOPT.format(s=7200)} SELECT session, event_id FROM obs WHERE role = 'FileAccess' AND event_id NOT IN (SELECT pending_id FROM adopted)")
+@query(f"WITH RECURSIVE {OBSERVATIONS_SQL}, {_ADOPT.format(s=7200)} SELECT session, event_id FROM obs WHERE role = 'FileAccess' AND event_id NOT IN (SELECT pending_id FROM adopted)")
 def without_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = observations(spark, sf_dir)
     matched = obs.where("role = 'PromptSubmitted'").select("session", F.col("event_id").alias("m_event_id"), F.col("ts").alias("m_ts"))

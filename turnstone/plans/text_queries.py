@@ -15,21 +15,29 @@ from turnstone.plans.registry import query
 NATIVE = {
     "signup": ("beforeSubmitPrompt", "UserPromptSubmit", "userPromptSubmitted", "UserPromptSubmit"),
     "click": ("preToolUse", "PreToolUse", "preToolUse", "PreToolUse"),
-    "purchase": ("postToolUse", "PostToolUse", "postToolUse", "PostToolUse"),
-    "error": ("postToolUseFailure", "PostToolUseFailure", "postToolUseFailure", "errorSeen"),
-    "view": ("beforeReadFile", "SessionEnd", "afterWhatever", "beforeNothing"),
+    "purchase": ("postToolUse", "SubagentStart", "postToolUse", "PostToolUse"),
+    "error": ("afterMCPExecution", "CwdChanged", "postToolUseFailure", "errorSeen"),
+    "view": ("beforeTabFileRead", "SessionEnd", "afterWhatever", "beforeNothing"),
 }
 _NATIVE_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN [{', '.join(repr(n) for n in v)}][user_id % 4 + 1]" for k, v in NATIVE.items()) + " END"
-_DIM_SQL = ", ".join(str((s, *r)) for s, rows in dims.EVENTS.items() for r in rows)
+#: What each of the twenty has to give, written out: (surface, native event, role, scope override, direction, tone, match strategy, opens).
+_EXPECTED = """('CursorIde', 'beforeSubmitPrompt', 'PromptSubmitted', '', 'Input', 'Normal', 'None', ''), ('ClaudeCode', 'UserPromptSubmit', 'PromptSubmitted', '', 'Input', 'Normal', 'None', ''),
+    ('CopilotCli', 'userPromptSubmitted', 'PromptSubmitted', '', 'Input', 'Normal', 'None', ''), ('VsCodeAgentHooks', 'UserPromptSubmit', 'PromptSubmitted', '', 'Input', 'Normal', 'None', ''),
+    ('CursorIde', 'preToolUse', 'ToolRequest', '', 'Input', 'Normal', 'None', 'tool'), ('ClaudeCode', 'PreToolUse', 'ToolRequest', '', 'Input', 'Normal', 'None', 'tool'),
+    ('CopilotCli', 'preToolUse', 'ToolRequest', '', 'Input', 'Normal', 'None', 'tool'), ('VsCodeAgentHooks', 'PreToolUse', 'ToolRequest', '', 'Input', 'Normal', 'None', 'tool'),
+    ('CursorIde', 'postToolUse', 'ToolSuccess', '', 'Output', 'Normal', 'ToolCallId', ''), ('ClaudeCode', 'SubagentStart', 'SubagentStart', '', 'Input', 'Normal', 'None', 'subagent'),
+    ('CopilotCli', 'postToolUse', 'ToolSuccess', '', 'Output', 'Normal', 'ToolSignature', ''), ('VsCodeAgentHooks', 'PostToolUse', 'ToolSuccess', '', 'Output', 'Normal', 'ToolCallId', ''),
+    ('CursorIde', 'afterMCPExecution', 'InnerExecutionEnd', '', 'Output', 'Mcp', 'ExecutionEvidence', ''), ('ClaudeCode', 'CwdChanged', 'WorkingDirectoryChange', '', 'None', 'Normal', 'None', ''),
+    ('CopilotCli', 'postToolUseFailure', 'ToolFailure', '', 'Output', 'Failure', 'ToolSignature', ''), ('VsCodeAgentHooks', 'errorSeen', 'Generic', '', 'None', 'Normal', 'None', ''),
+    ('CursorIde', 'beforeTabFileRead', 'Generic', 'Tab', 'Input', 'Normal', 'None', ''), ('ClaudeCode', 'SessionEnd', 'SessionEnd', 'SessionLifecycle', 'None', 'Normal', 'None', ''),
+    ('CopilotCli', 'afterWhatever', 'Generic', '', 'None', 'Normal', 'None', ''), ('VsCodeAgentHooks', 'beforeNothing', 'Generic', '', 'None', 'Normal', 'None', '')"""
 
 
 @query(f"""
-    WITH e AS (SELECT event_id, {list(dims.SURFACES[1:])}[user_id % 4 + 1] AS surface, {_NATIVE_SQL} AS native_event, CASE WHEN user_id % 3 > 0 THEN user_id END AS turn FROM events),
-    d(surface, native_event, role, scope_override, direction, tone, match_strategy, opens) AS (VALUES {_DIM_SQL})
-    SELECT event_id, e.surface, e.native_event, coalesce(role, 'Generic') AS role, coalesce(nullif(scope_override, ''), CASE WHEN turn IS NULL THEN 'Session' ELSE 'Turn' END) AS scope,
-        coalesce(direction, CASE WHEN e.surface = 'CursorIde' AND e.native_event SIMILAR TO '(before|pre).*' THEN 'Input' WHEN e.surface = 'CursorIde' AND e.native_event SIMILAR TO '(after|post).*' THEN 'Output' ELSE 'None' END) AS direction,
-        coalesce(tone, 'Normal') AS tone, coalesce(match_strategy, 'None') AS match_strategy, coalesce(opens, '') = 'tool' AS opens_tool, coalesce(opens, '') = 'subagent' AS opens_subagent
-    FROM e LEFT JOIN d USING (surface, native_event)""")
+    WITH e AS (SELECT event_id, ['CursorIde', 'ClaudeCode', 'CopilotCli', 'VsCodeAgentHooks'][user_id % 4 + 1] AS surface, {_NATIVE_SQL} AS native_event, CASE WHEN user_id % 3 > 0 THEN user_id END AS turn FROM events),
+    d(surface, native_event, role, scope_override, direction, tone, match_strategy, opens) AS (VALUES {_EXPECTED})
+    SELECT event_id, surface, native_event, role, coalesce(nullif(scope_override, ''), CASE WHEN turn IS NULL THEN 'Session' ELSE 'Turn' END) AS scope,
+        direction, tone, match_strategy, opens = 'tool' AS opens_tool, opens = 'subagent' AS opens_subagent FROM e JOIN d USING (surface, native_event)""")
 def event_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from turnstone.operators.interpret import interpret
 
@@ -58,15 +66,26 @@ def tool_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("correlation_key", tools.correlation_key(F.col("kind"), name, F.col("server"), F.col("mcp_tool")))
 
 
-@query(r"""
-    WITH c AS (SELECT conv_id, turn, text || CASE WHEN turn % 2 = 0 THEN ' /run-tests now, /Review! /run-TESTS x/y' ELSE ' use code-review skill and Unit-test-gen skills' END AS t FROM conversations),
-    x AS (SELECT *, list_transform(regexp_extract_all(' ' || regexp_replace(t, '\s', '  ', 'g') || ' ', '[\s](/[\p{L}\p{Nd}][\p{L}\p{Nd}_-]*)[\s.,;!?)\]}"'']', 1), lambda s: s) AS cmds,
-        regexp_extract_all(t, '(?i)([A-Za-z0-9]+(?:-[A-Za-z0-9]+)+)[*`_]*\s+skills?\b', 1) AS ms FROM c)
-    SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '/run-tests,/Review' ELSE '' END AS commands, CASE WHEN turn % 2 = 0 THEN '' ELSE 'code-review,unit-test-gen' END AS skills FROM x
-    WHERE turn % 2 = 1 OR len(cmds) >= 3""")
+#: Prompts and thoughts of the shapes that the rules tell apart; {n} stands for the row's number.
+_SAID = (
+    "/run-{n} now, /Review! /run-{n} x/y /REVIEW",
+    "a/b/c //x /-no /yes_{n}? (/in) /end",
+    "<user_query>do /this-{n}</user_query> /not",
+    "http://host/path /ünï-{n}; /1st",
+    "use code-review-{n} skill and Unit-test skills, my-own_x skill",
+    "the fast-{n} **skill** and Fast-{n} skill; plain skill",
+    "nothing here {n}",
+)
+
+
+@query("""
+    WITH s AS (SELECT conv_id, turn, CAST(conv_id * 100 + turn AS VARCHAR) AS n, (conv_id * 100 + turn) % 7 AS i FROM conversations)
+    SELECT conv_id, turn, ['/run-' || n || ',/Review', '/yes_' || n || ',/end', '/this-' || n, '/ünï-' || n || ',/1st', '', '', ''][i + 1] AS commands,
+        ['', '', '', '', 'code-review-' || n || ',unit-test', 'fast-' || n, ''][i + 1] AS skills FROM s""")
 def slash_and_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tail = F.when(F.col("turn") % 2 == 0, " /run-tests now, /Review! /run-TESTS x/y").otherwise(" use code-review skill and Unit-test-gen skills")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("text", tail).alias("t"))
+    n = F.col("conv_id") * 100 + F.col("turn")
+    said = F.replace(F.element_at(F.array(*map(F.lit, _SAID)), (n % len(_SAID) + 1).cast("int")), F.lit("{n}"), n.cast("string"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("t"))
     return rows.select("conv_id", "turn", F.array_join(text.slash_commands(F.col("t")), ",").alias("commands"), F.array_join(text.skill_mentions(F.col("t")), ",").alias("skills"))
 
 
@@ -98,13 +117,13 @@ def plan_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH c AS (SELECT d.source AS plan, l.quality AS session, ['directory', 'path', 'key', 'event'][d.doc_id % 4 + 1] AS reason, d.doc_id % 4 + 1 AS r FROM documents d JOIN labels l USING (doc_id) WHERE d.n_chars > 3000)
+    WITH c AS (SELECT CASE WHEN d.doc_id % 3 = 0 THEN d.source ELSE 'd' || (d.doc_id // 2) END AS plan, l.quality AS session, ['directory', 'path', 'key', 'event'][d.doc_id % 4 + 1] AS reason, d.doc_id % 4 + 1 AS r FROM documents d JOIN labels l USING (doc_id))
     SELECT plan, CASE WHEN count(DISTINCT session) = 1 THEN min(session) END AS session, CASE WHEN count(DISTINCT session) = 1 THEN 'Bound' ELSE 'Ambiguous' END AS state,
         CASE WHEN count(DISTINCT session) > 1 THEN 'Ambiguous' ELSE ['Observed', 'Observed', 'Corroborated', 'Derived'][min(r)] END AS evidence FROM c GROUP BY plan""")
 def ambiguous_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("n_chars > 3000").join(table(spark, sf_dir, "labels"), "doc_id")
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     reason = F.element_at(F.array(*[F.lit(r) for r, _ in plan_docs.REASONS]), (F.col("doc_id") % 4 + 1).cast("int"))
-    return plan_docs.bind_owner(docs.select(F.col("source").alias("plan"), F.col("quality").alias("session"), reason.alias("reason")), "plan", "session", "reason")
+    return plan_docs.bind_owner(docs.select(F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(F.concat(F.lit("d"), F.floor(F.col("doc_id") / 2).cast("string"))).alias("plan"), F.col("quality").alias("session"), reason.alias("reason")), "plan", "session", "reason")
 
 
 @query("""
