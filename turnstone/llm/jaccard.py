@@ -347,11 +347,13 @@ class Block:
         self.label = np.arange(len(sets))
         self.members = {k: [k] for k in range(len(sets))}
         h = np.concatenate(sets)
-        doc = np.repeat(np.arange(len(sets)), self.size)
+        doc = np.repeat(np.arange(len(sets), dtype=np.int32), self.size)
         order = np.argsort(h, kind="stable")
         h, doc = h[order], doc[order]
+        del order
         head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         count = np.diff(np.append(head, len(h)))
+        del h
         code = np.random.default_rng(11).integers(1, 1 << 63, len(sets), dtype=np.uint64)
         shared = np.flatnonzero(count > 1)
         _, one, self.weight = np.unique(np.add.reduceat(code[doc], head)[shared], return_index=True, return_counts=True)
@@ -360,7 +362,8 @@ class Block:
         self.edge = np.concatenate([[0], np.cumsum(self.length)])
         place = np.repeat(head[shared[one]] - self.edge[:-1], self.length) + np.arange(self.edge[-1])
         self.docs = doc[place]
-        which = np.repeat(np.arange(len(self.length)), self.length)
+        del doc, place
+        which = np.repeat(np.arange(len(self.length), dtype=np.int32), self.length)
         order = np.lexsort((self.length[which], self.docs))
         self.of = which[order]
         self.of_edge = np.searchsorted(self.docs[order], np.arange(len(sets) + 1))
