@@ -3,85 +3,70 @@
 from __future__ import annotations
 
 import re
-import string
 from array import array
 
 from tokenizers import Tokenizer
 
 #: Words in each of the two generations that a task remembers the ids of (speed only).
-REMEMBERED = 160_000
+REMEMBERED = 120_000
 #: White space that this module doesn't cut words at itself: such a text is encoded in one go.
-_ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
-
-
-def _byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in byte-level vocabularies: itself if it prints, else one from 256 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+_ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
 
 
 class Encoder:
     """ids(text): packed ids, `width` bytes each, without special tokens, the end id behind them.
 
-    by_word: the tokenizer drops white space and never joins what stands on its two sides, so that a
-    text's ids are its words' ids behind one another, and frequent words needn't be encoded again.
+    by_word: the tokenizer's own steps never join what stands on two sides of white space, so that a text's ids are
+    its words' ids behind one another, and frequent words needn't be encoded again. A word goes through the library's
+    normalizer, its pre-tokenizer and, piece by piece, its model; one that holds an added token is encoded as a text.
     """
 
     def __init__(self, path: str, end_id: int | None, by_word: bool):
         self.t = Tokenizer.from_file(path)
-        self.model = self.t.model
         self.kind = "H" if self.t.get_vocab_size(True) <= 1 << 16 and (end_id or 0) < 1 << 16 else "I"
         self.width = array(self.kind).itemsize
         self.end = b"" if end_id is None else array(self.kind, [end_id]).tobytes()
-        self.by_word = by_word
-        self.letters = _byte_letters()
-        self.known = _Known(self)
+        self.added = [a.content for a in self.t.get_added_tokens_decoder().values()]
+        self.normal = self.t.normalizer.normalize_str if self.t.normalizer else str
+        self.by_word = by_word and self.t.pre_tokenizer is not None
+        self.words = _Known(self.word)
+        self.pieces = _Known(self.piece)
 
     def whole(self, text: str) -> bytes:
         return array(self.kind, self.t.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def piece(self, p: str) -> bytes:
+        return array(self.kind, [x.id for x in self.t.model.tokenize(p)]).tobytes()
+
     def word(self, w: str) -> bytes:
-        """Of a word without white space. Letters and the ASCII punctuation behind them are encoded apart, as the
-        tokenizer does; common letters alone are its model's business only."""
-        if not w.isalpha():
-            core = w.rstrip(string.punctuation)
-            if core != w and core.isalpha():
-                return self.known[core] + self.known[w[len(core) :]]
-        elif w.isascii() or max(w) < "ɐ":
-            plain = w.lower()
-            if plain != w:
-                if plain.isalpha():
-                    return self.known[plain]
-            else:
-                if not w.isascii():
-                    plain = "".join(map(self.letters.__getitem__, w.encode()))
-                return array(self.kind, [x.id for x in self.model.tokenize(plain)]).tobytes()
-        return self.whole(w)
+        plain = self.normal(w)
+        if any(a in w or a in plain for a in self.added):
+            return self.whole(w)
+        return b"".join([self.pieces[p] for p, _ in self.t.pre_tokenizer.pre_tokenize_str(plain)])
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return self.end
         if not self.by_word or _ODD_SPACE.search(text):
             return self.whole(text) + self.end
-        return b"".join(map(self.known.__getitem__, text.split())) + self.end
+        return b"".join(map(self.words.__getitem__, text.split())) + self.end
 
 
 class _Known(dict):
-    """Ids by word, in two generations: words of the old one that come again pass into the new one."""
+    """What was made of each key, in two generations: keys of the old one that come again pass into the new one."""
 
-    def __init__(self, encoder: Encoder):
-        self.encoder = encoder
+    def __init__(self, make):
+        self.make = make
         self.old: dict[str, bytes] = {}
 
-    def __missing__(self, w: str) -> bytes:
-        out = self.old.get(w)
+    def __missing__(self, key: str) -> bytes:
+        out = self.old.get(key)
         if out is None:
-            out = self.encoder.word(w)
+            out = self.make(key)
         if len(self) >= REMEMBERED:
             self.old = dict(self)
             self.clear()
-        self[w] = out
+        self[key] = out
         return out
 
 

@@ -29,13 +29,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import stage_table
+from turnstone.llm.common import drop_staged, stage_table
 from turnstone.llm.encode import encoder
+from turnstone.llm.words import pieces
 
 MAGIC = b"TSSTAB01"
 FOOTER = struct.Struct("<QQQQQQHH8s")
 ENTRY = struct.Struct("<QIIQ")
 BLOCK_BYTES, SHARD_BYTES = 64 << 10, 16 << 20
+#: Key ranges whose shards' ids are summed up together.
+RUN = 1000
 PROBES, BITS_PER_KEY = 7, 10
 
 
@@ -173,25 +176,39 @@ class ShardReader:
         return out
 
 
+def encoded(docs: DataFrame, tokenizer: str, end_id: int | None, by_word: bool, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """k (the key as a long) and ids (packed) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer, end_id, by_word)
+        for b in batches:
+            for i, j in pieces(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([enc.ids(t.as_py()) for t in b.column(1).slice(i, j - i)], pa.binary())], names=["k", "ids"])
+
+    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, "k long, ids binary")
+
+
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, by_word: bool, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes each row's whole text and writes shards below `path`; returns their manifest.
 
     Manifest, a row per shard, itself a table in the shared folder: file, first_key, n_docs, n_tokens,
     start (ids in all shards before it, by key). A null or empty text has the end id only; null keys come
-    first; rows of one key stand next to each other, by text; repeated rows all stay; an empty
+    first; rows of one key stand next to each other, by ids; repeated rows all stay; an empty
     table has no shards. Other columns are ignored.
 
-    Spark deals the rows out by ranges of the key and sorts each range; its size is the session's (and
-    AQE's), a shard's is SHARD_BYTES. A task writes each file under a name of its attempt and renames it
-    when it's complete, so a task that runs again writes the same files again.
+    Texts are encoded where they are; the ids are staged, and Spark deals them out by ranges of the key and sorts each
+    range; its size is the session's (and AQE's), a shard's is SHARD_BYTES. A task writes each file under a name of
+    its attempt and renames it when it's complete, so a task that runs again writes the same files again.
     """
+    made = stage_table(encoded(docs, tokenizer, end_id, by_word, key, text))
+    width = encoder(tokenizer, end_id, by_word).width
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(path)
         fs.create_dir(root, recursive=True)
-        enc, task = encoder(tokenizer, end_id, by_word), TaskContext.get()
+        task = TaskContext.get()
         rows: list[dict] = []
-        shard = ShardWriter(enc.width)
+        shard = ShardWriter(width)
 
         def close() -> None:
             name = f"shard-{task.partitionId():06d}-{len(rows):04d}.sst"
@@ -201,22 +218,36 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int | None,
             with fs.open_output_stream(part) as f:
                 f.write(body)
             fs.move(part, f"{root}/{name}")
-            rows.append({"file": name, "first_key": first, "n_docs": len(shard.keys), "n_tokens": shard.tokens})
+            rows.append({"range": task.partitionId(), "file": name, "first_key": first, "n_docs": len(shard.keys), "n_tokens": shard.tokens})
 
         for b in batches:
-            for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for k, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if shard.size() >= SHARD_BYTES:
                     close()
-                    shard = ShardWriter(enc.width)
-                shard.add(pack_key(k), enc.ids(t.as_py()))
+                    shard = ShardWriter(width)
+                shard.add(pack_key(k), v.as_py())
         if shard.keys:
             close()
-        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("file", pa.string()), ("first_key", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("range", pa.int32()), ("file", pa.string()), ("first_key", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).repartitionByRange("k").sortWithinPartitions("k", "t")
-    made = stage_table(rows.mapInArrow(write, "file string, first_key long, n_docs long, n_tokens long"))
-    before = Window.orderBy(F.col("first_key").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
-    return made.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))  # a row per shard
+    rows = made.repartitionByRange("k").sortWithinPartitions("k", "ids")
+    shards = stage_table(rows.mapInArrow(write, "range int, file string, first_key long, n_docs long, n_tokens long"))
+    drop_staged(made)
+    return _with_starts(shards)
+
+
+def _with_starts(shards: DataFrame) -> DataFrame:
+    """A manifest with `start`: ids in all shards before.
+
+    Shards are in order of range and name. Sums go up in two steps, so that no task has a row of every shard: of runs of
+    RUN ranges, and within each.
+    """
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shards = shards.withColumn("run", F.floor(F.col("range") / RUN))
+    runs = shards.groupBy("run").agg(F.sum("n_tokens").alias("n_tokens"))
+    base = runs.select("run", before(Window.orderBy("run")).alias("base"))  # a row per RUN ranges
+    within = shards.withColumn("within", before(Window.partitionBy("run").orderBy("range", "file")))
+    return within.join(base, "run").withColumn("start", F.col("base") + F.col("within")).drop("run", "base", "within", "range")
 
 
 def read_shards(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
