@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstone.llm import decontaminate, jaccard, language, mixing, sstable
+from turnstone.llm.bloom import without_named
 from turnstone.llm.common import shared_dir, stage_table, table
 
 #: A document whose words have no language at this share of them is rejected, as is one without any word.
@@ -25,10 +26,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that five-word shingles link, keeps the one of the smallest id."""
-    groups = jaccard.jaccard_groups(docs.select("doc_id", "text"))
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__first")).distinct()
-    return docs.join(first, docs["doc_id"].cast("long").eqNullSafe(first["__first"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """Of each group of documents that five-word shingles link, keeps the one of the smallest id.
+
+    Documents that go are told by id, so that texts need no shuffle; only rows whose id is there several times meet by text.
+    """
+    groups = stage_table(jaccard.jaccard_groups(docs.select("doc_id", "text")))
+    gone = stage_table(groups.where("doc_id <> component_id").select("doc_id").distinct())
+    kept = without_named(docs, "doc_id", gone)
+    if groups.where("doc_id IS NULL").limit(1).count() and not groups.where("doc_id IS NULL AND component_id IS NULL").limit(1).count():
+        kept = kept.where("doc_id IS NOT NULL")
+    again = stage_table(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return kept
+    repeated = kept.join(again, kept["doc_id"].eqNullSafe(again["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    return without_named(kept, "doc_id", again).where("doc_id IS NOT NULL").unionByName(repeated.where("doc_id IS NOT NULL")).unionByName(kept.where("doc_id IS NULL").dropDuplicates(["doc_id", "text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
