@@ -4,15 +4,17 @@ Rank pairs at growing offsets name ever longer strings, and Spark groups them; p
 unique are done and leave. To rank each of the corpus's bytes in every round would shuffle many times the
 input, so only some positions stand for all: of every LENGTH-byte window the position, among its first
 SPREAD ones, whose next GRAM bytes hash lowest. Equal windows have it at the same place, so a repeated window is
-one whose positions meet in every round:
+one whose positions meet in every round. Ranks are 128 bits wide and go up from round to round:
 
+  100   seed: two rolling hashes of the bytes
   200   pairs of 100-byte ranks at offset 100, at the chosen positions
   350   pairs of 200-byte ranks at offset 150, for the four groups of windows of each position that is left
   400   pairs of 200-byte ranks at offset 200, for the windows of the groups that are left
 
-Groups whose whole surroundings are the same bytes need no last round; one of them goes on for all. Between rounds only names that were
+Groups whose whole surroundings are the same bytes need no last round; one of them goes on for all. Between rounds only ranks that were
 seen twice go on, as a bounded Bloom filter to the next scan of the texts; what it lets through in error
-meets nobody. No text is shuffled before the spans are known.
+meets nobody. The last round first counts half of each rank, and tells places of those seen twice only. No text is
+shuffled before the spans are known. Long texts are worked on in windows that overlap by LENGTH - 1 bytes.
 """
 
 from __future__ import annotations
@@ -25,26 +27,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstone.llm.bloom import bloom
+from turnstone.llm.bloom import bloom, fits
 from turnstone.llm.common import stage_table
 from turnstone.llm.words import PIECE, U, Bytes, mix, pieces
 
 LENGTH, GRAM = 400, 50
 SPREAD = LENGTH // 2 + 1
 STEP = LENGTH // 8
-_ODD = U(0xD6E8FEB86659FD93)
+#: Bytes of a text that are worked on at once.
+CHUNK = PIECE
+_ODD = (U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F))
+_SECOND = U(0xE7037ED1A0B428DB)
+_SECOND_INV = U(pow(int(_SECOND), -1, 1 << 64))
+_CODE = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
 
+#: A rank: 128 bits as two arrays of 64.
+Rank = tuple[np.ndarray, np.ndarray]
 
-def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The name of a pair of ranks."""
-    return mix(a * _ODD + b)
+
+def pair(a: Rank, b: Rank) -> Rank:
+    """The rank of a pair of ranks."""
+    return tuple(mix(x * odd + y) for x, y, odd in zip(a, b, _ODD, strict=True))
 
 
 class Suffixes:
-    """The chosen positions `at` of texts, and the windows [low, high] (first bytes) that each stands for."""
+    """The chosen positions `at` of texts, and the windows [low, high] (first bytes) that each stands for.
+
+    base: how many bytes of a text stand before the part of it that is given.
+    """
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: pa.Array, base: int = 0):
         self.b = b = Bytes(texts, fold=False)
+        self.base = base
+        self.sums: tuple[np.ndarray, np.ndarray] | None = None
         long = np.flatnonzero(b.size >= LENGTH)
         self.at = self.low = self.high = self.text = np.zeros(0, np.int64)
         if not len(long):
@@ -64,14 +79,30 @@ class Suffixes:
         self.high = window[np.append(head[1:], len(window)) - 1]
         self.text = np.searchsorted(b.start, self.at, "right") - 1
 
-    def rank(self, at: np.ndarray, n: int) -> np.ndarray:
-        return self.b.hashes(at, at + n)
+    def _second(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the other hash, and what moves them back to the first byte."""
+        if self.sums is None:
+            n = len(self.b.raw)
+            up, down = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)])) for x in (_SECOND, _SECOND_INV))
+            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODE[self.b.raw] * up[:n])]), down
+        return self.sums
+
+    def rank100(self, at: np.ndarray) -> Rank:
+        sums, down = self._second()
+        end = at + LENGTH // 4
+        return self.b.hashes(at, end), mix((sums[end] - sums[at]) * down[at])
+
+    def rank200(self, at: np.ndarray) -> Rank:
+        return pair(self.rank100(at), self.rank100(at + LENGTH // 4))
 
-    def names200(self) -> np.ndarray:
-        return pair(self.rank(self.at, LENGTH // 4), self.rank(self.at + LENGTH // 4, LENGTH // 4))
+    def rank350(self, at: np.ndarray) -> Rank:
+        return pair(self.rank200(at), self.rank200(at + LENGTH // 2 - STEP))
+
+    def rank400(self, at: np.ndarray) -> Rank:
+        return pair(self.rank200(at), self.rank200(at + LENGTH // 2))
 
     def groups(self, kept: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(text, low, high, name, surroundings) of the window groups of kept positions.
+        """(text, low, high, rank, surroundings) of the window groups of kept positions; the rank is two arrays.
 
         A group's windows all hold the LENGTH - STEP bytes that it is named by.
         """
@@ -83,23 +114,29 @@ class Suffixes:
             some = low <= high
             start = (a - STEP * j)[some]
             low, high = low[some], high[some]
-            name = pair(self.rank(start, LENGTH // 2), self.rank(start + LENGTH // 2 - STEP, LENGTH // 2))
-            out.append((self.text[kept][some], low, high, name, self.b.hashes(low, high + LENGTH)))
+            out.append((self.text[kept][some], low, high, *self.rank350(start), self.b.hashes(low, high + LENGTH)))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def names400(self, at: np.ndarray) -> np.ndarray:
-        return pair(self.rank(at, LENGTH // 2), self.rank(at + LENGTH // 2, LENGTH // 2))
+
+def _parts(texts: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[int, int, Suffixes]]:
+    """(i, j, Suffixes) of runs [i, j) of texts of a bounded size; a longer text comes alone, in parts."""
+    for i, j in pieces(texts, min(PIECE // 2, chunk)):
+        if j == i + 1 and texts[i].is_valid and texts[i].as_buffer().size > chunk:
+            raw = texts[i].as_buffer()
+            for at in range(0, raw.size - LENGTH + 1, chunk):
+                yield i, j, Suffixes(pa.array([raw[at : min(at + chunk + LENGTH - 1, raw.size)].to_pybytes()], pa.binary()), at)
+        else:
+            yield i, j, Suffixes(texts.slice(i, j - i))
 
 
 def _scan(docs: DataFrame, work: Callable[[np.ndarray, Suffixes], list[np.ndarray]], schema: str) -> DataFrame:
-    """Columns that `work` makes of bounded pieces of (row, text)."""
+    """Columns that `work` makes of bounded parts of (row, text)."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
-            for i, j in pieces(texts, PIECE // 2):
-                s = Suffixes(texts[i:j])
+            rows = b.column(0).to_numpy()
+            for i, j, s in _parts(b.column(1)):
                 if len(s.at):
                     cols = work(rows[i:j], s)
                     for k in range(0, len(cols[0]), 50_000):
@@ -108,40 +145,61 @@ def _scan(docs: DataFrame, work: Callable[[np.ndarray, Suffixes], list[np.ndarra
     return docs.select("row", "text").mapInArrow(run, schema)
 
 
+def _twice(ranks: DataFrame, *by: str) -> DataFrame:
+    """The ranks that are there more than once."""
+    return ranks.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*by)
+
+
+class _Seen:
+    """Whether ranks are among those of a staged table; all, where they are too many to be told so."""
+
+    def __init__(self, names: DataFrame, column: str):
+        self.sent = names.sparkSession.sparkContext.broadcast(bloom(names, column) if fits(names) else None)
+
+    def holds(self, names: np.ndarray) -> np.ndarray:
+        return np.ones(len(names), bool) if self.sent.value is None else self.sent.value.holds(names)
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(row, low, high) of docs (row, text): runs of first bytes of windows that start anywhere else, too."""
-    sc = docs.sparkSession.sparkContext
-    twice = _scan(docs, lambda rows, s: [s.names200()], "name long").groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    seen200 = sc.broadcast(bloom(stage_table(twice.select("name")), "name"))
+    first = _scan(docs, lambda _, s: [s.rank200(s.at)[0]], "half long")
+    seen200 = _Seen(stage_table(_twice(first, "half")), "half")
 
     def groups(s: Suffixes) -> tuple[np.ndarray, ...]:
-        return s.groups(np.flatnonzero(seen200.value.holds(s.names200())))
+        return s.groups(np.flatnonzero(seen200.holds(s.rank200(s.at)[0])))
 
     def rows350(rows: np.ndarray, s: Suffixes) -> list[np.ndarray]:
-        text, low, high, name, around = groups(s)
-        start = s.b.start[text]
-        return [rows[text], (low - start).astype(np.int32), (high - start).astype(np.int32), name, around]
+        text, low, high, one, two, around = groups(s)
+        start = s.b.start[text] - s.base
+        return [rows[text], low - start, high - start, one, two, around]
 
-    cut = stage_table(_scan(docs, rows350, "row long, low int, high int, name long, around long"))
-    kinds = stage_table(cut.groupBy("name", "around").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first")))
+    cut = stage_table(_scan(docs, rows350, "row long, low long, high long, one long, two long, around long"))
+    kinds = stage_table(cut.groupBy("one", "two", "around").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first")))
     # the same surroundings twice: all of their windows are repeated
-    sure = cut.join(kinds.where("n > 1").select("name", "around"), ["name", "around"]).select("row", "low", "high")
-    mixed = kinds.groupBy("name").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    # one text speaks for each of the surroundings of a name
-    speaker = kinds.join(mixed, "name").select(F.col("around").bitwiseXOR(F.col("first")).alias("key"))
-    seen350 = sc.broadcast(bloom(stage_table(speaker), "key"))
-
-    def rows400(rows: np.ndarray, s: Suffixes) -> list[np.ndarray]:
-        text, low, high, _, around = groups(s)
-        kept = np.flatnonzero(seen350.value.holds(around ^ rows[text].view(np.uint64)))
+    sure = cut.join(kinds.where("n > 1").select("one", "two", "around"), ["one", "two", "around"]).select("row", "low", "high")
+    mixed = kinds.groupBy("one", "two").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    # one text speaks for each of the surroundings of a rank
+    speaker = kinds.join(mixed, ["one", "two"]).select(F.col("around").bitwiseXOR(F.col("first")).alias("key"))
+    seen350 = _Seen(stage_table(speaker), "key")
+
+    def windows(rows: np.ndarray, s: Suffixes) -> tuple[np.ndarray, np.ndarray, Rank]:
+        text, low, high, _, _, around = groups(s)
+        kept = np.flatnonzero(seen350.holds(around ^ rows[text].view(np.uint64)))
         count = high[kept] - low[kept] + 1
         at = np.repeat(low[kept] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        text = np.repeat(text[kept], count)
-        return [rows[text], (at - s.b.start[text]).astype(np.int32), s.names400(at)]
+        return np.repeat(text[kept], count), at, s.rank400(at)
+
+    half = _scan(docs, lambda rows, s: [windows(rows, s)[2][0]], "one long")
+    seen400 = _Seen(stage_table(_twice(half, "one")), "one")
+
+    def rows400(rows: np.ndarray, s: Suffixes) -> list[np.ndarray]:
+        text, at, (one, two) = windows(rows, s)
+        fine = np.flatnonzero(seen400.holds(one))
+        return [rows[text[fine]], (at - s.b.start[text] + s.base)[fine], one[fine], two[fine]]
 
-    windows = stage_table(_scan(docs, rows400, "row long, at int, name long"))
-    again = windows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
-    return sure.unionByName(windows.join(again, "name").select("row", F.col("at").alias("low"), F.col("at").alias("high")))
+    places = stage_table(_scan(docs, rows400, "row long, at long, one long, two long"))
+    again = _twice(places, "one", "two")
+    return sure.unionByName(places.join(again, ["one", "two"]).select("row", F.col("at").alias("low"), F.col("at").alias("high")))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -154,18 +212,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     numbered = docs.select(F.col(key), F.col(text).alias("text"), F.xxhash64(key, text).alias("row"))
     spans = stage_table(repeated_spans(numbered).groupBy("row").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high")))
-    sent = docs.sparkSession.sparkContext.broadcast(bloom(spans.select("row"), "row"))
+    seen = _Seen(spans.select("row"), "row")
 
     def touched(yes: bool) -> DataFrame:
         """Texts that may have spans, or that surely have none; only the former are shuffled."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield b.filter(pa.array(sent.value.holds(b.column(2).to_numpy().view(np.uint64)) == yes))
+                yield b.filter(pa.array(seen.holds(b.column(2).to_numpy().view(np.uint64)) == yes))
 
         return numbered.mapInArrow(run, numbered.schema)
 
-    none = F.lit(None).cast("array<int>")
+    none = F.lit(None).cast("array<bigint>")
     joined = touched(True).join(spans, "row", "left").select(key, "text", "low", "high").unionByName(touched(False).select(key, "text", none.alias("low"), none.alias("high")))
     span = pa.struct([pa.field("start", pa.int64()), pa.field("end", pa.int64())])
 
