@@ -6,8 +6,6 @@ behavior (Delta, Cumulative, Final, Unknown), ts, authoritative, ord (order of a
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,50 +23,41 @@ FAMILIES = {
 GENERAL = ("usage", "tokendetails")
 
 
-def _parts(name: Column) -> Column:
+def name_parts(name: Column) -> Column:
     """The parts of a dotted name, lower-cased, without blanks around and empty ones."""
-    return F.filter(F.transform(F.split(F.lower(name), r"\."), lambda p: F.trim(p)), lambda p: p != "")
+    return F.array_remove(F.split(F.regexp_replace(F.lower(F.trim(name)), r"\s*\.\s*", "."), r"\."), "")
 
 
-def is_model_metric(name: Column) -> Column:
+def is_model_metric(parts: Column) -> Column:
     """Figures of one model: two parts at least, one of them modelMetrics, or the first agentMetrics or a model's own name."""
-    parts = _parts(name)
     return (F.size(parts) >= 2) & (F.array_contains(parts, "modelmetrics") | ~F.get(parts, F.lit(0)).isin(*GENERAL))
 
 
-def metric_family(name: Column) -> Column:
+def metric_family(parts: Column) -> Column:
     """The kind of figure, by the last part of its name."""
-    leaf = F.regexp_replace(F.coalesce(F.element_at(_parts(name), -1), F.lower(name)), r"[^\p{L}\p{Nd}]", "")
-    return reduce(lambda out, kv: F.when(leaf.isin(*kv[1]), kv[0]).otherwise(out), FAMILIES.items(), leaf)
+    leaf = F.regexp_replace(F.get(parts, F.size(parts) - 1), r"[^\p{L}\p{Nd}]", "")
+    known = F.create_map(*[F.lit(x) for family, leaves in FAMILIES.items() for n in leaves for x in (n, family)])
+    return F.coalesce(F.try_element_at(known, leaf), leaf, F.lit(""))
 
 
-def _listed_model(name: Column) -> Column:
-    """The part after modelMetrics; null without one."""
-    parts = _parts(name)
+def metric_owner(parts: Column) -> Column:
+    """Whose figure it is: a model's, an agent's, or an agent's model's."""
     at = F.array_position(parts, "modelmetrics").cast("int")
-    return F.when(at > 0, F.get(parts, at))
-
-
-def metric_identity(name: Column) -> Column:
-    """What figures of several names are one metric: the owner (a model, an agent, or an agent's model) and the family."""
-    parts, model = _parts(name), _listed_model(name)
-    agent = F.get(parts, F.lit(0)) == "agentmetrics"
-    within = agent & (F.array_position(parts, "modelmetrics") >= 3)
-    owner = (
-        F.when(model.isNotNull() & within, F.concat(F.lit("agent:"), F.get(parts, F.lit(1)), F.lit(":model:"), model))
+    model, agent = F.when(at > 0, F.get(parts, at)), F.get(parts, F.lit(0)) == "agentmetrics"
+    return (
+        F.when(model.isNotNull() & agent & (at >= 3), F.concat(F.lit("agent:"), F.get(parts, F.lit(1)), F.lit(":model:"), model))
         .when(model.isNotNull(), F.concat(F.lit("model:"), model))
         .when(agent, F.concat(F.lit("agent:"), F.get(parts, F.lit(1))))
         .otherwise(F.concat(F.lit("model:"), F.get(parts, F.lit(0))))
     )
-    return F.when(is_model_metric(name), F.concat(owner, F.lit(":"), metric_family(name))).otherwise(metric_family(name))
 
 
 def distinct_samples(samples: DataFrame, by: list[str]) -> DataFrame:
-    """Samples without repeats of one measurement; names and units compare without case, the first stays."""
-    keys = [*by, "record_id", "value", "scope", "behavior", "bucket"]
-    named = samples.withColumns({"__name": F.lower("name"), "__unit": F.lower("unit")})
-    first = F.min_by(F.struct("name", "unit", "ts", "authoritative", "ord"), "ord").alias("__first")
-    return named.groupBy(*keys, "__name", "__unit").agg(first).select(*keys, "__first.*")
+    """Samples without repeats of one measurement, names and units in lower case, as they are compared; the first stays."""
+    keys = [*by, "record_id", "value", "scope", "behavior", "bucket", "name", "unit"]
+    low = samples.withColumns({"name": F.lower("name"), "unit": F.lower("unit")})
+    # one plain value per column: what hash aggregation keeps in place
+    return low.groupBy(*keys).agg(*[F.min_by(c, "ord").alias(c) for c in ("ts", "authoritative")], F.min("ord").alias("ord"))
 
 
 def usage_total(samples: DataFrame, by: list[str]) -> DataFrame:
@@ -85,23 +74,28 @@ def usage_total(samples: DataFrame, by: list[str]) -> DataFrame:
     needs no other bucket: its cells are summed, pre-aggregated, to a row per metric and scope, and only
     those few rows meet by `by` for rule 2.
     """
-    name = F.col("name")
+    low = F.col("name")
     s = distinct_samples(samples.repartition(*by, "record_id", "bucket"), by)
+    s = s.withColumn("__parts", name_parts(F.col("name")))
+    s = s.withColumn("__model", F.coalesce(is_model_metric(F.col("__parts")), F.lit(False)))
     s = s.withColumns(
         {
             "__rank": F.when(F.col("scope") == "Session", 2).when(F.col("scope") == "Turn", 1).otherwise(0),
-            "metric": metric_identity(name),
-            "__model": F.coalesce(is_model_metric(name), F.lit(False)),
-            "__listed": F.lower(name).startswith("modelmetrics."),
+            "metric": F.concat(F.when(F.col("__model"), F.concat(metric_owner(F.col("__parts")), F.lit(":"))).otherwise(""), metric_family(F.col("__parts"))),
+            "__listed": low.startswith("modelmetrics."),
             # an agent's copy of a model's figure
-            "__copy": F.lower(name).startswith("agentmetrics.") & F.lower(name).contains(".modelmetrics."),
-            "__liking": F.when(F.lower(name).startswith("modelmetrics."), 2).when(F.lower(name).contains(".modelmetrics."), 1).otherwise(0),
+            "__copy": low.startswith("agentmetrics.") & low.contains(".modelmetrics."),
+            "__liking": F.when(low.startswith("modelmetrics."), 2).when(low.contains(".modelmetrics."), 1).otherwise(0),
         }
-    )
+    ).drop("__parts")
     s = s.withColumn("__of", F.regexp_extract("metric", "^(?:agent:.*?:)?model:(.*)$", 1))
     kind = ["__rank", "metric", "__model", "__copy", "__of"]  # the last three follow from the metric
     told = [*by, "record_id", "value", "scope", "behavior", "bucket", "authoritative", *kind]
-    s = s.groupBy(*told).agg(F.min_by(F.struct("ts", "__liking", "ord"), "ord").alias("__when"), F.max("__listed").alias("__listed"))
+    # when a sample was told as one number: its clock, then what its name is liked for, then its arrival
+    micros = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(-(10**17)))
+    s = s.withColumn("__clock", micros * 4 + F.col("__liking"))
+    s = s.groupBy(*told).agg(F.min_by("__clock", "ord").alias("__clock"), F.min("ord").alias("ord"), F.max("__listed").alias("__listed"))
+    s = s.withColumn("__when", F.expr("CAST(__clock AS DECIMAL(38, 0)) * CAST(10000000000000000000 AS DECIMAL(20, 0)) + ord"))
     cell = F.when(F.col("__rank") > 0, F.concat(F.col("scope"), F.lit(":"), "bucket")).otherwise(F.concat(F.lit("Request:"), "record_id"))
 
     def value(fine: Column) -> Column:
