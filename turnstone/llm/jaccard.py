@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from turnstone.llm.bloom import keep_named
 from turnstone.llm.common import drop_staged, stage_table
 from turnstone.llm.components import components
-from turnstone.llm.words import PIECE, SPACED, U, Bytes, mix, pieces
+from turnstone.llm.words import PIECE, SPACED, U, Bytes, mix, pieces, tidy
 
 WORDS, PERCENT = 5, 80
 #: Shingles that at most are put last for being frequent.
@@ -132,7 +132,7 @@ def packed_sets(docs: DataFrame) -> DataFrame:
                 if len(seen) > SEEN:
                     seen.clear()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp long, given boolean, s binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n long, fp long, given boolean, s binary")
 
 
 def shared_depth(n):
@@ -218,7 +218,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, n
 
 
 def _deal(sets: DataFrame, slices: int, emit: Callable, meet: Callable, schema: str) -> DataFrame:
-    return sets.select("fp", "s").mapInArrow(emit, _DEALT).repartition("slice").sortWithinPartitions("slice").mapInArrow(meet, schema)
+    return sets.select("fp", "s").mapInArrow(tidy(emit), _DEALT).repartition("slice").sortWithinPartitions("slice").mapInArrow(tidy(meet), schema)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
@@ -288,7 +288,7 @@ def shared_counts(sets: DataFrame, slices: int, part: Callable[[int], int], most
             yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(n), pa.array(np.full(len(f), often))], names=["fp", "n", "often"])
 
     met = _deal(sets, slices, emit, meet, "slice int, key binary, n binary, often boolean")
-    return met.repartition("slice").sortWithinPartitions("slice", "often").mapInArrow(add, "fp long, n long, often boolean")
+    return met.repartition("slice").sortWithinPartitions("slice", "often").mapInArrow(tidy(add), "fp long, n long, often boolean")
 
 
 def _name(h: np.ndarray, slices: int) -> np.ndarray:
@@ -490,7 +490,7 @@ def _link_groups(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
 def _links(rows: DataFrame, percent: int) -> DataFrame:
     """Links of rows (group, fp, role, s), each group in one task."""
     dealt = rows.select("group", "fp", "role", "s").repartition("group").sortWithinPartitions("group", "fp", "role")
-    return dealt.mapInArrow(lambda batches: _link_groups(batches, percent), "a long, b long")
+    return dealt.mapInArrow(tidy(lambda batches: _link_groups(batches, percent)), "a long, b long")
 
 
 def jaccard_groups(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from turnstone.llm.bloom import bloom, fits
 from turnstone.llm.common import stage_table
-from turnstone.llm.words import PIECE, SPACED, U, Bytes, mix, pieces
+from turnstone.llm.words import PIECE, SPACED, U, Bytes, mix, pieces, tidy
 
 LEAST_WORDS = 5
 #: Bytes that end a sentence or a line.
@@ -60,7 +60,7 @@ def units_of(docs: DataFrame, key: str, text: str, separator: str, least_words:
                 cols = list(zip(*rows, strict=True)) or [()] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc", "row", "unit", "start", "end", "hi", "lo"])
 
-    return docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("row"), F.col(text).alias("t")).mapInArrow(run, "doc long, row long, unit long, start long, end long, hi long, lo long")
+    return docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("row"), F.col(text).alias("t")).mapInArrow(tidy(run), "doc long, row long, unit long, start long, end long, hi long, lo long")
 
 
 def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text", separator: str = "\n", least_words: int = LEAST_WORDS) -> DataFrame:
@@ -101,7 +101,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", sep
                 out.append(t)
             yield b.set_column(at, b.schema.field(at), pa.array(out, pa.string()))
 
-    return found.mapInArrow(cut, found.schema)
+    return found.mapInArrow(tidy(cut), found.schema)
 
 
 def _sentences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -137,7 +137,7 @@ def shared_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 of, _, _, name = _sentences(b.column(2).slice(i, j - i))
                 yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), b.column(0).slice(i, j - i).take(pa.array(of))], names=["name", "doc"])
 
-    ends = rows.mapInArrow(names, "name long, doc long").groupBy("name").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
+    ends = rows.mapInArrow(tidy(names), "name long, doc long").groupBy("name").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
     shared = stage_table(ends.where("a <> b").select("name"))
     sent = docs.sparkSession.sparkContext.broadcast(bloom(shared, "name")) if fits(shared) else None
 
@@ -150,7 +150,7 @@ def shared_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 at = pa.array(of)
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i).take(at) for c in (0, 1)), pa.array(unit.astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(name.view(np.int64))], names=["doc", "row", "unit", "words", "name"])
 
-    found = rows.mapInArrow(placed, "doc long, row long, unit int, words int, name long").join(shared, "name")
+    found = rows.mapInArrow(tidy(placed), "doc long, row long, unit int, words int, name long").join(shared, "name")
     units = found.groupBy("doc", "row").agg(F.array_sort(F.collect_set(F.struct("unit", "words"))).alias("units"))
     n = lambda x: F.lit(x).cast("long")
     start = F.struct(n(-2).alias("last"), n(0).alias("run"), n(0).alias("best"), n(0).alias("total"))

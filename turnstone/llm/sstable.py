@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from turnstone.llm.common import drop_staged, stage_table
 from turnstone.llm.encode import encoder
-from turnstone.llm.words import pieces
+from turnstone.llm.words import pieces, tidy
 
 MAGIC = b"TSSTAB01"
 FOOTER = struct.Struct("<QQQQQQHH8s")
@@ -185,7 +185,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int | None, by_word: bool,
             for i, j in pieces(b.column(1)):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([enc.ids(t.as_py()) for t in b.column(1).slice(i, j - i)], pa.binary())], names=["k", "ids"])
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, "k long, ids binary")
+    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(tidy(run), "k long, ids binary")
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, by_word: bool, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -231,7 +231,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int | None,
         yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("range", pa.int32()), ("file", pa.string()), ("first_key", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     rows = made.repartitionByRange("k").sortWithinPartitions("k", "ids")
-    shards = stage_table(rows.mapInArrow(write, "range int, file string, first_key long, n_docs long, n_tokens long"))
+    shards = stage_table(rows.mapInArrow(tidy(write), "range int, file string, first_key long, n_docs long, n_tokens long"))
     drop_staged(made)
     return _with_starts(shards)
 
@@ -266,7 +266,7 @@ def read_shards(spark: SparkSession, path: str, manifest: DataFrame) -> DataFram
                     yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), pa.array([shard.width] * n, pa.int32())], schema=schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(path) if not manifest.isEmpty() else spark.createDataFrame([], "path string, content binary")
-    docs = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(decode, "file string, doc_id long, within long, n_tokens long, ids binary, width int")
+    docs = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(tidy(decode), "file string, doc_id long, within long, n_tokens long, ids binary, width int")
     return docs.join(manifest.select("file", "start"), "file").select("doc_id", (F.col("start") + F.col("within")).alias("start"), "n_tokens", "ids", "width")
 
 
@@ -293,4 +293,4 @@ def digest(read: DataFrame) -> DataFrame:
             sums = [zlib.crc32(np.frombuffer(v.as_buffer(), f"<u{w}").astype("<u4").tobytes()) for v, w in zip(b.column(3), b.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return read.select("doc_id", "start", "n_tokens", "ids", "width").mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read.select("doc_id", "start", "n_tokens", "ids", "width").mapInArrow(tidy(crc), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from turnstone.llm.bloom import bloom, fits
 from turnstone.llm.common import stage_table
-from turnstone.llm.words import PIECE, U, Bytes, mix, pieces
+from turnstone.llm.words import PIECE, U, Bytes, mix, pieces, tidy
 
 LENGTH, GRAM = 400, 50
 SPREAD = LENGTH // 2 + 1
@@ -142,7 +142,7 @@ def _scan(docs: DataFrame, work: Callable[[np.ndarray, Suffixes], list[np.ndarra
                     for k in range(0, len(cols[0]), 50_000):
                         yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 50_000].view(np.int64) if c.dtype == np.uint64 else c[k : k + 50_000]) for c in cols], names=names)
 
-    return docs.select("row", "text").mapInArrow(run, schema)
+    return docs.select("row", "text").mapInArrow(tidy(run), schema)
 
 
 def _twice(ranks: DataFrame, *by: str) -> DataFrame:
@@ -221,7 +221,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             for b in batches:
                 yield b.filter(pa.array(seen.holds(b.column(2).to_numpy().view(np.uint64)) == yes))
 
-        return numbered.mapInArrow(run, numbered.schema)
+        return numbered.mapInArrow(tidy(run), numbered.schema)
 
     none = F.lit(None).cast("array<bigint>")
     joined = touched(True).join(spans, "row", "left").select(key, "text", "low", "high").unionByName(touched(False).select(key, "text", none.alias("low"), none.alias("high")))
@@ -248,7 +248,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     pair_type = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     out = T.StructType([docs.schema[key], T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("removed", T.ArrayType(pair_type))])
-    return joined.mapInArrow(cut, out)
+    return joined.mapInArrow(tidy(cut), out)
 
 
 def digest(cleaned: DataFrame) -> DataFrame:

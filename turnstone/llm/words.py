@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -85,6 +86,31 @@ class Bytes:
         return at, end, np.append(np.searchsorted(at, self.start), len(at))
 
 
+#: Batches after which a task gives memory back.
+TIDY = 16
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns memory that this Python worker has freed to the system; it lives on from task to task, and its executor's others need it."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives memory back now and then, and at its end."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, out in enumerate(run(batches)):
+            yield out
+            if n % TIDY == TIDY - 1:
+                give_back()
+        give_back()
+
+    return tidied
+
+
 def pieces(texts: list[str | None] | pa.Array, most: int = PIECE) -> Iterator[tuple[int, int]]:
     """Runs [i, j) of texts of about `most` characters at most (bytes, of an Arrow array)."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist() if isinstance(texts, pa.Array) else [len(t) if t else 0 for t in texts]
@@ -110,8 +136,8 @@ def with_columns(docs: DataFrame, text: str, fields: T.StructType, work: Callabl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(b.schema.get_field_index("\x00text"))
-            for i, j in pieces(texts):
+            for i, j in pieces(texts, PIECE // 2):
                 part = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(n)) for n in names] + work(texts.slice(i, j - i).to_pylist()), names=[*names, *fields.names])
 
-    return docs.select(*[docs[f"`{n}`"] for n in names], docs[f"`{text}`"].alias("\x00text")).mapInArrow(run, out)
+    return docs.select(*[docs[f"`{n}`"] for n in names], docs[f"`{text}`"].alias("\x00text")).mapInArrow(tidy(run), out)
