@@ -15,12 +15,19 @@ from turnstone.llm import decontaminate, jaccard, language, mixing, sstable
 from turnstone.llm.bloom import without_named
 from turnstone.llm.common import shared_dir, stage_table, table
 
+#: Rows of an Arrow batch in all stages: whole documents pass through Python, and Spark and Python hold a batch each.
+BATCH_ROWS = 1000
 #: A document whose words have no language at this share of them is rejected, as is one without any word.
 LEAST_SCORE = 0.35
 
 
+def _short_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that have a language."""
+    _short_batches(spark)
     found = language.identify(docs, language.fit(docs))
     return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
@@ -30,6 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Documents that go are told by id, so that texts need no shuffle; only rows whose id is there several times meet by text.
     """
+    _short_batches(spark)
     groups = stage_table(jaccard.jaccard_groups(docs.select("doc_id", "text")))
     gone = stage_table(groups.where("doc_id <> component_id").select("doc_id").distinct())
     kept = without_named(docs, "doc_id", gone)
@@ -44,6 +52,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which a twentieth or more is benchmark text."""
+    _short_batches(spark)
     found = decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"))
     return found.where(~F.col("contaminated")).select(*docs.columns)
 
@@ -56,6 +65,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes sorted shards of token ids; returns what reads back from them, a row per document."""
+    _short_batches(spark)
     path = shared_dir(spark)
     manifest = sstable.write_shards(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2, by_word=True)
     return sstable.digest(sstable.read_shards(spark, path, manifest))
