@@ -10,6 +10,8 @@ from turnstone.operators import catalog, matching, pairing, placement, plan_docs
 from turnstone.plans.adapters import OBSERVATIONS_SQL, observations, table
 from turnstone.plans.registry import query
 from turnstone.sources import captures
+from turnstone.sources.staging import shared_dir
+from turnstone.streaming import observe
 
 ORDER = ["ts", "event_id"]
 _W = "PARTITION BY session ORDER BY ts, event_id"
@@ -249,3 +251,57 @@ def capture_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.element_at(F.array(*map(F.lit, ("Other", "Live", "Backfilled", "Missed"))), (F.col("n_chars") % 4 + 1).cast("int"))
     rows = table(spark, sf_dir, "documents").select("source", "lang", rank.alias("coverage"), F.array(F.col("doc_id").cast("string")).alias("files"))
     return catalog.merge_manifests(rows, ["source", "lang"]).select("source", "lang", "coverage", F.size("files").cast("long").alias("files"))
+
+
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """Runs a stream over what there is now and gives the table that it wrote."""
+    at = shared_dir(stream.sparkSession)
+    run = stream.writeStream.format("parquet").queryName(name).option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+@query(f"""
+    WITH RECURSIVE {OBSERVATIONS_SQL}, r AS (SELECT session, event_id, tool, role, role = 'PromptSubmitted' AS asks, k, row_number() OVER (PARTITION BY session ORDER BY epoch_us(ts) // 1000, role = 'ToolFailure', CAST(event_id AS VARCHAR)) AS n FROM obs),
+    s AS (SELECT session, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS turn, false AS inside, CAST([] AS STRUCT(i BIGINT, t VARCHAR)[]) AS held, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS turn_no, CAST(NULL AS BIGINT) AS request_id FROM (SELECT DISTINCT session FROM r)
+        UNION ALL SELECT session, n, turn, inside AND role <> 'ToolFailure', CASE role WHEN 'ToolRequest' THEN list_append(held, {{'i': event_id, 't': tool}}) WHEN 'ToolFailure' THEN [] WHEN 'ToolSuccess' THEN list_filter(held, lambda x: pick IS NULL OR x.i <> pick) ELSE held END,
+            event_id, CASE WHEN inside THEN turn END, CASE WHEN role = 'ToolSuccess' THEN pick END
+        FROM (SELECT r.session, r.n, s.turn + CASE WHEN asks THEN 1 ELSE 0 END AS turn, s.inside OR asks AS inside, held, r.event_id, r.role, r.tool, list_filter(held, lambda x: x.t = r.tool)[1].i AS pick FROM s JOIN r ON r.session = s.session AND r.n = s.n + 1))
+    SELECT session, event_id, 'derived-' || turn_no AS turn_id, request_id FROM s WHERE event_id IS NOT NULL""")
+def streamed_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events landed and read as a stream, with a session's state: turns, open requests, stops (here failures) that forget them."""
+    at = shared_dir(spark)
+    role = F.when(F.col("role") == "ToolFailure", "TurnStop").otherwise(F.col("role"))
+    observations(spark, sf_dir).select(F.col("session").cast("string").alias("session"), F.col("ts").cast("timestamp").alias("ts"), "event_id", role.alias("role"), "tool", F.lit(None).cast("string").alias("server")).write.parquet(at)
+    stored = spark.read.parquet(at)
+    steps = drained(observe.session_steps(spark.readStream.schema(stored.schema).parquet(at)), "steps")
+    return steps.select(F.col("session").cast("long").alias("session"), F.col("event_id").cast("long").alias("event_id"), "turn_id", F.col("request_id").cast("long").alias("request_id"))
+
+
+@query(f"""
+    WITH {OBSERVATIONS_SQL}, o AS (SELECT session, k, event_id, ts, CASE WHEN role = 'ToolRequest' THEN 'hook' ELSE 'transcript' END AS origin FROM obs),
+    n AS (SELECT *, row_number() OVER w AS n, max(CASE WHEN origin = 'hook' THEN 1 ELSE 0 END) OVER (PARTITION BY session, k ORDER BY ts, CAST(event_id AS VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hooked FROM o WINDOW w AS (PARTITION BY session, k ORDER BY ts, CAST(event_id AS VARCHAR)))
+    SELECT session, k, event_id, CASE WHEN n = 1 THEN 'Added' WHEN origin = 'hook' AND hooked = 0 THEN 'PromotePrimary' ELSE 'Merged' END AS change_kind FROM n""")
+def streamed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of one key as rows of one call: requests are hooks, the rest transcript rows."""
+    at = shared_dir(spark)
+    rows = observations(spark, sf_dir).select(F.col("session").cast("string").alias("session"), F.col("k").cast("string").alias("call_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.when(F.col("role") == "ToolRequest", "hook").otherwise("transcript").alias("origin"))
+    rows.write.parquet(at)
+    made = drained(observe.change_kinds(spark.readStream.schema(rows.schema).parquet(at)), "changes")
+    return made.select(F.col("session").cast("long").alias("session"), F.col("call_id").cast("long").alias("k"), F.col("event_id").cast("long").alias("event_id"), "change_kind")
+
+
+@query("""SELECT conv_id, turn, sha256(text) AS h FROM conversations""")
+def streamed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as growing files, landed in segments that are cut inside of lines, tailed as a stream."""
+    at = shared_dir(spark)
+    line = F.concat_ws(" ", F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.sha2("text", 256))
+    files = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
+    body = F.concat("body", F.lit("\nnot ended"))
+    cuts = F.explode(F.sequence(F.lit(0), F.floor((F.length("body") - 1) / 50).cast("int")))
+    parts = files.withColumn("body", body).select(F.col("conv_id").cast("string").alias("path"), F.lit(0).cast("long").alias("generation"), "body", cuts.alias("i"))
+    parts.select("path", "generation", (F.col("i") * 50).cast("long").alias("offset"), F.col("body").substr(F.col("i") * 50 + 1, F.lit(50)).alias("chunk")).write.parquet(at)
+    stored = spark.read.parquet(at)
+    lines = drained(observe.tail_lines(spark.readStream.schema(stored.schema).parquet(at)), "lines")
+    said = F.split("raw", " ")
+    return lines.select(said[0].cast("long").alias("conv_id"), said[1].cast("long").alias("turn"), said[2].alias("h"))
