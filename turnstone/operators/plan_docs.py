@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnstone.functions.text import collapse, distinct_by_case, lines_only, plan_body
+
 
 def plan_revisions(bodies: DataFrame, plan: list[str], order: list[str], body_hash: str, opaque: Column | None = None) -> DataFrame:
     """plan..., revisions, updates, partial: adjacent equal bodies are one revision, a return to an older one counts anew.
@@ -73,3 +75,102 @@ def stable_id(text: Column) -> Column:
     """A plan id of safe characters; above 96 of them 80 and 12 digits of a hash."""
     safe = F.regexp_replace(F.lower(text), "[^a-z0-9._-]+", "-")
     return F.when(F.length(safe) > 96, F.concat(F.substring(safe, 1, 80), F.lit("-"), F.substring(F.sha2(text, 256), 1, 12))).otherwise(safe)
+
+
+#: How a path of a plan is told in free text: a drive, a root or a file URI before it; blanks, quotes and brackets end it.
+_STOPS = r"""\s"'<>|()\[\]{},;`"""
+_PLAN_PATH = rf"(?i)(?<![^{_STOPS}:=])(?:file://(?:localhost)?)?(?:/?[A-Za-z]:[\\/]|/)[^{_STOPS}]*?\.plan\.md(?![A-Za-z0-9_.-])"
+_ROOTED = rf"(?i)(?:file://(?:localhost)?/[^{_STOPS}]+|(?<=`)[A-Za-z]:[\\/][^`\r\n]+(?=`)|(?<=\]\()[A-Za-z]:[\\/][^)\r\n]+(?=\)))"
+
+
+def _local(path: Column) -> Column:
+    """A path or file URI as a path: escapes undone, `/c:/x` as `c:/x`."""
+    plain = F.regexp_replace(F.replace(path, F.lit("\\\\"), F.lit("\\")), r"(?i)^file://(?:localhost)?", "")
+    decoded = F.when(F.lower(path).startswith("file:"), F.try_url_decode(F.replace(plain, F.lit("+"), F.lit("%2B")))).otherwise(plain)
+    return F.regexp_replace(F.coalesce(decoded, plain), r"^/(?=[A-Za-z]:)", "")
+
+
+def _sorted_by_case(paths: Column) -> Column:
+    """One of each path by case, in order of that."""
+    pairs = F.array_sort(F.transform(distinct_by_case(paths), lambda p: F.struct(F.lower(p).alias("k"), p.alias("p"))))
+    return F.transform(pairs, lambda x: x["p"])
+
+
+def plan_paths(text: Column, paths: Column) -> Column:
+    """Paths of plans (`*.plan.md`) that a text or a call's own paths tell, one of each by case, sorted."""
+    told = F.coalesce(F.regexp_extract_all(text, F.lit(_PLAN_PATH), F.lit(0)), F.array().cast("array<string>"))
+    own = F.filter(F.coalesce(paths, F.array().cast("array<string>")), lambda p: F.lower(p).endswith(".plan.md"))
+    return _sorted_by_case(F.transform(F.concat(own, told), _local))
+
+
+def workspace_hints(markdown: Column) -> Column:
+    """Rooted paths in a plan's links, inline code and file URIs, one of each by case, sorted."""
+    return _sorted_by_case(F.transform(F.regexp_extract_all(markdown, F.lit(_ROOTED), F.lit(0)), _local))
+
+
+def session_hint(markdown: Column) -> Column:
+    """The session id that a plan's file begins with, if it does."""
+    return F.nullif(F.regexp_extract(markdown, r"(?i)\A\s*(?:<!--\s*)?([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})\b", 1), F.lit(""))
+
+
+def front_matter(text: Column) -> Column:
+    """name, overview, todos (id, content; their status isn't read) and body of a plan document; without front matter all of it is body.
+
+    Of its YAML the plain forms are read: scalars on one line, quoted or not, and todos as a list of maps.
+    """
+    lines = F.regexp_replace(lines_only(text), "\\A\ufeff", "")
+    head = F.regexp_extract(lines, r"(?s)\A---\n(.*?\n)---[ \t]*(?:\n|\z)", 1)
+    bare = lambda c: F.nullif(F.regexp_replace(F.trim(c), r"""(?s)^(["'])(.*)\1$""", "$2"), F.lit(""))
+    field = lambda n: bare(F.regexp_extract(head, rf"(?m)^{n}:[ \t]*(.*)$", 1))
+    items = F.regexp_extract_all(head, F.lit(r"(?m)^[ \t]*-[ \t]+(?:\w+:.*\n?)(?:[ \t]+\w+:.*\n?)*"), F.lit(0))
+    part = lambda i, n: bare(F.regexp_extract(i, rf"(?m)^[ \t]*(?:-[ \t]+)?{n}:[ \t]*(.*)$", 1))
+    todos = F.filter(F.transform(items, lambda i: F.struct(part(i, "id").alias("id"), part(i, "content").alias("content"))), lambda t: t["content"].isNotNull())
+    body = F.regexp_replace(lines, r"(?s)\A---\n.*?\n---[ \t]*(?:\n|\z)", "")
+    return F.struct(field("name").alias("name"), field("overview").alias("overview"), todos.alias("todos"), body.alias("body"))
+
+
+def structured_key(name: Column, overview: Column, todos: Column) -> Column:
+    """What a plan document and the call that made it agree on: name, overview and the todos' ids and contents, white space collapsed."""
+    flat = lambda c: F.coalesce(collapse(c), F.lit(""))
+    return F.array_join(F.concat(F.array(F.concat(F.lit("name:"), flat(name)), F.concat(F.lit("overview:"), flat(overview))), F.transform(todos, lambda t: F.concat(F.lit("todo:"), flat(t["id"]), F.lit("="), flat(t["content"])))), "\n")
+
+
+#: Tools that write a plan's file, and that change a plan as such.
+WRITERS, PLANNERS = ("write", "edit", "multiedit", "notebookedit"), ("plan", "update_plan")
+
+
+def plan_activities(events: DataFrame) -> DataFrame:
+    """event_id, activity (Created, Updated, Referenced), path, body, successful, opaque: what events of three providers do to plans.
+
+    events: provider, session, event_id, role, tool, tool_kind, text (arguments as JSON), paths, outcome (role of the call's last
+    result), native (type of the row). The first provider leaves plan mode with the plan's text, or writes below a `plans`
+    folder; the second tells changes itself, and only sessions without such rows are read by their tools; the third
+    creates plans, and changes or names their files.
+    """
+    tool, none = F.lower("tool"), F.lit(None).cast("string")
+    request = F.col("role") == "ToolRequest"
+    done = F.coalesce(F.col("outcome") == "ToolSuccess", F.lit(False))
+    args = F.try_parse_json("text")
+    get = lambda n: F.try_variant_get(args, f"$.{n}", "string")
+    act = lambda kind, path, body, fine: F.struct(F.lit(kind).alias("activity"), path.alias("path"), body.alias("body"), fine.alias("successful"))
+    each = lambda kind, paths, body, fine: F.transform(paths, lambda p: act(kind, p, body, fine))
+    plans_folder = F.filter("paths", lambda p: F.lower(p).endswith(".md") & F.arrays_overlap(F.split(F.lower(p), r"[\\/]+"), F.array(F.lit("plans"))))
+    claude = (
+        F.when(request & (tool == "exitplanmode"), F.array(act("Updated", none, get("plan"), done)))
+        .when(request & tool.isin(*WRITERS), each("Updated", plans_folder, F.when(tool == "write", get("content")), done))
+    )
+    told = F.max(F.col("native") == "session.plan_changed").over(Window.partitionBy("provider", "session"))
+    fine = ~F.coalesce(F.col("outcome") == "ToolFailure", F.lit(False))
+    copilot = (
+        F.when(F.col("native") == "session.plan_changed", F.array(act("Updated", none, none, F.lit(True))))
+        .when(~F.coalesce(F.col("__told"), F.lit(False)) & request & tool.isin(*PLANNERS), F.array(act("Updated", none, none, fine)))
+    )
+    found = plan_paths(F.col("text"), F.col("paths"))
+    cursor = (
+        F.when(F.col("role") == "PromptSubmitted", each("Referenced", found, none, F.lit(True)))
+        .when(request & (tool == "createplan"), F.array(act("Created", none, get("plan"), F.lit(True))))
+        .when(request & F.col("tool_kind").isin("FileWrite", "FileEdit"), each("Updated", found, none, F.lit(True)))
+        .when(request, each("Referenced", found, none, F.lit(True)))
+    )
+    of = F.when(F.col("provider") == "ClaudeCode", claude).when(F.col("provider") == "GitHubCopilot", copilot).when(F.col("provider") == "Cursor", cursor)
+    return events.withColumn("__told", told).select("event_id", F.explode(of).alias("a")).select("event_id", "a.*").withColumn("body", plan_body(F.col("body"))).withColumn("opaque", F.col("body").isNull())

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstone.functions import payloads, text, tools
-from turnstone.operators import usage
+from turnstone.operators import plan_docs, usage
 from turnstone.plans.adapters import table
 from turnstone.plans.registry import query
 from turnstone.sources import captures, envelopes, sessions, transcripts
@@ -383,3 +383,54 @@ def passive_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shaped(spark, sf_dir, '{"command":"ls  -{k}"}', '{"cmd":" run\\nit "}', '{"other":1}', '{"command":" "}', '{"script":"' + "y" * 130 + '"}', "[]")
     name = F.element_at(F.array(*map(F.lit, ("Run_In_Terminal", "cat", "whatever", "My-Agent", "frobnicate", "codegrep"))), (F.col("event_id") % 6 + 1).cast("int"))
     return rows.select("event_id", tools.passive_kind(name, F.col("event_id") % 6 == 2).alias("kind"), tools.command_text(parsed()).alias("command"))
+
+
+@query(f"""WITH {EVENTS} SELECT event_id, {by_shape("'Tidy ' || k", "'quoted: x'", "NULL")} AS name, {by_shape("'name:Tidy ' || k || chr(10) || 'overview:all of it' || chr(10) || 'todo:a=first thing' || chr(10) || 'todo:b=second'", "'name:quoted: x' || chr(10) || 'overview:'", "'name:' || chr(10) || 'overview:'")} AS key, {by_shape("'# Do' || chr(10)", "''", "'---' || chr(10) || 'open'")} AS body FROM e""")
+def plan_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shaped(
+        spark,
+        sf_dir,
+        "\ufeff---\r\nname: Tidy  {k}\r\noverview: 'all  of it'\r\ntodos:\r\n  - id: a\r\n    content: first thing\r\n    status: done\r\n  - content: \"second\"\r\n    id: b\r\nisProject: false\r\n---\r\n# Do\r\n",
+        '---\nname: "quoted: x"\n---',
+        "---\nopen",
+    ).withColumn("p", plan_docs.front_matter(F.col("doc")))
+    return rows.select("event_id", F.regexp_replace("p.name", " +", " ").alias("name"), plan_docs.structured_key(F.col("p.name"), F.col("p.overview"), F.col("p.todos")).alias("key"), F.col("p.body").alias("body"))
+
+
+@query(f"""WITH {EVENTS} SELECT event_id, {by_shape("'/r/' || k || '.plan.md,c:/w/B.plan.md,D:\\x\\c.plan.md'", "'/own.plan.md'", "''")} AS plans, {by_shape("'/r/' || k || '.plan.md,/w/B.plan.md'", "'/a b/c'", "'D:\\work\\p,e:/code'")} AS hints, {by_shape("NULL", "NULL", "'0f8fad5b-d9cb-469f-a165-70867728950e'")} AS session FROM e""".replace("'/r/' || k || '.plan.md,/w/B.plan.md'", "'c:/w/B.plan.md'"))
+def plan_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shaped(
+        spark,
+        sf_dir,
+        "see /r/{k}.plan.md, file:///c:/w/B.plan.md and D:\\x\\c.plan.md or /R/{k}.PLAN.MD but not a.plan.md5",
+        "file:///a%20b/c only",
+        "<!-- 0f8fad5b-d9cb-469f-a165-70867728950e --> in `D:\\work\\p` or [it](e:/code) or C:/no",
+    )
+    own = F.when(F.col("event_id") % 3 == 1, F.array(F.lit("/own.plan.md"), F.lit("/no.md")))
+    return rows.select("event_id", F.array_join(plan_docs.plan_paths(F.col("doc"), own), ",").alias("plans"), F.array_join(plan_docs.workspace_hints(F.col("doc")), ",").alias("hints"), plan_docs.session_hint(F.col("doc")).alias("session"))
+
+
+@query(f"""WITH {EVENTS}, s AS (SELECT *, event_id % 8 AS i, ['Cursor', 'ClaudeCode', 'GitHubCopilot'][user_id % 3 + 1] AS provider, max(CASE WHEN event_id % 8 = 6 AND k < 5 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id) = 1 AS told FROM e)
+    SELECT event_id, 'Updated' AS activity, CASE i WHEN 1 THEN '/h/plans/' || k || '.md' WHEN 2 THEN '/h/plans/e.md' END AS path, CASE i WHEN 0 THEN 'go ' || k WHEN 1 THEN 'w' END AS body, k % 2 = 0 AS successful FROM s WHERE provider = 'ClaudeCode' AND i < 3
+    UNION ALL SELECT event_id, 'Updated', NULL, NULL, CASE WHEN i = 6 THEN true ELSE k % 3 > 0 END FROM s WHERE provider = 'GitHubCopilot' AND ((i = 6 AND k < 5) OR (NOT told AND i = 3))
+    UNION ALL SELECT event_id, CASE i WHEN 4 THEN 'Created' WHEN 5 THEN 'Updated' WHEN 7 THEN 'Referenced' END, CASE i WHEN 5 THEN '/c/x.plan.md' WHEN 7 THEN '/c/y.plan.md' END, CASE i WHEN 4 THEN '# made' END, true FROM s WHERE provider = 'Cursor' AND i IN (4, 5, 7)""")
+def plan_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each provider's events take all the shapes; what belongs to another one's dialect says nothing."""
+    rows = shaped(spark, sf_dir, '{"plan":"go {k}\\n"}', '{"content":"w"}', "{}", "{}", '{"plan":"# made"}', '{"path":"/c/x.plan.md"}', "", "look at /c/y.plan.md")
+    i = F.col("event_id") % 8
+    pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (i + 1).cast("int"))
+    paths = F.when(i == 1, F.array(F.concat(F.lit("/h/plans/"), F.col("k").cast("string"), F.lit(".md")), F.lit("/h/readme.md"))).when(i == 2, F.array(F.lit("/h/plans/e.md"))).otherwise(F.array().cast("array<string>"))
+    provider = F.element_at(F.array(*map(F.lit, ("Cursor", "ClaudeCode", "GitHubCopilot"))), (F.col("user_id") % 3 + 1).cast("int"))
+    events = rows.select(
+        provider.alias("provider"),
+        F.col("user_id").alias("session"),
+        "event_id",
+        F.when(i == 7, "PromptSubmitted").when(i == 6, "Generic").otherwise("ToolRequest").alias("role"),
+        pick("ExitPlanMode", "Write", "Edit", "update_plan", "CreatePlan", "edit_file", None, None).alias("tool"),
+        pick("Task", "FileWrite", "FileEdit", "Task", "Task", "FileEdit", None, None).alias("tool_kind"),
+        F.col("doc").alias("text"),
+        paths.alias("paths"),
+        F.when(provider == "ClaudeCode", F.when(F.col("k") % 2 == 0, "ToolSuccess")).when(F.col("k") % 3 == 0, "ToolFailure").alias("outcome"),
+        F.when((i == 6) & (F.col("k") < 5), "session.plan_changed").alias("native"),
+    )
+    return plan_docs.plan_activities(events).select("event_id", "activity", "path", "body", "successful")
