@@ -149,6 +149,27 @@ def removed_by_force(bodies, size):
     return gone
 
 
+def counted(docs):
+    shared = suffix_dedup.shared_runs(docs.select(suffix_dedup.row_name().alias("row"), "text"))
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(docs), shared).drop("longest_shared")
+
+
+def test_shared_runs(spark):
+    rng = np.random.default_rng(9)
+    noise = ["".join(map(chr, rng.integers(97, 123, 2000))) for _ in range(9)]
+    rows = []
+    for i, size in enumerate((249, 250, 300, 399)):  # a string of that size in two texts, at other places
+        part = noise[i][500 : 500 + size]
+        rows += [(2 * i, noise[i][:500] + part + "."), (2 * i + 1, noise[i + 4][: 77 * i + 3] + part + "!" + noise[i + 4][1000:])]
+    rows += [(20, noise[8][:400] * 2), (21, None), (22, "")]
+    docs = table(spark, *rows).select(F.col("doc_id").alias("row"), "text")
+    got = {r["row"]: r["longest_shared"] for r in suffix_dedup.shared_runs(docs).collect()}
+    for i, size in enumerate((249, 250, 300, 399)):
+        for row in (2 * i, 2 * i + 1):
+            assert got.get(row, 0) <= size and (size < 250 or got[row] >= max(150, size - 2 * 100))
+    assert not {20, 21, 22} & set(got)
+
+
 def test_suffix_dedup_equals_brute_force(spark, docs, texts):
     ids = sorted(texts)
     bodies = [(texts[i] or "").encode() for i in ids]
@@ -157,7 +178,7 @@ def test_suffix_dedup_equals_brute_force(spark, docs, texts):
         kept = bytes(c for c, x in zip(b, g, strict=True) if not x)
         runs = len(re.findall(b"\1+", bytes(g)))
         want[i] = (len(b), sum(g), runs, hashlib.sha256(kept).hexdigest())
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.digest(suffix_dedup.remove_repeats(docs)).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in counted(docs).collect()}
     assert got == want
     assert any(v[1] for v in want.values())
 
@@ -190,8 +211,7 @@ def test_suffix_dedup_edges_and_odd_rows(spark):
     rows = [(1, noise[0]), (2, noise[1][:300] + part + noise[2]), (3, noise[3] + part[1:]), (4, "é" * 450), (5, "ab" * 400), (6, noise[4]), (6, noise[4]), (7, None), (8, ""), (9, "short")]
     bodies = [(t or "").encode() for _, t in rows]
     want = sorted((i, len(b), sum(g)) for (i, _), b, g in zip(rows, bodies, removed_by_force(bodies, suffix_dedup.LENGTH), strict=True))
-    made = suffix_dedup.remove_repeats(table(spark, *rows))
-    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.digest(made).collect()) == want
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in counted(table(spark, *rows)).collect()) == want
     assert suffix_dedup.remove_repeats(table(spark)).count() == 0
 
 

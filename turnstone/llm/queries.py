@@ -45,7 +45,8 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(docs), suffix_dedup.shared_runs(docs.select(suffix_dedup.row_name().alias("row"), "text")))
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Rank pairs at growing offsets name ever longer strings, and Spark groups them; positions whose string is
 unique are done and leave. To rank each of the corpus's bytes in every round would shuffle many times the
-input, so only some positions stand for all: of every LENGTH-byte window the position, among its first
-SPREAD ones, whose next GRAM bytes hash lowest. Equal windows have it at the same place, so a repeated window is
+input, so only some positions stand for all: of every LENGTH-byte window the position, among those that leave room
+for the first rank (200 bytes), whose next GRAM bytes hash lowest. Equal windows have it at the same place, so a repeated window is
 one whose positions meet in every round. Ranks are 128 bits wide and go up from round to round:
 
   100   seed: two rolling hashes of the bytes
@@ -15,6 +15,9 @@ Groups whose whole surroundings are the same bytes need no last round; one of th
 seen twice go on, as a bounded Bloom filter to the next scan of the texts; what it lets through in error
 meets nobody. The last round first counts half of each rank, and tells places of those seen twice only. No text is
 shuffled before the spans are known. Long texts are worked on in windows that overlap by LENGTH - 1 bytes.
+
+What documents share below LENGTH bytes stays, and is told: shared_runs has the longest run of each document that the ranks
+of SHORT_RANK bytes see in others, too (pairs of 100-byte ranks at offset 50).
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,8 +35,9 @@ from turnstone.llm.common import stage_table
 from turnstone.llm.words import PIECE, U, Bytes, mix, pieces, tidy
 
 LENGTH, GRAM = 400, 50
-SPREAD = LENGTH // 2 + 1
 STEP = LENGTH // 8
+#: A shorter string that documents may share without losing it, and the rank that tells it.
+SHORT, SHORT_RANK = 250, 150
 #: Bytes of a text that are worked on at once.
 CHUNK = PIECE
 _ODD = (U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F))
@@ -53,25 +57,27 @@ def pair(a: Rank, b: Rank) -> Rank:
 class Suffixes:
     """The chosen positions `at` of texts, and the windows [low, high] (first bytes) that each stands for.
 
-    base: how many bytes of a text stand before the part of it that is given.
+    base: how many bytes of a text stand before the part of it that is given. A window has `length` bytes; the positions
+    leave room for a rank of `rank` bytes in it.
     """
 
-    def __init__(self, texts: pa.Array, base: int = 0):
+    def __init__(self, texts: pa.Array, base: int = 0, length: int = LENGTH, rank: int = LENGTH // 2):
         self.b = b = Bytes(texts, fold=False)
         self.base = base
         self.sums: tuple[np.ndarray, np.ndarray] | None = None
-        long = np.flatnonzero(b.size >= LENGTH)
+        spread = length - rank + 1
+        long = np.flatnonzero(b.size >= length)
         self.at = self.low = self.high = self.text = np.zeros(0, np.int64)
         if not len(long):
             return
         key = b.rolling(GRAM)
         key = key & U(0xFFFFFFFF00000000) | np.arange(len(key), dtype=np.uint64)
         span = 1
-        while 2 * span <= SPREAD:
+        while 2 * span <= spread:
             key = np.minimum(key[:-span], key[span:])
             span *= 2
-        key = np.minimum(key[: len(key) - (SPREAD - span)], key[SPREAD - span :])
-        count = b.size[long] - LENGTH + 1
+        key = np.minimum(key[: len(key) - (spread - span)], key[spread - span :])
+        count = b.size[long] - length + 1
         window = np.repeat(b.start[long] - (np.cumsum(count) - count), count) + np.arange(count.sum())
         best = (key[window] & U(0xFFFFFFFF)).astype(np.int64)
         head = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]]))
@@ -92,6 +98,9 @@ class Suffixes:
         end = at + LENGTH // 4
         return self.b.hashes(at, end), mix((sums[end] - sums[at]) * down[at])
 
+    def rank150(self, at: np.ndarray) -> Rank:
+        return pair(self.rank100(at), self.rank100(at + SHORT_RANK - LENGTH // 4))
+
     def rank200(self, at: np.ndarray) -> Rank:
         return pair(self.rank100(at), self.rank100(at + LENGTH // 4))
 
@@ -118,25 +127,25 @@ class Suffixes:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _parts(texts: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[int, int, Suffixes]]:
+def _parts(texts: pa.Array, chunk: int = CHUNK, length: int = LENGTH, rank: int = LENGTH // 2) -> Iterator[tuple[int, int, Suffixes]]:
     """(i, j, Suffixes) of runs [i, j) of texts of a bounded size; a longer text comes alone, in parts."""
     for i, j in pieces(texts, min(PIECE // 2, chunk)):
         if j == i + 1 and texts[i].is_valid and texts[i].as_buffer().size > chunk:
             raw = texts[i].as_buffer()
-            for at in range(0, raw.size - LENGTH + 1, chunk):
-                yield i, j, Suffixes(pa.array([raw[at : min(at + chunk + LENGTH - 1, raw.size)].to_pybytes()], pa.binary()), at)
+            for at in range(0, raw.size - length + 1, chunk):
+                yield i, j, Suffixes(pa.array([raw[at : min(at + chunk + length - 1, raw.size)].to_pybytes()], pa.binary()), at, length, rank)
         else:
-            yield i, j, Suffixes(texts.slice(i, j - i))
+            yield i, j, Suffixes(texts.slice(i, j - i), 0, length, rank)
 
 
-def _scan(docs: DataFrame, work: Callable[[np.ndarray, Suffixes], list[np.ndarray]], schema: str) -> DataFrame:
+def _scan(docs: DataFrame, work: Callable[[np.ndarray, Suffixes], list[np.ndarray]], schema: str, length: int = LENGTH, rank: int = LENGTH // 2) -> DataFrame:
     """Columns that `work` makes of bounded parts of (row, text)."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = b.column(0).to_numpy()
-            for i, j, s in _parts(b.column(1)):
+            for i, j, s in _parts(b.column(1), CHUNK, length, rank):
                 if len(s.at):
                     cols = work(rows[i:j], s)
                     for k in range(0, len(cols[0]), 50_000):
@@ -202,15 +211,49 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return sure.unionByName(places.join(again, ["one", "two"]).select("row", F.col("at").alias("low"), F.col("at").alias("high")))
 
 
+def shared_runs(docs: DataFrame) -> DataFrame:
+    """(row, longest_shared) of docs (row, text): the bytes of its longest run of strings that another row has, too.
+
+    Every string of SHORT bytes that two rows have is seen in both; a run's ends, up to SHORT - SHORT_RANK bytes each, may
+    be left out. Rows without such a string are left out.
+    """
+    short = {"length": SHORT, "rank": SHORT_RANK}
+    half = lambda row: (mix(row.view(np.uint64)) >> U(32)).astype(np.uint32).view(np.int32)
+    first = _scan(docs, lambda rows, s: [s.rank150(s.at)[0], half(rows[s.text])], "one long, of int", **short)
+    ends = first.groupBy("one").agg(F.min("of").alias("a"), F.max("of").alias("z"))
+    shared = stage_table(ends.where("a <> z").select("one"))
+    seen = _Seen(shared, "one")
+
+    def places(rows: np.ndarray, s: Suffixes) -> list[np.ndarray]:
+        one = s.rank150(s.at)[0]
+        fine = np.flatnonzero(seen.holds(one))
+        return [rows[s.text[fine]], s.at[fine] - s.b.start[s.text[fine]] + s.base, one[fine]]
+
+    at = _scan(docs, places, "row long, at long, one long", **short).join(shared, "one").groupBy("row").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    n = lambda x: F.lit(x).cast("long")
+    start = F.struct(n(-1).alias("low"), n(-1).alias("high"), n(0).alias("best"))
+
+    def step(acc, x):
+        low, high = F.when(x <= acc["high"], acc["low"]).otherwise(x), x + SHORT_RANK
+        return F.struct(low.alias("low"), high.alias("high"), F.greatest(acc["best"], high - low).alias("best"))
+
+    return at.select("row", F.aggregate("at", start, step, lambda acc: acc["best"]).alias("longest_shared"))
+
+
+def row_name(key: str = "doc_id", text: str = "text") -> Column:
+    """What tells a row apart here."""
+    return F.xxhash64(key, text)
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_bytes, kept (the bytes that are left), removed (array of start, end: maximal runs of bytes).
+    """key, row (see row_name), n_bytes, kept (the bytes that are left), removed (array of start, end: maximal runs of bytes).
 
     A byte goes if any LENGTH-byte string over it also starts anywhere else, in its own text or another. Strings
     never cross texts and are judged on the input. A null text is an empty one; one of fewer than LENGTH
     bytes keeps all; a repeated row's bytes all go if it is that long; rows of one key but different
     texts are documents of their own; an empty table gives an empty one. Other columns are left out.
     """
-    numbered = docs.select(F.col(key), F.col(text).alias("text"), F.xxhash64(key, text).alias("row"))
+    numbered = docs.select(F.col(key), F.col(text).alias("text"), row_name(key, text).alias("row"))
     spans = stage_table(repeated_spans(numbered).groupBy("row").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high")))
     seen = _Seen(spans.select("row"), "row")
 
@@ -224,13 +267,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         return numbered.mapInArrow(tidy(run), numbered.schema)
 
     none = F.lit(None).cast("array<bigint>")
-    joined = touched(True).join(spans, "row", "left").select(key, "text", "low", "high").unionByName(touched(False).select(key, "text", none.alias("low"), none.alias("high")))
+    joined = touched(True).join(spans, "row", "left").select(key, "row", "text", "low", "high").unionByName(touched(False).select(key, "row", "text", none.alias("low"), none.alias("high")))
     span = pa.struct([pa.field("start", pa.int64()), pa.field("end", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size, kept, removed = [], [], []
-            for t, low, high in zip(b.column(1), b.column(2), b.column(3), strict=True):
+            for t, low, high in zip(b.column(2), b.column(3), b.column(4), strict=True):
                 raw = (t.as_py() or "").encode()
                 runs: list[dict] = []
                 if low.is_valid:
@@ -244,19 +287,21 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 size.append(len(raw))
                 kept.append(b"".join(raw[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)))
                 removed.append(runs)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, pa.list_(span))], names=[key, "n_bytes", "kept", "removed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, pa.list_(span))], names=[key, "row", "n_bytes", "kept", "removed"])
 
     pair_type = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    out = T.StructType([docs.schema[key], T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("removed", T.ArrayType(pair_type))])
+    out = T.StructType([docs.schema[key], T.StructField("row", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("removed", T.ArrayType(pair_type))])
     return joined.mapInArrow(tidy(cut), out)
 
 
-def digest(cleaned: DataFrame) -> DataFrame:
-    """Counts and a digest of remove_repeats' rows."""
-    return cleaned.select(
+def digest(cleaned: DataFrame, shared: DataFrame) -> DataFrame:
+    """Counts and a digest of remove_repeats' rows, and shared_runs' longest run, 0 without one."""
+    counted = cleaned.select(
         "doc_id",
+        "row",
         "n_bytes",
         (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+    return counted.join(shared, "row", "left").withColumn("longest_shared", F.coalesce("longest_shared", F.lit(0).cast("long"))).drop("row")
