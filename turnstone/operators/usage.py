@@ -127,6 +127,13 @@ def token_totals(samples: DataFrame, by: list[str]) -> DataFrame:
     return totals.groupBy(*by).agg(*[(pick(f) if f == "input" else F.coalesce(pick(f), F.lit(0))).cast("long").alias(f) for f in families])
 
 
+def once_per_step(rows: DataFrame, by: list[str], step: str, raw: str, order: str) -> DataFrame:
+    """Rows less those that tell a step's usage again in the same words; rows without a step or usage all stay."""
+    told = F.col(step).isNotNull() & F.col(raw).isNotNull()
+    first = F.row_number().over(Window.partitionBy(*by, step, raw).orderBy(order)) == 1
+    return rows.withColumn("__first", first | ~told).where("__first").drop("__first")
+
+
 def usage_by_name(samples: DataFrame, by: list[str]) -> DataFrame:
     """usage_total per name and unit (without case), zeros left out."""
     named = samples.withColumns({"name_key": F.lower("name"), "unit_key": F.lower("unit")})

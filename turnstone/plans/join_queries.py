@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnstone.functions import tools
@@ -253,6 +253,29 @@ def capture_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.merge_manifests(rows, ["source", "lang"]).select("source", "lang", "coverage", F.size("files").cast("long").alias("files"))
 
 
+@query(f"""
+    WITH {OBSERVATIONS_SQL}, s AS (SELECT session, event_id, CASE WHEN k % 5 > 0 THEN k % 20 END AS step, role AS raw FROM obs)
+    SELECT session, event_id FROM (SELECT *, row_number() OVER (PARTITION BY session, step, raw ORDER BY event_id) AS n FROM s) WHERE n = 1 OR step IS NULL""")
+def usage_once_per_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs = observations(spark, sf_dir).withColumn("step", F.when(F.col("k") % 5 > 0, F.col("k") % 20))
+    return usage.once_per_step(obs, ["session"], "step", "role", "event_id").select("session", "event_id")
+
+
+@query("""
+    WITH n AS (SELECT l_orderkey, l_linenumber, l_returnflag AS a, l_linestatus AS b, l_partkey % 2 AS c, lead(l_returnflag) OVER w AS x, lead(l_linestatus) OVER w AS y, lead(l_partkey % 2) OVER w AS z, lead(1) OVER w AS more FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))
+    SELECT l_orderkey, l_linenumber, CASE WHEN a = x AND b = y THEN CASE WHEN c = z THEN 125 ELSE 120 END END AS shell, CASE WHEN a = x AND b = y AND c = z THEN 90 END AS mcp, CASE WHEN a = x THEN 100 END AS file FROM n
+    WHERE more = 1 AND (c = z OR a <> x OR b <> y) """)
+def evidence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a line's fields are worth against the next line's, as evidence of a shell call, an MCP call and a file access."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    own = {"command": "l_returnflag", "cwd": "l_linestatus", "sandbox": "part", "tool": "l_returnflag", "server": "l_linestatus", "url": "part", "path": "l_returnflag"}
+    rows = table(spark, sf_dir, "lineitem").withColumn("part", (F.col("l_partkey") % 2).cast("string"))
+    rows = rows.withColumns({f"l_{k}": F.col(c) for k, c in own.items()} | {f"r_{k}": F.lead(c).over(w) for k, c in own.items()}).where("r_command IS NOT NULL")
+    scores = {"shell": matching.SHELL, "mcp": {k: v for k, v in matching.MCP.items() if k in ("tool", "server", "url")}, "file": matching.FILE}
+    got = rows.select("l_orderkey", "l_linenumber", *[matching.field_score(f).alias(n) for n, f in scores.items()], (F.col("l_sandbox") == F.col("r_sandbox")).alias("same"), ((F.col("l_command") != F.col("r_command")) | (F.col("l_cwd") != F.col("r_cwd"))).alias("other"))
+    return got.where("same OR other").drop("same", "other")
+
+
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """Runs a stream over what there is now and gives the table that it wrote."""
     at = shared_dir(stream.sparkSession)
