@@ -344,6 +344,14 @@ def test_mixture_keeps_budgets(spark):
     assert odd.agg(F.sum("tokens_taken")).first()[0] == 1 + 20000 + 3 * 8
 
 
+def test_mixture_of_null_levels(spark):
+    rows = [(1, "a b c", None, "s"), (2, "d e f", "de", None), (3, "g", None, None), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("domain", F.lit(None).cast("string"))
+    got = {r["doc_id"]: r["tokens_taken"] for r in mixing.mix(docs, share=(1, 1), epochs=1).collect()}
+    assert got == {1: 3, 2: 3, 3: 1}
+    assert [mixing.slice_digits(n) for n in (0, 256**3, 256**3 + 1, 10**12)] == [3, 3, 4, 5]
+
+
 def test_token_tables_round_trip(spark, docs, texts):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     path = shared_dir(spark)

@@ -18,7 +18,8 @@ from turnstone.llm.common import stage_table
 LEVELS = ("domain", "lang", "source")
 DOMAINS = ("web", "books", "code", "news")
 WEIGHTS = {"domain": {"web": 4, "books": 3, "code": 2, "news": 1}, "lang": {"en": 6, "de": 2, "fr": 2, "es": 1}}
-BUCKET_HEX = 3  # 4096 slices of a leaf's order
+#: A leaf's order is cut into 16 ** this many slices at least.
+LEAST_HEX = 3
 
 
 def word_count(text: Column) -> Column:
@@ -38,6 +39,14 @@ def with_levels(docs: DataFrame) -> DataFrame:
     )
 
 
+def slice_digits(rows: int) -> int:
+    """Hexadecimal digits that name a slice: about as many slices as one of them may have rows, of the largest leaf that there can be."""
+    digits = LEAST_HEX
+    while 256**digits < rows:
+        digits += 1
+    return digits
+
+
 def _weight(level: str, weights: dict) -> Column:
     known = weights.get(level, {})
     out = F.lit(1)
@@ -98,14 +107,14 @@ def mix(
 
     tokens_taken counts every epoch; the document at which a leaf's budget ends gives only its first
     tokens to it, so that a leaf's sum is its budget exactly. Documents that nothing is taken of are
-    left out, thus empty and null texts always. Null levels must have been filled before (with_levels);
+    left out, thus empty and null texts always. Levels are names; a null one is `unknown`;
     repeated rows count as documents of their own; an empty table gives an empty one.
 
-    A leaf may hold a third of all rows: its order is cut into 4096 slices by hash, sums of slices tell
+    A leaf may hold a third of all rows: its order is cut into slices by hash (see slice_digits), sums of slices tell
     which one the budget ends in, and only that slice's rows are sorted.
     """
     n = word_count(F.col("text")) if tokens is None else tokens
-    base = stage_table(docs.select(key, *levels, n.alias("n_tokens")).where("n_tokens > 0"))
+    base = stage_table(docs.select(key, *[F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c) for c in levels], n.alias("n_tokens")).where("n_tokens > 0"))
     leaves = base.groupBy(*levels).agg(F.sum("n_tokens").alias("available"))
     plan = stage_table(budgets(leaves, levels, weights, share, epochs))
     plan = plan.withColumn("full_epochs", F.floor(F.col("budget") / F.col("available")).cast("long"))
@@ -113,7 +122,7 @@ def mix(
     plan = plan.withColumn("full_epochs", F.when(F.col("full_epochs") * F.col("available") > F.col("budget"), F.col("full_epochs") - 1).otherwise(F.col("full_epochs")))
     plan = plan.select(*levels, "full_epochs", (F.col("budget") - F.col("full_epochs") * F.col("available")).alias("rest"))
     place = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("full_epochs").cast("string"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
-    rows = base.join(plan, list(levels)).withColumn("place", place).withColumn("slice", F.substring("place", 1, BUCKET_HEX))
+    rows = base.join(plan, list(levels)).withColumn("place", place).withColumn("slice", F.substring("place", 1, slice_digits(base.count())))
     cut = [*levels, "slice"]
     upto = Window.partitionBy(*levels).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = stage_table(
