@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.functions import payloads, text, tools
+from turnstone.functions import labels, payloads, text, tools
 from turnstone.operators import plan_docs, usage
 from turnstone.plans.adapters import table
 from turnstone.plans.registry import query
@@ -434,3 +434,23 @@ def plan_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((i == 6) & (F.col("k") < 5), "session.plan_changed").alias("native"),
     )
     return plan_docs.plan_activities(events).select("event_id", "activity", "path", "body", "successful")
+
+
+@query(f"""WITH {EVENTS}, d AS (SELECT *, {by_shape("'addRules, setMode'", "'once'", "NULL", "NULL", "NULL")} AS detail, {by_shape("NULL", "NULL", "'2 calls'", "'1 call'", "NULL")} AS batch, {by_shape("k", "k * 1000", "k * 61001", "k * 3700000", "-5")} AS ms_ FROM e),
+    t AS (SELECT *, greatest(ms_, 0) AS n FROM d)
+    SELECT event_id, concat_ws(' · ', 'Event', detail, CASE WHEN event_id % 10 = 5 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE
+        CASE WHEN n >= 3600000 THEN (n // 3600000) || 'h ' || lpad(CAST(n // 60000 % 60 AS VARCHAR), 2, '0') || 'm ' || lpad(CAST(n // 1000 % 60 AS VARCHAR), 2, '0') || 's ' || lpad(CAST(n % 1000 AS VARCHAR), 3, '0') || 'ms'
+            WHEN n >= 60000 THEN (n // 60000) || 'm ' || lpad(CAST(n // 1000 % 60 AS VARCHAR), 2, '0') || 's ' || lpad(CAST(n % 1000 AS VARCHAR), 3, '0') || 'ms' WHEN n >= 1000 THEN (n // 1000) || 's ' || lpad(CAST(n % 1000 AS VARCHAR), 3, '0') || 'ms' ELSE n || 'ms' END END) AS header,
+        batch, {by_shape("CAST(k AS VARCHAR)", "'1.5k'", "'12.35k'", "'2M'", "'1.02M'")} AS tokens, CASE event_id % 3 WHEN 0 THEN 'Bash · ls' WHEN 1 THEN 'Read · /a' END AS tool FROM t""")
+def report_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shaped(spark, sf_dir, '{"permission_suggestions":[{"type":"addRules"},{"x":1},{"type":"setMode"}]}', '{"permission_suggestions":{"type":"once"}}', '{"tool_calls":[1,2]}', '{"tool_calls":[{}]}', "{}")
+    of = lambda *v: F.element_at(F.array(*v), (F.col("event_id") % len(v) + 1).cast("int"))
+    k, lit, none = F.col("k"), lambda n: F.lit(n).cast("long"), F.lit(None).cast("string")
+    ms = of(k, k * 1000, k * 61001, k * 3_700_000, lit(-5)).cast("double")
+    return rows.select(
+        "event_id",
+        labels.occurrence_header(F.lit("Event"), labels.permission_detail(parsed()), F.col("ts").cast("timestamp"), F.col("event_id") % 10 == 5, ms).alias("header"),
+        labels.batch_detail(parsed()).alias("batch"),
+        labels.token_label(of(k, lit(1500), lit(12_345), lit(2_000_000), lit(1_015_001))).alias("tokens"),
+        labels.tool_detail(of(F.lit("Bash"), F.lit("Read"), none), of(none, F.lit("/a"), F.lit("/b")), of(F.lit("ls"), F.lit(""), none)).alias("tool"),
+    )
