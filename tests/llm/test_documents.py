@@ -370,15 +370,17 @@ def test_token_tables_round_trip(spark, docs, texts):
     assert sstable.lookup(path, rows, 777_777) == []
 
 
-ALPHABET = [*"aabcdeests  \n\t'-.,#0123456789AZ", "don't", "we'LL", "'s", "İ", "ß", "ẞ", "ﬁ", "Σ", "ς", "é", "e\u0301", "\u0307", "\u0327", "क", "्", "日本", "ⅷ", "½", "😀", "👩‍👩‍👧", "\u200b", "\u00ad", "\xa0", "\x1c", "\u2028", "<|", "|>", "<|endoftext|>", "<|startoftext|>", "K", "ſ", "Å", "\x00", "\ufeff"]
+ALPHABET = ["\u0331", "\x0b", "\x0c", "\r", *"aabcdeeHIsts  \n\t'-.,#0123456789AZ", "don't", "we'LL", "'s", "İ", "ß", "ẞ", "ﬁ", "Σ", "ς", "é", "e\u0301", "\u0307", "\u0327", "क", "्", "日本", "ⅷ", "½", "😀", "👩‍👩‍👧", "\u200b", "\u00ad", "\xa0", "\x1c", "\u2028", "<|", "|>", "<|endoftext|>", "<|startoftext|>", "K", "ſ", "Å", "\x00", "\ufeff"]
 
 
 def test_encoder_equals_the_library_on_random_texts():
     path = public_tokenizers.path("word_bpe_49k.json")
     enc, t, rng = encode.Encoder(path, 2, True), Tokenizer.from_file(path), np.random.default_rng(8)
-    for _ in range(20_000):
-        text = "".join(ALPHABET[i] for i in rng.integers(0, len(ALPHABET), rng.integers(1, 12)))
-        assert np.frombuffer(enc.ids(text), np.uint16).tolist() == [*t.encode(text, add_special_tokens=False).ids, 2], repr(text)
+    texts = ["".join(ALPHABET[i] for i in rng.integers(0, len(ALPHABET), rng.integers(1, 12))) for _ in range(20_000)]
+    texts += ["<|ENDOFTEXT|> <|endoftext|>", "H\u0331 h\u0331 I\u0307x", "x" * 300 + " " + "Ab" * 200, "", None, " \x0b\x0c\r"]
+    for k in range(0, len(texts), 500):
+        for text, ids in zip(texts[k : k + 500], enc.encode(texts[k : k + 500]), strict=True):
+            assert np.frombuffer(ids, np.uint16).tolist() == [*t.encode(text or "", add_special_tokens=False).ids, 2], repr(text)
 
 
 def test_starts_of_many_shards(spark):

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstone.llm.words import LOWER, U, Bytes, with_columns
+from turnstone.llm.words import LOWER, PIECE, U, Bytes, give_back, pieces, with_columns
 
 #: The training sample: documents a language (those with the smallest hashes), and chains of them.
 DOCUMENTS, CHAINS = 400, 4000
@@ -40,6 +40,22 @@ def held_out(key: str = "doc_id") -> Column:
 class Words:
     """The letter words of texts and their features: `slot`s of the words `of`, in order of words."""
 
+    @classmethod
+    def of_many(cls, texts: list[str | None]) -> Words:
+        """The same of any number of texts, made piece by piece: hashing takes many times the room of its result."""
+        parts = [cls(texts[i:j]) for i, j in pieces(texts, PIECE // 4)] or [cls([])]
+        out = parts[0]
+        if len(parts) > 1:
+            ends = np.cumsum([p.n for p in parts])
+            out.first = np.concatenate([*(p.first[:-1] + e - p.n for p, e in zip(parts, ends, strict=True)), ends[-1:]])
+            out.fixed = np.concatenate([p.fixed for p in parts])
+            for k in range(len(out.grams)):
+                sums = np.cumsum([len(p.grams[k]) for p in parts])
+                out.gram_at[k] = np.concatenate([*(p.gram_at[k][:-1] + e - len(p.grams[k]) for p, e in zip(parts, sums, strict=True)), sums[-1:]])
+                out.grams[k] = np.concatenate([p.grams[k] for p in parts])
+            out.n = int(ends[-1])
+        return out
+
     def __init__(self, texts: list[str | None]):
         b = Bytes(texts)
         low = LOWER[b.raw]
@@ -126,7 +142,7 @@ class Model:
 
     def train(self, texts: list[str], labels: list[str], seed: int = 5) -> Model:
         """Gradient steps on the chains' conditional likelihood, each weight with its own rate."""
-        w, rng, k = Words(texts), np.random.default_rng(seed), len(self.langs)
+        w, rng, k = Words.of_many(texts), np.random.default_rng(seed), len(self.langs)
         number = {x: i for i, x in enumerate(self.langs)}
         chains: list[list[np.ndarray]] = [[] for _ in self.langs]
         for d, label in enumerate(labels):
@@ -204,7 +220,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     rows = docs.where(F.col(lang).isNotNull() & (F.octet_length(text) <= TEXT_BYTES) & ~held_out(key)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key, text).alias("h"))
     order = Window.partitionBy("lang").orderBy("h")
     sample = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= documents).orderBy("lang", "n").collect()
-    return Model(sorted({r["lang"] for r in sample})).train([r["text"] for r in sample], [r["lang"] for r in sample])
+    model = Model(sorted({r["lang"] for r in sample})).train([r["text"] for r in sample], [r["lang"] for r in sample])
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:

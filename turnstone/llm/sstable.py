@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import drop_staged, stage_table
+from turnstone.llm.common import stage_table
 from turnstone.llm.encode import encoder
 from turnstone.llm.words import pieces, tidy
 
@@ -37,6 +37,8 @@ MAGIC = b"TSSTAB01"
 FOOTER = struct.Struct("<QQQQQQHH8s")
 ENTRY = struct.Struct("<QIIQ")
 BLOCK_BYTES, SHARD_BYTES = 64 << 10, 16 << 20
+#: Key ranges to a shuffle partition, and at most; keys of a range in the sample that sets its bounds, about.
+RANGES, MOST_RANGES, SAMPLED = 4, 20_000, 50
 #: Key ranges whose shards' ids are summed up together.
 RUN = 1000
 PROBES, BITS_PER_KEY = 7, 10
@@ -176,16 +178,13 @@ class ShardReader:
         return out
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int | None, by_word: bool, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """k (the key as a long) and ids (packed) of every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, end_id, by_word)
-        for b in batches:
-            for i, j in pieces(b.column(1)):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([enc.ids(t.as_py()) for t in b.column(1).slice(i, j - i)], pa.binary())], names=["k", "ids"])
-
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(tidy(run), "k long, ids binary")
+def range_bounds(keys: DataFrame, ranges: int) -> np.ndarray:
+    """The last keys of all but one of so many ranges of about as many rows, from a bounded sample of keys (by hash, so that it is the same every time)."""
+    k = keys.where("k IS NOT NULL")
+    share = min(1.0, SAMPLED * ranges / max(1, k.count()))
+    some = k.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct().toArrow().column(0).to_numpy()
+    some = np.sort(some)
+    return np.unique(some[(np.arange(1, ranges) * len(some)) // ranges]) if len(some) else some
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, by_word: bool, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -196,44 +195,56 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int | None,
     first; rows of one key stand next to each other, by ids; repeated rows all stay; an empty
     table has no shards. Other columns are ignored.
 
-    Texts are encoded where they are; the ids are staged, and Spark deals them out by ranges of the key and sorts each
-    range; its size is the session's (and AQE's), a shard's is SHARD_BYTES. A task writes each file under a name of
-    its attempt and renames it when it's complete, so a task that runs again writes the same files again.
+    Texts are encoded where they are, once; only ids are shuffled, by ranges of the key, of which there are some to each
+    of the session's shuffle partitions; a shard is SHARD_BYTES, and holds keys of one range. A task writes each file
+    under a name of its attempt and renames it when it's complete, so a task that runs again writes the same files again.
     """
-    made = stage_table(encoded(docs, tokenizer, end_id, by_word, key, text))
+    spark = docs.sparkSession
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    bounds = range_bounds(rows.select("k"), min(MOST_RANGES, RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     width = encoder(tokenizer, end_id, by_word).width
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer, end_id, by_word)
+        for b in batches:
+            keys = b.column(0)
+            of = np.searchsorted(bounds, keys.fill_null(0).to_numpy()).astype(np.int32)
+            of[~keys.is_valid().to_numpy(zero_copy_only=False)] = 0
+            for i, j in pieces(b.column(1)):
+                ids = enc.encode(b.column(1).slice(i, j - i).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(of[i:j]), keys.slice(i, j - i), pa.array(ids, pa.binary())], names=["range", "k", "ids"])
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(path)
         fs.create_dir(root, recursive=True)
-        task = TaskContext.get()
-        rows: list[dict] = []
-        shard = ShardWriter(width)
+        attempt = TaskContext.get().taskAttemptId()
+        made: list[dict] = []
+        shard, at, n = ShardWriter(width), None, 0
 
         def close() -> None:
-            name = f"shard-{task.partitionId():06d}-{len(rows):04d}.sst"
-            part = f"{root}/_{name}.{task.taskAttemptId()}"
+            name = f"shard-{at:06d}-{n:04d}.sst"
+            part = f"{root}/_{name}.{attempt}"
             first = unpack_key(shard.keys[0])
             body = shard.finish()
             with fs.open_output_stream(part) as f:
                 f.write(body)
             fs.move(part, f"{root}/{name}")
-            rows.append({"range": task.partitionId(), "file": name, "first_key": first, "n_docs": len(shard.keys), "n_tokens": shard.tokens})
+            made.append({"range": at, "file": name, "first_key": first, "n_docs": len(shard.keys), "n_tokens": shard.tokens})
 
         for b in batches:
-            for k, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if shard.size() >= SHARD_BYTES:
-                    close()
-                    shard = ShardWriter(width)
+            for of, k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if of != at or shard.size() >= SHARD_BYTES:
+                    if shard.keys:
+                        close()
+                        shard = ShardWriter(width)
+                    at, n = of, n + 1 if of == at else 0
                 shard.add(pack_key(k), v.as_py())
         if shard.keys:
             close()
-        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("range", pa.int32()), ("file", pa.string()), ("first_key", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+        yield pa.RecordBatch.from_pylist(made, schema=pa.schema([("range", pa.int32()), ("file", pa.string()), ("first_key", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    rows = made.repartitionByRange("k").sortWithinPartitions("k", "ids")
-    shards = stage_table(rows.mapInArrow(tidy(write), "range int, file string, first_key long, n_docs long, n_tokens long"))
-    drop_staged(made)
-    return _with_starts(shards)
+    dealt = rows.mapInArrow(tidy(encode), "range int, k long, ids binary").repartition("range").sortWithinPartitions("range", "k", "ids")
+    return _with_starts(stage_table(dealt.mapInArrow(tidy(write), "range int, file string, first_key long, n_docs long, n_tokens long")))
 
 
 def _with_starts(shards: DataFrame) -> DataFrame:
