@@ -108,10 +108,10 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shaped(
         spark,
         sf_dir,
-        '{"harnessOutcome":{"mode":"auto","effectKind":"x","summary":"s","response":{},"requiresUserAction":true,"changes":[{"target":"f{k}","after":"1"},{"before":"no target"}]}}',
-        '{"harnessOutcome":{"mode":"auto","effectKind":"x","summary":"s","response":{"a":1},"requiresUserAction":"no"}}',
-        '{"harnessOutcome":{"mode":"auto","effectKind":"x","summary":"s","response":[]}}',
-        '{"harnessOutcome":{"mode":"auto","effectKind":"x","summary":"s","response":{},"changes":[{"target":"a"},{"target":"b"}]}}',
+        '{"outcome":{"mode":"auto","effectKind":"x","summary":"s","response":{},"requiresUserAction":true,"changes":[{"target":"f{k}","after":"1"},{"before":"no target"}]}}',
+        '{"outcome":{"mode":"auto","effectKind":"x","summary":"s","response":{"a":1},"requiresUserAction":"no"}}',
+        '{"outcome":{"mode":"auto","effectKind":"x","summary":"s","response":[]}}',
+        '{"outcome":{"mode":"auto","effectKind":"x","summary":"s","response":{},"changes":[{"target":"a"},{"target":"b"}]}}',
     ).withColumn("o", payloads.outcome(parsed()))
     return rows.select("event_id", F.col("o.mode").alias("mode"), F.col("o.needs_user").alias("needs_user"), F.when(F.col("o").isNotNull(), F.size("o.changes")).alias("n_changes"), F.get("o.changes", F.lit(0))["target"].alias("first_target"))
 
