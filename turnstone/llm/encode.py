@@ -75,6 +75,11 @@ class Encoder:
             return self.whole(text) + self.end
         return b"".join(map(self.known.__getitem__, text.split())) + self.end
 
+    def forget(self) -> None:
+        """Gives up the words: a task's worker lives on, and what it remembers would stand beside what others need."""
+        self.known.clear()
+        self.known.old.clear()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         return [self.ids(t) for t in texts]
 

@@ -213,6 +213,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int | None,
             for i, j in pieces(b.column(1)):
                 ids = enc.encode(b.column(1).slice(i, j - i).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(of[i:j]), keys.slice(i, j - i), pa.array(ids, pa.binary())], names=["range", "k", "ids"])
+        enc.forget()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(path)
