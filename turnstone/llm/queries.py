@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm import chat_format, decontaminate, jaccard, language, lines, mixing, neighbours, pii, sql, sstable, suffix_dedup
+from turnstone.llm import chat_format, decontaminate, exact, jaccard, language, lines, mixing, neighbours, pii, sql, sstable, suffix_dedup
 from turnstone.llm.common import shared_dir, table
 
 
@@ -60,11 +60,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"), keep_text=False))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_tables, op3_line_dedup, op4_jaccard_join, op5_pii, op6_language, op7_nearest, op8_suffix_dedup, op9_chat_format, op10_decontaminate)}
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.find_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_tables, op3_line_dedup, op4_jaccard_join, op5_pii, op6_language, op7_nearest, op8_suffix_dedup, op9_chat_format, op10_decontaminate, op13_exact_dedup)}
 ORACLE_SQL = {
     "op1_mix_sources": sql.mix_sql(),
     "op3_line_dedup": sql.LINES,
     "op5_pii": sql.pii_sql(),
     "op7_nearest": sql.NEAREST,
     "op9_chat_format": sql.CHAT,
+    "op13_exact_dedup": sql.COPIES,
 }

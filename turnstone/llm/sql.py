@@ -134,3 +134,12 @@ NEAREST = """
     s AS (SELECT q.id AS query_id, c.id AS vec_id, list_inner_product(q.v, c.v) AS score FROM v q JOIN v c ON q.id % 20 = 0 AND c.id <> q.id AND len(q.v) = len(c.v))
     SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """
+
+#: A-Z and what they fold to.
+_FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+COPIES = f"""
+    WITH d AS (SELECT doc_id, translate(coalesce(text, ''), {_FOLD}) AS t FROM documents)
+    SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+        row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM d
+"""
