@@ -1,6 +1,7 @@
 """Exact copies against brute force, with names short enough to clash, and on odd tables."""
 
 import hashlib
+import random
 import re
 
 import duckdb
@@ -53,9 +54,10 @@ def test_copies_of_documents_equal_sql(spark):
 
 
 def test_chunks_follow_content(spark):
-    text = "".join(f"{hashlib.md5(str(k).encode()).hexdigest()}{k} stones read every day " for k in range(2000))
+    rnd = random.Random(3)
+    text = " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randrange(1, 9))) for _ in range(30_000))
     made = {r["key"]: r["recipe"] for r in exact.recipes(spark.createDataFrame([(1, text), (2, "some words before " + text)], "doc_id long, text string")).collect()}
-    assert len(made[1]) > 20 and len(set(made[1]) & set(made[2])) >= len(made[1]) - 3
+    assert len(made[1]) > 20 and len(set(made[1]) & set(made[2])) >= len(made[1]) - 9
     assert exact.chunk_store(exact.recipes(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string"))).agg(F.min("uses")).first()[0] == 2
 
 

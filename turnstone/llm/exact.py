@@ -80,7 +80,9 @@ def find_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", bits:
     name; fewer only cost more. A group is counted before it is shuffled, and groups of one are not joined.
     """
     ids = verified(recipes(docs, key, text, bits))
-    groups = ids.groupBy("ids").agg(F.max(F.struct("key", "row")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("ids", "same")
+    counted = ids.groupBy("ids").agg(F.max(F.struct("key", "row")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # staged, so that Spark knows its size and can split a large group's rows
+    groups = stage_table(counted.withColumnRenamed("ids", "same"))
     found = ids.join(groups, F.col("ids") == F.col("same"), "left")
     return found.select(
         F.col("key").alias(key),
