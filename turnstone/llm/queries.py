@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm import chat_format, decontaminate, exact, jaccard, language, lines, merkle, mixing, neighbours, pii, sql, sstable, suffix_dedup
+from turnstone.llm import chat_format, decontaminate, exact, jaccard, language, lines, merkle, mixing, neighbours, phrases, pii, sql, sstable, suffix_dedup
 from turnstone.llm.common import shared_dir, table
 
 
@@ -64,11 +64,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.find_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_tables, op3_line_dedup, op4_jaccard_join, op5_pii, op6_language, op7_nearest, op8_suffix_dedup, op9_chat_format, op10_decontaminate, op11_merkle_manifest, op13_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_tables, op3_line_dedup, op4_jaccard_join, op5_pii, op6_language, op7_nearest, op8_suffix_dedup, op9_chat_format, op10_decontaminate, op11_merkle_manifest, op12_collocations, op13_exact_dedup)}
 ORACLE_SQL = {
     "op1_mix_sources": sql.mix_sql(),
     "op3_line_dedup": sql.LINES,
@@ -76,5 +80,6 @@ ORACLE_SQL = {
     "op7_nearest": sql.NEAREST,
     "op9_chat_format": sql.CHAT,
     "op11_merkle_manifest": sql.MANIFEST,
+    "op12_collocations": sql.collocations_sql(),
     "op13_exact_dedup": sql.COPIES,
 }

@@ -1,6 +1,6 @@
 """DuckDB equivalents of the registered queries that SQL can express."""
 
-from turnstone.llm import mixing
+from turnstone.llm import mixing, phrases
 
 _W = r"[^\x20\x09-\x0D]+"
 
@@ -169,3 +169,19 @@ MANIFEST = f"""
     SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda x: x[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified
     FROM f JOIN s USING (k), (SELECT nodes[1] AS root FROM u WHERE len(nodes) = 1)
 """
+
+
+def collocations_sql(least: int = phrases.LEAST, top: int = phrases.TOP) -> str:
+    return f"""
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_FOLD}), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+    w AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM p),
+    n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+    f AS (SELECT lang, ws, count(*) AS a FROM (SELECT lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS ws FROM w, range(1, {phrases.WORDS + 1}) AS t(k)) GROUP BY ALL HAVING count(*) >= {least}),
+    c AS (SELECT lang, ws, a, unnest(range(1, len(ws))) AS k FROM f WHERE len(ws) > 1),
+    s AS (SELECT c.*, x.a AS l, y.a AS r, (CAST(2000000 AS HUGEINT) * c.a) // (x.a + y.a) AS score FROM c JOIN f x ON x.lang = c.lang AND x.ws = c.ws[1:k] JOIN f y ON y.lang = c.lang AND y.ws = c.ws[k + 1:]),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+    i AS (SELECT lang, ws, max(a) AS longer FROM (SELECT lang, a, unnest(flatten(list_transform(range(2, len(ws)), lambda m: list_transform(range(1, len(ws) - m + 2), lambda j: ws[j:j + m - 1])))) AS ws FROM f WHERE len(ws) > 2) GROUP BY ALL),
+    k AS (SELECT b.*, array_to_string(b.ws, ' ') AS phrase FROM b LEFT JOIN i USING (lang, ws) WHERE longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * b.a)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+    FROM k JOIN n USING (lang) QUALIFY rank <= {top}
+    """
