@@ -40,7 +40,7 @@ def some_texts(seed, n=300):
     for _ in range(n):
         said = [rnd.choice(fixed) if rnd.random() < 0.3 else rnd.choice(words[: rnd.choice([4, 12, len(words)])]) for _ in range(rnd.randrange(30))]
         rows.append((rnd.choice(["en", "en", "fr", "und", None]), "".join(s + rnd.choice([" ", " ", " ", "  ", ". ", ",", "\n", "\r\n", " ? "]) for s in said)))
-    return rows + [("en", None), ("en", ""), (None, "one"), ("de", " .,;"), ("en", "san " * 3000), ("en", "z" * 5000 + " the end")]
+    return rows + [("en", None), ("en", ""), (None, "one"), ("de", " .,;"), ("en", "san " * 3000), ("en", "z" * 5000 + " the end"), ("en", "en fr en fr en " * 4), ("fr", "fr en fr " * 9)]
 
 
 @pytest.mark.parametrize("ranks, side, dense, held, bits, size", [(1 << 16, 1 << 8, 1 << 13, 1 << 21, None, 1 << 20), (16, 4, 3, 500, None, 700), (16, 4, 3, 500, 64, 97)])

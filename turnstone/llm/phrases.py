@@ -64,7 +64,8 @@ class Run:
         self.at, self.end, first = b.words(_WORD)
         per = np.diff(first)
         self.text = np.repeat(np.arange(len(texts)), per)
-        self.names = mix(b.hashes(self.at, self.end) ^ langs[self.text]) & NAME
+        # another hash of the language than a word's, or a word that is its language's name would be one and the same in all of them
+        self.names = mix(b.hashes(self.at, self.end) ^ mix(langs[self.text] + U(1))) & NAME
         edge = _BREAK[b.folded]
         edge[b.start[1:] - 1] = True
         piece = np.cumsum(edge, dtype=np.int32)[self.at]
