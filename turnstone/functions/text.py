@@ -76,9 +76,13 @@ def skill_of_path(path: Column) -> Column:
     return F.when(collapse(name).isNotNull(), name)
 
 
+#: A patch's lines that name a file, as Java and Python read them.
+PATCH_HEADER = r"(?m)^\*\*\* (?:(?:Add|Update|Delete) File|Move to): *(.+?)[ \r]*$"
+
+
 def patch_paths(patch: Column) -> Column:
     """Paths in the headers of a patch, first of each."""
-    found = F.regexp_extract_all(patch, F.lit(r"(?m)^\*\*\* (?:(?:Add|Update|Delete) File|Move to): *(.+?)[ \r]*$"), F.lit(1))
+    found = F.regexp_extract_all(patch, F.lit(PATCH_HEADER), F.lit(1))
     return F.coalesce(distinct_by_case(found), F.array().cast("array<string>"))
 
 

@@ -100,8 +100,52 @@ def type_counts(rows: DataFrame, by: list[str], type_: str) -> DataFrame:
     return n.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(type_, "n")))).alias("counts"))
 
 
+def context_history(rows: DataFrame, by: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """by..., number (from 1), the columns, rows, and first and last order: the contexts that a session was in, one after another.
+
+    A row that tells any of the columns sets those and leaves the others as they were; rows in a row that leave all as it was are one
+    context, and a return to an earlier one is a new one. Rows that tell nothing don't count.
+    """
+    at = F.struct(*order)
+    told = rows.where(F.coalesce(*[F.col(c).cast("string") for c in columns]).isNotNull())
+    w = Window.partitionBy(*by).orderBy(at)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    carried = told.select(*by, at.alias("__at"), F.struct(*[F.last(c, ignorenulls=True).over(upto).alias(c) for c in columns]).alias("__now"))
+    w = Window.partitionBy(*by).orderBy("__at")
+    fresh = ~F.col("__now").eqNullSafe(F.lag("__now").over(w))
+    numbered = carried.withColumn("__new", fresh).withColumn("number", F.count_if("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    got = numbered.groupBy(*by, "number").agg(F.first("__now").alias("__c"), F.count(F.lit(1)).alias("rows"), F.min("__at").alias("__first"), F.max("__at").alias("__last"))
+    return got.select(*by, "number", *[F.col(f"__c.{c}").alias(c) for c in columns], "rows", *[F.col(f"__{e}.{o}").alias(f"{e}_{o}") for e in ("first", "last") for o in order])
+
+
+def last_known(rows: DataFrame, by: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """by..., each of the columns as its last row that has it tells it."""
+    at = F.struct(*order)
+    return rows.groupBy(*by).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in columns])
+
+
+def _listed() -> list[Column]:
+    return [F.lower("workspace"), F.col("active").desc(), F.lower("title"), F.col("session")]
+
+
 def catalog_order(sessions: DataFrame) -> DataFrame:
-    return sessions.orderBy(F.lower("workspace"), F.col("active").desc(), F.lower("title"), "session")
+    return sessions.orderBy(*_listed())
+
+
+def catalog_positions(sessions: DataFrame, at: str) -> DataFrame:
+    """sessions with `position`, their place in catalog_order; `at`: a new folder for what is sorted."""
+    return positions(sessions, _listed(), at)
+
+
+def positions(sessions: DataFrame, order: list[Column], at: str) -> DataFrame:
+    """sessions with `position` (from 1) in an order over all of them. Sampled ranges are sorted and written to the folder `at` with each row's
+    place; only the ranges' counts meet in one task."""
+    sorted_ = sessions.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    sorted_.write.parquet(at)
+    placed = sessions.sparkSession.read.parquet(at).withColumn("__part", F.shiftright("__at", 33))
+    counts = placed.groupBy("__part").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    starts = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n") - F.col("__first") + 1).alias("__shift"))
+    return placed.join(starts, "__part").withColumn("position", F.col("__at") + F.col("__shift")).drop("__at", "__part", "__shift")
 
 
 def most_recent(sessions: DataFrame, active: str, key: str, n: int = 500, selected: Column | None = None) -> DataFrame:
@@ -146,8 +190,15 @@ def match_sessions(left: DataFrame, right: DataFrame, key: str, workspace: str)
 
 
 def fingerprint(rows: DataFrame) -> DataFrame:
-    """One row: how many rows, and two sums over hashes of their contents, which the rows' order doesn't change and equal rows don't cancel in."""
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(20,0)")).alias("content"), F.sum(F.pmod(F.hash(*sorted(rows.columns)), F.lit(1 << 20))).alias("sums"))
+    """One row: how many rows, and two sums over hashes of their contents, which the rows' order doesn't change and equal rows don't cancel in.
+
+    A row's content are its columns by name, as texts; a null differs from any text.
+    """
+    text = F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("-")) for c in sorted(rows.columns)])
+    digest = F.md5(text)
+    part = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")
+    total = lambda at: F.coalesce(F.sum(part(at)) % F.lit(10**15), F.lit(0)).cast("long")
+    return rows.agg(F.count(F.lit(1)).alias("n"), total(1).alias("content"), total(17).alias("sums"))
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections import deque
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnstone.functions.times import micros
+from turnstone.operators.sequential import by_key, two_sided
 
 
 def turn_by_interval(rows: DataFrame, turns: DataFrame, by: list[str], ts: str, turn_id: str, start: str, stop: str, grace: str = "INTERVAL 5 SECONDS") -> DataFrame:
@@ -42,25 +42,28 @@ def adopt_pending(prompts: DataFrame, pending: DataFrame, by: list[str], prompt_
     The nearest row that is left is the first one, so rows go by time to the prompt that waits longest, if it still does. One
     segment of rows within reach of each other is worked on at once.
     """
-    types = {c: dict(prompts.dtypes)[c] for c in by} | {prompt_id: dict(prompts.dtypes)[prompt_id], pending_id: dict(pending.dtypes)[pending_id]}
-    a = prompts.select(*by, F.col(prompt_ts).alias("__at"), F.lit(0).alias("__kind"), F.col(prompt_id).alias("__a"), F.lit(None).cast(types[pending_id]).alias("__b"))
-    b = pending.select(*by, F.col(pending_ts).alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast(types[prompt_id]).alias("__a"), F.col(pending_id).alias("__b"))
+    types = {prompt_id: dict(prompts.dtypes)[prompt_id], pending_id: dict(pending.dtypes)[pending_id]}
+    a = prompts.select(*by, F.col(prompt_ts).alias("__ts"), F.lit(0).alias("__kind"), F.col(prompt_id).alias("__a"), F.lit(None).cast(types[pending_id]).alias("__b"))
+    b = pending.select(*by, F.col(pending_ts).alias("__ts"), F.lit(1).alias("__kind"), F.lit(None).cast(types[prompt_id]).alias("__a"), F.col(pending_id).alias("__b"))
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__at", "__kind", "__a", "__b"])
+    def take():
         waiting: deque = deque()
-        out = []
-        for at, kind, p, q in zip(pdf["__at"], pdf["__kind"], pdf["__a"], pdf["__b"], strict=True):
-            while waiting and (at - waiting[0][0]).total_seconds() > seconds:
+
+        def step(at, kind, p, q):
+            while waiting and at - waiting[0][0] > seconds * 1_000_000:
                 waiting.popleft()
             if kind == 0:
                 waiting.append((at, p))
             elif waiting:
-                out.append((*(pdf[k].iloc[0] for k in by), waiting.popleft()[1], q))
-        return pd.DataFrame(out, columns=[*by, prompt_id, pending_id])
+                return [(waiting.popleft()[1], q)]
+            return ()
+
+        return step
 
-    both = reach_segments(a.unionByName(b), by, "__at", seconds)
-    return both.groupBy(*by, "__segment").applyInPandas(match, ", ".join(f"`{c}` {t}" for c, t in types.items()))
+    both = reach_segments(a.unionByName(b), by, "__ts", seconds).withColumn("__at", micros("__ts"))
+    keys = [*by, "__segment"]
+    got = by_key(two_sided(both, keys, "__kind"), keys, ["__at", "__kind", "__a", "__b"], ["__at", "__kind", "__a", "__b"], take, ", ".join(f"`{c}` {t}" for c, t in types.items()), placed=True)
+    return got.drop("__segment")
 
 
 def repeated_within(rows: DataFrame, keys: list[str], order: list[str], ts: str, seconds: float, resets: Column | None = None, segment_by: list[str] | None = None) -> DataFrame:

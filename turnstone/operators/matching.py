@@ -23,10 +23,14 @@ def field_score(fields: dict[str, int], left: str = "l_", right: str = "r_") ->
 
 
 def unique_best(candidates: DataFrame, key: list[str], score: str) -> DataFrame:
-    """Of each key's candidates the one with the best score; none where two share it. Null scores are out."""
-    w = Window.partitionBy(*key)
-    best = candidates.where(F.col(score).isNotNull()).withColumn("__best", F.max(score).over(w)).where(F.col(score) == F.col("__best"))
-    return best.withColumn("__n", F.count(F.lit(1)).over(w)).where("__n = 1").drop("__best", "__n")
+    """Of each key's candidates the one with the best score; none where two share it. Null scores are out.
+
+    One aggregate: of a key's best rows the one of the largest and the one of the smallest number are the same if there is only one.
+    """
+    rest = [c for c in candidates.columns if c not in key and c != score]
+    rows = candidates.where(F.col(score).isNotNull()).withColumn("__row", F.monotonically_increasing_id())
+    best = rows.groupBy(*key).agg(F.max(F.struct(score, "__row", *rest)).alias("__high"), F.min(F.struct((-F.col(score)).alias("__s"), "__row")).alias("__low"))
+    return best.where("__high.__row = __low.__row").select(*[c if c in key else F.col(f"__high.`{c}`").alias(c) for c in candidates.columns])
 
 
 def sole(candidates: DataFrame, key: list[str]) -> DataFrame:

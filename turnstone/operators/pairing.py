@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import itertools
+from collections import defaultdict, deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnstone.functions.times import micros
 from turnstone.operators.intervals import reach_segments
+from turnstone.operators.sequential import by_key, two_sided
 
 
 def pair_by_id(requests: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,55 +82,79 @@ def greedy_by_skew(rows: DataFrame, keys: list[str], order: list[str], side: str
     beyond most_seconds; equal skews go to the earlier arrival. Sequential by nature: inside a segment of rows
     that are within reach of each other.
     """
-    types = dict(rows.dtypes)
-    kept = reach_segments(rows.select(*dict.fromkeys([*keys, *order, side, ts, row_id])), keys, ts, most_seconds)
+    kind = dict(rows.dtypes)[row_id]
+    kept = reach_segments(rows.select(*dict.fromkeys([*keys, *order, side, ts, row_id])), keys, ts, most_seconds).withColumn("__at", micros(ts))
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
+    def take():
         free: dict[str, list] = {"left": [], "right": []}
-        out = []
-        for s, t, i in zip(pdf[side], pdf[ts], pdf[row_id], strict=True):
+
+        def step(s, at, i):
             pool = free["right" if s == "left" else "left"]
-            skews = [(abs((t - u).total_seconds()), n) for n, (u, _) in enumerate(pool)]
-            best = min(skews, default=None)
-            if best is not None and best[0] <= most_seconds:
-                j = pool.pop(best[1])[1]
-                out.append((i, j) if s == "left" else (j, i))
-            else:
-                free[s].append((t, i))
-        head = pdf.iloc[:1][keys]
-        got = pd.DataFrame(out, columns=["left_id", "right_id"])
-        for k in keys:
-            got[k] = head[k].iloc[0]
-        return got[[*keys, "left_id", "right_id"]]
-
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + [f"left_id {types[row_id]}", f"right_id {types[row_id]}"])
-    return kept.groupBy(*keys, "__segment").applyInPandas(match, schema)
+            best = min(((abs(at - u), n) for n, (u, _) in enumerate(pool)), default=None)
+            if best is None or best[0] > most_seconds * 1_000_000:
+                free[s].append((at, i))
+                return ()
+            j = pool.pop(best[1])[1]
+            return [(i, j) if s == "left" else (j, i)]
+
+        return step
+
+    within = [*keys, "__segment"]
+    got = by_key(two_sided(kept, within, side), within, order, [side, "__at", row_id], take, f"left_id {kind}, right_id {kind}", placed=True)
+    return got.drop("__segment")
 
 
 def queue_matches(rows: DataFrame, keys: list[str], order: list[str], kind: str, args: str, row_id: str) -> DataFrame:
     """(keys, request_id, result_id): a result takes the first open request with equal arguments, else the earliest open one.
 
-    `kind` is "request" or "result"; sequential inside (keys), in arrival order.
+    `kind` is "request" or "result"; sequential inside (keys), in arrival order. Only open requests are held, by arguments.
     """
-    types = dict(rows.dtypes)
+    id_type = dict(rows.dtypes)[row_id]
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        open_: list[tuple] = []
-        out = []
-        for k, a, i in zip(*(pdf.sort_values(order)[c] for c in (kind, args, row_id)), strict=True):
+    def take():
+        waiting: dict = {}  # all open requests, the earliest first
+        same: dict = defaultdict(deque)  # those with some arguments; taken ones are passed over
+        number = itertools.count()
+
+        def step(k, a, i):
             if k == "request":
-                open_.append((a, i))
-            elif open_:
-                at = next((n for n, (b, _) in enumerate(open_) if a is not None and a == b), 0)
-                out.append((open_.pop(at)[1], i))
-        got = pd.DataFrame(out, columns=["request_id", "result_id"])
-        for k in keys:
-            got[k] = pdf[k].iloc[0]
-        return got[[*keys, "request_id", "result_id"]]
+                n = next(number)
+                waiting[n] = i
+                if a is not None:
+                    same[a].append(n)
+                return ()
+            mine = same.get(a, ())
+            while mine and mine[0] not in waiting:
+                mine.popleft()
+            n = mine.popleft() if mine else next(iter(waiting), None)
+            return () if n is None else [(waiting.pop(n), i)]
+
+        return step
+
+    return by_key(rows, keys, order, [kind, args, row_id], take, f"request_id {id_type}, result_id {id_type}")
+
 
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + [f"request_id {types[row_id]}", f"result_id {types[row_id]}"])
-    return rows.groupBy(*keys).applyInPandas(match, schema)
+def stand_ins(rows: DataFrame, keys: list[str], order: list[str], is_hook: Column, row_id: str) -> DataFrame:
+    """(keys, row_id, change, partner): calls that no hook tells yet get a stand-in, which a later hook of the same signature replaces.
+
+    A transcript's row takes the first hook that is free (AttachEvidence), else it is Added as a stand-in; a hook takes the place
+    of the first stand-in (PromotePrimary), else it is Added. Only one side can be waiting at a time, so the n-th of one side
+    always meets the n-th of the other: two windows, no state.
+    """
+    at = F.struct(*order)
+    side = rows.withColumn("__hook", is_hook)
+    n = F.row_number().over(Window.partitionBy(*keys, "__hook").orderBy(at))
+    before = F.lag(row_id).over(Window.partitionBy(*keys, "__n").orderBy(at))
+    change = F.when(F.col("partner").isNull(), "Add").when(F.col("__hook"), "PromotePrimary").otherwise("AttachEvidence")
+    return side.withColumn("__n", n).withColumn("partner", before).select(*keys, row_id, change.alias("change"), "partner")
+
+
+def standing_in(rows: DataFrame, keys: list[str], order: list[str], is_hook: Column, row_id: str) -> DataFrame:
+    """(keys, node_id, stand_in): the nodes that are left: one for each call, by its hook, or a stand-in that no hook has replaced."""
+    side = rows.withColumn("__hook", is_hook)
+    n = side.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, "__hook").orderBy(F.struct(*order))))
+    nodes = n.groupBy(*keys, "__n").agg(F.max_by(row_id, F.col("__hook").cast("int")).alias("node_id"), (~F.bool_or("__hook")).alias("stand_in"))
+    return nodes.drop("__n")
 
 
 def learned_alias(rows: DataFrame, matches: DataFrame, by: list[str], alias: str, order: str, hook: str) -> DataFrame:
@@ -156,16 +184,3 @@ def thought_steps(thoughts: DataFrame, bindings: DataFrame, by: list[str], step:
     """thoughts with the hook that their assistant step is bound to: the first binding of the step, if it came before the thought."""
     first = bindings.where(F.col(step).isNotNull()).groupBy(*by, step).agg(F.min_by(hook, order).alias(hook), F.min(order).alias("__since"))
     return thoughts.join(first, [*by, step], "left").withColumn(hook, F.when(F.col("__since") < F.col(order), F.col(hook))).drop("__since")
-
-
-def open_requests(rows: DataFrame, probes: DataFrame, by: list[str], order: str, call: str, is_request: Column, is_result: Column, request_id: str) -> DataFrame:
-    """(probe columns, request_id): the requests that are open when a probe of the same keys comes: no result of the call before it.
-
-    A request is open in an interval of the order, so this is one join on the keys with a range condition, after results
-    have been joined to their calls.
-    """
-    asked = rows.where(is_request).select(*by, call, F.col(order).alias("__from"), F.col(request_id).alias("request_id"))
-    done = rows.where(is_result).groupBy(*by, call).agg(F.min(order).alias("__to"))
-    spans = asked.join(done, [*by, call], "left").drop(call)
-    inside = (F.col(order) > F.col("__from")) & (F.col("__to").isNull() | (F.col(order) < F.col("__to")))
-    return probes.join(spans, by).where(inside).drop("__from", "__to")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from turnstone.functions import yaml_text
 from turnstone.functions.text import collapse, distinct_by_case, lines_only, plan_body
 
 
@@ -52,9 +55,18 @@ def sole_plan(contents: DataFrame, plans: DataFrame, session: str, plan: str) ->
     return contents.join(one, session)
 
 
-def recover_missing(activities: DataFrame, artifacts: DataFrame, path_key: str, order: str, content: str, confirmed: Column) -> DataFrame:
-    """Plans that no file shows any more: the last known body per path with a confirmed existence."""
-    gone = activities.where(F.col(path_key).isNotNull()).join(artifacts.select(path_key).distinct(), path_key, "left_anti")
+def recover_missing(activities: DataFrame, artifacts: DataFrame, path_key: str, order: str, content: str, confirmed: Column, session: str | None = None) -> DataFrame:
+    """Plans that no file shows any more: the last known body per path with a confirmed existence.
+
+    session: where given, activities without a path count for the path of their session, if it has named exactly one.
+    """
+    pathed = activities.where(F.col(path_key).isNotNull())
+    if session is not None:
+        # a session's paths are counted first, so that what it says without one meets one row
+        sole = pathed.groupBy(session).agg(F.count_distinct(path_key).alias("__n"), F.min(path_key).alias(path_key)).where("__n = 1").drop("__n")
+        scoped = activities.where(F.col(path_key).isNull()).drop(path_key).join(sole, session)
+        pathed = pathed.unionByName(scoped)
+    gone = pathed.join(artifacts.select(path_key).distinct(), path_key, "left_anti")
     got = gone.groupBy(path_key).agg(F.bool_or(confirmed).alias("__ok"), F.max_by(content, F.when(F.col(content).isNotNull(), F.col(order))).alias(content))
     return got.where("__ok").drop("__ok")
 
@@ -77,56 +89,87 @@ def stable_id(text: Column) -> Column:
     return F.when(F.length(safe) > 96, F.concat(F.substring(safe, 1, 80), F.lit("-"), F.substring(F.sha2(text, 256), 1, 12))).otherwise(safe)
 
 
-#: How a path of a plan is told in free text: a drive, a root or a file URI before it; blanks, quotes and brackets end it.
-_STOPS = r"""\s"'<>|()\[\]{},;`"""
-_PLAN_PATH = rf"(?i)(?<![^{_STOPS}:=])(?:file://(?:localhost)?)?(?:/?[A-Za-z]:[\\/]|/)[^{_STOPS}]*?\.plan\.md(?![A-Za-z0-9_.-])"
-_ROOTED = rf"(?i)(?:file://(?:localhost)?/[^{_STOPS}]+|(?<=`)[A-Za-z]:[\\/][^`\r\n]+(?=`)|(?<=\]\()[A-Za-z]:[\\/][^)\r\n]+(?=\)))"
+#: How plans and folders are told in text. Blanks belong to a drive's or a rooted path, not to a URI.
+PLAN_URI = r"""(?i)file:\\?/\\?/\\?/[^"'\s<>]*?\.plan\.md"""
+PLAN_DRIVE = r"""(?i)[A-Za-z]:\\[^"'\r\n]*?\.plan\.md"""
+PLAN_ROOTED = r"""(?i)(?:file://)?(?<![A-Za-z0-9:])/(?!/)[^"'\r\n]*?\.plan\.md"""
+LINKED, QUOTED, FOLDER_URI = r"(?i)\]\(([A-Za-z]:[\\/][^)]+)\)", r"(?i)`([A-Za-z]:[\\/][^`\r\n]+)`", r"""(?i)file:///[^"'\s<>)]*"""
+LEADING_ID = r"(?i)\A\x{FEFF}?<!--\s*([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})\s*-->"
 
 
-def _local(path: Column) -> Column:
-    """A path or file URI as a path: escapes undone, `/c:/x` as `c:/x`."""
-    plain = F.regexp_replace(F.replace(path, F.lit("\\\\"), F.lit("\\")), r"(?i)^file://(?:localhost)?", "")
-    decoded = F.when(F.lower(path).startswith("file:"), F.try_url_decode(F.replace(plain, F.lit("+"), F.lit("%2B")))).otherwise(plain)
+def _local(uri: Column) -> Column:
+    """A file URI as a path: escapes undone, `/c:/x` as `c:/x`."""
+    plain = F.regexp_replace(F.replace(uri, F.lit("\\/"), F.lit("/")), "(?i)^file://", "")
+    decoded = F.try_url_decode(F.replace(plain, F.lit("+"), F.lit("%2B")))
     return F.regexp_replace(F.coalesce(decoded, plain), r"^/(?=[A-Za-z]:)", "")
 
 
-def _sorted_by_case(paths: Column) -> Column:
-    """One of each path by case, in order of that."""
-    pairs = F.array_sort(F.transform(distinct_by_case(paths), lambda p: F.struct(F.lower(p).alias("k"), p.alias("p"))))
+def _tidied(paths: Column) -> Column:
+    """Paths without quotes and blanks around them and with single backslashes, one of each by case, in order of that."""
+    tidy = F.transform(paths, lambda p: F.replace(F.btrim(F.trim(p), F.lit("\"'<>")), F.lit("\\\\"), F.lit("\\")))
+    pairs = F.array_sort(F.transform(distinct_by_case(F.filter(tidy, lambda p: p != "")), lambda p: F.struct(F.upper(p).alias("k"), p.alias("p"))))
     return F.transform(pairs, lambda x: x["p"])
 
 
 def plan_paths(text: Column, paths: Column) -> Column:
-    """Paths of plans (`*.plan.md`) that a text or a call's own paths tell, one of each by case, sorted."""
-    told = F.coalesce(F.regexp_extract_all(text, F.lit(_PLAN_PATH), F.lit(0)), F.array().cast("array<string>"))
-    own = F.filter(F.coalesce(paths, F.array().cast("array<string>")), lambda p: F.lower(p).endswith(".plan.md"))
-    return _sorted_by_case(F.transform(F.concat(own, told), _local))
+    """Paths of plans (`*.plan.md`) that a call's own paths or a text tell, one of each by case, sorted by upper case."""
+    none = F.array().cast("array<string>")
+    found = lambda pattern: F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), none)
+    rooted = F.filter(found(PLAN_ROOTED), lambda p: ~F.lower(p).startswith("file:"))
+    told = F.concat(F.coalesce(paths, none), F.transform(found(PLAN_URI), _local), found(PLAN_DRIVE), rooted)
+    return F.filter(_tidied(told), lambda p: F.lower(p).endswith(".plan.md"))
 
 
 def workspace_hints(markdown: Column) -> Column:
-    """Rooted paths in a plan's links, inline code and file URIs, one of each by case, sorted."""
-    return _sorted_by_case(F.transform(F.regexp_extract_all(markdown, F.lit(_ROOTED), F.lit(0)), _local))
+    """Rooted paths in a plan's links, inline code and file URIs, one of each by case, sorted by upper case."""
+    found = lambda pattern, group: F.regexp_extract_all(markdown, F.lit(pattern), F.lit(group))
+    return _tidied(F.concat(found(LINKED, 1), found(QUOTED, 1), F.transform(found(FOLDER_URI, 0), _local)))
 
 
 def session_hint(markdown: Column) -> Column:
-    """The session id that a plan's file begins with, if it does."""
-    return F.nullif(F.regexp_extract(markdown, r"(?i)\A\s*(?:<!--\s*)?([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})\b", 1), F.lit(""))
+    """The session id in the comment that a plan's file begins with, if it does."""
+    return F.nullif(F.regexp_extract(markdown, LEADING_ID, 1), F.lit(""))
+
+
+_TODOS = T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("content", T.StringType())]))
+_HEAD = T.StructType([T.StructField("name", T.StringType()), T.StructField("overview", T.StringType()), T.StructField("todos", _TODOS)])
+#: Signs of YAML that patterns can't read: texts in blocks, flow, escapes, maps in maps, values that go on below.
+_HARD = r"""(?m)(?::|-)[ \t]+[|>\[{&*!]|:[ \t]+"[^"]*\\|^[ \t]*[\w-]+:[ \t]+["'](?!.*["'][ \t]*$)|^(?!todos)[\w-]+:[ \t]*\n[ \t]+|[ \t]#|^[ \t]+(?!-[ \t]|[\w-]+:)\S"""
+
+
+@F.pandas_udf(_HEAD)
+def _yaml_head(text: pd.Series) -> pd.DataFrame:
+    """name, overview and todos of a YAML document; nulls where it can't be read."""
+
+    def one(raw: str | None) -> tuple:
+        doc = yaml_text.parse(raw)
+        doc = doc if isinstance(doc, dict) else {}
+        word = lambda d, k: d[k] if isinstance(d.get(k), str) and d[k].strip() else None
+        todos = [{"id": word(t, "id"), "content": word(t, "content")} for t in doc.get("todos") or () if isinstance(t, dict) and word(t, "content")] if isinstance(doc.get("todos"), list) else []
+        return word(doc, "name"), word(doc, "overview"), todos
+
+    made = [one(raw) for raw in text]
+    return pd.DataFrame({"name": [m[0] for m in made], "overview": [m[1] for m in made], "todos": [m[2] for m in made]})
 
 
 def front_matter(text: Column) -> Column:
     """name, overview, todos (id, content; their status isn't read) and body of a plan document; without front matter all of it is body.
 
-    Of its YAML the plain forms are read: scalars on one line, quoted or not, and todos as a list of maps.
+    Plain forms of its YAML are read by patterns: scalars on one line, quoted or not, and todos as a list of maps. Texts in blocks, lists and
+    maps in flow, nested maps and the like go through a YAML reader, in Arrow batches.
     """
     lines = F.regexp_replace(lines_only(text), "\\A\ufeff", "")
     head = F.regexp_extract(lines, r"(?s)\A---\n(.*?\n)---[ \t]*(?:\n|\z)", 1)
+    hard = head.rlike(_HARD)
+    read = _yaml_head(F.when(hard, head))
     bare = lambda c: F.nullif(F.regexp_replace(F.trim(c), r"""(?s)^(["'])(.*)\1$""", "$2"), F.lit(""))
     field = lambda n: bare(F.regexp_extract(head, rf"(?m)^{n}:[ \t]*(.*)$", 1))
     items = F.regexp_extract_all(head, F.lit(r"(?m)^[ \t]*-[ \t]+(?:\w+:.*\n?)(?:[ \t]+\w+:.*\n?)*"), F.lit(0))
     part = lambda i, n: bare(F.regexp_extract(i, rf"(?m)^[ \t]*(?:-[ \t]+)?{n}:[ \t]*(.*)$", 1))
     todos = F.filter(F.transform(items, lambda i: F.struct(part(i, "id").alias("id"), part(i, "content").alias("content"))), lambda t: t["content"].isNotNull())
     body = F.regexp_replace(lines, r"(?s)\A---\n.*?\n---[ \t]*(?:\n|\z)", "")
-    return F.struct(field("name").alias("name"), field("overview").alias("overview"), todos.alias("todos"), body.alias("body"))
+    pick = lambda name, plain: F.when(hard, read[name]).otherwise(plain).alias(name)
+    return F.struct(pick("name", field("name")), pick("overview", field("overview")), pick("todos", todos), body.alias("body"))
 
 
 def structured_key(name: Column, overview: Column, todos: Column) -> Column:
@@ -139,31 +182,44 @@ def structured_key(name: Column, overview: Column, todos: Column) -> Column:
 WRITERS, PLANNERS = ("write", "edit", "multiedit", "notebookedit"), ("plan", "update_plan")
 
 
+#: Where an attachment that enters or leaves plan mode names the plan's file, and whether that is there.
+MODE_PATHS, MODE_EXISTS = ("planFilePath", "plan_file_path", "planPath", "plan_path"), ("planExists", "plan_exists")
+PLAN_MODES = ("plan_mode", "plan_mode_exit")
+
+
 def plan_activities(events: DataFrame) -> DataFrame:
-    """event_id, activity (Created, Updated, Referenced), path, body, successful, opaque: what events of three providers do to plans.
+    """event_id, activity (Created, Updated, Referenced), path, body, successful, exists, opaque: what events of three providers do to plans.
 
     events: provider, session, event_id, role, tool, tool_kind, text (arguments as JSON), paths, outcome (role of the call's last
-    result), native (type of the row). The first provider leaves plan mode with the plan's text, or writes below a `plans`
-    folder; the second tells changes itself, and only sessions without such rows are read by their tools; the third
-    creates plans, and changes or names their files.
+    result), native (type of the row), and where known plan_path (the session's plan file), status and attachment (JSON).
+    The first provider leaves plan mode with the plan's text, writes below a `plans` folder, or attaches the plan's file when it enters or leaves
+    plan mode (exists: whether it says that the file is there). The second tells changes itself, and only sessions without such rows are read
+    by their tools: those that plan, and those that touch the session's plan file. The third creates plans, and changes or names their files.
     """
-    tool, none = F.lower("tool"), F.lit(None).cast("string")
+    none = F.lit(None).cast("string")
+    events = events.withColumns({c: none for c in ("plan_path", "status", "attachment") if c not in events.columns})
+    tool = F.lower("tool")
     request = F.col("role") == "ToolRequest"
     done = F.coalesce(F.col("outcome") == "ToolSuccess", F.lit(False))
-    args = F.try_parse_json("text")
+    args, attached = F.try_parse_json("text"), F.try_parse_json("attachment")
     get = lambda n: F.try_variant_get(args, f"$.{n}", "string")
-    act = lambda kind, path, body, fine: F.struct(F.lit(kind).alias("activity"), path.alias("path"), body.alias("body"), fine.alias("successful"))
+    told_of = lambda names: F.coalesce(*[F.try_variant_get(attached, f"$.{n}", "string") for n in names])
+    act = lambda kind, path, body, fine, exists=F.lit(False): F.struct((kind if isinstance(kind, Column) else F.lit(kind)).alias("activity"), path.alias("path"), body.alias("body"), fine.alias("successful"), exists.alias("exists"))
     each = lambda kind, paths, body, fine: F.transform(paths, lambda p: act(kind, p, body, fine))
     plans_folder = F.filter("paths", lambda p: F.lower(p).endswith(".md") & F.arrays_overlap(F.split(F.lower(p), r"[\\/]+"), F.array(F.lit("plans"))))
+    mode = F.coalesce(F.try_variant_get(attached, "$.type", "string").isin(*PLAN_MODES), F.lit(False))
     claude = (
-        F.when(request & (tool == "exitplanmode"), F.array(act("Updated", none, get("plan"), done)))
+        F.when(mode & (F.trim(told_of(MODE_PATHS)) != ""), F.array(act("Referenced", told_of(MODE_PATHS), none, F.lit(True), F.coalesce(told_of(MODE_EXISTS) == "true", F.lit(False)))))
+        .when(request & (tool == "exitplanmode"), F.array(act("Updated", none, get("plan"), done)))
         .when(request & tool.isin(*WRITERS), each("Updated", plans_folder, F.when(tool == "write", get("content")), done))
     )
-    told = F.max(F.col("native") == "session.plan_changed").over(Window.partitionBy("provider", "session"))
+    changed = F.lower("native") == "session.plan_changed"
+    told = F.max(F.coalesce(changed, F.lit(False))).over(Window.partitionBy("provider", "session"))
     fine = ~F.coalesce(F.col("outcome") == "ToolFailure", F.lit(False))
+    touches = F.coalesce(F.exists("paths", lambda p: F.lower(p) == F.lower("plan_path")), F.lit(False))
     copilot = (
-        F.when(F.col("native") == "session.plan_changed", F.array(act("Updated", none, none, F.lit(True))))
-        .when(~F.coalesce(F.col("__told"), F.lit(False)) & request & tool.isin(*PLANNERS), F.array(act("Updated", none, none, fine)))
+        F.when(changed, F.array(act(F.when(F.lower("status") == "create", "Created").otherwise("Updated"), F.col("plan_path"), none, F.lit(True))))
+        .when(~F.coalesce(F.col("__told"), F.lit(False)) & request & (F.coalesce(tool.isin(*PLANNERS), F.lit(False)) | touches), F.array(act("Updated", F.col("plan_path"), none, fine)))
     )
     found = plan_paths(F.col("text"), F.col("paths"))
     cursor = (

@@ -106,3 +106,79 @@ def hook_summary(observations: DataFrame, bindings: DataFrame, transcripts: Data
     more = alone.groupBy(*by).agg(F.count(F.lit(1)).alias("unmatched"), F.sum("__failed").alias("__g"))
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return seen.join(more, by, "full").select(*by, (n("__t") + n("unmatched")).alias("tools"), (n("__f") + n("__g")).alias("failures"), n("unmatched").alias("unmatched"))
+
+
+#: Which list of files a kind of tool, or of file access, enters its paths in.
+FILE_LISTS = {"FileRead": "read", "FileWrite": "written", "FileEdit": "written", "FileDelete": "deleted"}
+
+
+def mcp_key(server: Column, mcp_tool: Column, tool: Column) -> Column:
+    """What an MCP call is counted under: server/tool; a name that begins with its server stays; one of them alone; else MCP."""
+    bare = F.regexp_replace(tool, "^mcp__(?:(?!__).)+__(?=.)|^mcp__", "")
+    name = F.coalesce(mcp_tool, bare)
+    both = F.coalesce(server != "", F.lit(False)) & F.coalesce(name != "", F.lit(False))
+    return F.when(both & name.startswith(F.concat(server, F.lit("-"))), name).when(both, F.concat_ws("/", server, name)).otherwise(F.coalesce(name, server, F.lit("MCP")))
+
+
+def hook_figures(nodes: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """by..., and a hook session's figures: tools, mcp, commands, failures, thoughts (and their ms and characters), compactions, aborted,
+    wall_ms, subagents, and the lists skills, slash_commands, read, written, deleted: distinct by case, the first spelling, sorted.
+
+    nodes: by, order, ts, role, kind, tool, server, mcp_tool, inner, duration_ms, text, agent, excluded, transcript, secondary, aborted,
+    failed, paths, skills, slash_commands. Excluded nodes count for skills and commands only, except that a transcript's tool request that no hook
+    stands for (not secondary) counts once, whatever it is marked as. An MCP call is counted by its inner start where the tool's name begins with
+    `MCP:`, as its request and result are then left out. A name whose completion came before any request counts one more.
+    """
+    of = lambda *r: F.col("role").isin(*r)
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    counts = no(F.col("excluded"))
+    prefixed = F.coalesce(F.col("tool").startswith("MCP:"), F.lit(False))
+    native = (F.col("kind") == "Mcp") & ~prefixed
+    native = F.coalesce(native, F.lit(False))
+    own = F.coalesce(F.col("transcript"), F.lit(False)) & no(F.col("secondary")) & of("ToolRequest")
+    key = mcp_key(F.col("server"), F.col("mcp_tool"), F.col("tool"))
+    plain = F.when(~prefixed & ~native, F.col("tool"))
+    inner_mcp = F.coalesce(F.col("inner") == "Mcp", F.lit(False))
+    entry = lambda when, section, name, told: F.when(when & name.isNotNull(), F.struct(F.lit(section).alias("section"), name.alias("name"), F.lit(told).alias("told")))
+    entries = F.array(
+        entry(own & (F.col("kind") == "Mcp"), "mcp", key, False),
+        entry(own & ~F.coalesce(F.col("kind") == "Mcp", F.lit(False)), "tools", F.coalesce("tool", "kind"), False),
+        entry(counts & of("ToolRequest") & native, "mcp", key, False),
+        entry(counts & of("ToolRequest") & ~native, "tools", plain, False),
+        entry(counts & of("InnerExecutionStart") & inner_mcp, "mcp", key, False),
+        entry(counts & of("ToolSuccess") & native, "mcp", key, True),
+        entry(counts & of("ToolSuccess") & ~native, "tools", plain, True),
+        entry(counts & of("InnerExecutionEnd") & inner_mcp, "mcp", key, True),
+    )
+    at = F.struct(*order)
+    calls = nodes.select(*by, at.alias("at"), F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e")).groupBy(*by, "e.section", "e.name")
+    uses = calls.agg((F.count_if(~F.col("e.told")) + F.min_by(F.col("e.told"), F.struct("at", "e.told")).cast("int")).alias("uses"))
+    counted = uses.groupBy(*by).agg(*[F.coalesce(F.sum(F.when(F.col("section") == s, F.col("uses"))), F.lit(0)).alias(s) for s in ("tools", "mcp")])
+
+    touched = F.when(counts & of("ToolSuccess") & ~prefixed, F.col("kind")).when(counts & of("FileAccess"), F.col("inner"))
+    touched = F.coalesce(touched, F.when(own & ~F.coalesce(F.col("kind") == "Mcp", F.lit(False)), F.col("kind")))
+    file_list = F.element_at(F.create_map(*[F.lit(x) for kv in FILE_LISTS.items() for x in kv]), touched)
+    tag = lambda name, values: F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.struct(name.alias("list"), v.alias("value")))
+    said = F.concat(tag(F.lit("skills"), F.col("skills")), tag(F.lit("slash_commands"), F.col("slash_commands")), tag(file_list, F.when(file_list.isNotNull(), F.col("paths"))))
+    words = nodes.select(*by, at.alias("__at"), F.posexplode(said).alias("pos", "w")).where("trim(w.value) <> ''").withColumn("at", F.struct("__at", "pos"))
+    once = words.groupBy(*by, F.col("w.list").alias("list"), F.upper("w.value").alias("k")).agg(F.min_by("w.value", "at").alias("v"))
+    lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("list") == n, F.struct("k", "v")))), lambda x: x["v"]).alias(n) for n in ("skills", "slash_commands", "read", "written", "deleted")]
+    listed = once.groupBy(*by).agg(*lists)
+
+    n = lambda c: F.count_if(counts & c)
+    thought = counts & of("AgentThought")
+    seen = F.when(counts, F.col("ts"))
+    main = nodes.groupBy(*by).agg(
+        n(of("InnerExecutionStart") & (F.col("inner") == "Shell")).alias("commands"),
+        n(F.coalesce(F.col("failed"), F.lit(False))).alias("failures"),
+        F.count_if(thought).alias("thoughts"),
+        F.coalesce(F.sum(F.when(thought, F.col("duration_ms"))), F.lit(0.0)).alias("thought_ms"),
+        F.coalesce(F.sum(F.when(thought, F.length("text"))), F.lit(0)).cast("long").alias("thought_chars"),
+        n(of("CompactionStart")).alias("compactions"),
+        F.bool_or(counts & of("TurnStop") & F.coalesce(F.col("aborted"), F.lit(False))).alias("aborted"),
+        F.coalesce((micros(F.max(seen)) - micros(F.min(seen))) / 1000.0, F.lit(0.0)).alias("wall_ms"),
+        F.count_distinct(F.when(counts & of("SubagentStart", "SubagentStop"), F.col("agent"))).alias("subagents"),
+    )
+    empty = lambda c: F.coalesce(c, F.array().cast("array<string>")).alias(c)
+    out = main.join(counted, by, "left").join(listed, by, "left")
+    return out.select(*by, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("tools", "mcp")], *main.columns[len(by) :], *[empty(c) for c in ("skills", "slash_commands", "read", "written", "deleted")])

@@ -7,10 +7,13 @@ must have been split by source first (see sources.envelopes.scoped_session).
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnstone.functions.times import micros
+from turnstone.operators.sequential import by_key
 
 
 def _upto(by: list[str], order: list[str], last: int = 0):
@@ -61,6 +64,101 @@ def resolve_turn(rows: DataFrame, by: list[str], order: list[str], ladder: list[
     return rows.withColumn("__t", F.coalesce(*ladder)).withColumn("turn_id", F.coalesce("__t", F.last("__t", ignorenulls=True).over(_upto(by, order)))).drop("__t")
 
 
+def ladder_turns(rows: DataFrame, by: list[str], order: list[str], row_id: str, kind: str, agent: str, call: str, interaction: str, native: str) -> DataFrame:
+    """(by, row_id, resolved, turn_id): the turn that each row resolves to as it comes, and the turn that this one ends up in after merges.
+
+    kind: user, start, end, request, result, agent, message or merge. A row's turn is its agent's, else its call's, else its
+    interaction's, else the active one, else the last user's, else its own by id, else a new one; users' rows go by interaction
+    and id only. results, agents and messages make no turn of their own; without any they have nulls. A merge joins the turn it resolves to
+    to the one that it names: whatever pointed there points to the other one from now on, and so do its rows.
+
+    Sequential inside a session, in arrival order; what is held are the ids in use. Final turns come from a second pass,
+    backwards over the merges, so chains of any length need no iteration.
+    """
+    plain = [row_id, kind, agent, call, interaction, native]
+    seen = rows.withColumn("__seq", F.struct(*order)).withColumns({c: F.col(c).cast("string") for c in plain[1:]})
+
+    def resolve():
+        names: list[str] = []  # of turns by number; one that was merged and is named again has a new number
+        into: list[int] = []
+        turns: dict[str, int] = {}
+        agents, calls, talks, active, last_user = {}, {}, {}, {}, {}
+        number = itertools.count()
+
+        def root(t: int | None) -> int | None:
+            while t is not None and into[t] != t:
+                into[t] = into[into[t]]
+                t = into[t]
+            return t
+
+        def make(name: str) -> int:
+            if name not in turns:
+                turns[name] = len(names)
+                into.append(len(names))
+                names.append(name)
+            return turns[name]
+
+        def of_user(i, talk, own) -> int:
+            if talk is not None:
+                return root(talks[talk]) if talk in talks else talks.setdefault(talk, make(f"interaction:{talk}"))
+            return make(own if own is not None and own not in turns else f"user:{i}")
+
+        def of_other(k, who, c, talk, own) -> int | None:
+            may_make = k in ("start", "end", "request")
+            for known, key in ((agents, who), (calls, c), (talks, talk)):
+                if key is not None and key in known:
+                    return root(known[key])
+            if talk is not None and may_make:
+                return talks.setdefault(talk, make(f"interaction:{talk}"))
+            here = root(active.get(who, last_user.get(who)))
+            if talk is not None and here is not None:
+                talks[talk] = here
+            if here is not None or talk is not None:
+                return here
+            if own is not None and (may_make or own in turns):
+                return make(own)
+            return make(f"{k}:{len(names)}") if may_make else None
+
+        def step(i, k, who, c, talk, own):
+            t = of_user(i, talk, own) if k == "user" else of_other(k, who, c, talk, own)
+            seq = next(number)
+            if t is None:
+                return [(i, seq, None, None, None, None)]
+            if k == "user":
+                last_user[who] = t
+            elif k == "start":
+                active[who] = t
+            elif k == "end" and root(active.get(who)) == t:
+                del active[who]
+            elif k in ("request", "result") and c is not None:
+                calls[c] = t
+            elif k == "agent" and who is not None:
+                agents[who] = t
+            to = None
+            if k == "merge" and own is not None and names[t] != own:
+                to = make(own)
+                into[t] = to
+                del turns[names[t]]
+            return [(i, seq, names[t], t, to, None if to is None else names[to])]
+
+        return step
+
+    kinds = dict(rows.dtypes)
+    first = by_key(seen, by, ["__seq"], plain, resolve, f"`{row_id}` {kinds[row_id]}, seq int, resolved string, turn int, into int, target string")
+
+    def settle():
+        final: dict[int, str] = {}
+
+        def step(i, name, t, to, target):
+            if to is not None:
+                final[t] = final.get(to, target)
+            return [(i, name, final.get(t, name))]
+
+        return step
+
+    return by_key(first, by, [F.desc("seq")], [row_id, "resolved", "turn", "into", "target"], settle, f"`{row_id}` {kinds[row_id]}, resolved string, turn_id string", placed=True)
+
+
 def number_turns(turns: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return turns.withColumn("number", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
 

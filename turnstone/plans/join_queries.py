@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnstone.functions import tools
-from turnstone.operators import catalog, matching, pairing, placement, plan_docs, search, summary, turns, usage
+from turnstone.operators import catalog, matching, open_calls, pairing, placement, plan_docs, search, summary, turns, usage
 from turnstone.plans.adapters import OBSERVATIONS_SQL, observations, table
 from turnstone.plans.registry import query
 from turnstone.sources import captures
@@ -53,10 +53,15 @@ def thought_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT session, p.event_id, min(request_id) AS request_id FROM p JOIN q USING (session, tool, input) LEFT JOIN d USING (session, tool, input, k) WHERE p.event_id > request_id AND (done IS NULL OR p.event_id < done) GROUP BY ALL HAVING count(*) = 1""")
 def permission_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failures as permission events: each belongs to the one request of its tool and input that is open."""
-    obs = observations(spark, sf_dir).withColumn("input", F.col("k") % 10)
-    probes = obs.where("role = 'ToolFailure'").select("session", "tool", "input", "event_id")
-    found = pairing.open_requests(obs, probes, ["session", "tool", "input"], "event_id", "k", F.col("role") == "ToolRequest", F.col("role") == "ToolSuccess", "event_id")
-    return matching.sole(found, ["session", "event_id"]).select("session", "event_id", "request_id")
+    obs = observations(spark, sf_dir)
+    calls = ["session", "tool", "k"]
+    done = obs.where("role = 'ToolSuccess'").groupBy(*calls).agg(F.min("event_id").alias("closed"))
+    key = F.concat_ws("|", "tool", (F.col("k") % 10).cast("string")).alias("key")
+    asked = obs.where("role = 'ToolRequest'").join(done, calls, "left").select("session", key, F.col("event_id").alias("opened"), "closed", F.col("event_id").alias("request_id"))
+    # a call that was done before it was asked isn't open at all
+    asked = asked.where("closed IS NULL OR closed > opened")
+    probes = obs.where("role = 'ToolFailure'").select("session", key, F.lit(0).alias("level"), F.col("event_id").alias("at"), F.col("event_id").alias("probe_id"))
+    return open_calls.sole_open(asked, probes, ["session"]).select("session", F.col("probe_id").alias("event_id"), "request_id")
 
 
 @query(f"""
@@ -92,13 +97,54 @@ def best_or_sole_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.best_or_sole(scored, ["l_orderkey", "a"], "score").select("l_orderkey", "a", "b", "score")
 
 
+_KIND = """CASE WHEN k % 13 = 5 THEN 'merge' WHEN role = 'PromptSubmitted' THEN 'user' WHEN role = 'ToolRequest' THEN 'request' WHEN role = 'ToolSuccess' THEN 'result'
+    WHEN role = 'ToolFailure' THEN CASE WHEN k % 2 = 0 THEN 'start' ELSE 'end' END WHEN k % 9 < 3 THEN 'agent' ELSE 'message' END"""
+_IDS = "CASE WHEN k % 11 < 4 THEN 'a' || (k % 3) END AS agent, CASE WHEN k % 5 < 2 THEN 'c' || (k % 7) END AS call, CASE WHEN k % 6 = 0 THEN 'i' || (k % 4) END AS talk, CASE WHEN k % 4 > 1 OR k % 13 = 5 THEN 'n' || (k % 6) END AS own"
+_HERE = "coalesce(active[coalesce(agent, '')], last_user[coalesce(agent, '')])"
+_MAKES = "kind IN ('start', 'end', 'request')"
+_WHO = "coalesce(agent, '')"
+_PUT = "map_concat({m}, MAP {{{k}: {v}}})"
+_SWAP = "map_from_entries(list_transform(map_entries({m}), lambda e: {{'key': e.key, 'value': CASE WHEN e.value = picked THEN own ELSE e.value END}}))"
+_LADDER = f"""CASE WHEN kind = 'user' THEN CASE WHEN talk IS NOT NULL THEN coalesce(talks[talk], 'interaction:' || talk) WHEN own IS NOT NULL AND NOT list_contains(turns, own) THEN own ELSE 'user:' || event_id END
+    WHEN agents[agent] IS NOT NULL THEN agents[agent] WHEN calls[call] IS NOT NULL THEN calls[call] WHEN talks[talk] IS NOT NULL THEN talks[talk]
+    WHEN talk IS NOT NULL AND {_MAKES} THEN 'interaction:' || talk WHEN {_HERE} IS NOT NULL OR talk IS NOT NULL THEN {_HERE}
+    WHEN own IS NOT NULL AND ({_MAKES} OR list_contains(turns, own)) THEN own WHEN {_MAKES} THEN kind || ':' || made END"""
+
+
+def _state(name: str, value: str) -> str:
+    """A map's state after a row: merged as the row says, else as given."""
+    return f"CASE WHEN merges THEN {_SWAP.format(m=name)} ELSE {value} END"
+
+
 @query(f"""
-    WITH {OBSERVATIONS_SQL} SELECT session, event_id, coalesce(t, last_value(t IGNORE NULLS) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS turn_id
-    FROM (SELECT *, CASE WHEN k % 7 = 0 THEN 'agent' || k WHEN k % 5 = 0 THEN 'tool' || k END AS t FROM obs)""")
+    WITH RECURSIVE {OBSERVATIONS_SQL}, r AS (SELECT session, event_id, {_KIND} AS kind, {_IDS}, row_number() OVER ({_W}) AS n FROM obs),
+    s AS (SELECT session, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS made, CAST([] AS VARCHAR[]) AS turns, {", ".join(f"CAST(MAP {{}} AS MAP(VARCHAR, VARCHAR)) AS {m}" for m in ("agents", "calls", "talks", "active", "last_user"))},
+            CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS resolved, CAST(NULL AS VARCHAR) AS target FROM (SELECT DISTINCT session FROM r)
+        UNION ALL SELECT session, n, made + CASE WHEN fresh THEN 1 ELSE 0 END + CASE WHEN merges AND NOT list_contains(turns, own) THEN 1 ELSE 0 END,
+            CASE WHEN merges THEN list_append(list_filter(turns, lambda x: x <> picked AND x <> own), own) WHEN fresh THEN list_append(turns, picked) ELSE turns END,
+            {_state("agents", f"CASE WHEN kind = 'agent' AND agent IS NOT NULL AND picked IS NOT NULL THEN {_PUT.format(m='agents', k='agent', v='picked')} ELSE agents END")},
+            {_state("calls", f"CASE WHEN kind IN ('request', 'result') AND call IS NOT NULL AND picked IS NOT NULL THEN {_PUT.format(m='calls', k='call', v='picked')} ELSE calls END")},
+            {_state("talks", f"CASE WHEN talks_it AND picked IS NOT NULL THEN {_PUT.format(m='talks', k='talk', v='picked')} ELSE talks END").replace("map_entries(talks)", f"map_entries(CASE WHEN talks_it THEN {_PUT.format(m='talks', k='talk', v='picked')} ELSE talks END)")},
+            {_state("active", f"CASE WHEN kind = 'start' THEN {_PUT.format(m='active', k=_WHO, v='picked')} WHEN kind = 'end' AND active[coalesce(agent, '')] = picked THEN map_from_entries(list_filter(map_entries(active), lambda e: e.key <> coalesce(agent, ''))) ELSE active END")},
+            {_state("last_user", f"CASE WHEN kind = 'user' THEN {_PUT.format(m='last_user', k=_WHO, v='picked')} ELSE last_user END")},
+            event_id, picked, CASE WHEN merges THEN own END
+        FROM (SELECT *, picked IS NOT NULL AND NOT list_contains(turns, picked) AS fresh, kind = 'merge' AND own IS NOT NULL AND picked IS NOT NULL AND picked <> own AS merges,
+                talk IS NOT NULL AND talks[talk] IS NULL AND NOT (kind <> 'user' AND (agents[agent] IS NOT NULL OR calls[call] IS NOT NULL)) AS talks_it
+            FROM (SELECT *, {_LADDER} AS picked FROM (SELECT s.made, s.turns, s.agents, s.calls, s.talks, s.active, s.last_user, r.* FROM s JOIN r ON r.session = s.session AND r.n = s.n + 1)))),
+    m AS (SELECT session, n, resolved AS source, target FROM s WHERE target IS NOT NULL),
+    f AS (SELECT session, event_id, resolved, resolved AS turn_id, n, 0 AS step FROM s WHERE event_id IS NOT NULL
+        UNION ALL SELECT session, event_id, resolved, target, n, step FROM (SELECT f.session, f.event_id, f.resolved, m.target, m.n, f.step + 1 AS step, row_number() OVER (PARTITION BY f.session, f.event_id ORDER BY m.n) AS first
+            FROM f JOIN m ON m.session = f.session AND m.source = f.turn_id AND m.n >= f.n + least(f.step, 1)) WHERE first = 1)
+    SELECT session, event_id, resolved, arg_max(turn_id, step) FILTER (turn_id IS NOT NULL) AS turn_id FROM f GROUP BY session, event_id, resolved""")
 def resolved_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users, agents, calls, interactions and turns' own ids among a session's events, some of which tell that two turns are one."""
     obs = observations(spark, sf_dir)
-    name = lambda n, by: F.when(F.col("k") % by == 0, F.concat(F.lit(n), F.col("k").cast("string")))
-    return turns.resolve_turn(obs, ["session"], ORDER, [name("agent", 7), name("tool", 5)]).select("session", "event_id", "turn_id")
+    k, role = F.col("k"), F.col("role")
+    told = lambda when, letter, of: F.when(when, F.concat(F.lit(letter), (k % of).cast("string")))
+    kind = F.when(k % 13 == 5, "merge").when(role == "PromptSubmitted", "user").when(role == "ToolRequest", "request").when(role == "ToolSuccess", "result")
+    kind = kind.when(role == "ToolFailure", F.when(k % 2 == 0, "start").otherwise("end")).when(k % 9 < 3, "agent").otherwise("message")
+    rows = obs.withColumns({"kind": kind, "agent": told(k % 11 < 4, "a", 3), "call": told(k % 5 < 2, "c", 7), "talk": told(k % 6 == 0, "i", 4), "own": told((k % 4 > 1) | (k % 13 == 5), "n", 6)})
+    return turns.ladder_turns(rows, ["session"], ORDER, "event_id", "kind", "agent", "call", "talk", "own")
 
 
 @query(f"""
@@ -261,19 +307,28 @@ def usage_once_per_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.once_per_step(obs, ["session"], "step", "role", "event_id").select("session", "event_id")
 
 
-@query("""
-    WITH n AS (SELECT l_orderkey, l_linenumber, l_returnflag AS a, l_linestatus AS b, l_partkey % 2 AS c, lead(l_returnflag) OVER w AS x, lead(l_linestatus) OVER w AS y, lead(l_partkey % 2) OVER w AS z, lead(1) OVER w AS more FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))
-    SELECT l_orderkey, l_linenumber, CASE WHEN a = x AND b = y THEN CASE WHEN c = z THEN 125 ELSE 120 END END AS shell, CASE WHEN a = x AND b = y AND c = z THEN 90 END AS mcp, CASE WHEN a = x THEN 100 END AS file FROM n
-    WHERE more = 1 AND (c = z OR a <> x OR b <> y) """)
+_MCP = (("x0", "y0", 20), ("x1", "y1", 40), ("x2", "y2", 30), ("x3", "y3", 20), ("x4", "y4", 100))
+
+
+@query(f"""
+    WITH l AS (SELECT *, l_returnflag AS x0, l_linestatus AS x1, l_partkey % 2 AS x2, CASE WHEN l_suppkey % 4 > 0 THEN l_suppkey % 2 END AS x3, CASE WHEN l_partkey % 3 > 0 THEN l_partkey % 5 END AS x4 FROM lineitem),
+    n AS (SELECT *, {", ".join(f"lead(x{i}) OVER w AS y{i}" for i in range(5))}, lead(1) OVER w AS more FROM l WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))
+    SELECT l_orderkey, l_linenumber, CASE WHEN x0 = y0 AND x1 = y1 AND x2 = y2 THEN 125 END AS shell,
+        CASE WHEN NOT ({" OR ".join(f"coalesce({a} <> {b}, false)" for a, b, _ in _MCP)}) THEN {" + ".join(f"CASE WHEN {a} = {b} THEN {n} ELSE 0 END" for a, b, n in _MCP)} END AS mcp,
+        CASE WHEN x0 = y0 THEN 100 END AS file FROM n WHERE more = 1""")
 def evidence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a line's fields are worth against the next line's, as evidence of a shell call, an MCP call and a file access."""
+    """What a line's fields are worth against the next line's, as evidence of a shell call, an MCP call and a file access; a clash of any field rules out."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    own = {"command": "l_returnflag", "cwd": "l_linestatus", "sandbox": "part", "tool": "l_returnflag", "server": "l_linestatus", "url": "part", "path": "l_returnflag"}
-    rows = table(spark, sf_dir, "lineitem").withColumn("part", (F.col("l_partkey") % 2).cast("string"))
-    rows = rows.withColumns({f"l_{k}": F.col(c) for k, c in own.items()} | {f"r_{k}": F.lead(c).over(w) for k, c in own.items()}).where("r_command IS NOT NULL")
-    scores = {"shell": matching.SHELL, "mcp": {k: v for k, v in matching.MCP.items() if k in ("tool", "server", "url")}, "file": matching.FILE}
-    got = rows.select("l_orderkey", "l_linenumber", *[matching.field_score(f).alias(n) for n, f in scores.items()], (F.col("l_sandbox") == F.col("r_sandbox")).alias("same"), ((F.col("l_command") != F.col("r_command")) | (F.col("l_cwd") != F.col("r_cwd"))).alias("other"))
-    return got.where("same OR other").drop("same", "other")
+    part, command, given = (F.col("l_partkey") % 2), F.when(F.col("l_suppkey") % 4 > 0, F.col("l_suppkey") % 2), F.when(F.col("l_partkey") % 3 > 0, F.col("l_partkey") % 5)
+    flag, status = F.col("l_returnflag"), F.col("l_linestatus")
+    kinds = {
+        "shell": (matching.SHELL, {"command": flag, "cwd": status, "sandbox": part}),
+        "mcp": (matching.MCP, {"tool": flag, "server": status, "url": part, "command": command, "input": given}),
+        "file": (matching.FILE, {"path": flag}),
+    }
+    rows = table(spark, sf_dir, "lineitem").withColumn("more", F.lead(F.lit(1)).over(w))
+    rows = rows.withColumns({f"{side}_{kind}_{n}": c if side == "l" else F.lead(c).over(w) for kind, (_, own) in kinds.items() for n, c in own.items() for side in "lr"})
+    return rows.where("more = 1").select("l_orderkey", "l_linenumber", *[matching.field_score(worth, f"l_{kind}_", f"r_{kind}_").alias(kind) for kind, (worth, _) in kinds.items()])
 
 
 def drained(stream: DataFrame, name: str) -> DataFrame:

@@ -146,17 +146,20 @@ def numeric_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.explode(payloads.numeric_tree("doc")).alias("n")).select("event_id", F.concat_ws("=", "n.name", F.col("n.value").cast("string")).alias("figure"))
 
 
-@query(f"""WITH {EVENTS} SELECT event_id, {by_shape("'/a/' || k || ',/b,/c d'", "'/x,src/new.py,src/old.py,src/moved.py'", "''", "'/deep'")} AS paths FROM e""")
+@query(f"""WITH {EVENTS} SELECT event_id, {by_shape("'/a/' || k || ',/b,/c d'", "CASE user_id % 3 WHEN 0 THEN '/x,src/new.py,src/old.py,src/moved.py,/y' ELSE '/x,/y' END", "''", "'/deep'", "CASE user_id % 3 WHEN 0 THEN 'One.py,/z' ELSE '/z,one.PY' END")} AS paths FROM e""")
 def target_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches count for one tool only, whatever its case; paths that differ by case are one, the first told."""
     rows = shaped(
         spark,
         sf_dir,
-        '{"file_path":"/a/{k}","nested":[{"Path":"/b"},{"cwd":"/c d","path":"/b"}],"other":"/no"}',
-        '{"path":"/x","arguments":"*** Begin\\n*** Add File: src/new.py\\n+*** x\\n*** Update File: src/old.py\\n*** Move to: src/moved.py\\n"}',
+        '{"file_path":"/a/{k}","nested":[{"Path":"/b"},{"cwd":"/c d","path":"/B"}],"file":"/A/{k}","other":"/no"}',
+        '{"path":"/x","arguments":"*** Begin\\n*** Add File: src/new.py\\n+*** x\\n*** Update File: src/old.py\\n*** Move to: src/moved.py\\n*** Update File: SRC/new.py\\n","targetPath":"/y"}',
         '{"path":" ","n":1}',
         '{"a":{"b":{"c":{"d":{"e":{"f":{"toFilePath":"/deep","g":{"h":{"path":"/too/deep"}}}}}}}}}',
+        '{"diff":"*** Delete File: One.py","paths":["/z"],"more":{"file":"one.PY"}}',
     )
-    return rows.select("event_id", F.array_join(payloads.target_paths(F.col("doc")), ",").alias("paths"))
+    tool = F.element_at(F.array(F.lit("Apply_Patch"), F.lit("edit"), F.lit(None)), (F.col("user_id") % 3 + 1).cast("int"))
+    return rows.select("event_id", F.array_join(payloads.target_paths(F.col("doc"), tool), ",").alias("paths"))
 
 
 @query(f"""WITH {EVENTS} SELECT event_id, sha256(c) AS arguments, 's' || user_id || '|Shell|RUN IT|' || sha256(c) AS signature FROM (SELECT *, {by_shape("'{\"a\":1.50,\"b\":{\"k\":' || k || ',\"z\":[1,{\"m\":null}]}}'", "'{\"a\":1.50,\"b\":{\"k\":' || k || ',\"z\":[1,{\"m\":null}]}}'", "''", "'[\"é\",\"{no\"]'")} AS c FROM e)""")
@@ -397,43 +400,53 @@ def plan_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.regexp_replace("p.name", " +", " ").alias("name"), plan_docs.structured_key(F.col("p.name"), F.col("p.overview"), F.col("p.todos")).alias("key"), F.col("p.body").alias("body"))
 
 
-@query(f"""WITH {EVENTS} SELECT event_id, {by_shape("'/r/' || k || '.plan.md,c:/w/B.plan.md,D:\\x\\c.plan.md'", "'/own.plan.md'", "''")} AS plans, {by_shape("'/r/' || k || '.plan.md,/w/B.plan.md'", "'/a b/c'", "'D:\\work\\p,e:/code'")} AS hints, {by_shape("NULL", "NULL", "'0f8fad5b-d9cb-469f-a165-70867728950e'")} AS session FROM e""".replace("'/r/' || k || '.plan.md,/w/B.plan.md'", "'c:/w/B.plan.md'"))
+@query(f"""WITH {EVENTS} SELECT event_id, {by_shape("'/r/' || k || '.plan.md,c:/w/B.plan.md,D:' || chr(92) || 'x' || chr(92) || 'c.plan.md'", "'/own.plan.md,/own_b.plan.md'", "''", "'C:' || chr(92) || 'My Docs' || chr(92) || 'x' || k || '.plan.md'", "'/home/a b/y.plan.md,/n/A.plan.md,/no.plan.md'", "''")} AS plans,
+    {by_shape("'c:/w/B.plan.md'", "'/a b/c'", "'D:' || chr(92) || 'work' || chr(92) || 'p q,e:/my code'", "''", "'/n/A.plan.md'", "''")} AS hints, CASE event_id % 6 WHEN 2 THEN '0f8fad5b-d9cb-469f-a165-70867728950e' END AS session FROM e""")
 def plan_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blanks are part of a path, quotes and line ends aren't; an id counts inside a leading comment only."""
     rows = shaped(
         spark,
         sf_dir,
-        "see /r/{k}.plan.md, file:///c:/w/B.plan.md and D:\\x\\c.plan.md or /R/{k}.PLAN.MD but not a.plan.md5",
+        "see /r/{k}.plan.md, file:///c:/w/B.plan.md and D:\\x\\c.plan.md or /R/{k}.PLAN.MD, not c:/w/q.plan.md nor a.plan.m",
         "file:///a%20b/c only",
-        "<!-- 0f8fad5b-d9cb-469f-a165-70867728950e --> in `D:\\work\\p` or [it](e:/code) or C:/no",
+        "\ufeff<!-- 0f8fad5b-d9cb-469f-a165-70867728950e --> in `D:\\work\\p q` or [it](e:/my code) or C:/no or `/posix/no`",
+        'see C:\\My Docs\\x{k}.plan.md now, or "C:\\MY DOCS\\X{k}.PLAN.MD"',
+        "'/home/a b/y.plan.md' and x/no.plan.md\nfile:///n/A.plan.md //no.plan.md",
+        "0f8fad5b-d9cb-469f-a165-70867728950e is no comment",
     )
-    own = F.when(F.col("event_id") % 3 == 1, F.array(F.lit("/own.plan.md"), F.lit("/no.md")))
+    own = F.when(F.col("event_id") % 6 == 1, F.array(F.lit(" '/own_b.plan.md' "), F.lit("/own.plan.md"), F.lit("/no.md")))
     return rows.select("event_id", F.array_join(plan_docs.plan_paths(F.col("doc"), own), ",").alias("plans"), F.array_join(plan_docs.workspace_hints(F.col("doc")), ",").alias("hints"), plan_docs.session_hint(F.col("doc")).alias("session"))
 
 
-@query(f"""WITH {EVENTS}, s AS (SELECT *, event_id % 8 AS i, ['Cursor', 'ClaudeCode', 'GitHubCopilot'][user_id % 3 + 1] AS provider, max(CASE WHEN event_id % 8 = 6 AND k < 5 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id) = 1 AS told FROM e)
-    SELECT event_id, 'Updated' AS activity, CASE i WHEN 1 THEN '/h/plans/' || k || '.md' WHEN 2 THEN '/h/plans/e.md' END AS path, CASE i WHEN 0 THEN 'go ' || k WHEN 1 THEN 'w' END AS body, k % 2 = 0 AS successful FROM s WHERE provider = 'ClaudeCode' AND i < 3
-    UNION ALL SELECT event_id, 'Updated', NULL, NULL, CASE WHEN i = 6 THEN true ELSE k % 3 > 0 END FROM s WHERE provider = 'GitHubCopilot' AND ((i = 6 AND k < 5) OR (NOT told AND i = 3))
-    UNION ALL SELECT event_id, CASE i WHEN 4 THEN 'Created' WHEN 5 THEN 'Updated' WHEN 7 THEN 'Referenced' END, CASE i WHEN 5 THEN '/c/x.plan.md' WHEN 7 THEN '/c/y.plan.md' END, CASE i WHEN 4 THEN '# made' END, true FROM s WHERE provider = 'Cursor' AND i IN (4, 5, 7)""")
+@query(f"""WITH {EVENTS}, s AS (SELECT *, event_id % 10 AS i, ['Cursor', 'ClaudeCode', 'GitHubCopilot'][user_id % 3 + 1] AS provider, max(CASE WHEN event_id % 10 = 6 AND k < 5 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id) = 1 AS told FROM e)
+    SELECT event_id, 'Updated' AS activity, CASE i WHEN 1 THEN '/h/plans/' || k || '.md' WHEN 2 THEN '/h/plans/e.md' END AS path, CASE i WHEN 0 THEN 'go ' || k WHEN 1 THEN 'w' END AS body, k % 2 = 0 AS successful, false AS there FROM s WHERE provider = 'ClaudeCode' AND i < 3
+    UNION ALL SELECT event_id, 'Referenced', '/h/plans/m' || k || '.md', NULL, true, i = 8 FROM s WHERE provider = 'ClaudeCode' AND i > 7
+    UNION ALL SELECT event_id, CASE WHEN i = 6 AND k % 2 = 1 THEN 'Created' ELSE 'Updated' END, CASE WHEN user_id % 2 = 0 THEN '/h/Plan.md' END, NULL, CASE WHEN i = 6 THEN true ELSE k % 3 > 0 END FROM s
+        WHERE provider = 'GitHubCopilot' AND ((i = 6 AND k < 5) OR (NOT told AND (i = 3 OR (i = 5 AND user_id % 2 = 0))))
+    UNION ALL SELECT event_id, CASE i WHEN 4 THEN 'Created' WHEN 5 THEN 'Updated' WHEN 7 THEN 'Referenced' END, CASE i WHEN 5 THEN '/c/x.plan.md' WHEN 7 THEN '/c/y.plan.md' END, CASE i WHEN 4 THEN '# made' END, true, false FROM s WHERE provider = 'Cursor' AND i IN (4, 5, 7)""".replace("k % 3 > 0 END FROM s", "k % 3 > 0 END, false FROM s"))
 def plan_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each provider's events take all the shapes; what belongs to another one's dialect says nothing."""
-    rows = shaped(spark, sf_dir, '{"plan":"go {k}\\n"}', '{"content":"w"}', "{}", "{}", '{"plan":"# made"}', '{"path":"/c/x.plan.md"}', "", "look at /c/y.plan.md")
-    i = F.col("event_id") % 8
+    rows = shaped(spark, sf_dir, '{"plan":"go {k}\\n"}', '{"content":"w"}', "{}", "{}", '{"plan":"# made"}', '{"path":"/c/x.plan.md"}', "", "look at /c/y.plan.md", '{"type":"plan_mode","planFilePath":"/h/plans/m{k}.md","plan_exists":true}', '{"type":"plan_mode_exit","plan_path":"/h/plans/m{k}.md"}')
+    i = F.col("event_id") % 10
     pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (i + 1).cast("int"))
-    paths = F.when(i == 1, F.array(F.concat(F.lit("/h/plans/"), F.col("k").cast("string"), F.lit(".md")), F.lit("/h/readme.md"))).when(i == 2, F.array(F.lit("/h/plans/e.md"))).otherwise(F.array().cast("array<string>"))
+    paths = F.when(i == 1, F.array(F.concat(F.lit("/h/plans/"), F.col("k").cast("string"), F.lit(".md")), F.lit("/h/readme.md"))).when(i == 2, F.array(F.lit("/h/plans/e.md"))).when(i == 5, F.array(F.lit("/h/PLAN.md"))).otherwise(F.array().cast("array<string>"))
     provider = F.element_at(F.array(*map(F.lit, ("Cursor", "ClaudeCode", "GitHubCopilot"))), (F.col("user_id") % 3 + 1).cast("int"))
     events = rows.select(
         provider.alias("provider"),
         F.col("user_id").alias("session"),
         "event_id",
-        F.when(i == 7, "PromptSubmitted").when(i == 6, "Generic").otherwise("ToolRequest").alias("role"),
-        pick("ExitPlanMode", "Write", "Edit", "update_plan", "CreatePlan", "edit_file", None, None).alias("tool"),
-        pick("Task", "FileWrite", "FileEdit", "Task", "Task", "FileEdit", None, None).alias("tool_kind"),
+        F.when(i == 7, "PromptSubmitted").when(i.isin(6, 8, 9), "Generic").otherwise("ToolRequest").alias("role"),
+        pick("ExitPlanMode", "Write", "Edit", "update_plan", "CreatePlan", "edit_file", None, None, None, None).alias("tool"),
+        pick("Task", "FileWrite", "FileEdit", "Task", "Task", "FileEdit", None, None, None, None).alias("tool_kind"),
         F.col("doc").alias("text"),
         paths.alias("paths"),
         F.when(provider == "ClaudeCode", F.when(F.col("k") % 2 == 0, "ToolSuccess")).when(F.col("k") % 3 == 0, "ToolFailure").alias("outcome"),
-        F.when((i == 6) & (F.col("k") < 5), "session.plan_changed").alias("native"),
+        F.when((i == 6) & (F.col("k") < 5), "Session.Plan_Changed").alias("native"),
+        F.when(F.col("user_id") % 2 == 0, "/h/Plan.md").alias("plan_path"),
+        F.when(F.col("k") % 2 == 1, "Create").alias("status"),
+        F.when(i > 7, F.col("doc")).alias("attachment"),
     )
-    return plan_docs.plan_activities(events).select("event_id", "activity", "path", "body", "successful")
+    return plan_docs.plan_activities(events).select("event_id", "activity", "path", "body", "successful", F.col("exists").alias("there"))
 
 
 @query(f"""WITH {EVENTS}, d AS (SELECT *, {by_shape("'addRules, setMode'", "'once'", "NULL", "NULL", "NULL")} AS detail, {by_shape("NULL", "NULL", "'2 calls'", "'1 call'", "NULL")} AS batch, {by_shape("k", "k * 1000", "k * 61001", "k * 3700000", "-5")} AS ms_ FROM e),

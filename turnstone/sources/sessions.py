@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from turnstone.functions import yaml_text
 from turnstone.functions.text import plan_body
 from turnstone.functions.times import epoch_timestamp
 
@@ -44,19 +47,66 @@ def workspace_manifests(files: DataFrame) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+)/[^/]+\.json$", 1).alias("workspace_id"), folder.alias("folder")).where("folder IS NOT NULL")
 
 
-#: Metadata names by the spellings that a session's YAML may have.
-YAML_NAMES = {"id": ("id", "session_id"), "cwd": ("cwd", "working_directory"), "git_root": ("git_root", "gitroot"), "repository": ("repository", "repo"), "branch": ("branch",), "name": ("name", "title", "summary"), "created_at": ("created_at",), "updated_at": ("updated_at",)}
+def workspace_folders(sessions: DataFrame, manifests: DataFrame, workspace: str = "workspace_id") -> DataFrame:
+    """sessions with the folder that the manifest of their workspace id names; the first by path where several have the id."""
+    one = manifests.where(F.col("workspace_id") != "").groupBy(F.col("workspace_id").alias("__id")).agg(F.min("folder").alias("folder"))
+    return sessions.join(one, sessions[workspace] == one["__id"], "left").drop("__id")
+
+
+#: Metadata names by the spellings that a session's YAML may have, without case and signs between words.
+YAML_NAMES = {
+    "id": ("id", "sessionid"),
+    "cwd": ("cwd", "workingdirectory"),
+    "git_root": ("gitroot",),
+    "repository": ("repository", "repositoryname", "repo"),
+    "branch": ("branch", "gitbranch"),
+    "name": ("name", "title"),
+    "summary": ("summary",),
+    "client_name": ("clientname",),
+    "host_type": ("hosttype",),
+    "user_named": ("usernamed",),
+    "summary_count": ("summarycount",),
+    "fork_count": ("forkcount",),
+    "created_at": ("createdat", "creationtime"),
+    "updated_at": ("updatedat", "updatetime"),
+}
+#: A line of a flat document: blank, a comment, or a key and a value on one line that is no sign of more.
+_FLAT = r"""(?:[ \t]*(?:#.*)?|[A-Za-z_][\w-]*[ \t]*:(?:[ \t]+(?:[^\s|>\[{&*!"'#%@`][^#]*|"[^"\\]*"|'[^']*'))?[ \t]*)"""
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def _yaml_scalars(text: pd.Series) -> pd.Series:
+    """The texts at the top of a YAML document by name; those of maps inside it by dotted names."""
+
+    def scalars(doc, prefix: str = "") -> dict[str, str]:
+        out = {}
+        for k, v in doc.items() if isinstance(doc, dict) else ():
+            if isinstance(v, dict):
+                out |= scalars(v, f"{prefix}{k}.")
+            elif isinstance(v, str):
+                out[f"{prefix}{k}"] = v
+        return out
+
+    return text.map(lambda t: None if t is None or (doc := yaml_text.parse(t)) is None else scalars(doc))
 
 
 def workspace_yaml(files: DataFrame) -> DataFrame:
-    """Flat `key: value` YAML files to one column per known name; keys in any case, quotes dropped, comments left out."""
+    """Session YAML files (path, value) to one column per known name (YAML_NAMES), and `scalars`, all texts by name.
+
+    Flat documents are read by column expressions: keys in any case, quotes dropped, comments left out, the first of a repeated key.
+    Documents with blocks, flow or nested maps go through a YAML reader, in Arrow batches; one that it can't read is read as a flat one.
+    """
     pairs = F.regexp_extract_all("value", F.lit(r"(?m)^([A-Za-z_][\w-]*)[ \t]*:[ \t]*([^\r\n]*?)[ \t]*\r?$"), F.lit(0))
-    key = lambda p: F.replace(F.lower(F.trim(F.substring_index(p, ":", 1))), F.lit("-"), F.lit("_"))
+    key = lambda p: F.trim(F.substring_index(p, ":", 1))
     value = lambda p: F.regexp_replace(F.trim(F.regexp_replace(p, r"^[^:]*:", "")), r"""^(["'])(.*)\1$""", "$2")
-    rows = files.select("path", F.transform(pairs, lambda p: F.struct(key(p).alias("k"), value(p).alias("v"))).alias("kv"))
-    # the first of a repeated key counts
-    first = lambda n: F.get(F.transform(F.filter("kv", lambda e: e["k"] == n), lambda e: e["v"]), F.lit(0))
-    return rows.select("path", *[F.coalesce(*map(first, names)).alias(c) for c, names in YAML_NAMES.items()])
+    plain = F.transform(pairs, lambda p: F.struct(key(p).alias("key"), value(p).alias("value")))
+    flat = F.col("value").rlike(rf"\A(?:{_FLAT}\r?\n)*{_FLAT}\z")
+    read = files.select("path", plain.alias("plain"), _yaml_scalars(F.when(~flat, F.col("value"))).alias("map"))
+    rows = read.select("path", F.coalesce(F.map_entries("map"), "plain").alias("kv"))
+    bare = lambda k: F.regexp_replace(F.lower(k), "[_-]", "")
+    first = lambda n: F.get(F.transform(F.filter("kv", lambda e: bare(e["key"]) == n), lambda e: e["value"]), F.lit(0))
+    once = F.filter("kv", lambda e, i: F.array_position(F.transform("kv", lambda x: x["key"]), e["key"]) == i + 1)
+    return rows.select("path", *[F.coalesce(*map(first, names)).alias(c) for c, names in YAML_NAMES.items()], F.map_from_entries(once).alias("scalars"))
 
 
 def composers(kv: DataFrame) -> DataFrame:

@@ -147,6 +147,37 @@ def change_kinds(rows: DataFrame, ts: str = "ts", delay: str = WATERMARK, timeou
     return timed.groupBy("session", "call_id").applyInPandasWithState(step, "session string, call_id string, event_id string, change_kind string", "origin string, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def stand_in_changes(rows: DataFrame, ts: str = "ts", delay: str = WATERMARK, timeout: str = "2 hours") -> DataFrame:
+    """(session, signature, event_id, change, partner) of a stream of (session, signature, ts, event_id, origin: hook or transcript).
+
+    What operators.pairing.stand_ins tells of a whole table: an Added transcript row is a stand-in until a PromotePrimary row names it.
+    State are the ids of a signature's rows that wait, of one side at a time; without rows for `timeout` they wait no longer.
+    """
+    idle = int(pd.Timedelta(timeout).total_seconds() * 1000)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        side, waiting, last = state.get if state.exists else ("hook", [], 0)
+        waiting, out = list(waiting), []
+        for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
+            partner = None
+            if waiting and side != r.origin:
+                partner = waiting.pop(0)
+            else:
+                side = r.origin
+                waiting.append(r.event_id)
+            last = max(last, int(r.ts.timestamp() * 1000))
+            out.append((*key, r.event_id, "Add" if partner is None else "PromotePrimary" if r.origin == "hook" else "AttachEvidence", partner))
+        state.update((side, waiting, last))
+        state.setTimeoutTimestamp(max(last + idle, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["session", "signature", "event_id", "change", "partner"])
+
+    timed = rows.withWatermark(ts, delay).select("session", "signature", F.col(ts).alias("ts"), F.col("event_id").cast("string").alias("event_id"), "origin")
+    return timed.groupBy("session", "signature").applyInPandasWithState(step, "session string, signature string, event_id string, change string, partner string", "side string, waiting array<string>, last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def activity_windows(rows: DataFrame, ts: str = "ts", gap: str = "30 minutes", delay: str = WATERMARK) -> DataFrame:
     """Spans of activity of each session, ended by a gap."""
     got = rows.withWatermark(ts, delay).groupBy("session", F.session_window(ts, gap)).agg(F.count(F.lit(1)).alias("events"))
