@@ -58,7 +58,7 @@ def result(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
-@pytest.mark.parametrize("arity, levels", [(2, 12), (2, 2), (3, 2)])
+@pytest.mark.parametrize("arity, levels", [(2, 12), (3, 2)])
 def test_manifest_equals_recursion(spark, monkeypatch, arity, levels):
     monkeypatch.setattr(merkle, "ARITY", arity)
     monkeypatch.setattr(merkle, "LEVELS", levels)

@@ -51,7 +51,7 @@ def test_collocations_equal_brute_force(spark, monkeypatch, ranks, side, dense,
         monkeypatch.setattr(bloom, "MOST_BITS", bits)
     rows = some_texts(1)
     df = spark.createDataFrame([(x, t, 1, "x") for x, t in rows], "lang string, text string, n int, phrase string").repartition(3)
-    for least, top in ((4, 30), (6, 1000)):
+    for least, top in ((4, 30),) if bits else ((6, 1000),):
         got = sorted(map(tuple, phrases.collocations(df, least=least, top=top, size=size).collect()))
         assert got == by_force(rows, least, top) and len(got) > 20
     assert phrases.collocations(df.limit(0)).count() == 0
