@@ -55,9 +55,9 @@ def test_waves(spark):
     base = "c long, s timestamp, e timestamp"
     at = lambda x: f"1970-01-01 00:00:0{x}"
     mk = lambda rows: spark.createDataFrame([(i, at(s), at(e)) for i, (s, e) in enumerate(rows)], "c long, s string, e string").select(F.lit(1).alias("k"), "c", F.col("s").cast("timestamp").alias("s"), F.col("e").cast("timestamp").alias("e"))
-    got = intervals.waves(mk([("1.0", "1.5"), ("1.1", "3.1"), ("1.2", "2.2")]), ["k"], "s", "e", "c").collect()
-    assert len(got) == 1 and got[0]["members"] == 3 and (got[0]["ended"] - got[0]["started"]).total_seconds() == 2.1
-    assert intervals.waves(mk([("1.0", "1.1"), ("2.0", "2.2")]), ["k"], "s", "e", "c").count() == 0
+    got = intervals.waves(mk([("3.2", "4.0"), ("3.9", "7.7"), ("4.4", "5.1")]), ["k"], "s", "e", "c").collect()
+    assert len(got) == 1 and got[0]["members"] == 3 and (got[0]["ended"] - got[0]["started"]).total_seconds() == 4.5
+    assert intervals.waves(mk([("5.0", "5.4"), ("5.4", "6.0")]), ["k"], "s", "e", "c").count() == 0
     assert base
 
 

@@ -56,3 +56,28 @@ def batch_detail(payload: Column) -> Column:
 def tool_detail(name: Column, path: Column, command: Column) -> Column:
     """A tool's name, its target, and its command, if it has one; null without a name."""
     return F.when(name.isNotNull(), joined(name, path, command))
+
+
+def _figure(payload: Column, name: str, kind: str = "long") -> Column:
+    return F.try_variant_get(payload, f"$.{name}", kind)
+
+
+def compaction_detail(payload: Column) -> Column:
+    """What set a compaction off, how full the context was, its size, and how many messages it has and gives up."""
+    share = F.regexp_replace(F.format_string("%.2f", _figure(payload, "context_usage_percent", "double")), r"\.?0+$", "")
+    count = lambda n: F.coalesce(_figure(payload, n).cast("string"), F.lit("?"))
+    messages = F.when(F.coalesce(_figure(payload, "message_count"), _figure(payload, "messages_to_compact")).isNotNull(), F.concat_ws("/", count("message_count"), count("messages_to_compact")))
+    return joined(_figure(payload, "trigger", "string"), F.when(_figure(payload, "context_usage_percent", "double").isNotNull(), F.concat(share, F.lit("%"))), token_label(_figure(payload, "context_window_size")), messages)
+
+
+def failure_detail(payload: Column) -> Column:
+    """A failed call's tool, its kind of failure, and the first line of what it says."""
+    lines = F.regexp_replace(F.coalesce(_figure(payload, "error_message", "string"), _figure(payload, "error", "string")), r"\r\n?", "\n")
+    first = F.when(lines.contains("\n"), F.concat(F.rtrim(F.substring_index(lines, "\n", 1)), F.lit("..."))).otherwise(lines)
+    return joined(_figure(payload, "tool_name", "string"), _figure(payload, "failure_type", "string"), first)
+
+
+def token_detail(payload: Column) -> Column:
+    """The token counts that a payload tells."""
+    part = lambda name, field: F.concat(F.lit(f"{name} "), token_label(_figure(payload, field)))
+    return joined(part("in", "input_tokens"), part("out", "output_tokens"), part("cache r", "cache_read_tokens"), part("cache w", "cache_write_tokens"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,3 +135,23 @@ def plan_body(text: Column, compose: bool = True) -> Column:
 def compact(text: Column, most: int) -> Column:
     """A text above `most` characters cut there, its whole length told behind; others as they are."""
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.format_string("… [%d characters]", F.length(text)))).otherwise(text)
+
+
+#: Characters that an event's text, a system prompt and a value of a session's metadata may have, and what is put behind a text that is cut.
+EVENT_CHARS, PROMPT_CHARS, VALUE_CHARS = 32 * 1024, 64 * 1024, 8 * 1024
+CUT = "\n… [truncated; open Raw source for the complete record]"
+
+
+def limited(text: Column, most: int) -> Column:
+    """A text of at most `most` characters, CUT among them where it was longer."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - len(CUT)), F.lit(CUT))).otherwise(text)
+
+
+def compacted(rows: DataFrame, texts: list[str], prompt: str | None = None, metadata: str | None = None) -> DataFrame:
+    """rows whose long fields are cut: texts, a system prompt (its whole length told in `original_chars`, null where it stays), and the values of a map."""
+    changed = {t: limited(F.col(t), EVENT_CHARS) for t in texts}
+    if prompt is not None:
+        changed |= {"original_chars": F.when(F.length(prompt) > PROMPT_CHARS, F.length(prompt)), prompt: limited(F.col(prompt), PROMPT_CHARS)}
+    if metadata is not None:
+        changed[metadata] = F.transform_values(metadata, lambda k, v: limited(v, VALUE_CHARS))
+    return rows.withColumns(changed)

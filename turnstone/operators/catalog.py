@@ -87,6 +87,14 @@ def latest_snapshot(rows: DataFrame, by: list[str], order: list[str], *values: s
     return rows.groupBy(*by).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("__v")).select(*by, *[F.col(f"__v.{v}").alias(v) for v in values])
 
 
+def latest_cost_state(rows: DataFrame, by: list[str], ts: str, start: str, duration_ms: str, recovered: Column, order: list[str], *values: str) -> DataFrame:
+    """The values of a session's last cost state: by its time, else its start and duration; then rows of the session's own file before those of a
+    recovery copy; then the last in order. A row without any time comes before all that have one."""
+    told = F.coalesce(F.col(ts), F.when(F.abs(F.col(duration_ms)) < 1e15, F.timestamp_micros(F.unix_micros(F.col(start).cast("timestamp")) + F.round(F.col(duration_ms) * 1000).cast("long"))).cast(dict(rows.dtypes)[ts]))
+    ranked = rows.withColumns({"__ts": told, "__own": F.when(recovered, 0).otherwise(1)})
+    return latest_snapshot(ranked, by, ["__ts", "__own", *order], *values)
+
+
 def lifecycle(rows: DataFrame, by: list[str], order: str, opens: Column, shuts: Column) -> DataFrame:
     """open: whether the last opening came after the last shutdown; how often it was opened again."""
     got = rows.groupBy(*by).agg(F.max(F.when(opens, F.col(order))).alias("__o"), F.max(F.when(shuts, F.col(order))).alias("__s"), F.count_if(opens).alias("__n"))

@@ -29,11 +29,23 @@ def turn_by_interval(rows: DataFrame, turns: DataFrame, by: list[str], ts: str,
 def reach_segments(rows: DataFrame, by: list[str], ts: str, seconds: float, name: str = "__segment") -> DataFrame:
     """Adds the number of the row's segment: one ends where nothing follows within `seconds`, so rows of two segments are out of reach.
 
-    What is sequential inside a key then needs a segment at a time, not the key's whole history.
+    What is sequential inside a key then needs a segment at a time, not the key's whole history. The history isn't one task's, either: gaps are found
+    inside spans of time, and only a row per key and span meets the key's others. Rows without a time are a segment's of their own.
     """
-    w = Window.partitionBy(*by).orderBy(ts)
-    far = F.coalesce(micros(ts) - micros(F.lag(ts).over(w)) > int(seconds * 1e6), F.lit(False))
-    return rows.withColumn("__far", far).withColumn(name, F.count_if("__far").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("__far")
+    gap, span = int(seconds * 1e6), int(max(3600, 16 * seconds) * 1e6)
+    spans = rows.withColumn("__us", micros(ts)).withColumn("__span", F.floor(F.col("__us") / span))
+    w = Window.partitionBy(*by, "__span").orderBy("__us")
+    marked = spans.withColumn("__far", F.coalesce(F.col("__us") - F.lag("__us").over(w) > gap, F.lit(False)))
+    marked = marked.withColumn("__inner", F.count_if("__far").over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    ends = marked.groupBy(*by, "__span").agg(F.min("__us").alias("__a"), F.max("__us").alias("__z"), F.count_if("__far").alias("__n"))
+    k = Window.partitionBy(*by).orderBy("__span")
+    ends = ends.withColumn("__f", F.coalesce(F.col("__a") - F.lag("__z").over(k) > gap, F.col("__span").isNotNull()).cast("int"))
+    before = F.coalesce(F.sum(F.col("__n") + F.col("__f")).over(k.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("__f")
+    starts = ends.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("__span").alias("__of"), before.alias("__before"))
+    same = marked["__span"].eqNullSafe(starts["__of"])
+    for i, c in enumerate(by):
+        same = same & marked[c].eqNullSafe(starts[f"__by{i}"])
+    return marked.join(starts, same).withColumn(name, F.col("__inner") + F.col("__before")).select(*rows.columns, name)
 
 
 def adopt_pending(prompts: DataFrame, pending: DataFrame, by: list[str], prompt_ts: str, pending_ts: str, prompt_id: str, pending_id: str, seconds: int = 30) -> DataFrame:
@@ -78,6 +90,44 @@ def repeated_within(rows: DataFrame, keys: list[str], order: list[str], ts: str,
     return out.drop("__segment")
 
 
+def duplicate_thoughts(rows: DataFrame, keys: list[str], order: list[str], ts: str, step_scoped: str, row_id: str, seconds: float = 5.0, resets: Column | None = None, segment_by: list[str] | None = None) -> DataFrame:
+    """(keys, row_id, is_duplicate): a thought told twice, once for its step and once for its turn, at most `seconds` apart in any order.
+
+    A row is compared with the last of its keys (session, turn, text) that wasn't a duplicate itself, and takes its place if it isn't one either.
+    resets (with segment_by, the session): rows at which all that was told is forgotten; they are no thoughts themselves.
+    """
+    cut = F.lit(False) if resets is None else F.coalesce(resets, F.lit(False))
+    at = F.struct(*order)
+    upto = Window.partitionBy(*(segment_by or keys)).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    told = rows.withColumns({"__cut": cut, "__order": at, "__at": micros(ts)}).withColumn("__segment", F.count_if("__cut").over(upto)).where(~F.col("__cut"))
+
+    def compare():
+        last: list = []
+
+        def step(at_us, scoped, i):
+            if last and last[1] != scoped and abs(at_us - last[0]) <= seconds * 1_000_000:
+                return [(i, True)]
+            last[:] = [at_us, scoped]
+            return [(i, False)]
+
+        return step
+
+    found = by_key(told, [*keys, "__segment"], ["__order"], ["__at", step_scoped, row_id], compare, f"`{row_id}` {dict(rows.dtypes)[row_id]}, is_duplicate boolean")
+    return found.drop("__segment")
+
+
+def wave_bounds(calls: DataFrame, by: list[str], start: str, end: str, duration: str, anchored: Column) -> DataFrame:
+    """by..., calls, started, ended, wall_ms, summed_ms: how long a wave of parallel calls took.
+
+    Only calls with a clock of their own bound a wave; one without any has no bounds. A call without an end ends its duration after its start.
+    summed_ms adds up what its calls say they took, which is what a catalog's parallel group shows.
+    """
+    last = F.coalesce(F.col(end), F.timestamp_micros(micros(start) + F.round(F.col(duration) * 1000).cast("long")).cast("timestamp"), F.col(start))
+    fine = F.coalesce(anchored, F.lit(False))
+    got = calls.groupBy(*by).agg(F.count(F.lit(1)).alias("calls"), F.min(F.when(fine, F.col(start))).alias("started"), F.max(F.when(fine, last)).alias("ended"), F.coalesce(F.sum(duration), F.lit(0.0)).alias("summed_ms"))
+    return got.withColumn("wall_ms", (micros("ended") - micros("started")) / 1000.0)
+
+
 def without_followers(rows: DataFrame, matched: DataFrame, by: list[str], ts: str, row_id: str, seconds: int = 30) -> DataFrame:
     """rows less the nearest one that follows each matched request within `seconds` (its fallback record)."""
     gone = adopt_pending(matched, rows, by, f"m_{ts}", ts, f"m_{row_id}", row_id, seconds)

@@ -39,6 +39,13 @@ def bind_owner(claims: DataFrame, plan: str, session: str, reason: str) -> DataF
     return got.select(plan, F.when(one, F.col("__s")).alias(session), F.when(one, "Bound").when(F.col("__n") > 1, "Ambiguous").otherwise("Unavailable").alias("state"), F.when(one, evidence).otherwise(F.when(F.col("__n") > 1, "Ambiguous").otherwise("Unavailable")).alias("evidence"))
 
 
+def creator_turns(claims: DataFrame, owners: DataFrame, plan: str, session: str, turn: str, created: Column, ts: str, order: str) -> DataFrame:
+    """owners (plan, session, ...) with the turn that made the plan: of its owner's claims that tell a turn one that created it, then the earliest, those without a time last."""
+    told = claims.where(F.col(turn).isNotNull()).withColumn("__at", F.struct(F.when(created, 0).otherwise(1), F.col(ts).isNull(), F.col(ts), F.col(order)))
+    first = told.groupBy(plan, session).agg(F.min_by(turn, "__at").alias(turn))
+    return owners.join(first, [plan, session], "left")
+
+
 def match_artifact(activities: DataFrame, artifacts: DataFrame, activity_id: str, plan: str) -> DataFrame:
     """(activity, plan): by path_key, else by structured key, and only where exactly one artifact has it."""
     def one(key: str, left: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnstone.sources.staging import shared_dir
+
 
 def resolve(records: DataFrame, targets: DataFrame, record_id: str, key: str, target_id: str) -> DataFrame:
     """record, state (Resolved, Ambiguous, Unresolved), target: by how many targets have the record's key."""
@@ -25,18 +27,25 @@ def duplicates(records: DataFrame, kind: str, natural_id: str, record_id: str) -
     return records.join(g, [kind, natural_id]).where(F.col(record_id) != F.col("first")).select(kind, natural_id, "first", F.col(record_id).alias("other"))
 
 
-def root_of(nodes: DataFrame, node: str, parent: str, most: int = 16) -> DataFrame:
-    """node, root, depth by parent pointers; nodes in a cycle, or deeper than 2 ** most, have themselves and -1.
+def root_of(nodes: DataFrame, node: str, parent: str, most: int | None = None) -> DataFrame:
+    """node, root, depth by parent pointers; nodes in or above a cycle have themselves and -1 (and, where `most` rounds are set, those deeper than 2 ** most).
 
-    Pointer doubling: every round joins once and doubles the reach, and rounds end when no pointer moves.
+    Pointer doubling: every round joins once and doubles the reach, and rounds end when no pointer moves, or when all nodes in a
+    row would have been passed. A round is written to the shared folder, so a lost executor costs the round at most.
     """
-    at = nodes.select(F.col(node).alias("n"), F.coalesce(parent, node).alias("p"), F.when(F.col(parent).isNull() | (F.col(parent) == F.col(node)), 0).otherwise(1).cast("long").alias("d")).cache()
-    for _ in range(most):
+    spark = nodes.sparkSession
+
+    def staged(df: DataFrame) -> DataFrame:
+        at = shared_dir(spark)
+        df.write.parquet(at)
+        return spark.read.schema(df.schema).parquet(at)
+
+    at = staged(nodes.select(F.col(node).alias("n"), F.coalesce(parent, node).alias("p"), F.when(F.col(parent).isNull() | (F.col(parent) == F.col(node)), 0).otherwise(1).cast("long").alias("d")))
+    for _ in range(at.count().bit_length() if most is None else most):
         up = at.select(F.col("n").alias("p"), F.col("p").alias("pp"), F.col("d").alias("dd"))
-        new = at.join(up, "p", "left").select("n", F.coalesce("pp", "p").alias("p"), (F.col("d") + F.coalesce("dd", F.lit(0))).alias("d")).cache()
-        moved = new.join(at.select("n", F.col("p").alias("old")), "n").where("p <> old").limit(1).count()
-        at = new
-        if not moved:
+        new = staged(at.join(up, "p", "left").select("n", F.coalesce("pp", "p").alias("p"), (F.col("d") + F.coalesce("dd", F.lit(0))).alias("d"), (F.col("pp") != F.col("p")).alias("moved")))
+        at = new.drop("moved")
+        if not new.where("moved").limit(1).count():
             break
     tops = nodes.where(F.col(parent).isNull() | (F.col(parent) == F.col(node))).select(F.col(node).alias("p"), F.lit(True).alias("top"))
     missing = nodes.select(F.col(parent).alias("p")).distinct().join(nodes.select(F.col(node).alias("p")), "p", "left_anti").withColumn("top", F.lit(True))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnstone.functions import labels
 from turnstone.functions.times import micros
 
 
@@ -91,6 +92,42 @@ def badge(turns: Column, tools: Column, failures: Column) -> Column:
     return F.concat_ws(" · ", part(turns, "turn", "turns"), part(tools, "tool", "tools"), part(failures, "failure", "failures"))
 
 
+def token_line(input_: Column, output: Column, cache_read: Column, cache_write: Column, reasoning: Column) -> Column:
+    """A session's tokens in a line: those that it read (also none, where that is told), and the others that aren't none."""
+    part = lambda name, n, told: F.when(told, F.concat(F.lit(f"{name} "), labels.token_label(n)))
+    rest = (("out", output), ("cache r", cache_read), ("cache w", cache_write), ("reasoning", reasoning))
+    return F.concat_ws(labels.SEPARATOR, part("in", input_, input_.isNotNull()), *[part(name, n, n > 0) for name, n in rest])
+
+
+def kpi_list(figures: dict[str, Column], whole_session: bool) -> Column:
+    """label and value of what a session or turn shows, in order; what is none is left out, but for turns and tools.
+
+    figures: turns, aborted (turns; of a turn: 0 or 1), wall_ms, thoughts, thought_ms, thought_chars, mcp, tools, reads, writes, deletes, tokens (a line).
+    """
+    f = figures
+    count = lambda n: n.cast("string")
+    some = lambda n, value: F.when(n > 0, value)
+    thoughts = F.concat(labels.token_label(f["thought_chars"]), F.lit(" ×"), count(f["thoughts"]), F.coalesce(some(f["thought_ms"], F.concat(F.lit(labels.SEPARATOR), labels.duration_label(f["thought_ms"]))), F.lit("")))
+    items = [
+        ("Turns", count(f["turns"]) if whole_session else None),
+        ("Duration", some(f["wall_ms"], labels.duration_label(f["wall_ms"]))),
+        ("Thoughts", some(f["thoughts"], thoughts)),
+        ("MCP", some(f["mcp"], count(f["mcp"]))),
+        ("Tools", count(f["tools"])),
+        *[(name, some(f[name.lower()], count(f[name.lower()]))) for name in ("Reads", "Writes", "Deletes")],
+        ("Tokens", F.nullif(f["tokens"], F.lit(""))),
+        ("Aborted", some(f["aborted"], count(f["aborted"]))) if whole_session else ("Status", some(f["aborted"], F.lit("aborted"))),
+    ]
+    made = F.array(*[F.when(value.isNotNull(), F.struct(F.lit(name).alias("label"), value.alias("value"))) for name, value in items if value is not None])
+    return F.filter(made, lambda x: x.isNotNull())
+
+
+def aborted_turns(events: DataFrame, by: list[str], turn: str, stops: Column, aborted: Column) -> DataFrame:
+    """by..., turns, aborted: how many turns a session has, and in how many a stop says that it was aborted."""
+    bad = F.coalesce(stops & aborted, F.lit(False))
+    return events.where(F.col(turn).isNotNull()).groupBy(*by).agg(F.count_distinct(turn).alias("turns"), F.count_distinct(F.when(bad, F.col(turn))).alias("aborted"))
+
+
 def open_counts(rows: DataFrame, workspace: str) -> DataFrame:
     return rows.groupBy(workspace).agg(F.count(F.lit(1)).alias("opened"))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnstone.functions import payloads, tools
 from turnstone.functions.tools import token_family
 
 #: The last parts of names (letters and digits, lower-cased) that are one family; any other is its own.
@@ -214,3 +215,17 @@ def metadata_usage(metadata: Column) -> Column:
             F.when(final, "Final").otherwise("Cumulative").alias("behavior"),
         ),
     )
+
+
+def measures(rows: DataFrame, key: list[str], native: str, data: str, session_end: Column) -> DataFrame:
+    """key..., name, value, unit, scope, behavior: the figures that rows of the second provider tell in their data (a JSON text).
+
+    A session's end tells final figures of the session; a sub-agent's event tells of its turn, any other of a request. A figure's unit follows from
+    the last part of its name.
+    """
+    ends = F.coalesce(session_end, F.lit(False))
+    told = F.when(ends, payloads.session_measures(F.when(ends, F.col(data)))).otherwise(payloads.event_measures(F.when(~ends, F.col(data))))
+    scope = F.when(ends, "Session").when(F.col(native).startswith("subagent."), "Turn").otherwise("Request")
+    each = rows.select(*key, scope.alias("scope"), F.when(ends, "Final").otherwise("Delta").alias("behavior"), F.explode(told).alias("m"))
+    leaf = F.regexp_extract("m.name", r"([^.\]]*)$", 1)
+    return each.select(*key, "m.name", "m.value", F.coalesce("m.unit", tools.usage_unit(leaf)).alias("unit"), "scope", "behavior").distinct()

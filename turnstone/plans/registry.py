@@ -22,4 +22,4 @@ def query(sql: str | None):
     return add
 
 
-from turnstone.plans import catalog_queries, join_queries, match_queries, record_queries, session_queries, source_queries, text_queries  # noqa: E402, F401
+from turnstone.plans import catalog_queries, join_queries, match_queries, record_queries, rule_queries, session_queries, source_queries, text_queries  # noqa: E402, F401

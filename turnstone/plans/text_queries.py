@@ -47,6 +47,22 @@ def event_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpret(rows, "surface", "native_event", "turn").drop("turn")
 
 
+#: All events of all surfaces, in order; each row of the table is one of them.
+_ALL = [(surface, *row) for surface, rows in dims.EVENTS.items() for row in rows]
+
+
+@query(f"""
+    WITH d(i, surface, native_event, role, scope_override, direction, tone, match_strategy, opens) AS (VALUES {", ".join(f"({i}, " + ", ".join(f"'{v}'" for v in row) + ")" for i, row in enumerate(_ALL))})
+    SELECT event_id, surface, native_event, role, coalesce(nullif(scope_override, ''), 'Turn') AS scope, direction, tone, match_strategy, opens = 'tool' AS opens_tool, opens = 'subagent' AS opens_subagent FROM events JOIN d ON i = event_id % {len(_ALL)}""")
+def all_event_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event that is known, interpreted; the table of traits stands on both sides, so this holds the lookup and the scope, not the table."""
+    from turnstone.operators.interpret import interpret
+
+    pick = lambda n: F.element_at(F.array(*[F.lit(r[n]) for r in _ALL]), (F.col("event_id") % len(_ALL) + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", pick(0).alias("surface"), pick(1).alias("native_event"), F.lit(1).cast("long").alias("turn"))
+    return interpret(rows, "surface", "native_event", "turn").drop("turn")
+
+
 #: Tool names in the spellings that the table's keys are dealt to.
 SPELLINGS = ("Shell", "read_file_v2", "Write", "apply_patch", "mcp__git__log", "MCP:fetch", "GetDynamicTools", "grep", "Unheard", "edit_file_v2", "mcp-docs-search", "TodoWrite")
 

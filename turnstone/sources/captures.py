@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -62,10 +62,10 @@ def stored(spark: SparkSession, path: str, batches: list[str] | None = None) ->
     return spark.read.option("basePath", path).parquet(*[f"{path}/__batch={n}" for n in names]).drop("__batch")
 
 
-def _keys(spark: SparkSession, path: str, batches: list[str], key: str) -> DataFrame | None:
-    """The key column of some batches, or of a plain table; None where there is nothing yet."""
+def _some(spark: SparkSession, path: str, batches: list[str]) -> DataFrame | None:
+    """Some batches, or a plain table; None where nothing is written."""
     try:
-        return stored(spark, path, batches).select(key)
+        return stored(spark, path, batches)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
@@ -85,14 +85,14 @@ def append_new(rows: DataFrame, path: str, key: str = "dedupe_key", partition_by
     known = commits(spark, path)
     if batch and any(c.startswith(f"{batch}-") for c in known):
         return 0
-    have = _keys(spark, path, known, key)
+    have = _some(spark, path, known)
     new, at = rows.dropDuplicates([key]), f"{name}-{uuid.uuid4().hex[:8]}" if batch else name
-    new = new if have is None else new.join(have, key, "left_anti").select(*rows.columns)
+    new = new if have is None else new.join(have.select(key), key, "left_anti").select(*rows.columns)
     while True:
         writer = new.write.mode("overwrite")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/__batch={at}")
-        written = stored(spark, path, [at])
-        n = written.count()
+        written = _some(spark, path, [at])
+        n = written.count() if written is not None else 0
         if not n or commit(spark, path, len(known), at):
             return n
         now = commits(spark, path)
@@ -109,9 +109,13 @@ def replay(spark: SparkSession, path: str, ts: str = "ts", captured: str = "capt
     return stored(spark, path).withColumn(ts, F.coalesce(ts, captured))
 
 
+def replay_keys(ts: str, arrival: list[str]) -> list[Column]:
+    return [F.col(ts).asc_nulls_last(), *[F.col(c) for c in arrival]]
+
+
 def in_time_order(rows: DataFrame, ts: str, arrival: list[str]) -> DataFrame:
     """Replayed rows by their time, those of one time as they arrived, those without a time last; Spark sorts by ranges."""
-    return rows.orderBy(F.col(ts).asc_nulls_last(), *arrival)
+    return rows.orderBy(*replay_keys(ts, arrival))
 
 
 def merge_replays(*parts: DataFrame) -> DataFrame:

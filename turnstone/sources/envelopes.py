@@ -73,6 +73,25 @@ def detail_fields(rows: DataFrame, key: str, payload: str) -> DataFrame:
     return made.select(key, F.col("key").alias("name"), F.col("value").cast("string").alias("value")).where("name IS NOT NULL")
 
 
+#: Dialects of transcripts that are read, and sessions of health checks, which aren't.
+DIALECTS = ("claude-code-jsonl", "copilot-cli-jsonl", "cursor-jsonl")
+SYNTHETIC = ("process-test", "cursor-smoke")
+
+
+def named_transcripts(references: DataFrame, dialects: tuple[str, ...] = DIALECTS) -> DataFrame:
+    """(path, session_id, dialect, source, agent_id): the transcripts that hooks refer to (path, session_id, dialect, role, agent_id, observed), each once.
+
+    Paths are trimmed, `/c:/x` is `c:/x`, and they are one by any case; the first reference counts. Dialects that aren't read and synthetic
+    sessions are left out. source: `main`, or a sub-agent's.
+    """
+    path = F.regexp_replace(F.trim("path"), r"^/(?=[A-Za-z]:)", "")
+    known = F.col("dialect").isin(*dialects) & ~F.coalesce(F.lower("session_id").isin(*SYNTHETIC), F.lit(False)) & (path != "")
+    source = F.when((F.col("role") == "Subagent") & F.col("agent_id").isNotNull(), F.concat(F.lit("agent-"), F.col("agent_id"))).otherwise("main")
+    first = F.struct("observed", "session_id", "dialect")
+    got = references.where(known).withColumn("path", path).groupBy(F.lower("path").alias("__k")).agg(F.min_by(F.struct("path", "session_id", "dialect", source.alias("source"), "agent_id"), first).alias("r"))
+    return got.select("r.*")
+
+
 def discover_transcripts(envelopes: DataFrame, synthetic: DataFrame | None = None) -> DataFrame:
     """(session_id, transcript): each path that hooks name, once by case; synthetic sessions left out."""
     got = envelopes.where("transcript IS NOT NULL AND session_id IS NOT NULL")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnstone.functions import yaml_text
-from turnstone.functions.text import plan_body
+from turnstone.functions.outcomes import status_outcome
+from turnstone.functions.text import plan_body, unwrap_all
 from turnstone.functions.times import epoch_timestamp
 
 
@@ -32,6 +35,27 @@ def session_index(files: DataFrame) -> DataFrame:
     return e.select("path", get("sessionId").alias("session_id"), get("summary").alias("summary"), get("firstPrompt").alias("first_prompt"), get("projectPath").alias("project"))
 
 
+#: What a cache document tells of a session, by the spellings it may have: in its session object, and in the entry around it.
+CACHE_SESSION = {"session_id": ("actual_session_id", "actualSessionId"), "file": ("file_path", "filePath"), "project": ("project_name", "projectName"), "summary": ("summary",), "entry_point": ("entrypoint",), "first_message": ("first_message_time", "firstMessageTime"), "last_message": ("last_message_time", "lastMessageTime"), "messages": ("message_count", "messageCount")}
+CACHE_ENTRY = {"first_user_content": ("first_user_content", "firstUserContent"), "last_user_content": ("last_user_content", "lastUserContent"), "sidechains": ("sidechain_count", "sidechainCount")}
+
+
+def session_cache(files: DataFrame) -> DataFrame:
+    """Cache documents (path, value) whose `entries` is an object, by file, to catalog hints; entries without a session's own id are left out.
+
+    A session's file is the one that it names, else its entry's name; files below a `subagents` folder are sub-agents'.
+    """
+    docs = files.select("path", F.try_variant_get(F.try_parse_json("value"), "$.entries", "variant").alias("entries")).where(F.schema_of_variant("entries").startswith("OBJECT"))
+    each = docs.lateralJoin(files.sparkSession.tvf.variant_explode(F.col("entries").outer())).select("path", F.col("key").alias("name"), F.col("value").alias("e"))
+    told = lambda prefix, names: F.coalesce(*[F.try_variant_get("e", f"$.{prefix}{n}", "string") for n in names])
+    got = each.select("path", "name", *[told("session.", names).alias(c) for c, names in CACHE_SESSION.items()], *[told("", names).alias(c) for c, names in CACHE_ENTRY.items()])
+    file = F.coalesce("file", "name")
+    counts = {c: F.col(c).try_cast("long") for c in ("messages", "sidechains")}
+    times = {c: F.try_to_timestamp(c) for c in ("first_message", "last_message")}
+    kept = got.where(F.trim("session_id") != "").withColumns({"file": file, "is_subagent": F.lower(file).rlike(r"[\\/]subagents[\\/]")} | counts | times)
+    return kept.drop("name")
+
+
 def subagent_meta(files: DataFrame) -> DataFrame:
     """`<session>/subagents/agent-<id>.meta.json` to (session_id, agent_id, agent_type, description)."""
     doc = F.try_parse_json("value")
@@ -116,6 +140,31 @@ def composers(kv: DataFrame) -> DataFrame:
     return heads.select("composer_id", F.try_variant_get("h", "$.bubbleId", "string").alias("bubble_id"), "number", epoch_timestamp(F.col("created"), "cursor").alias("created"))
 
 
+#: Where lists of conversations' headers stand: keys of the item table, and the properties that hold the list; how a header names its conversation.
+HEADER_KEYS, HEADER_LISTS, COMPOSER_IDS = ("composer.composerHeaders", "composer.composerData"), ("allComposers", "composerHeaders", "headers"), ("composerId", "composer_id", "id")
+HEADER_FIELDS = {"name": ("name", "title"), "mode": ("unifiedMode", "forceMode", "mode"), "created": ("createdAt", "created_at"), "updated": ("lastUpdatedAt", "last_updated_at", "updatedAt")}
+
+
+def composer_headers(kv: DataFrame) -> DataFrame:
+    """(composer_id, name, mode, created, updated, sources) of conversations by the headers that a key-value table (table_name, key, value) has of them.
+
+    Headers stand in lists under HEADER_KEYS, or one by one in a table composerHeaders, whose key must then be the conversation's own id. Several
+    headers of a conversation are one: of each field what the last updated one tells that tells it. Objects without an id are left out.
+    """
+    doc = F.try_parse_json("value")
+    alone = F.col("table_name") == "composerHeaders"
+    listed = F.coalesce(F.try_variant_get(doc, "$", "array<variant>"), *[F.try_variant_get(doc, f"$.{n}", "array<variant>") for n in HEADER_LISTS])
+    is_object = lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    headers = F.coalesce(listed, F.when(is_object(doc), F.array(doc)), F.array().cast("array<variant>"))
+    rows = kv.where(alone | F.col("key").isin(*HEADER_KEYS)).select(F.when(alone, F.col("key")).alias("own"), F.explode(headers).alias("h")).where(is_object(F.col("h")))
+    get = lambda names: F.coalesce(*[F.try_variant_get("h", f"$.{n}", "string") for n in names])
+    told = rows.withColumn("composer_id", F.coalesce(get(COMPOSER_IDS), "own")).where("trim(composer_id) <> '' AND (own IS NULL OR own = composer_id)")
+    time = lambda c: epoch_timestamp(get(HEADER_FIELDS[c]).try_cast("double"), "cursor")
+    each = told.select("composer_id", *[F.nullif(F.trim(get(HEADER_FIELDS[c])), F.lit("")).alias(c) for c in ("name", "mode")], *[time(c).alias(c) for c in ("created", "updated")])
+    at = lambda c: F.struct(F.col(c).isNotNull(), F.coalesce(F.unix_micros("updated"), F.lit(-1)), F.col(c))
+    return each.groupBy("composer_id").agg(*[F.max_by(c, at(c)).alias(c) for c in HEADER_FIELDS], F.count(F.lit(1)).alias("sources"))
+
+
 def bubbles(kv: DataFrame) -> DataFrame:
     """Bubble rows to (composer_id, bubble_id, role, text, tool_name, tool_call_id)."""
     doc = F.try_parse_json("value")
@@ -125,6 +174,104 @@ def bubbles(kv: DataFrame) -> DataFrame:
     return rows.select(F.split("key", ":")[1].alias("composer_id"), F.split("key", ":")[2].alias("bubble_id"), role.alias("role"), get("text").alias("text"), get("toolFormerData.name").alias("tool_name"), get("toolFormerData.toolCallId").alias("tool_call_id"))
 
 
+#: Where a conversation has its headers; how its rows spell what they tell; words of a tool's status.
+HEADERS = ("fullConversationHeadersOnly", "conversationHeaders", "fullConversation", "conversation")
+SPELLINGS = {
+    "bubble_id": ("bubbleId", "bubble_id", "id"),
+    "type": ("type", "bubbleType"),
+    "request": ("requestId", "request_id", "generationId", "generation_id"),
+    "step": ("modelCallId", "model_call_id", "messageId", "message_id"),
+    "tool": ("name", "toolName", "tool_name"),
+    "call": ("toolCallId", "tool_call_id", "toolUseId", "tool_use_id", "id"),
+    "status": ("status", "state"),
+    "arguments": ("rawArgs", "arguments", "input", "params"),
+    "tool_ms": ("durationMs", "duration_ms", "duration"),
+    "tool_result": ("result", "output", "error", "content"),
+    "result": ("result", "output", "error", "text"),
+}
+TYPES, TEXTS = {"1": "user", "2": "assistant", "user": "user", "assistant": "assistant", "ai": "assistant"}, ("text", "richText", "thinking", "content", "message", "output")
+
+
+@F.pandas_udf(T.StringType())
+def content_text(raw: pd.Series) -> pd.Series:
+    """What a JSON text says: a text itself, the texts of an array by lines, of an object the first of TEXTS that says something; eight levels deep."""
+
+    def said(v, depth: int = 0) -> str | None:
+        if depth > 8 or isinstance(v, str):
+            return v if isinstance(v, str) and depth <= 8 else None
+        if isinstance(v, list):
+            lines = [t for x in v if (t := said(x, depth + 1)) and t.strip()]
+            return "\n".join(lines) or None
+        if isinstance(v, dict):
+            return next((t for n in TEXTS if n in v and (t := said(v[n], depth + 1)) and t.strip()), None)
+        return None
+
+    def one(r: str | None) -> str | None:
+        try:
+            return None if r is None else said(json.loads(r))
+        except ValueError:
+            return None
+
+    return raw.map(one)
+
+
+def bubble_events(kv: DataFrame) -> DataFrame:
+    """(composer_id, turn_no, turn_id, pos, bubble_id, role, step, tool, call, status, text, duration_ms, aborted) of conversations in a key-value table.
+
+    Headers give the order; a header without a row of its own is one itself. A user's row opens a turn, which its request names, else its number;
+    rows before any belong to the first. An assistant's row tells its blocks of thought, then a tool's call and what came of it, or else its
+    text, which may be a thought. Rows that say neither are left out. pos: from 0 in a conversation.
+    """
+    doc = F.try_parse_json("value")
+    get = lambda v, *names: F.coalesce(*[F.try_variant_get(v, f"$.{n}", "string") for n in names])
+    heads = kv.where(F.col("key").startswith("composerData:")).select(F.substring_index("key", ":", -1).alias("composer_id"), doc.alias("doc"))
+    listed = heads.select("composer_id", F.posexplode(F.coalesce(*[F.try_variant_get("doc", f"$.{h}", "array<variant>") for h in HEADERS])).alias("number", "h"))
+    own = kv.where(F.col("key").startswith("bubbleId:")).select(F.split("key", ":")[1].alias("composer_id"), F.regexp_extract("key", "^bubbleId:[^:]*:(.*)$", 1).alias("bubble_id"), doc.alias("row"))
+    joined = listed.withColumn("bubble_id", get("h", *SPELLINGS["bubble_id"])).join(own, ["composer_id", "bubble_id"], "left")
+    b = joined.withColumns({"b": F.coalesce("row", "h"), "bubble_id": F.coalesce("bubble_id", F.concat(F.lit("header:"), F.col("number").cast("string")))})
+    typed = F.coalesce(get("h", *SPELLINGS["type"]), get("b", *SPELLINGS["type"]))
+    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv_ in TYPES.items() for x in kv_]), F.lower(typed)), F.lower(F.coalesce(get("h", "role"), get("b", "role"))))
+    rows = b.withColumns({"kind": kind, "request": F.coalesce(get("h", *SPELLINGS["request"]), get("b", *SPELLINGS["request"])), "tool_data": F.try_variant_get("b", "$.toolFormerData", "variant")}).where("kind IN ('user', 'assistant')")
+    w = Window.partitionBy("composer_id").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("turn_no", F.greatest(F.lit(1), F.count_if(F.col("kind") == "user").over(w)))
+    # a turn is named by the row that opens it
+    first = F.first("request").over(Window.partitionBy("composer_id", "turn_no").orderBy("number"))
+    t, status = F.col("tool_data"), get("tool_data", *SPELLINGS["status"])
+    outcome = status_outcome(status)
+    text = content_text(F.to_json("b"))
+    result = F.coalesce(*[F.when(F.trim(c) != "", c) for c in (get(t, *SPELLINGS["tool_result"]), get("b", *SPELLINGS["result"]))])
+    thought = F.coalesce(get("b", "isThought", "is_thought") == "true", F.lit(False)) | F.coalesce(F.trim(get("b", "thinking")) != "", F.lit(False)) | F.coalesce(F.lower(get("b", "bubbleType", "kind")) == "thought", F.lit(False))
+    none, ms = F.lit(None).cast("string"), lambda v, names: get(v, *names).try_cast("double")
+    event = lambda role, said, how=none, took=F.lit(None).cast("double"), of_tool=False: F.struct(role.alias("role"), said.alias("text"), how.alias("status"), took.alias("duration_ms"), F.lit(of_tool).alias("of_tool"))
+    has_tool = F.coalesce(F.schema_of_variant(t).startswith("OBJECT"), F.lit(False))
+    result_role = F.when(outcome == "failure", "ToolFailure").when(outcome == "success", "ToolSuccess").otherwise("Message")
+    blocks = F.transform(F.coalesce(F.try_variant_get("b", "$.allThinkingBlocks", "array<variant>"), F.array().cast("array<variant>")), lambda x: F.to_json(x))
+    rows = rows.withColumns({"turn_request": first, "text": text, "blocks": blocks}).withColumn("said", _block_texts(F.col("blocks")))
+    thoughts = F.transform("said", lambda x: event(F.lit("AgentThought"), x))
+    by_tool = F.array(event(F.lit("ToolRequest"), get(t, *SPELLINGS["arguments"]), status, of_tool=True), F.when(outcome.isNotNull() | result.isNotNull(), event(result_role, result, status, ms(t, SPELLINGS["tool_ms"]), True)))
+    by_text = F.array(F.when(F.trim("text") != "", event(F.when(thought, "AgentThought").otherwise("AgentResponse"), F.col("text"), took=F.when(thought, ms("b", ("durationMs", "duration_ms"))))))
+    told = F.when(F.col("kind") == "user", F.array(event(F.lit("PromptSubmitted"), unwrap_all(F.coalesce("text", F.lit("")))))).otherwise(F.concat(thoughts, F.when(has_tool, by_tool).otherwise(by_text)))
+    each = rows.withColumn("step", F.coalesce(get(t, "modelCallId", "model_call_id"), get("b", *SPELLINGS["step"]))).select("composer_id", "number", "turn_no", "turn_request", "bubble_id", "step", get(t, *SPELLINGS["tool"]).alias("tool"), get(t, *SPELLINGS["call"]).alias("call"), F.posexplode(F.filter(told, lambda e: e.isNotNull())).alias("nth", "e"))
+    at = Window.partitionBy("composer_id").orderBy("number", "nth")
+    only = lambda c: F.when(F.col("e.of_tool"), F.col(c)).alias(c)
+    return each.select(
+        "composer_id", "turn_no", F.coalesce("turn_request", F.concat(F.lit("turn-"), F.col("turn_no").cast("string"))).alias("turn_id"), (F.row_number().over(at) - 1).alias("pos"), "bubble_id", "e.role", "step", only("tool"), only("call"), "e.status", "e.text", "e.duration_ms",
+        (F.coalesce(F.lower("e.status") == "rejected", F.lit(False)) & (F.col("e.role") != "ToolRequest")).alias("aborted"),
+    )
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _block_texts(blocks: pd.Series) -> pd.Series:
+    """What blocks (JSON texts) say, blank ones left out."""
+    flat = pd.Series([b for row in blocks for b in (row if row is not None else ())], dtype=object)
+    said = iter(content_text.func(flat).tolist() if len(flat) else [])
+    out = []
+    for row in blocks:
+        texts = [next(said) for _ in (row if row is not None else ())]
+        out.append([t for t in texts if t and t.strip()])
+    return pd.Series(out, dtype=object)
+
+
 def plan_files(files: DataFrame) -> DataFrame:
     """Plan documents: path, modified, title (first heading), body (without front matter) and its hash."""
     text = F.regexp_replace("value", r"(?s)\A\x{feff}?---\r?\n.*?\r?\n---[ \t]*(?:\r?\n|\z)", "")

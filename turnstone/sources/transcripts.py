@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from turnstone.functions.payloads import FAILURE_WORDS, is_failure
 from turnstone.functions.times import native_timestamp
 
 
@@ -112,6 +113,85 @@ def copilot_events(lines: DataFrame) -> DataFrame:
     return rows.select("path", "line_no", "block_no", "ts", "turn_id", "interaction_id", role.alias("event_role"), F.coalesce(req("toolCallId"), data("toolCallId")).alias("tool_call_id"), F.coalesce(req("name"), data("toolName")).alias("tool_name"), F.when(F.col("block_no") == 0, F.coalesce(data("content"), data("error"))).alias("text"), dedupe_key(F.col("path"), F.col("generation"), F.col("byte_offset"), F.col("block_no")).alias("dedupe_key"))
 
 
+#: What rows of the event-family dialect are, by their type: whole, by its beginning, or by a part of it; the first that fits. "?" stands
+#: for a rule below that looks at more than the type.
+RECORDS = FAMILIES | {
+    "system.message": "?system",
+    "assistant.turn_start": "Generic",
+    "assistant.turn_end": "TurnStop",
+    "assistant.message": "?message",
+    "tool.user_requested": "ToolRequest",
+    "tool.execution_start": "InnerExecutionStart",
+    "tool.execution_complete": "?result",
+    "permission.requested": "PermissionRequest",
+    "permission.completed": "?permission",
+    "permission.denied": "PermissionDenied",
+    "session.error": "RuntimeError",
+}
+RECORD_STARTS, RECORD_PARTS = {"subagent.": "?subagent", "skill.": "InstructionsLoaded", "model.": "?model"}, {"compact": "?compaction"}
+#: Stages of a skill by the type that tells them; any other one invokes it.
+SKILL_STAGES = {"skill.available": "Available", "skill.attached": "Attached", "skill.loaded": "Loaded", "skill.completed": "ExecutionCorroborated", "skill.execution_completed": "ExecutionCorroborated"}
+#: Where rows tell what they say and how they went.
+SAID = ("content", "text", "reasoningText", "prompt", "message", "error")
+HOW = ("status", "kind", "stopReason", "errorType", "statusCode", "trigger", "reason", "result.kind", "result.status")
+
+
+def _family(kind: Column) -> Column:
+    low, out = F.lower(kind), F.lit("Generic")
+    for part, name in RECORD_PARTS.items():
+        out = F.when(low.contains(part), name).otherwise(out)
+    for start, name in RECORD_STARTS.items():
+        out = F.when(kind.startswith(start), name).otherwise(out)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in RECORDS.items() for x in kv]), kind), out)
+
+
+def copilot_records(lines: DataFrame) -> DataFrame:
+    """(path, line_no, pos, ts, role, native, agent_id, tool_call_id, tool_name, skill, stage, text, status, opaque, failed) of all families of the second provider's rows.
+
+    An assistant's message gives its thought (one that can't be read is opaque and says nothing), each of its tool requests, and its answer, in this order;
+    one that says nothing at all is Generic. Results, permissions, models, sub-agents and compactions are told apart by success, status and the words of their type.
+    """
+    rows = with_meta(lines)
+    get = lambda *names: F.coalesce(*[F.try_variant_get("row", f"$.data.{n}", "string") for n in names])
+    said = lambda *names: F.coalesce(*[F.when(F.trim(c) != "", c) for c in (F.try_variant_get("row", f"$.data.{n}", "string") for n in names)])
+    family, kind = _family(F.col("type")), F.lower("type")
+    data = F.try_variant_get("row", "$.data", "variant")
+    how = get(*HOW)
+    bad = F.greatest(*[F.coalesce(F.lower(how).contains(w), F.lit(False)) for w in FAILURE_WORDS])
+    failed = F.coalesce(is_failure(data), F.lit(False))
+    says = lambda *words: F.greatest(*[kind.contains(w) for w in words], F.lit(False))
+    starts = kind.endswith(".started") | kind.endswith(".start")
+    role = (
+        F.when(family == "?system", F.when(get("role") == "system", "SystemPrompt").otherwise("Message"))
+        .when(family == "?result", F.when(failed, "ToolFailure").otherwise("ToolSuccess"))
+        .when(family == "?permission", F.when(bad, "PermissionDenied").otherwise("Generic"))
+        .when(family == "?subagent", F.when(starts, "SubagentStart").otherwise("SubagentStop"))
+        .when(family == "?model", F.when(says("failure", "error"), "RuntimeError").otherwise("Generic"))
+        .when(family == "?compaction", F.when(says("complete", "end"), "CompactionEnd").otherwise("CompactionStart"))
+        .otherwise(family)
+    )
+    none, no = F.lit(None).cast("string"), F.lit(False)
+    event = lambda role, text, call=none, tool=none, opaque=no: F.struct(role.alias("role"), text.alias("text"), call.alias("call"), tool.alias("tool"), opaque.alias("opaque"))
+    hidden = F.coalesce(get("reasoningOpaque", "encryptedContent").isNotNull(), no)
+    thought = F.when(said("reasoningText").isNotNull(), event(F.lit("AgentThought"), said("reasoningText"))).when(hidden, event(F.lit("AgentThought"), none, opaque=F.lit(True)))
+    of = lambda v, *names: F.coalesce(*[F.try_variant_get(v, f"$.{n}", "string") for n in names])
+    asked = F.transform(F.coalesce(F.try_variant_get("row", "$.data.toolRequests", "array<variant>"), F.array().cast("array<variant>")), lambda r: event(F.lit("ToolRequest"), none, of(r, "toolCallId", "id"), of(r, "name", "toolName")))
+    answer = F.when(said("content").isNotNull(), event(F.lit("AgentResponse"), said("content")))
+    parts = F.filter(F.concat(F.array(thought), asked, F.array(answer)), lambda e: e.isNotNull())
+    message = F.when(F.size(parts) > 0, parts).otherwise(F.array(event(F.lit("Generic"), none)))
+    unread = (F.col("type") == "assistant.reasoning") & said("content", "text", "reasoningText").isNull()
+    plain = F.array(event(role, F.when(~unread, said(*SAID)), get("toolCallId", "callId"), get("permissionRequest.toolName", "toolName", "name"), unread & hidden))
+    each = rows.select("path", "line_no", "ts", F.col("type").alias("native"), F.try_variant_get("row", "$.agentId", "string").alias("row_agent"), get("agentId").alias("data_agent"), get("name", "skillName").alias("named"), how.alias("how"), failed.alias("bad_result"), F.posexplode(F.when(family == "?message", message).otherwise(plain)).alias("pos", "e"))
+    skill = F.col("native").startswith("skill.")
+    stage = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SKILL_STAGES.items() for x in kv]), F.col("native")), F.lit("Invoked"))
+    told = each.where(~skill | F.col("named").isNotNull())
+    tool = F.when(~skill & ~F.col("native").startswith("subagent."), F.col("e.tool"))
+    return told.select(
+        "path", "line_no", "pos", "ts", "e.role", "native", F.coalesce("row_agent", "data_agent").alias("agent_id"), F.col("e.call").alias("tool_call_id"), tool.alias("tool_name"), F.when(skill, F.col("named")).alias("skill"), F.when(skill, stage).alias("stage"), "e.text", F.col("how").alias("status"), "e.opaque",
+        ((F.col("e.role").isin("ToolFailure", "RuntimeError")) | ((F.col("e.role") == "SubagentStop") & F.col("bad_result"))).alias("failed"),
+    )
+
+
 def cursor_events(lines: DataFrame) -> DataFrame:
     """Role rows without ids or clock: text beside tool calls of an assistant row is a (heuristic) thought."""
     rows = _blocks(with_meta(lines), "$.message.content")
