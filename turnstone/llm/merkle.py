@@ -55,23 +55,23 @@ def numbered(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     return staged.join(starts, (F.col("group") == F.col("__group")) & (part == F.col("__of"))).withColumn("idx", F.col("__at") + F.col("__shift")).drop("__at", "__group", "__of", "__shift")
 
 
-def _climbed(rows: DataFrame) -> DataFrame:
-    """One pass over rows (group, idx, n, digest): each with steps, the siblings met on its way up, and up, its block's digest.
+def _climbed(rows: DataFrame, levels: int) -> DataFrame:
+    """One pass of so many levels over rows (group, idx, n, digest): each with steps, the siblings met on its way up, and up, its block's digest.
 
     Every row carries the digest of the node it is under. At a level whose nodes span s rows its siblings stand s rows before and
     behind it, masked by the node's slot among its parent's children and by how many children that parent has. Rows without
     a leaf fill the last block of a group up to a power of ARITY, so that a row that far off is always there.
     """
-    size = ARITY**LEVELS
+    size = ARITY**levels
     have = F.col("n") - F.expr(f"(n - 1) div {size}") * size
     full = F.lit(size)
-    for level in reversed(range(LEVELS)):
+    for level in reversed(range(levels)):
         full = F.when(have <= ARITY**level, ARITY**level).otherwise(full)
     fill = rows.where("idx = 0").select("group", "n", (full - have).alias("__short")).where("__short > 0").select("group", F.explode(F.sequence("n", F.col("n") + F.col("__short") - 1)).alias("idx"), "n")
     out = rows.unionByName(fill, allowMissingColumns=True).withColumn("block", F.expr(f"idx div {size}"))
     w = Window.partitionBy("group", "block").orderBy("idx")
     steps = []
-    for level in range(LEVELS):
+    for level in range(levels):
         span = ARITY**level
         node, nodes = F.expr(f"idx div {span}"), F.expr(f"(n + {span - 1}) div {span}")
         slot = node % ARITY
@@ -88,11 +88,15 @@ def _climbed(rows: DataFrame) -> DataFrame:
 
 def tree(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of rows (group, idx, n, digest): them with steps and top, their group's root; and the table (group, digest) of those roots."""
-    size, passes, at = ARITY**LEVELS, [], rows
+    passes, at = [], rows
     while True:
-        passes.append(_climbed(at))
-        nodes = stage_table(passes[-1].where("idx = block * " + str(size)).select("group", F.col("block").alias("idx"), F.col("up").alias("digest"), F.expr(f"(n + {size - 1}) div {size}").alias("n")))
-        if nodes.where("n > 1").isEmpty():
+        most, levels = at.agg(F.max("n")).first()[0] or 0, 1
+        while levels < LEVELS and ARITY**levels < most:
+            levels += 1
+        size = ARITY**levels
+        passes.append(_climbed(at, levels))
+        nodes = stage_table(passes[-1].where(f"idx = block * {size}").select("group", F.col("block").alias("idx"), F.col("up").alias("digest"), F.expr(f"(n + {size - 1}) div {size}").alias("n")))
+        if most <= size:
             break
         at = nodes
     above = nodes.select("group", "idx", F.expr("filter(array(named_struct('left', '', 'right', '')), s -> false)").alias("steps"), F.col("digest").alias("top"))
