@@ -45,7 +45,7 @@ def some_texts(seed, n=300):
 
 @pytest.mark.parametrize("ranks, side, dense, held, bits, size", [(1 << 16, 1 << 8, 1 << 13, 1 << 21, None, 1 << 20), (16, 4, 3, 500, None, 700), (16, 4, 3, 500, 64, 97)])
 def test_collocations_equal_brute_force(spark, monkeypatch, ranks, side, dense, held, bits, size):
-    for name, value in {"RANKS": ranks, "SIDE": side, "DENSE": dense, "HELD": held}.items():
+    for name, value in {"RANKS": ranks, "SIDE": side, "DENSE": dense, "HELD": held, "HELD_WORDS": held // 8}.items():
         monkeypatch.setattr(phrases, name, value)
     if bits:
         monkeypatch.setattr(bloom, "MOST_BITS", bits)

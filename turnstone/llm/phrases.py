@@ -25,8 +25,8 @@ from turnstone.llm.words import PIECE, U, Bytes, mix, tidy
 LEAST, WORDS, TOP = 30, 4, 2000
 #: Names of a level that have a rank, the side of a tile, and from how many pairs a tile's cells are counted densely.
 RANKS, SIDE, DENSE = 1 << 16, 1 << 8, 1 << 13
-#: Pairs that a task holds before it counts them, and rows of a batch it returns.
-HELD, ROWS = 1 << 21, 1 << 16
+#: Pairs and different words that a task holds before it counts them, and rows of a batch it returns.
+HELD, HELD_WORDS, ROWS = 1 << 20, 1 << 18, 1 << 16
 #: Names have 63 bits, so that a code tells a name (negative) from a rank.
 NAME = U((1 << 63) - 1)
 SIGN = U(1 << 63)
@@ -131,7 +131,7 @@ def count_words(texts: DataFrame, size: int = PIECE) -> DataFrame:
                 for lang, k in zip(of, total.tolist(), strict=True):
                     all_of[lang] = all_of.get(lang, 0) + k
                 yield pa.RecordBatch.from_arrays([pa.array(all_of.keys(), pa.string()), pa.array([0] * len(all_of), pa.int64()), pa.nulls(len(all_of), pa.string()), pa.array(all_of.values(), pa.int64())], names=columns)
-                if sum(len(h[0]) for h in held) > HELD // 8:
+                if sum(len(h[0]) for h in held) > HELD_WORDS:
                     yield from flush()
         if held:
             yield from flush()
