@@ -284,3 +284,18 @@ def test_roots_of_deep_chains_and_cycles(spark):
     rows = [(i, i - 1 if i else None) for i in range(300)] + [(500, 501), (501, 500), (502, 501), (600, 999)]
     got = {r["n"]: (r["root"], r["depth"]) for r in relations.root_of(spark.createDataFrame(rows, "n long, p long"), "n", "p").collect()}
     assert got[299] == (0, 299) and got[500] == (500, -1) and got[502] == (502, -1) and got[600] == (999, 1)
+
+
+def test_requests_open_for_too_long_are_forgotten(spark, tmp_path):
+    from turnstone.streaming import observe
+
+    rows = [("s", 0, "ToolRequest", "a"), ("s", 50, "ToolRequest", "a"), ("s", 100, "ToolSuccess", "a"), ("s", 101, "ToolSuccess", "a")]
+    df = spark.createDataFrame([(k, at, r, t, None) for k, at, r, t in rows], "session string, at long, role string, tool string, server string").withColumns({"ts": F.timestamp_seconds(F.col("at") + 10**6), "event_id": F.col("at")}).drop("at")
+    df.write.parquet(str(tmp_path / "in"))
+    for open_for, want in (("60 seconds", {"100": "50", "101": None}), (None, {"100": "0", "101": "50"})):
+        at = tmp_path / f"{open_for}"
+        stream = observe.session_steps(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), open_for=open_for)
+        q = stream.writeStream.format("parquet").option("path", str(at / "out")).option("checkpointLocation", str(at / "cp")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        got = {r["event_id"]: r["request_id"] for r in spark.read.schema(stream.schema).parquet(str(at / "out")).collect() if r["role"] == "ToolSuccess"}
+        assert got == want

@@ -34,7 +34,7 @@ SERVERS, TOOLS, ANY_TOOL = ("namespace", "server", "serverName", "server_name"),
 
 def _plain(s: str) -> str:
     """Texts that differ by case, slashes, line ends or blanks around them are one."""
-    s = re.sub("\r\n|[\r\f\x85  ]", "\n", s).replace("/", "\\").strip()
+    s = re.sub("\r\n|[\r\f\x85\u2028\u2029]", "\n", s).replace("/", "\\").strip()
     return "".join(u if len(u := c.upper()) == 1 else c for c in s)
 
 

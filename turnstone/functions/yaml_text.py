@@ -56,7 +56,7 @@ def _uncommented(s: str) -> str:
 
 class _Reader:
     def __init__(self, text: str):
-        self.lines = re.split(r"\r\n|\r|\n", text.removeprefix("﻿"))
+        self.lines = re.split(r"\r\n|\r|\n", text.removeprefix("\ufeff"))
         self.n = 0
 
     def skip(self) -> int | None:

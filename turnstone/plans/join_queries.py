@@ -352,7 +352,7 @@ def streamed_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.when(F.col("role") == "ToolFailure", "TurnStop").otherwise(F.col("role"))
     observations(spark, sf_dir).select(F.col("session").cast("string").alias("session"), F.col("ts").cast("timestamp").alias("ts"), "event_id", role.alias("role"), "tool", F.lit(None).cast("string").alias("server")).write.parquet(at)
     stored = spark.read.parquet(at)
-    steps = drained(observe.session_steps(spark.readStream.schema(stored.schema).parquet(at)), "steps")
+    steps = drained(observe.session_steps(spark.readStream.schema(stored.schema).parquet(at), open_for=None), "steps")
     return steps.select(F.col("session").cast("long").alias("session"), F.col("event_id").cast("long").alias("event_id"), "turn_id", F.col("request_id").cast("long").alias("request_id"))
 
 

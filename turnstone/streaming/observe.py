@@ -46,7 +46,7 @@ def tail_lines(segments: DataFrame) -> DataFrame:
                 continue  # an old generation, a gap, or nothing new
             *whole, last = (rest + raw[known:]).split(b"\n")
             for line in whole:
-                text = line.decode().removeprefix("﻿" if at == 0 else "").removesuffix("\r")
+                text = line.decode().removeprefix("\ufeff" if at == 0 else "").removesuffix("\r")
                 if text.strip():
                     out.append((key[0], generation, at, text))
                 at += len(line) + 1
@@ -61,7 +61,7 @@ STEPS = "session string, event_id string, role string, tool string, turn_id stri
 _CLOSING = ("TurnStop", "SessionEnd")
 
 
-def session_steps(rows: DataFrame, ts: str = "ts", delay: str = WATERMARK, drain: str = "5 seconds", timeout: str = "2 hours") -> DataFrame:
+def session_steps(rows: DataFrame, ts: str = "ts", delay: str = WATERMARK, drain: str = "5 seconds", timeout: str = "2 hours", open_for: str | None = "1 day") -> DataFrame:
     """What a session's state tells about each event of a stream of (session, ts, event_id, role, tool, server).
 
     turn_id: derived-n after the n-th prompt; request_id: for a result, the earliest open request of its tool; server: the one last
@@ -69,9 +69,11 @@ def session_steps(rows: DataFrame, ts: str = "ts", delay: str = WATERMARK, drain
 
     Rows of a micro-batch go by time, those that close something behind others of the same time. The end of a session is
     drained: rows of its time that come later still find its state, until the watermark is `drain` past it. Rows older than the
-    watermark are dropped, as everywhere. A session without rows for `timeout` is forgotten.
+    watermark are dropped, as everywhere. A session without rows for `timeout` is forgotten, and so is a request that is open for
+    longer than `open_for` (None: never), which bounds the state of a session that never stops.
     """
     wait, idle = (int(pd.Timedelta(t).total_seconds() * 1000) for t in (drain, timeout))
+    oldest = None if open_for is None else int(pd.Timedelta(open_for).total_seconds() * 1000)
     fresh = {"turn": 0, "in_turn": False, "open": [], "servers": {}, "end": None, "last": 0}
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -86,15 +88,19 @@ def session_steps(rows: DataFrame, ts: str = "ts", delay: str = WATERMARK, drain
             if s["end"] is not None and r.ms > s["end"]:
                 s = json.loads(json.dumps(fresh))
             s["last"] = max(s["last"], r.ms)
+            if oldest is not None:
+                # requests stand in the order they came in
+                while s["open"] and s["open"][0][2] < r.ms - oldest:
+                    s["open"].pop(0)
             request = None
             if r.role == "PromptSubmitted":
                 s["turn"], s["in_turn"] = s["turn"] + 1, True
             if r.server is not None and r.tool is not None:
                 s["servers"][r.tool] = r.server
             if r.role == "ToolRequest":
-                s["open"].append([str(r.event_id), r.tool])
+                s["open"].append([str(r.event_id), r.tool, int(r.ms)])
             elif r.role in ("ToolSuccess", "ToolFailure"):
-                at = next((i for i, (_, t) in enumerate(s["open"]) if t == r.tool), None)
+                at = next((i for i, (_, t, _) in enumerate(s["open"]) if t == r.tool), None)
                 request = s["open"].pop(at)[0] if at is not None else None
             turn = f"derived-{s['turn']}" if s["in_turn"] else None
             out.append((key[0], str(r.event_id), r.role, r.tool, turn, request, s["servers"].get(r.tool)))
@@ -113,9 +119,9 @@ def session_steps(rows: DataFrame, ts: str = "ts", delay: str = WATERMARK, drain
     return timed.groupBy("session").applyInPandasWithState(step, STEPS, "state string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def pair_requests(rows: DataFrame, ts: str = "ts", delay: str = WATERMARK, timeout: str = "2 hours") -> DataFrame:
+def pair_requests(rows: DataFrame, ts: str = "ts", delay: str = WATERMARK, timeout: str = "2 hours", open_for: str | None = "1 day") -> DataFrame:
     """(session, request_id, result_id, tool, outcome) of a stream of (session, ts, event_id, role, tool): session_steps' pairs."""
-    steps = session_steps(rows.withColumn("server", F.lit(None).cast("string")), ts, delay, timeout=timeout)
+    steps = session_steps(rows.withColumn("server", F.lit(None).cast("string")), ts, delay, timeout=timeout, open_for=open_for)
     return steps.where("request_id IS NOT NULL").select("session", "request_id", F.col("event_id").alias("result_id"), "tool", F.col("role").alias("outcome"))
 
 
