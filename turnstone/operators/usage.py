@@ -61,6 +61,22 @@ def distinct_samples(samples: DataFrame, by: list[str]) -> DataFrame:
     return low.groupBy(*keys).agg(*[F.min_by(c, "ord").alias(c) for c in ("ts", "authoritative")], F.min("ord").alias("ord"))
 
 
+def named_metrics(samples: DataFrame) -> DataFrame:
+    """What each different name of samples, in lower case, stands for: a row per name."""
+    low, parts = F.col("__name"), F.col("__parts")
+    names = samples.select(F.lower("name").alias("__name")).distinct().withColumn("__parts", name_parts(low)).withColumn("__model", F.coalesce(is_model_metric(parts), F.lit(False)))
+    named = names.select(
+        low,
+        "__model",
+        F.concat(F.when(F.col("__model"), F.concat(metric_owner(parts), F.lit(":"))).otherwise(""), metric_family(parts)).alias("metric"),
+        low.startswith("modelmetrics.").alias("__listed"),
+        # an agent's copy of a model's figure
+        (low.startswith("agentmetrics.") & low.contains(".modelmetrics.")).alias("__copy"),
+        F.when(low.startswith("modelmetrics."), 2).when(low.contains(".modelmetrics."), 1).otherwise(0).alias("__liking"),
+    )
+    return named.withColumn("__of", F.regexp_extract("metric", "^(?:agent:.*?:)?model:(.*)$", 1))
+
+
 def usage_total(samples: DataFrame, by: list[str]) -> DataFrame:
     """by..., total. The rules, in order:
 
@@ -75,21 +91,11 @@ def usage_total(samples: DataFrame, by: list[str]) -> DataFrame:
     needs no other bucket: its cells are summed, pre-aggregated, to a row per metric and scope, and only
     those few rows meet by `by` for rule 2.
     """
-    low = F.col("name")
     s = distinct_samples(samples.repartition(*by, "record_id", "bucket"), by)
-    s = s.withColumn("__parts", name_parts(F.col("name")))
-    s = s.withColumn("__model", F.coalesce(is_model_metric(F.col("__parts")), F.lit(False)))
-    s = s.withColumns(
-        {
-            "__rank": F.when(F.col("scope") == "Session", 2).when(F.col("scope") == "Turn", 1).otherwise(0),
-            "metric": F.concat(F.when(F.col("__model"), F.concat(metric_owner(F.col("__parts")), F.lit(":"))).otherwise(""), metric_family(F.col("__parts"))),
-            "__listed": low.startswith("modelmetrics."),
-            # an agent's copy of a model's figure
-            "__copy": low.startswith("agentmetrics.") & low.contains(".modelmetrics."),
-            "__liking": F.when(low.startswith("modelmetrics."), 2).when(low.contains(".modelmetrics."), 1).otherwise(0),
-        }
-    ).drop("__parts")
-    s = s.withColumn("__of", F.regexp_extract("metric", "^(?:agent:.*?:)?model:(.*)$", 1))
+    # names are few and samples many, so each name is taken apart once
+    told_names = named_metrics(samples)
+    s = s.join(told_names, s["name"].eqNullSafe(told_names["__name"])).drop("__name")
+    s = s.withColumn("__rank", F.when(F.col("scope") == "Session", 2).when(F.col("scope") == "Turn", 1).otherwise(0))
     kind = ["__rank", "metric", "__model", "__copy", "__of"]  # the last three follow from the metric
     told = [*by, "record_id", "value", "scope", "behavior", "bucket", "authoritative", *kind]
     # when a sample was told as one number: its clock, then what its name is liked for, then its arrival
