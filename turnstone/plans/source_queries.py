@@ -308,7 +308,8 @@ def desktop_bubbles(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = shaped(spark, sf_dir, '{"type":2,"toolFormerData":{"name":"read","toolCallId":"t"}}', '{"type":1,"text":"text {k}"}', '{"type":2,"text":"out"}')
     bodies = said.select(F.explode(F.array(*[F.concat(F.lit("bubbleId:c"), F.col("event_id").cast("string"), F.lit(f":b{n}")) for n in (1, 2)])).alias("key"), F.col("doc").alias("value"))
     kv = heads.unionByName(bodies)
-    got = sessions.composers(kv).join(sessions.bubbles(kv), ["composer_id", "bubble_id"])
+    # sizes after lists are exploded and documents made are guessed far too low, so neither side may be broadcast
+    got = sessions.composers(kv).join(sessions.bubbles(kv).hint("merge"), ["composer_id", "bubble_id"])
     return got.select("composer_id", "bubble_id", "number", "role", "text", F.unix_seconds("created").alias("created"))
 
 
