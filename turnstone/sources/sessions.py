@@ -192,23 +192,25 @@ SPELLINGS = {
 TYPES, TEXTS = {"1": "user", "2": "assistant", "user": "user", "assistant": "assistant", "ai": "assistant"}, ("text", "richText", "thinking", "content", "message", "output")
 
 
+def _said(v, depth: int = 0) -> str | None:
+    """A text itself, the texts of an array by lines, of an object the first of TEXTS that says something; eight levels deep."""
+    if depth > 8 or isinstance(v, str):
+        return v if isinstance(v, str) and depth <= 8 else None
+    if isinstance(v, list):
+        lines = [t for x in v if (t := _said(x, depth + 1)) and t.strip()]
+        return "\n".join(lines) or None
+    if isinstance(v, dict):
+        return next((t for n in TEXTS if n in v and (t := _said(v[n], depth + 1)) and t.strip()), None)
+    return None
+
+
 @F.pandas_udf(T.StringType())
 def content_text(raw: pd.Series) -> pd.Series:
-    """What a JSON text says: a text itself, the texts of an array by lines, of an object the first of TEXTS that says something; eight levels deep."""
-
-    def said(v, depth: int = 0) -> str | None:
-        if depth > 8 or isinstance(v, str):
-            return v if isinstance(v, str) and depth <= 8 else None
-        if isinstance(v, list):
-            lines = [t for x in v if (t := said(x, depth + 1)) and t.strip()]
-            return "\n".join(lines) or None
-        if isinstance(v, dict):
-            return next((t for n in TEXTS if n in v and (t := said(v[n], depth + 1)) and t.strip()), None)
-        return None
+    """What a JSON text says."""
 
     def one(r: str | None) -> str | None:
         try:
-            return None if r is None else said(json.loads(r))
+            return None if r is None else _said(json.loads(r))
         except ValueError:
             return None
 
@@ -227,49 +229,55 @@ def bubble_events(kv: DataFrame) -> DataFrame:
     heads = kv.where(F.col("key").startswith("composerData:")).select(F.substring_index("key", ":", -1).alias("composer_id"), doc.alias("doc"))
     listed = heads.select("composer_id", F.posexplode(F.coalesce(*[F.try_variant_get("doc", f"$.{h}", "array<variant>") for h in HEADERS])).alias("number", "h"))
     own = kv.where(F.col("key").startswith("bubbleId:")).select(F.split("key", ":")[1].alias("composer_id"), F.regexp_extract("key", "^bubbleId:[^:]*:(.*)$", 1).alias("bubble_id"), doc.alias("row"))
-    joined = listed.withColumn("bubble_id", get("h", *SPELLINGS["bubble_id"])).join(own, ["composer_id", "bubble_id"], "left")
+    # sizes after lists are exploded are guessed far too low, so neither side may be broadcast
+    joined = listed.withColumn("bubble_id", get("h", *SPELLINGS["bubble_id"])).join(own.hint("merge"), ["composer_id", "bubble_id"], "left")
     b = joined.withColumns({"b": F.coalesce("row", "h"), "bubble_id": F.coalesce("bubble_id", F.concat(F.lit("header:"), F.col("number").cast("string")))})
     typed = F.coalesce(get("h", *SPELLINGS["type"]), get("b", *SPELLINGS["type"]))
     kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv_ in TYPES.items() for x in kv_]), F.lower(typed)), F.lower(F.coalesce(get("h", "role"), get("b", "role"))))
-    rows = b.withColumns({"kind": kind, "request": F.coalesce(get("h", *SPELLINGS["request"]), get("b", *SPELLINGS["request"])), "tool_data": F.try_variant_get("b", "$.toolFormerData", "variant")}).where("kind IN ('user', 'assistant')")
-    w = Window.partitionBy("composer_id").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("turn_no", F.greatest(F.lit(1), F.count_if(F.col("kind") == "user").over(w)))
-    # a turn is named by the row that opens it
-    first = F.first("request").over(Window.partitionBy("composer_id", "turn_no").orderBy("number"))
-    t, status = F.col("tool_data"), get("tool_data", *SPELLINGS["status"])
-    outcome = status_outcome(status)
-    text = content_text(F.to_json("b"))
-    result = F.coalesce(*[F.when(F.trim(c) != "", c) for c in (get(t, *SPELLINGS["tool_result"]), get("b", *SPELLINGS["result"]))])
+    kinds = b.withColumns({"kind": kind, "t": F.try_variant_get("b", "$.toolFormerData", "variant")}).where("kind IN ('user', 'assistant')")
+    # only an object is read as one, whatever it has inside
+    has_tool = F.col("t").isNotNull() & F.try_variant_get("t", "$", "struct<name: variant>").isNotNull()
+    result = F.coalesce(*[F.when(F.trim(c) != "", c) for c in (get("t", *SPELLINGS["tool_result"]), get("b", *SPELLINGS["result"]))])
     thought = F.coalesce(get("b", "isThought", "is_thought") == "true", F.lit(False)) | F.coalesce(F.trim(get("b", "thinking")) != "", F.lit(False)) | F.coalesce(F.lower(get("b", "bubbleType", "kind")) == "thought", F.lit(False))
-    none, ms = F.lit(None).cast("string"), lambda v, names: get(v, *names).try_cast("double")
+    # a text with a visible sign is what the row says; other rows are looked through by a reader, unless a tool's row, whose text isn't told
+    own_text = F.try_variant_get("b", "$.text", "variant")
+    plain = F.when(get("b", "text").rlike(r"[!-~]") & (F.schema_of_variant(own_text) == "STRING"), get("b", "text"))
+    blocks = F.when(F.try_variant_get("b", "$.allThinkingBlocks", "array<variant>").isNotNull(), F.to_json(F.try_variant_get("b", "$.allThinkingBlocks", "variant")))
+    # what variants tell is taken out of them once, so that windows and events below handle plain columns
+    rows = kinds.select(
+        "composer_id", "number", "bubble_id", "kind", has_tool.alias("has_tool"), plain.alias("plain"), thought.alias("thought"), result.alias("result"), F.when(plain.isNull() & ((F.col("kind") == "user") | ~has_tool), F.to_json("b")).alias("raw"), blocks.alias("blocks"),
+        F.coalesce(get("h", *SPELLINGS["request"]), get("b", *SPELLINGS["request"])).alias("request"), F.coalesce(get("t", "modelCallId", "model_call_id"), get("b", *SPELLINGS["step"])).alias("step"),
+        *[get("t", *SPELLINGS[c]).alias(c) for c in ("tool", "call", "status", "arguments")], get("t", *SPELLINGS["tool_ms"]).try_cast("double").alias("tool_ms"), get("b", "durationMs", "duration_ms").try_cast("double").alias("ms"),
+    )
+    rows = rows.withColumns({"text": content_text("raw"), "said": _block_texts("blocks")}).withColumns({"text": F.coalesce("plain", "text"), "said": F.coalesce(F.from_json("said", "array<string>"), F.array().cast("array<string>"))}).drop("plain", "raw", "blocks")
+    status, outcome = F.col("status"), status_outcome(F.col("status"))
+    none = F.lit(None).cast("string")
     event = lambda role, said, how=none, took=F.lit(None).cast("double"), of_tool=False: F.struct(role.alias("role"), said.alias("text"), how.alias("status"), took.alias("duration_ms"), F.lit(of_tool).alias("of_tool"))
-    has_tool = F.coalesce(F.schema_of_variant(t).startswith("OBJECT"), F.lit(False))
     result_role = F.when(outcome == "failure", "ToolFailure").when(outcome == "success", "ToolSuccess").otherwise("Message")
-    blocks = F.transform(F.coalesce(F.try_variant_get("b", "$.allThinkingBlocks", "array<variant>"), F.array().cast("array<variant>")), lambda x: F.to_json(x))
-    rows = rows.withColumns({"turn_request": first, "text": text, "blocks": blocks}).withColumn("said", _block_texts(F.col("blocks")))
     thoughts = F.transform("said", lambda x: event(F.lit("AgentThought"), x))
-    by_tool = F.array(event(F.lit("ToolRequest"), get(t, *SPELLINGS["arguments"]), status, of_tool=True), F.when(outcome.isNotNull() | result.isNotNull(), event(result_role, result, status, ms(t, SPELLINGS["tool_ms"]), True)))
-    by_text = F.array(F.when(F.trim("text") != "", event(F.when(thought, "AgentThought").otherwise("AgentResponse"), F.col("text"), took=F.when(thought, ms("b", ("durationMs", "duration_ms"))))))
-    told = F.when(F.col("kind") == "user", F.array(event(F.lit("PromptSubmitted"), unwrap_all(F.coalesce("text", F.lit("")))))).otherwise(F.concat(thoughts, F.when(has_tool, by_tool).otherwise(by_text)))
-    each = rows.withColumn("step", F.coalesce(get(t, "modelCallId", "model_call_id"), get("b", *SPELLINGS["step"]))).select("composer_id", "number", "turn_no", "turn_request", "bubble_id", "step", get(t, *SPELLINGS["tool"]).alias("tool"), get(t, *SPELLINGS["call"]).alias("call"), F.posexplode(F.filter(told, lambda e: e.isNotNull())).alias("nth", "e"))
-    at = Window.partitionBy("composer_id").orderBy("number", "nth")
+    by_tool = F.array(event(F.lit("ToolRequest"), F.col("arguments"), status, of_tool=True), F.when(outcome.isNotNull() | F.col("result").isNotNull(), event(result_role, F.col("result"), status, F.col("tool_ms"), True)))
+    by_text = F.array(F.when(F.trim("text") != "", event(F.when(F.col("thought"), "AgentThought").otherwise("AgentResponse"), F.col("text"), took=F.when(F.col("thought"), F.col("ms")))))
+    told = F.when(F.col("kind") == "user", F.array(event(F.lit("PromptSubmitted"), unwrap_all(F.coalesce("text", F.lit("")))))).otherwise(F.concat(thoughts, F.when(F.col("has_tool"), by_tool).otherwise(by_text)))
+    rows = rows.select("composer_id", "number", "kind", "request", "bubble_id", "step", "tool", "call", F.filter(told, lambda e: e.isNotNull()).alias("told"))
+    # one order for all: turns, the request of the row that opens each, and how many events come before
+    w = Window.partitionBy("composer_id").orderBy("number")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    users = F.count_if(F.col("kind") == "user").over(upto)
+    rows = rows.withColumns({"users": users, "nth_row": F.row_number().over(w), "before": F.sum(F.size("told")).over(upto) - F.size("told")})
+    opens = (F.col("nth_row") == 1) | ((F.col("kind") == "user") & (F.col("users") > 1))
+    rows = rows.withColumns({"turn_no": F.greatest(F.lit(1), "users"), "turn_request": F.last(F.when(opens, F.struct("request")), ignorenulls=True).over(upto)["request"]})
+    each = rows.select("composer_id", "turn_no", "turn_request", "before", "bubble_id", "step", "tool", "call", F.posexplode("told").alias("nth", "e"))
     only = lambda c: F.when(F.col("e.of_tool"), F.col(c)).alias(c)
     return each.select(
-        "composer_id", "turn_no", F.coalesce("turn_request", F.concat(F.lit("turn-"), F.col("turn_no").cast("string"))).alias("turn_id"), (F.row_number().over(at) - 1).alias("pos"), "bubble_id", "e.role", "step", only("tool"), only("call"), "e.status", "e.text", "e.duration_ms",
+        "composer_id", "turn_no", F.coalesce("turn_request", F.concat(F.lit("turn-"), F.col("turn_no").cast("string"))).alias("turn_id"), (F.col("before") + F.col("nth")).cast("int").alias("pos"), "bubble_id", "e.role", "step", only("tool"), only("call"), "e.status", "e.text", "e.duration_ms",
         (F.coalesce(F.lower("e.status") == "rejected", F.lit(False)) & (F.col("e.role") != "ToolRequest")).alias("aborted"),
     )
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
+@F.pandas_udf(T.StringType())
 def _block_texts(blocks: pd.Series) -> pd.Series:
-    """What blocks (JSON texts) say, blank ones left out."""
-    flat = pd.Series([b for row in blocks for b in (row if row is not None else ())], dtype=object)
-    said = iter(content_text.func(flat).tolist() if len(flat) else [])
-    out = []
-    for row in blocks:
-        texts = [next(said) for _ in (row if row is not None else ())]
-        out.append([t for t in texts if t and t.strip()])
-    return pd.Series(out, dtype=object)
+    """What the blocks of a JSON array say, blank ones left out, as a JSON array."""
+    return blocks.map(lambda raw: None if raw is None else json.dumps([t for x in json.loads(raw) if (t := _said(x)) and t.strip()]))
 
 
 def plan_files(files: DataFrame) -> DataFrame:
