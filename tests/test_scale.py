@@ -2,11 +2,14 @@
 
 import contextlib
 import io
+import re
+import time
 
 from pyspark.sql import functions as F
 
 from turnstone.plans import registry
 from turnstone.sources import sessions
+from turnstone.streaming import observe
 
 DATA = "/root/testdata/sf0.001"
 
@@ -20,3 +23,30 @@ def plan(df) -> str:
 
 def test_bubbles_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in plan(registry.QUERIES["desktop_bubbles"](spark, DATA))
+
+
+def test_bubbles_are_read_in_one_pass(spark):
+    """Texts that are plain need no reader, and what needs one goes there once."""
+    bodies = {"a": '{"type":2,"text":5,"content":"c"}', "b": '{"type":2,"text":"\\u2003","thinking":["x","y"]}', "c": '{"type":1,"text":"q"}', "d": '{"type":2,"allThinkingBlocks":["t",{"text":" "},7],"toolFormerData":{}}'}
+    head = '{"conversation":[' + ",".join(f'{{"bubbleId":"{b}"}}' for b in bodies) + "]}"
+    kv = spark.createDataFrame([("composerData:k", head), *[(f"bubbleId:k:{b}", v) for b, v in bodies.items()]], "key string, value string")
+    events = sessions.bubble_events(kv)
+    got = [tuple(r) for r in events.orderBy("pos").select("turn_no", "turn_id", "pos", "bubble_id", "role", "text").collect()]
+    assert got == [(1, "turn-1", 0, "a", "AgentResponse", "c"), (1, "turn-1", 1, "b", "AgentThought", "x\ny"), (1, "turn-1", 2, "c", "PromptSubmitted", "q"), (1, "turn-1", 3, "d", "AgentThought", "t"), (1, "turn-1", 4, "d", "ToolRequest", None)]
+    assert len(re.findall(r"\+- ArrowEvalPython", plan(events))) == 1
+
+
+def test_streams_keep_state_by_session(spark, tmp_path):
+    """Calls and signatures are no groups of their own, and each is still forgotten by its own time."""
+    rows = [("s", "a", "2024-01-01 00:00:00", "1", "transcript"), ("s", "b", "2024-01-01 03:30:00", "2", "transcript"), ("s", "b", "2024-01-01 09:00:00", "3", "hook"), ("s", "a", "2024-01-01 09:00:01", "4", "hook"), ("s", "a", "2024-01-01 09:00:01", "5", "hook")]
+    for n, part in enumerate((rows[:1], rows[1:2], rows[2:3], rows[3:])):
+        spark.createDataFrame(part, "session string, call_id string, t string, event_id string, origin string").selectExpr("session", "call_id", "call_id AS signature", "CAST(t AS TIMESTAMP) AS ts", "event_id", "origin").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    for made, want in ((observe.change_kinds, {"1": "Added", "2": "Added", "3": "PromotePrimary", "4": "Added", "5": "Merged"}), (observe.stand_in_changes, {"1": "Add", "2": "Add", "3": "PromotePrimary", "4": "Add", "5": "Add"})):
+        stream = made(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), timeout="2 hours")
+        at = tmp_path / made.__name__
+        run = stream.writeStream.format("parquet").option("path", str(at / "out")).option("checkpointLocation", str(at / "cp")).trigger(availableNow=True).start()
+        run.awaitTermination()
+        got = {r[0]: r[1] for r in spark.read.parquet(str(at / "out")).select("event_id", "change_kind" if made is observe.change_kinds else "change").collect()}
+        assert got == want and run.lastProgress["stateOperators"][0]["numRowsTotal"] == 1

@@ -7,6 +7,7 @@ and ask for no batches without data, so a run with trigger(availableNow=True) en
 from __future__ import annotations
 
 import json
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -22,6 +23,38 @@ def idempotent(rows: DataFrame, ts: str = "ts", key: str = "dedupe_key", delay:
     return rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
+def _rows(batches: Iterator[pd.DataFrame], *columns: str) -> list[tuple]:
+    """A group's rows as (microseconds, values of columns...). Groups are many and small, so no table is made of each."""
+    out = []
+    for b in batches:
+        out += zip(b["ts"].to_numpy().astype("datetime64[us]").astype("int64").tolist(), *[b[c].tolist() for c in columns], strict=True)
+    return out
+
+
+def _by_time(row: tuple) -> tuple:
+    """Rows go by time, then by the id that stands behind it."""
+    return row[0], row[1] is None, row[1] or ""
+
+
+def _frame(out: list[tuple], columns: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(dict(zip(columns, zip(*out, strict=True), strict=True)) if out else {c: [] for c in columns})
+
+
+def _keep_live(live: dict, idle: int, state: GroupState) -> None:
+    """Stores what a session has live (key to values, the last one the time of its last row) and sets the timer of the first that is due; without any, forgets it."""
+    now = state.getCurrentWatermarkMs()
+    kept = [[k, *v] for k, v in live.items() if v[-1] + idle > now]
+    if kept:
+        state.update((json.dumps(kept),))
+        state.setTimeoutTimestamp(max(min(x[-1] for x in kept) + idle, now + 1))
+    elif state.exists:
+        state.remove()
+
+
+def _live(state: GroupState) -> dict:
+    return {k: v for k, *v in json.loads(state.get[0])} if state.exists else {}
+
+
 LINES = "path string, generation long, byte_offset long, raw string"
 
 
@@ -74,46 +107,47 @@ def session_steps(rows: DataFrame, ts: str = "ts", delay: str = WATERMARK, drain
     """
     wait, idle = (int(pd.Timedelta(t).total_seconds() * 1000) for t in (drain, timeout))
     oldest = None if open_for is None else int(pd.Timedelta(open_for).total_seconds() * 1000)
-    fresh = {"turn": 0, "in_turn": False, "open": [], "servers": {}, "end": None, "last": 0}
+    columns = [c.split()[0] for c in STEPS.split(", ")]
+    fresh = lambda: {"turn": 0, "in_turn": False, "open": [], "servers": {}, "end": None, "last": 0}
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        s = json.loads(state.get[0]) if state.exists else json.loads(json.dumps(fresh))
-        new = pd.concat(list(batches))
-        new = new.assign(closing=new["role"].isin(_CLOSING), ms=new["ts"].astype("datetime64[ms]").astype("int64"))
+        s = json.loads(state.get[0]) if state.exists else fresh()
+        new = sorted(_rows(batches, "event_id", "role", "tool", "server"), key=lambda r: (r[0] // 1000, r[2] in _CLOSING, r[1] is None, r[1] or ""))
         out = []
-        for r in new.sort_values(["ms", "closing", "event_id"]).itertuples():
-            if s["end"] is not None and r.ms > s["end"]:
-                s = json.loads(json.dumps(fresh))
-            s["last"] = max(s["last"], r.ms)
+        for us, event_id, role, tool, server in new:
+            ms = us // 1000
+            if s["end"] is not None and ms > s["end"]:
+                s = fresh()
+            s["last"] = max(s["last"], ms)
             if oldest is not None:
                 # requests stand in the order they came in
-                while s["open"] and s["open"][0][2] < r.ms - oldest:
+                while s["open"] and s["open"][0][2] < ms - oldest:
                     s["open"].pop(0)
             request = None
-            if r.role == "PromptSubmitted":
+            if role == "PromptSubmitted":
                 s["turn"], s["in_turn"] = s["turn"] + 1, True
-            if r.server is not None and r.tool is not None:
-                s["servers"][r.tool] = r.server
-            if r.role == "ToolRequest":
-                s["open"].append([str(r.event_id), r.tool, int(r.ms)])
-            elif r.role in ("ToolSuccess", "ToolFailure"):
-                at = next((i for i, (_, t, _) in enumerate(s["open"]) if t == r.tool), None)
+            if server is not None and tool is not None:
+                s["servers"][tool] = server
+            if role == "ToolRequest":
+                s["open"].append([event_id, tool, ms])
+            elif role in ("ToolSuccess", "ToolFailure"):
+                at = next((i for i, (_, t, _) in enumerate(s["open"]) if t == tool), None)
                 request = s["open"].pop(at)[0] if at is not None else None
             turn = f"derived-{s['turn']}" if s["in_turn"] else None
-            out.append((key[0], str(r.event_id), r.role, r.tool, turn, request, s["servers"].get(r.tool)))
-            if r.role in _CLOSING:
+            out.append((key[0], event_id, role, tool, turn, request, s["servers"].get(tool)))
+            if role in _CLOSING:
                 s["in_turn"] = False
-                if r.role == "TurnStop":
+                if role == "TurnStop":
                     s["open"] = []
                 else:
-                    s["end"] = r.ms
+                    s["end"] = ms
         state.update((json.dumps(s),))
         due = s["end"] + wait if s["end"] is not None else s["last"] + idle
         state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in STEPS.split(", ")])
+        yield _frame(out, columns)
 
     timed = rows.withWatermark(ts, delay).select("session", F.col(ts).alias("ts"), F.col("event_id").cast("string").alias("event_id"), "role", "tool", "server")
     return timed.groupBy("session").applyInPandasWithState(step, STEPS, "state string", "append", GroupStateTimeout.EventTimeTimeout)
@@ -130,58 +164,56 @@ def change_kinds(rows: DataFrame, ts: str = "ts", delay: str = WATERMARK, timeou
 
     The first row of a call is Added. A hook that comes behind its transcript row takes the primary place, which a
     PromotePrimary row tells whoever keeps the earlier one; any other later row is Merged. A call is forgotten when the watermark
-    is `timeout` past its last row.
+    is `timeout` past its last row. State are a session's live calls: there are many more calls than sessions, and each group has its price.
     """
     idle = int(pd.Timedelta(timeout).total_seconds() * 1000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        calls = _live(state)
         if state.hasTimedOut:
-            state.remove()
+            _keep_live(calls, idle, state)
             return
-        primary, last = state.get if state.exists else (None, 0)
         out = []
-        for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
-            kind = "Added" if primary is None else "PromotePrimary" if (primary, r.origin) == ("transcript", "hook") else "Merged"
-            primary = r.origin if kind != "Merged" else primary
-            last = max(last, int(r.ts.timestamp() * 1000))
-            out.append((*key, str(r.event_id), kind))
-        state.update((primary, last))
-        state.setTimeoutTimestamp(max(last + idle, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["session", "call_id", "event_id", "change_kind"])
+        for us, event_id, call, origin in sorted(_rows(batches, "event_id", "call_id", "origin"), key=_by_time):
+            primary, last = calls.get(call, (None, 0))
+            kind = "Added" if primary is None else "PromotePrimary" if (primary, origin) == ("transcript", "hook") else "Merged"
+            calls[call] = origin if kind != "Merged" else primary, max(last, us // 1000)
+            out.append((key[0], call, event_id, kind))
+        _keep_live(calls, idle, state)
+        yield _frame(out, ["session", "call_id", "event_id", "change_kind"])
 
     timed = rows.withWatermark(ts, delay).select("session", "call_id", F.col(ts).alias("ts"), F.col("event_id").cast("string").alias("event_id"), "origin")
-    return timed.groupBy("session", "call_id").applyInPandasWithState(step, "session string, call_id string, event_id string, change_kind string", "origin string, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return timed.groupBy("session").applyInPandasWithState(step, "session string, call_id string, event_id string, change_kind string", "state string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stand_in_changes(rows: DataFrame, ts: str = "ts", delay: str = WATERMARK, timeout: str = "2 hours") -> DataFrame:
     """(session, signature, event_id, change, partner) of a stream of (session, signature, ts, event_id, origin: hook or transcript).
 
     What operators.pairing.stand_ins tells of a whole table: an Added transcript row is a stand-in until a PromotePrimary row names it.
-    State are the ids of a signature's rows that wait, of one side at a time; without rows for `timeout` they wait no longer.
+    State are, by a session's signatures, the ids of the rows that wait, of one side at a time; without rows for `timeout` they wait no longer.
     """
     idle = int(pd.Timedelta(timeout).total_seconds() * 1000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        side, waiting, last = state.get if state.exists else ("hook", [], 0)
-        waiting, out = list(waiting), []
-        for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
+        live = {k: (side, deque(waiting), last) for k, (side, waiting, last) in _live(state).items()}
+        out = []
+        for us, event_id, signature, origin in () if state.hasTimedOut else sorted(_rows(batches, "event_id", "signature", "origin"), key=_by_time):
+            side, waiting, last = live.get(signature) or ("hook", deque(), 0)
             partner = None
-            if waiting and side != r.origin:
-                partner = waiting.pop(0)
+            if waiting and side != origin:
+                partner = waiting.popleft()
             else:
-                side = r.origin
-                waiting.append(r.event_id)
-            last = max(last, int(r.ts.timestamp() * 1000))
-            out.append((*key, r.event_id, "Add" if partner is None else "PromotePrimary" if r.origin == "hook" else "AttachEvidence", partner))
-        state.update((side, waiting, last))
-        state.setTimeoutTimestamp(max(last + idle, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["session", "signature", "event_id", "change", "partner"])
+                side = origin
+                waiting.append(event_id)
+            live[signature] = side, waiting, max(last, us // 1000)
+            out.append((key[0], signature, event_id, "Add" if partner is None else "PromotePrimary" if origin == "hook" else "AttachEvidence", partner))
+        timed_out = state.hasTimedOut
+        _keep_live({k: (side, list(waiting), last) for k, (side, waiting, last) in live.items()}, idle, state)
+        if not timed_out:
+            yield _frame(out, ["session", "signature", "event_id", "change", "partner"])
 
     timed = rows.withWatermark(ts, delay).select("session", "signature", F.col(ts).alias("ts"), F.col("event_id").cast("string").alias("event_id"), "origin")
-    return timed.groupBy("session", "signature").applyInPandasWithState(step, "session string, signature string, event_id string, change string, partner string", "side string, waiting array<string>, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return timed.groupBy("session").applyInPandasWithState(step, "session string, signature string, event_id string, change string, partner string", "state string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def activity_windows(rows: DataFrame, ts: str = "ts", gap: str = "30 minutes", delay: str = WATERMARK) -> DataFrame:
