@@ -4,9 +4,14 @@ import contextlib
 import io
 import re
 import time
+import unicodedata
+
+import pandas as pd
 
 from pyspark.sql import functions as F
 
+from turnstone.functions import text
+from turnstone.operators import catalog, containment, plan_docs
 from turnstone.plans import registry
 from turnstone.sources import sessions
 from turnstone.streaming import observe
@@ -50,3 +55,56 @@ def test_streams_keep_state_by_session(spark, tmp_path):
         run.awaitTermination()
         got = {r[0]: r[1] for r in spark.read.parquet(str(at / "out")).select("event_id", "change_kind" if made is observe.change_kinds else "change").collect()}
         assert got == want and run.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+
+
+def test_summaries_are_entered_in_bounded_batches(spark):
+    """Only sizes that are sought are entered, and 3000 long texts don't make one batch."""
+    whole = spark.range(3).selectExpr("id", "CASE id WHEN 0 THEN 'abcdef' WHEN 1 THEN repeat('x', 50) ELSE 'zz' END AS t", "CASE id WHEN 0 THEN 6 ELSE 1 END AS size")
+    assert sorted(tuple(r) for r in containment._entries(whole, "t", "size").groupBy("id").count().collect()) == [(0, 1), (1, 1), (2, 1)]
+    short = spark.createDataFrame([("k", 1, "b" * 3), ("k", 2, "needle in a long haystack"), ("l", 3, "q")], "k string, id int, t string")
+    texts = spark.createDataFrame([("k", 7, "abbbc"), ("k", 8, "a needle in a long haystack."), ("k", 9, None), ("l", 7, "bbb")], "k string, w int, t2 string")
+    assert sorted(tuple(r) for r in containment.contained(short, texts, ["k"], "id", "t", "w", "t2").collect()) == [("k", 1, 7), ("k", 2, 8)]
+
+
+def test_pairs_are_not_made_different(spark):
+    df = registry.QUERIES["session_matches"](spark, DATA)
+    last = plan(df).split("Union")[0]
+    assert "HashAggregate" not in last
+    a = spark.createDataFrame([(1, "W", 1), (1, "W", 1), (2, "x", 2), (3, "x", 3), (4, None, 4)], "k int, w string, left_id int")
+    b = spark.createDataFrame([(1, "w", 5), (2, "y", 6), (3, "X", 7), (4, None, 8)], "k int, w string, right_id int")
+    assert sorted(tuple(r) for r in catalog.match_sessions(a, b, "k", "w").collect()) == [(1, 1, 5), (2, 2, 6), (3, 3, 7), (4, 4, 8)]
+
+
+def test_bodies_go_to_python_only_to_be_composed(spark):
+    inside = text.uncomposed().split("&&")[1].removesuffix("]")
+    signs = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: f"\\U{int(m[1], 16):08x}", inside))
+    changed = [c for n in range(0x110000) if not 0xD800 <= n < 0xE000 and unicodedata.normalize("NFC", c := chr(n)) != c]
+    assert all(signs.match(c) for c in changed) and signs.search("e\u0301") and signs.search("\u1100\u1161") and not signs.search("Größe é – 漢字")
+    rows = spark.createDataFrame([("Größe",), ("e\u0301",), ("\u1100\u1161",), (None,), ("\n",)], "t string")
+    assert [r[0] for r in rows.select(text.plan_body(F.col("t"))).collect()] == ["Größe", "é", "가", None, None]
+
+
+def test_long_texts_are_cut_by_what_is_looked_at(spark):
+    cut = len(text.CUT)
+    rows = spark.createDataFrame([("é" * n,) for n in (99, 100, 101, 300, 900)] + [("x" * 401,), ("😀" * 100,), ("😀" * 101,), (None,)], "t string")
+    got = [r[0] for r in rows.select(text.limited(F.col("t"), 100)).collect()]
+    assert got == [t if t is None or len(t) <= 100 else t[: 100 - cut] + text.CUT for (t,) in [tuple(r) for r in rows.collect()]]
+    assert "octet_length" in plan(rows.select(text.limited(F.col("t"), 100)))
+
+
+def test_edges_are_made_once(spark):
+    assert len(re.findall(r"FileScan parquet.*l_partkey", plan(registry.QUERIES["relation_degrees"](spark, DATA)))) == 1
+
+
+def test_equal_documents_are_read_once(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(plan_docs.yaml_text, "parse", lambda raw: asked.append(raw))
+    plan_docs._yaml_head.func(pd.Series(["a: b"] * 5 + [None, "c: d"]))
+    assert len(asked) == 3
+
+
+def test_bodies_of_one_time_give_the_largest(spark):
+    rows = [("p", 1, b, True) for b in ("b1", "b3", "b2")]
+    for part in (rows, rows[::-1]):
+        df = spark.createDataFrame(part, "p string, ord int, body string, ok boolean").coalesce(1)
+        assert plan_docs.recover_missing(df, df.select("p").where("false"), "p", "ord", "body", F.col("ok")).first()["body"] == "b3"

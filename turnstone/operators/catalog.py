@@ -189,12 +189,17 @@ def inherited_turns(turns: DataFrame, seeds: DataFrame, by: list[str], order: li
 
 
 def match_sessions(left: DataFrame, right: DataFrame, key: str, workspace: str) -> DataFrame:
-    """(left_id, right_id): sessions with one key and one workspace, or the only ones of their key on both sides."""
+    """(left_id, right_id): sessions with one key and one workspace, or the only ones of their key on both sides.
+
+    Pairs may be many more than sessions, so it is these that are made different, and no pair comes by both ways. The number of parts
+    is fixed, as what the join makes doesn't show in the size of what goes in.
+    """
     a, b = left.select(key, F.lower(workspace).alias("__w"), "left_id"), right.select(key, F.lower(workspace).alias("__w"), "right_id")
-    same = a.join(b, [key, "__w"]).select(key, "left_id", "right_id")
-    sole = lambda d, i: d.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.min(i).alias(i)).where("__n = 1").drop("__n")
-    only = sole(a, "left_id").join(sole(b, "right_id"), key).select(key, "left_id", "right_id")
-    return same.unionByName(only).distinct()
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    same = a.distinct().repartition(parts, key, "__w").join(b.distinct().repartition(parts, key, "__w"), [key, "__w"]).select(key, "left_id", "right_id")
+    sole = lambda d, i: d.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.min("__w").alias(f"__{i}"), F.min(i).alias(i)).where("__n = 1").drop("__n")
+    only = sole(a, "left_id").join(sole(b, "right_id"), key).where("NOT coalesce(__left_id = __right_id, false)").select(key, "left_id", "right_id")
+    return same.unionByName(only)
 
 
 def fingerprint(rows: DataFrame) -> DataFrame:
