@@ -17,7 +17,9 @@ def resolve(records: DataFrame, targets: DataFrame, record_id: str, key: str, ta
 
 def degrees(edges: DataFrame, source: str, target: str) -> DataFrame:
     """node, outbound, inbound of every node of an edge table."""
-    both = edges.select(F.col(source).alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col(target).alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    ends = F.array(F.struct(F.col(source).alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col(target).alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    # edges are made once; both ends of each go on
+    both = edges.select(F.explode(ends).alias("e")).select("e.*")
     return both.groupBy("node").agg(F.sum("o").cast("long").alias("outbound"), F.sum("i").cast("long").alias("inbound"))
 
 
