@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
@@ -116,6 +117,21 @@ def system_prompt(parts: Column) -> Column:
     return F.when(F.size(kept) > 0, F.array_join(kept, "\n\n"))
 
 
+@functools.cache
+def uncomposed() -> str:
+    """A pattern of the characters that may change when a text is composed: those that aren't composed, combine with others, or are put in order. None is below U+0300."""
+    seconds = {int(d.split()[1], 16) for c in range(0x110000) if (d := unicodedata.decomposition(chr(c))) and d[0] != "<" and " " in d}
+    jamo = set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
+    found = [c for c in range(0x300, 0x110000) if not 0xD800 <= c < 0xE000 and (c in seconds or c in jamo or unicodedata.combining(chr(c)) or not unicodedata.is_normalized("NFC", chr(c)))]
+    runs: list[list[int]] = []
+    for c in found:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return r"[\x{300}-\x{10FFFF}&&[" + "".join(rf"\x{{{x:X}}}-\x{{{y:X}}}" for x, y in runs) + "]]"
+
+
 @F.pandas_udf(T.StringType())
 def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
@@ -124,11 +140,11 @@ def _composed(text: pd.Series) -> pd.Series:
 def plan_body(text: Column, compose: bool = True) -> Column:
     """A plan's comparable body: no byte-order mark, line feeds only, no newlines around, NFC; null when empty.
 
-    Composition needs Python; compose=False leaves it out, for text known to be composed.
+    Composition needs Python, which only texts see that have a sign to compose; compose=False leaves it out, for text known to be composed.
     """
     body = F.regexp_replace(lines_only(F.regexp_replace(text, "\\A\ufeff", "")), r"\A\n+|\n+\z", "")
     if compose:
-        body = F.when(body.rlike(r"[^\x00-\x7F]"), _composed(body)).otherwise(body)
+        body = F.coalesce(_composed(F.when(body.rlike(uncomposed()), body)), body)
     return F.when(body != "", body)
 
 
@@ -143,8 +159,9 @@ CUT = "\n… [truncated; open Raw source for the complete record]"
 
 
 def limited(text: Column, most: int) -> Column:
-    """A text of at most `most` characters, CUT among them where it was longer."""
-    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - len(CUT)), F.lit(CUT))).otherwise(text)
+    """A text of at most `most` characters, CUT among them where it was longer. Of a long text only the bytes that these characters may have are looked at."""
+    head = F.substring(text.cast("binary"), 1, 4 * most).cast("string")
+    return F.when((F.octet_length(text) > 4 * most) | ((F.octet_length(text) > most) & (F.length(text) > most)), F.concat(F.substring(head, 1, most - len(CUT)), F.lit(CUT))).otherwise(text)
 
 
 def compacted(rows: DataFrame, texts: list[str], prompt: str | None = None, metadata: str | None = None) -> DataFrame:
