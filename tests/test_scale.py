@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from turnstone.functions import text
-from turnstone.operators import catalog, containment, plan_docs
+from turnstone.operators import catalog, containment, plan_docs, usage
 from turnstone.plans import registry
 from turnstone.sources import sessions
 from turnstone.streaming import observe
@@ -108,3 +108,19 @@ def test_bodies_of_one_time_give_the_largest(spark):
     for part in (rows, rows[::-1]):
         df = spark.createDataFrame(part, "p string, ord int, body string, ok boolean").coalesce(1)
         assert plan_docs.recover_missing(df, df.select("p").where("false"), "p", "ord", "body", F.col("ok")).first()["body"] == "b3"
+
+
+def test_names_are_taken_apart_where_samples_are(spark):
+    """By name, neither samples nor cells are dealt out again, and the tables are read once."""
+    said = plan(registry.QUERIES["usage_by_name"](spark, DATA))
+    assert len(re.findall(r"FileScan parquet.*l_partkey", said)) == 1 and len(re.findall("Join", said)) == 1
+    assert len(re.findall("Exchange hashpartitioning", said)) <= 4
+
+
+def test_usage_by_name_keeps_names_apart_without_case(spark):
+    rows = [("s", 1, "r1", "Input", 5), ("s", 1, "r1", "input", 5), ("s", 1, "r1", "usage.input", 5), ("s", 1, "r2", "INPUT", 7), ("s", 2, "r3", None, 4), ("s", 2, "r4", "modelMetrics.m.input", 3), ("s", 2, "r4", "agentMetrics.a.modelMetrics.m.input", 3)]
+    samples = spark.createDataFrame(rows, "session string, bucket long, record_id string, name string, value long").selectExpr("*", "'Tokens' AS unit", "'Session' AS scope", "'Delta' AS behavior", "CAST(NULL AS TIMESTAMP) AS ts", "false AS authoritative", "monotonically_increasing_id() AS ord")
+    want = {"input": 12, "usage.input": 5, None: 4, "modelmetrics.m.input": 3, "agentmetrics.a.modelmetrics.m.input": 3}
+    for part, dealt in ((samples, False), (samples.repartition(3, "bucket"), True)):
+        got = usage.usage_by_name(part, ["session"], dealt).collect()
+        assert {r["name_key"]: r["total"] for r in got} == want and {r["unit_key"] for r in got} == {"tokens"}

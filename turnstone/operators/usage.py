@@ -26,7 +26,9 @@ GENERAL = ("usage", "tokendetails")
 
 def name_parts(name: Column) -> Column:
     """The parts of a dotted name, lower-cased, without blanks around and empty ones."""
-    return F.array_remove(F.split(F.regexp_replace(F.lower(F.trim(name)), r"\s*\.\s*", "."), r"\."), "")
+    low = F.lower(F.trim(name))
+    close = F.when(low.rlike(r"\s"), F.regexp_replace(low, r"\s*\.\s*", ".")).otherwise(low)
+    return F.array_remove(F.split(close, r"\."), "")
 
 
 def is_model_metric(parts: Column) -> Column:
@@ -36,9 +38,11 @@ def is_model_metric(parts: Column) -> Column:
 
 def metric_family(parts: Column) -> Column:
     """The kind of figure, by the last part of its name."""
-    leaf = F.regexp_replace(F.get(parts, F.size(parts) - 1), r"[^\p{L}\p{Nd}]", "")
+    last = F.get(parts, F.size(parts) - 1)
+    leaf = F.regexp_replace(last, r"[^\p{L}\p{Nd}]", "")
     known = F.create_map(*[F.lit(x) for family, leaves in FAMILIES.items() for n in leaves for x in (n, family)])
-    return F.coalesce(F.try_element_at(known, leaf), leaf, F.lit(""))
+    # most are known as they stand or without strokes; only others need the pattern
+    return F.coalesce(F.try_element_at(known, F.translate(last, "_-", "")), F.try_element_at(known, leaf), leaf, F.lit(""))
 
 
 def metric_owner(parts: Column) -> Column:
@@ -53,31 +57,34 @@ def metric_owner(parts: Column) -> Column:
     )
 
 
+def sample_micros(ts: Column) -> Column:
+    return F.coalesce(F.unix_micros(ts.cast("timestamp")), F.lit(-(10**17)))
+
+
 def distinct_samples(samples: DataFrame, by: list[str]) -> DataFrame:
-    """Samples without repeats of one measurement, names and units in lower case, as they are compared; the first stays."""
-    keys = [*by, "record_id", "value", "scope", "behavior", "bucket", "name", "unit"]
-    low = samples.withColumns({"name": F.lower("name"), "unit": F.lower("unit")})
-    # one plain value per column: what hash aggregation keeps in place
-    return low.groupBy(*keys).agg(*[F.min_by(c, "ord").alias(c) for c in ("ts", "authoritative")], F.min("ord").alias("ord"))
-
-
-def named_metrics(samples: DataFrame) -> DataFrame:
-    """What each different name of samples, in lower case, stands for: a row per name."""
-    low, parts = F.col("__name"), F.col("__parts")
-    names = samples.select(F.lower("name").alias("__name")).distinct().withColumn("__parts", name_parts(low)).withColumn("__model", F.coalesce(is_model_metric(parts), F.lit(False)))
-    named = names.select(
-        low,
-        "__model",
-        F.concat(F.when(F.col("__model"), F.concat(metric_owner(parts), F.lit(":"))).otherwise(""), metric_family(parts)).alias("metric"),
-        low.startswith("modelmetrics.").alias("__listed"),
-        # an agent's copy of a model's figure
-        (low.startswith("agentmetrics.") & low.contains(".modelmetrics.")).alias("__copy"),
-        F.when(low.startswith("modelmetrics."), 2).when(low.contains(".modelmetrics."), 1).otherwise(0).alias("__liking"),
-    )
-    return named.withColumn("__of", F.regexp_extract("metric", "^(?:agent:.*?:)?model:(.*)$", 1))
+    """Samples without repeats of one measurement, names and units in lower case, as they are compared; the first stays. micros: its time."""
+    keys = list(dict.fromkeys([*by, "record_id", "value", "scope", "behavior", "bucket", "name", "unit"]))
+    sure = F.when(F.col("authoritative"), 2).when(~F.col("authoritative"), 1).otherwise(0)
+    low = samples.withColumns({"name": F.lower("name"), "unit": F.lower("unit"), "__first": sample_micros(F.col("ts")) * 4 + sure})
+    # one plain value for all that the first tells: what hash aggregation keeps in place
+    first = low.groupBy(*keys).agg(F.min_by("__first", "ord").alias("__first"), F.min("ord").alias("ord"))
+    code = F.pmod("__first", F.lit(4))
+    return first.select(*keys, "ord", F.expr("(__first - pmod(__first, 4)) DIV 4").alias("micros"), F.when(code > 0, code == 2).alias("authoritative"))
+
 
+def metric_kind(low: Column) -> Column:
+    """What a lower-cased name stands for, as one text: 1 for an agent's copy of a model's figure, 2 without a name, else 0; then its metric, which has a colon if it is a model's."""
+    parts = F.col("__parts")
+    sign = F.when(low.isNull(), "2").when(low.startswith("agentmetrics.") & low.contains(".modelmetrics."), "1").otherwise("0")
+    metric = F.when(is_model_metric(parts), F.concat(metric_owner(parts), F.lit(":"), metric_family(parts))).otherwise(metric_family(parts))
+    return F.concat(sign, metric)
 
-def usage_total(samples: DataFrame, by: list[str]) -> DataFrame:
+
+def with_kind(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("__parts", name_parts(F.col("name"))).withColumn("__kind", metric_kind(F.col("name"))).drop("__parts")
+
+
+def usage_total(samples: DataFrame, by: list[str], dealt: bool = False) -> DataFrame:
     """by..., total. The rules, in order:
 
     1. repeats of one measurement count once;
@@ -87,23 +94,26 @@ def usage_total(samples: DataFrame, by: list[str]) -> DataFrame:
        stand alone; the latest Final wins, else the largest Cumulative, else Deltas and Unknowns add up;
     4. metrics and buckets add up.
 
-    Samples are dealt out once, by record, for both kinds of repeats, so a session may have any share of them. Rule 3
-    needs no other bucket: its cells are summed, pre-aggregated, to a row per metric and scope, and only
-    those few rows meet by `by` for rule 2.
+    Samples are dealt out once, by record, for both kinds of repeats, so a session may have any share of them. Names are taken apart
+    where the samples are: a join with a table of names would deal out all samples by name, and then anew. Rule 3 needs no other
+    bucket: its cells are summed, pre-aggregated, to a row per metric and scope, and only those few rows meet by `by` for rule 2.
+    dealt: samples come partitioned by bucket and no record has several buckets; then neither samples nor cells are dealt out again.
     """
-    s = distinct_samples(samples.repartition(*by, "record_id", "bucket"), by)
-    # names are few and samples many, so each name is taken apart once
-    told_names = named_metrics(samples)
-    s = s.join(told_names, s["name"].eqNullSafe(told_names["__name"])).drop("__name")
+    s = distinct_samples(samples if dealt else samples.repartition(*by, "record_id", "bucket"), by)
+    low = F.col("name")
+    listed = F.coalesce(low.startswith("modelmetrics."), F.lit(False))
     s = s.withColumn("__rank", F.when(F.col("scope") == "Session", 2).when(F.col("scope") == "Turn", 1).otherwise(0))
-    kind = ["__rank", "metric", "__model", "__copy", "__of"]  # the last three follow from the metric
+    # by name, what a name stands for is read where there is a row per name
+    late = "name" in by
+    kind = ["__rank"] if late else ["__rank", "__kind"]
+    s = s if late else with_kind(s)
     told = [*by, "record_id", "value", "scope", "behavior", "bucket", "authoritative", *kind]
     # when a sample was told as one number: its clock, then what its name is liked for, then its arrival
-    micros = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(-(10**17)))
-    s = s.withColumn("__clock", micros * 4 + F.col("__liking"))
+    s = s.withColumn("__clock", F.col("micros") * 4 + F.when(listed, 2).when(low.contains(".modelmetrics."), 1).otherwise(0)).withColumn("__listed", listed)
     s = s.groupBy(*told).agg(F.min_by("__clock", "ord").alias("__clock"), F.min("ord").alias("ord"), F.max("__listed").alias("__listed"))
     s = s.withColumn("__when", F.expr("CAST(__clock AS DECIMAL(38, 0)) * CAST(10000000000000000000 AS DECIMAL(20, 0)) + ord"))
-    cell = F.when(F.col("__rank") > 0, F.concat(F.col("scope"), F.lit(":"), "bucket")).otherwise(F.concat(F.lit("Request:"), "record_id"))
+    # a bucket of its scope, which the rank tells, or a request's record
+    cell = F.when(F.col("__rank") > 0, F.col("bucket").cast("string")).otherwise(F.col("record_id").cast("string"))
 
     def value(fine: Column) -> Column:
         final = fine & (F.col("behavior") == "Final")
@@ -115,8 +125,11 @@ def usage_total(samples: DataFrame, by: list[str]) -> DataFrame:
         )
 
     sure = F.coalesce(F.col("authoritative"), F.lit(False))
-    cells = s.withColumn("__cell", cell).groupBy(*by, "__cell", *kind).agg(F.when(F.max(sure), value(sure)).otherwise(value(F.lit(True))).alias("__value"), F.max("__listed").alias("__listed"))
+    cells = s.withColumn("__cell", cell).groupBy(*by, *(["bucket"] if dealt else []), "__cell", *kind).agg(F.when(F.max(sure), value(sure)).otherwise(value(F.lit(True))).alias("__value"), F.max("__listed").alias("__listed"))
     m = cells.groupBy(*by, *kind).agg(F.sum("__value").alias("__value"), F.max("__listed").alias("__listed"))
+    m = with_kind(m) if late else m
+    metric = F.substr("__kind", F.lit(2))
+    m = m.withColumns({"__copy": F.col("__kind").startswith("1"), "__model": metric.contains(":"), "__of": F.regexp_extract(metric, "^(?:agent:.*?:)?model:(.*)$", 1)})
     w = Window.partitionBy(*by)
     m = m.withColumns({"__top": F.max("__rank").over(w), "__plain": F.coalesce(F.max((F.col("__rank") == 2) & ~F.col("__model")).over(w), F.lit(False))})
     m = m.withColumn("__told", F.collect_set(F.when((F.col("__rank") == 2) & F.col("__listed"), F.col("__of"))).over(w))
@@ -141,10 +154,11 @@ def once_per_step(rows: DataFrame, by: list[str], step: str, raw: str, order: st
     return rows.withColumn("__first", first | ~told).where("__first").drop("__first")
 
 
-def usage_by_name(samples: DataFrame, by: list[str]) -> DataFrame:
-    """usage_total per name and unit (without case), zeros left out."""
-    named = samples.withColumns({"name_key": F.lower("name"), "unit_key": F.lower("unit")})
-    return usage_total(named, [*by, "name_key", "unit_key"]).where("total <> 0")
+def usage_by_name(samples: DataFrame, by: list[str], dealt: bool = False) -> DataFrame:
+    """by..., name_key, unit_key, total: usage_total per name and unit (without case), zeros left out."""
+    low = samples.withColumns({"name": F.lower("name"), "unit": F.lower("unit")})
+    totals = usage_total(low, [*by, "name", "unit"], dealt).where("total <> 0")
+    return totals.withColumnsRenamed({"name": "name_key", "unit": "unit_key"})
 
 
 def session_rescope(samples: DataFrame, token_input: Column, cache_read: Column) -> DataFrame:

@@ -38,8 +38,11 @@ OBSERVATIONS_SQL = """obs AS (SELECT user_id AS session, event_id, ts,
 
 
 def usage_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem and orders: a sample per line and name of its figure; the return flag is its behavior, the line status its scope's."""
-    line = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    """lineitem and orders: a sample per line and name of its figure; the return flag is its behavior, the line status its scope's.
+
+    Lines and orders meet by order, and as that is the bucket, samples come dealt by it: it stays the number that they are dealt by.
+    """
+    line = table(spark, sf_dir, "lineitem").repartition("l_orderkey").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     model = F.concat(F.lit("model-"), (F.col("l_suppkey") % 3).cast("string"), F.lit("."))
     names = (
         F.when(F.col("l_partkey") % 11 == 0, F.array(F.lit("maxInputTokens")))
@@ -50,7 +53,7 @@ def usage_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return line.select(
         F.col("o_custkey").alias("session"),
-        F.col("l_orderkey").cast("string").alias("bucket"),
+        F.col("l_orderkey").alias("bucket"),
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("record_id"),
         F.col("l_quantity").cast("long").alias("value"),
         F.lit("tokens").alias("unit"),

@@ -349,7 +349,7 @@ def usage_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT * FROM ({_usage_sql('session, name_key', ', low AS name_key')}) WHERE total <> 0")
 def usage_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage.usage_by_name(usage_samples(spark, sf_dir), ["session"]).select("session", "name_key", "total")
+    return usage.usage_by_name(usage_samples(spark, sf_dir), ["session"], dealt=True).select("session", "name_key", "total")
 
 
 _FAMILY = ", CASE WHEN low LIKE '%cache%' THEN 'cache_read' WHEN low LIKE '%reason%' OR low LIKE '%thinking%' THEN 'reasoning' WHEN low LIKE '%output%' THEN 'output' ELSE 'input' END AS family"
