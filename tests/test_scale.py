@@ -124,3 +124,8 @@ def test_usage_by_name_keeps_names_apart_without_case(spark):
     for part, dealt in ((samples, False), (samples.repartition(3, "bucket"), True)):
         got = usage.usage_by_name(part, ["session"], dealt).collect()
         assert {r["name_key"]: r["total"] for r in got} == want and {r["unit_key"] for r in got} == {"tokens"}
+
+
+def test_families_of_tokens_are_no_row_by_row_lambda(spark):
+    said = plan(registry.QUERIES["token_totals"](spark, DATA))
+    assert "lambda" not in said and len(re.findall(r"FileScan parquet.*l_partkey", said)) == 1 and len(re.findall("Exchange hashpartitioning", said)) <= 5

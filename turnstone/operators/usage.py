@@ -138,11 +138,11 @@ def usage_total(samples: DataFrame, by: list[str], dealt: bool = False) -> DataF
     return kept.groupBy(*by).agg(F.sum("__value").cast("long").alias("total"))
 
 
-def token_totals(samples: DataFrame, by: list[str]) -> DataFrame:
+def token_totals(samples: DataFrame, by: list[str], dealt: bool = False) -> DataFrame:
     """by..., input, output, cache_read, cache_write, reasoning: usage_total of each family of tokens. Without any input sample input is null; the others are 0."""
     families = token_family(F.col("name"))
-    of = F.explode(F.filter(F.array(*[F.when(fits, F.lit(f)) for f, fits in families.items()]), lambda f: f.isNotNull()))
-    totals = usage_total(samples.where("unit = 'tokens'").withColumn("family", of), [*by, "family"])
+    of = F.explode(F.array(*[F.when(fits, F.lit(f)) for f, fits in families.items()]))
+    totals = usage_total(samples.where("unit = 'tokens'").withColumn("family", of).where("family IS NOT NULL"), [*by, "family"], dealt)
     pick = lambda f: F.max(F.when(F.col("family") == f, F.col("total")))
     return totals.groupBy(*by).agg(*[(pick(f) if f == "input" else F.coalesce(pick(f), F.lit(0))).cast("long").alias(f) for f in families])
 

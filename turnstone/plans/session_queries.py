@@ -359,7 +359,7 @@ _FAMILY = ", CASE WHEN low LIKE '%cache%' THEN 'cache_read' WHEN low LIKE '%reas
     SELECT session, max(total) FILTER (family = 'input') AS input, coalesce(max(total) FILTER (family = 'output'), 0) AS output, coalesce(max(total) FILTER (family = 'cache_read'), 0) AS cache_read,
         CAST(0 AS BIGINT) AS cache_write, coalesce(max(total) FILTER (family = 'reasoning'), 0) AS reasoning FROM ({_usage_sql('session, family', _FAMILY)}) GROUP BY session""")
 def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage.token_totals(usage_samples(spark, sf_dir), ["session"])
+    return usage.token_totals(usage_samples(spark, sf_dir), ["session"], dealt=True)
 
 
 @query(f"""
