@@ -129,3 +129,9 @@ def test_usage_by_name_keeps_names_apart_without_case(spark):
 def test_families_of_tokens_are_no_row_by_row_lambda(spark):
     said = plan(registry.QUERIES["token_totals"](spark, DATA))
     assert "lambda" not in said and len(re.findall(r"FileScan parquet.*l_partkey", said)) == 1 and len(re.findall("Exchange hashpartitioning", said)) <= 5
+
+
+def test_usage_total_deals_out_sums_only(spark):
+    said = plan(registry.QUERIES["usage_total"](spark, DATA))
+    assert len(re.findall(r"FileScan parquet.*l_partkey", said)) == 1 and len(re.findall("Join", said)) == 1
+    assert len(re.findall("Exchange hashpartitioning", said)) <= 4

@@ -344,7 +344,7 @@ def _usage_sql(by: str, extra: str = "") -> str:
 
 @query(_usage_sql("session"))
 def usage_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage.usage_total(usage_samples(spark, sf_dir), ["session"])
+    return usage.usage_total(usage_samples(spark, sf_dir), ["session"], dealt=True)
 
 
 @query(f"SELECT * FROM ({_usage_sql('session, name_key', ', low AS name_key')}) WHERE total <> 0")
