@@ -79,6 +79,29 @@ def test_jaccard_threshold_is_met_exactly(spark):
     assert got == {i: v[1] for i, v in groups_by_force({9: a, 8: d, 7: e, 6: b, 5: c}).items()}
 
 
+def test_jaccard_strangers_with_passages_in_common_make_no_group(spark, monkeypatch):
+    """A chain of pairs of near copies, each with a passage of the pair before and one of the pair behind it: that is work for small groups."""
+    words = lambda name, n: " ".join(f"{name}w{i}" for i in range(n))
+    texts = {}
+    for k in range(120):
+        text = f"{words(f'p{k}', 20)} {words(f'own{k}', 150)} {words(f'p{k + 1}', 20)}"
+        texts |= {2 * k: text, 2 * k + 1: text + " at the end"}
+    monkeypatch.setattr(jaccard, "_large_groups", lambda *_: pytest.fail("all pairs are one group"))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(spark.createDataFrame([*texts.items()], "doc_id long, text string"), block=2_000).collect()}
+    assert got == groups_by_force(texts) and len({c for _, c in got.values()}) == 120
+
+
+def test_jaccard_stages_no_whole_sets_of_texts_without_partners(spark, monkeypatch):
+    """Of strangers only prefixes are written."""
+    texts = [(k, " ".join(f"k{k}w{i}" for i in range(500))) for k in range(200)]
+    staged = []
+    monkeypatch.setattr(jaccard, "stage_table", lambda df, real=jaccard.stage_table: staged.append(real(df)) or staged[-1])
+    monkeypatch.setattr(jaccard, "drop_staged", lambda df: None)
+    assert jaccard.jaccard_groups(spark.createDataFrame(texts, "doc_id long, text string")).where("doc_id <> component_id").count() == 0
+    written = sum(df.agg(F.sum(F.octet_length("s"))).first()[0] or 0 for df in staged if "s" in df.columns)
+    assert 0 < written < 200 * 496 * 8 / 2
+
+
 def test_jaccard_of_long_texts_at_exactly_the_threshold(spark):
     long = " ".join(f"w{i}" for i in range(400_004))  # 400,000 shingles, of which `short` has 320,000
     short = " ".join(f"w{i}" for i in range(320_004))

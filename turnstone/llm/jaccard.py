@@ -1,20 +1,22 @@
 """N-gram Jaccard join by T-occurrence search (DivideSkip).
 
-1. Every text becomes its set of word shingles, once; sets are staged, packed. Equal sets are one class, which
-   later stands for all its copies.
+1. Every text becomes its set of word shingles; what step 2 needs of the sets is staged, packed. Equal sets are one class,
+   which later stands for all its copies.
 2. A set that has a partner shares most of itself. With the shingles in order of hash, two sets that reach the
    threshold share l of their first |s| - ceil(t |s|) + l ones, for any l. So such prefixes, for an l of a tenth of
    the set, tell which sets can have a partner at all: the ones of whose prefix enough is in other sets, too.
-   Of those left, whole sets are asked the same.
-3. Among those the prefix for l = 1 brings sets together that share one of its shingles. Its order puts those
-   last that step 2 saw most often (a bounded list that costs or saves time only), so that passages which many
-   documents have in common don't join strangers.
+   Those left are made again from their texts, staged whole, and asked the same.
+3. Among those, such prefixes bring sets together. Their order is by how often step 2 saw a shingle in whole sets (from a
+   bounded list of the most frequent ones, which costs or saves time only), then by hash. A shingle that many sets hold
+   joins all of them as a star. Of those that few sets hold it is counted how many any two sets of like size share: below
+   l they don't join. So passages and turns of phrase that documents have in common don't join strangers.
 4. T-occurrence search inside the groups, in blocks of a bounded mass: an inverted index over whole sets; for
    a set that needs T shared shingles, its short lists are heap-merged, long ones are only probed by
    bisection for the sets found, and those that reach the exact overlap are linked.
 5. Components of the links.
 
-No pair of sets is emitted: lists give stars, and a block gives each set's root. No text is shuffled.
+Lists of over SHORT sets give stars, shorter ones fewer than SHORT / 2 pairs an entry, and a block gives each set's root.
+No text is shuffled.
 
 In steps 2 and 3 shingles meet by slices of the space of hashes. There are as many as the mass asks for, and a task
 takes one after the other. A shingle that several sets of a task's batch hold is counted there and goes on once, so
@@ -30,23 +32,25 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnstone.llm.bloom import keep_named
+from turnstone.llm.bloom import fits, keep_named
 from turnstone.llm.common import drop_staged, stage_table
 from turnstone.llm.components import components
 from turnstone.llm.words import PIECE, SPACED, U, Bytes, mix, pieces, tidy
 
 WORDS, PERCENT = 5, 80
 #: Shingles that at most are put last for being frequent.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 20
 #: Shingles in a block of the search at most (one larger set is a block by itself).
 BLOCK = 1_000_000
 #: Classes in groups up to which their table is broadcast (40 bytes each); beyond, it is joined by a shuffle.
 BROADCAST = 1_000_000
 #: Shingles of a batch that a task deals out, and of a slice in which they meet, about.
 BATCH, SLICE = 500_000, 1_000_000
+#: Sets of a prefix shingle's list up to which its pairs are counted; longer lists are stars.
+SHORT = 8
 #: Sets in which a prefix shingle must be seen to be a candidate for that list.
 FEW = 6
 #: Classes that a task remembers having given.
@@ -111,8 +115,8 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n + (-percent * n) // 100 + 1
 
 
-def packed_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), fp (class) of every document, and s: the set, where a task sees the class first.
+def packed_sets(docs: DataFrame, part: Callable[[int], int] = lambda n: n) -> DataFrame:
+    """row (a hash of the text), doc_id, n (set size), fp (class) of every document, and s: the first part(n) of its set, where a task sees the class first.
 
     A task that has seen many classes forgets them, so a class may be given several times; `given` marks it.
     """
@@ -120,43 +124,44 @@ def packed_sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            texts = b.column(1)
+            texts = b.column(2)
             for i, j in pieces(texts, PIECE // 2):
                 sets = shingle_sets(texts.slice(i, j - i))
                 fp = [fingerprint(s) if len(s) else None for s in sets]
                 new = [f is not None and not (f in seen or seen.add(f)) for f in fp]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.int64()), pa.array(new), pa.array([s.tobytes() if x else None for s, x in zip(sets, new, strict=True)], pa.binary())],
-                    names=["doc_id", "n", "fp", "given", "s"],
+                    [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.int64()), pa.array(new), pa.array([s[: part(len(s))].tobytes() if x else None for s, x in zip(sets, new, strict=True)], pa.binary())],
+                    names=["row", "doc_id", "n", "fp", "given", "s"],
                 )
                 if len(seen) > SEEN:
                     seen.clear()
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n long, fp long, given boolean, s binary")
+    return docs.select("row", "doc_id", "text").mapInArrow(tidy(run), "row long, doc_id long, n long, fp long, given boolean, s binary")
 
 
 def shared_depth(n):
     """How many shingles of their prefixes two sets have to share, the smaller of them of size n."""
-    return n // 10 if isinstance(n, int) else F.floor(n / 10)
+    return F.floor(n / 10) if isinstance(n, Column) else n // 10
 
 
-def _dealt(sets: Iterator[tuple[int, np.ndarray]], slices: int, local: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], most: int = BATCH) -> Iterator[pa.RecordBatch]:
-    """(fp, shingles) of a task as rows by slices of the space of hashes.
+def _dealt(sets: Iterator[tuple[int, int, np.ndarray]], slices: int, local: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], most: int = BATCH, apart: int = 1, whole: bool = False) -> Iterator[pa.RecordBatch]:
+    """(fp, set size, shingles) of a task as rows by slices of the space of hashes.
 
-    A row holds a slice's part of a batch: h, 32 bits of each hash; of, which of the fps; w, in how many sets of
-    the batch it is. What more than one class of the batch holds comes once, with w over 1, and `local` says of it what
-    is known already: (head, fp by hash, of each hash's number) to two columns of longs, which go on as rows without w.
+    A row holds a slice's part of a batch: h, 32 bits of each hash (all, where `whole`); of, which of the fps; size, those
+    sets' sizes (where `whole`); w, in how many sets of the batch it is. What more than one class and more than `apart`
+    sets of the batch hold comes once, with w over 1, and `local` says of it what is known already: (head, fp by hash, of
+    each hash's number) to two columns of longs, which go on as rows without w.
     """
 
-    def batch(h: list[np.ndarray], fp: list[int]) -> pa.RecordBatch:
+    def batch(h: list[np.ndarray], fp: list[int], size: list[int]) -> pa.RecordBatch:
         of = np.repeat(np.arange(len(h), dtype=np.uint32), [len(x) for x in h])
-        h, fp = np.concatenate(h), np.array(fp, np.int64)
+        h, fp, size = np.concatenate(h), np.array(fp, np.int64), np.array(size, np.uint32)
         order = np.argsort(h, kind="stable")
         h, of = h[order], of[order]
         head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         count = np.diff(np.append(head, len(h)))
         by = fp[of]
-        many = (count > 1) & (np.minimum.reduceat(by, head) != np.maximum.reduceat(by, head))
+        many = (count > apart) & (np.minimum.reduceat(by, head) != np.maximum.reduceat(by, head))
         inside = np.repeat(many, count)
         known = local(by[inside], np.repeat(np.arange(int(many.sum())), count[many]))
         goes = ~inside
@@ -166,36 +171,37 @@ def _dealt(sets: Iterator[tuple[int, np.ndarray]], slices: int, local: Callable[
         h, of, w = h[goes], of[goes], w[goes]
         at = ((h >> U(32)) * U(slices) >> U(32)).astype(np.int64)
         edge = np.searchsorted(at, np.arange(slices + 1))
-        low, rows = (h & U(0xFFFFFFFF)).astype(np.uint32), []
+        low, rows = h if whole else (h & U(0xFFFFFFFF)).astype(np.uint32), []
         for k in np.flatnonzero(np.diff(edge)).tolist():
             i, j = int(edge[k]), int(edge[k + 1])
             used, new = np.unique(of[i:j], return_inverse=True)
-            rows.append((k, low[i:j].tobytes(), w[i:j].tobytes(), new.astype(np.uint32).tobytes(), fp[used].tobytes()))
+            rows.append((k, low[i:j].tobytes(), w[i:j].tobytes(), new.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32).tobytes(), fp[used].tobytes(), size[used].tobytes() if whole else None))
         if len(known[0]):
-            rows.append((int(known[0][0]) % slices, known[1].astype(np.int64).tobytes(), None, None, known[0].astype(np.int64).tobytes()))
+            rows.append((int(known[0][0]) % slices, known[1].astype(np.int64).tobytes(), None, None, known[0].astype(np.int64).tobytes(), None))
         cols = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["slice", "h", "w", "of", "fp"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["slice", "h", "w", "of", "fp", "size"])
 
-    hs, fps, mass = [], [], 0
-    for f, s in sets:
+    hs, fps, sizes, mass = [], [], [], 0
+    for f, n, s in sets:
         hs.append(s)
         fps.append(f)
+        sizes.append(n)
         mass += len(s)
         if mass >= most:
-            yield batch(hs, fps)
-            hs, fps, mass = [], [], 0
+            yield batch(hs, fps, sizes)
+            hs, fps, sizes, mass = [], [], [], 0
     if mass:
-        yield batch(hs, fps)
+        yield batch(hs, fps, sizes)
 
 
-_DEALT = "slice int, h binary, w binary, of binary, fp binary"
+_DEALT = "slice int, h binary, w binary, of binary, fp binary, size binary"
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray] | tuple[np.ndarray, np.ndarray]]:
-    """Of a task's rows, by slice: (slice, h, fp, w) ordered by h and fp, for one slice at a time; and pairs of columns, as `local` gave them.
+def _met(batches: Iterator[pa.RecordBatch], whole: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | tuple[np.ndarray, np.ndarray]]:
+    """Of a task's rows, by slice: (slice, h, fp, w, size) ordered by h and fp, for one slice at a time; and pairs of columns, as `local` gave them.
 
-    A hash is known by 32 bits inside its slice: of two that fall together each still counts, so a set or a
-    group may be one too many, never one too few.
+    Where a hash isn't `whole`, it is known by 32 bits inside its slice: of two that fall together each still counts, so a
+    set or a group may be one too many, never one too few; and there are no sizes.
     """
 
     def rows() -> Iterator[tuple]:
@@ -203,18 +209,21 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, n
             yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
 
     for k, group in itertools.groupby(rows(), key=lambda r: r[0]):
-        hs, fps, ws = [], [], []
-        for _, h, w, of, fp in group:
+        hs, fps, ws, sizes = [], [], [], []
+        for _, h, w, of, fp, size in group:
             if w is None:
                 yield np.frombuffer(fp, np.int64), np.frombuffer(h, np.int64)
                 continue
-            hs.append(np.frombuffer(h, np.uint32))
+            hs.append(np.frombuffer(h, np.uint64 if whole else np.uint32))
             ws.append(np.frombuffer(w, np.uint16))
-            fps.append(np.frombuffer(fp, np.int64)[np.frombuffer(of, np.uint32)])
+            at = np.frombuffer(of, np.uint16 if len(of) == len(w) else np.uint32)
+            fps.append(np.frombuffer(fp, np.int64)[at])
+            if whole:
+                sizes.append(np.frombuffer(size, np.uint32)[at])
         if hs:
             h, fp, w = np.concatenate(hs), np.concatenate(fps), np.concatenate(ws)
             order = np.lexsort((fp, h))
-            yield k, h[order], fp[order], w[order]
+            yield k, h[order], fp[order], w[order], np.concatenate(sizes)[order] if whole else np.zeros(0, np.uint32)
 
 
 def _deal(sets: DataFrame, slices: int, emit: Callable, meet: Callable, schema: str) -> DataFrame:
@@ -244,7 +253,7 @@ def shared_counts(sets: DataFrame, slices: int, part: Callable[[int], int], most
         return np.unique(by, return_counts=True)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _dealt(((f, s[: part(len(s))]) for f, s in _rows(batches)), slices, counted, most)
+        return _dealt(((f, len(s), s[: part(len(s))]) for f, s in _rows(batches)), slices, counted, most)
 
     def packed(f: np.ndarray, n: np.ndarray, often: bool) -> pa.RecordBatch:
         """Counts by slices of the classes, as the shingles went by slices of theirs."""
@@ -262,7 +271,7 @@ def shared_counts(sets: DataFrame, slices: int, part: Callable[[int], int], most
             if len(got) == 2:
                 f, n = got
             else:
-                k, h, fp, w = got
+                k, h, fp, w, _ = got
                 first = np.concatenate([[True], h[1:] != h[:-1]])
                 head = np.flatnonzero(first)
                 size = np.diff(np.append(head, len(h)))
@@ -301,38 +310,81 @@ def _stars(hub: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1]
 
 
-def prefix_stars(sets: DataFrame, slices: int, frequent: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """(a, b) pairs of sets (fp, s): each list of a prefix shingle as a star of its smallest set (in a batch, of its first)."""
-    sent = sets.sparkSession.sparkContext.broadcast(frequent)
+def _pairs(h: np.ndarray, fp: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lists of one hash each (ordered by h and fp, each fp once in a list) all pairs of sets whose sizes allow a link: (a, b, how many shingles they have to share)."""
+    out, at = [], np.arange(len(h))
+    for k in range(1, SHORT):
+        at = at[: np.searchsorted(at, len(h) - k)]
+        at = at[h[at] == h[at + k]]
+        low, high = np.minimum(size[at], size[at + k]).astype(np.int64), np.maximum(size[at], size[at + k]).astype(np.int64)
+        like = 100 * low >= percent * high
+        out.append((fp[at[like]], fp[at[like] + k], np.maximum(1, shared_depth(low[like]))))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
-        often = sent.value
+
+def prefix_edges(sets: DataFrame, slices: int, named: int, frequent: np.ndarray, times: np.ndarray, percent: int = PERCENT) -> DataFrame:
+    """(a, b) of sets (fp, s) that may be linked, so many at least that linked sets are connected.
+
+    Of the prefixes' shingles, one that over SHORT sets hold gives a star of its smallest set (in a batch, of its first).
+    Of the others it is counted how many two sets share, and fewer than shared_depth of the smaller one are no edge.
+    frequent: sorted names of shingles that go last, as shared_counts told them by `named` slices, in the order of `times`.
+    """
+    sent = sets.sparkSession.sparkContext.broadcast((frequent, times))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
+        often, seen = sent.value
         for f, s in _rows(batches):
-            p = prefix_size(len(s), percent)
+            n = len(s)
             if len(often):
-                name = _name(s, slices)
-                late = often[np.minimum(np.searchsorted(often, name), len(often) - 1)] == name
-                s = np.concatenate([s[~late][:p], s[late][: max(0, p - int((~late).sum()))]])
-            yield f, s[:p]
+                name = _name(s, named)
+                at = np.minimum(np.searchsorted(often, name), len(often) - 1)
+                s = s[np.argsort(np.where(often[at] == name, seen[at], 0), kind="stable")]
+            yield f, n, s[: prefix_size(n, percent) - 1 + max(1, shared_depth(n))]
 
     def starred(by: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         head = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
         return _stars(by[head][of] if len(of) else by, by)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _dealt(prefixes(batches), slices, starred)
+        return _dealt(prefixes(batches), slices, starred, apart=SHORT, whole=True)
+
+    def summed(parts: list[tuple]) -> pa.RecordBatch:
+        """Pairs (a, b, need), each once with its count n."""
+        a, b, need = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((b, a))
+        a, b, need = a[order], b[order], need[order]
+        head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(a[head]), pa.array(b[head]), pa.array(np.diff(np.append(head, len(a)))), pa.array(need[head])], names=["a", "b", "n", "need"])
+
+    def stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.array(np.full(len(a), x)) for x in (1, 0)]], names=["a", "b", "n", "need"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for got in _met(batches):
+        held, mass = [], 0
+        for got in _met(batches, whole=True):
             if len(got) == 2:
-                a, b = got
-            else:
-                _, h, fp, _ = got
-                first = np.concatenate([[True], h[1:] != h[:-1]])
-                a, b = _stars(fp[np.flatnonzero(first)][np.cumsum(first) - 1], fp)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                yield stars(*got)
+                continue
+            _, h, fp, w, size = got
+            first = np.concatenate([[True], h[1:] != h[:-1]])
+            new = first | np.concatenate([[True], fp[1:] != fp[:-1]])
+            head = np.flatnonzero(first)
+            length = np.diff(np.append(head, len(h)))
+            total = np.add.reduceat(new, head, dtype=np.int64) + np.add.reduceat(w.astype(np.int64) - 1, head)
+            long = np.repeat(total > SHORT, length)
+            yield stars(*_stars(np.repeat(fp[head], length)[long], fp[long]))
+            few = new & ~long & np.repeat(total > 1, length)
+            held.append(_pairs(h[few], fp[few], size[few], percent))
+            mass += len(held[-1][0])
+            # a task sums up over its slices
+            if mass > SLICE:
+                yield summed(held)
+                held, mass = [], 0
+        if held:
+            yield summed(held)
 
-    return _deal(sets, slices, emit, meet, "a long, b long")
+    met = _deal(sets, slices, emit, meet, "a long, b long, n long, need long")
+    return met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
 
 
 class Block:
@@ -501,30 +553,44 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK)
     Words are runs without ASCII white space, A-Z lower-cased; a text of fewer words than five is one
     shingle; a null or empty text, or one without words, has none and is linked with nothing. Equal
     texts, repeated rows too, share a component; a null doc_id counts only where its component has no other.
-    An empty table gives an empty one.
+    An empty table gives an empty one. docs is read twice.
 
     A group of sets above `block` shingles is searched in blocks: first each block in itself, together with the
     group's first set; then the sets that this has not united with the group's largest class against
     every block. Links inside one class can't change a component and aren't looked for.
     """
-    packed = stage_table(packed_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
-    known = stage_table(packed.select("doc_id", "n", "fp"))
+    docs = docs.select(F.xxhash64("text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # whole sets would take twice the disk of the documents, so they wait until it is known which ones are needed
+    packed = stage_table(packed_sets(docs, lambda n: prefix_size(n, percent) - 1 + max(1, shared_depth(n))))
+    known = stage_table(packed.select("row", "doc_id", "n", "fp"))
     own = stage_table(packed.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.sum(F.col("given").cast("long")).alias("times")))
     mass = own.agg(F.sum(F.col("n") * F.col("times"))).first()[0] or 0
     slices = 1 + mass * (100 - percent + 10) // (100 * SLICE)
-    parts = stage_table(shared_counts(packed.where("given"), slices, lambda n: prefix_size(n, percent) - 1 + max(1, shared_depth(n))))
-    often = parts.where("often").orderBy(F.col("n").desc(), "fp").limit(FREQUENT).select("fp").toArrow()
-    frequent = np.sort(often.column(0).to_numpy())
+    parts = stage_table(shared_counts(packed.where("given"), slices, lambda n: n))
     depth = parts.where("NOT often").select("fp", F.col("n").alias("depth"))
     partner = F.ceil(F.col("n") * percent / 100)
     hopeful = own.join(depth, "fp").where(F.col("depth") >= F.col("times") * F.greatest(F.lit(1), shared_depth(partner))).select("fp")
-    sets = stage_table(keep_named(packed.where("given").select("fp", "s"), "fp", stage_table(hopeful)))
+    hopeful = stage_table(hopeful)
     drop_staged(packed)
+    rows = stage_table(known.join(hopeful, "fp").select("row").distinct())
+    again = packed_sets(keep_named(docs, "row", rows) if fits(rows) else docs).where("given").select("fp", "s")
+    sets = stage_table(keep_named(again, "fp", hopeful))
     # among those, a set has to have its share of whole sets, not only of prefixes
-    whole = shared_counts(sets, slices, lambda n: n).where("NOT often").select("fp", F.col("n").alias("whole"))
-    likely, sets = sets, stage_table(keep_named(sets, "fp", stage_table(own.join(whole, "fp").where(F.col("whole") >= F.col("times") * partner).select("fp"))))
-    drop_staged(likely)
-    groups = stage_table(components(stage_table(prefix_stars(sets, slices, frequent, percent))))
+    parts = stage_table(shared_counts(sets, slices, lambda n: n))
+    often = parts.where("often").orderBy(F.col("n").desc(), "fp").limit(FREQUENT).orderBy("fp").select("fp", F.col("n").cast("int")).toArrow()
+    frequent, seen = (c.to_numpy() for c in often.columns)
+    whole = parts.where("NOT often").select("fp", F.col("n").alias("whole"))
+    times = sets.groupBy("fp").agg(F.count(F.lit(1)).alias("times"))
+    both = stage_table(times.join(own.select("fp", "n"), "fp").join(whole, "fp", "left").select("fp", (F.col("n") * F.col("times")).alias("mass"), (F.col("whole") >= F.col("times") * partner).alias("likely")))
+    named = both.where("likely")
+    before, mass = (x or 0 for x in both.agg(F.sum("mass"), F.sum(F.when(F.col("likely"), F.col("mass")))).first())
+    staged, sets = sets, keep_named(sets, "fp", named)
+    if 2 * mass <= before:  # else a second table would be nearly as large
+        sets = stage_table(sets)
+        drop_staged(staged)
+        staged = sets
+    few = 1 + mass * (100 - percent + 10) // (100 * SLICE // 4)  # an entry may make several pairs
+    groups = stage_table(components(stage_table(prefix_edges(sets, few, slices, frequent, seen, percent))))
     member = own.join(groups, own["fp"] == groups["node"]).select("fp", "n", F.col("root").alias("near"))
     mass = stage_table(member.groupBy("near").agg(F.sum("n").alias("mass"), F.min("fp").alias("hub")))
     member = stage_table(member.join(mass, "near").drop("n"))
@@ -539,7 +605,7 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK)
     else:
         roots = links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
     roots = stage_table(roots)
-    drop_staged(sets)
+    drop_staged(staged)
     least = roots.join(own, roots["node"] == own["fp"]).groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = own.join(roots.join(least, "root"), own["fp"] == F.col("node"), "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     return known.join(of_class, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
