@@ -32,10 +32,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnstone.llm.bloom import fits, keep_named
+from turnstone.llm.bloom import bloom, fits, keep_named
 from turnstone.llm.common import drop_staged, stage_table
 from turnstone.llm.components import components
 from turnstone.llm.words import PIECE, SPACED, U, Bytes, mix, pieces, tidy
@@ -115,20 +116,33 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n + (-percent * n) // 100 + 1
 
 
-def packed_sets(docs: DataFrame, part: Callable[[int], int] = lambda n: n) -> DataFrame:
+def _filter(names: DataFrame, column: str) -> Broadcast | None:
+    """A broadcast filter of a staged column of names, where they fit one."""
+    return names.sparkSession.sparkContext.broadcast(bloom(names, column)) if fits(names) else None
+
+
+def _held(only: Broadcast | None, names: pa.Array) -> np.ndarray:
+    """Which of the names (longs) may be in the filter; all, where there is none."""
+    return np.ones(len(names), bool) if only is None else only.value.holds(names.to_numpy().view(np.uint64))
+
+
+def packed_sets(docs: DataFrame, part: Callable[[int], int] = lambda n: n, rows: Broadcast | None = None, classes: Broadcast | None = None) -> DataFrame:
     """row (a hash of the text), doc_id, n (set size), fp (class) of every document, and s: the first part(n) of its set, where a task sees the class first.
 
     A task that has seen many classes forgets them, so a class may be given several times; `given` marks it.
+    rows, classes: filters; texts outside the first are left out, and sets of classes outside the second aren't given.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
+            b = b if rows is None else b.filter(pa.array(_held(rows, b.column(0))))
             texts = b.column(2)
             for i, j in pieces(texts, PIECE // 2):
                 sets = shingle_sets(texts.slice(i, j - i))
                 fp = [fingerprint(s) if len(s) else None for s in sets]
-                new = [f is not None and not (f in seen or seen.add(f)) for f in fp]
+                held = _held(classes, pa.array([f or 0 for f in fp], pa.int64())).tolist()
+                new = [f is not None and x and not (f in seen or seen.add(f)) for f, x in zip(fp, held, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.int64()), pa.array(new), pa.array([s[: part(len(s))].tobytes() if x else None for s, x in zip(sets, new, strict=True)], pa.binary())],
                     names=["row", "doc_id", "n", "fp", "given", "s"],
@@ -322,18 +336,19 @@ def _pairs(h: np.ndarray, fp: np.ndarray, size: np.ndarray, percent: int) -> tup
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def prefix_edges(sets: DataFrame, slices: int, named: int, frequent: np.ndarray, times: np.ndarray, percent: int = PERCENT) -> DataFrame:
+def prefix_edges(sets: DataFrame, slices: int, named: int, frequent: np.ndarray, times: np.ndarray, percent: int = PERCENT, only: Broadcast | None = None) -> DataFrame:
     """(a, b) of sets (fp, s) that may be linked, so many at least that linked sets are connected.
 
     Of the prefixes' shingles, one that over SHORT sets hold gives a star of its smallest set (in a batch, of its first).
     Of the others it is counted how many two sets share, and fewer than shared_depth of the smaller one are no edge.
     frequent: sorted names of shingles that go last, as shared_counts told them by `named` slices, in the order of `times`.
+    only: a filter of the classes that count.
     """
     sent = sets.sparkSession.sparkContext.broadcast((frequent, times))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
         often, seen = sent.value
-        for f, s in _rows(batches):
+        for f, s in _rows(b.filter(pa.array(_held(only, b.column(0)))) for b in batches):
             n = len(s)
             if len(often):
                 name = _name(s, named)
@@ -346,7 +361,7 @@ def prefix_edges(sets: DataFrame, slices: int, named: int, frequent: np.ndarray,
         return _stars(by[head][of] if len(of) else by, by)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _dealt(prefixes(batches), slices, starred, apart=SHORT, whole=True)
+        return _dealt(prefixes(batches), slices, starred, BATCH // 2, SHORT, True)
 
     def summed(parts: list[tuple]) -> pa.RecordBatch:
         """Pairs (a, b, need), each once with its count n."""
@@ -573,24 +588,19 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK)
     hopeful = stage_table(hopeful)
     drop_staged(packed)
     rows = stage_table(known.join(hopeful, "fp").select("row").distinct())
-    again = packed_sets(keep_named(docs, "row", rows) if fits(rows) else docs).where("given").select("fp", "s")
-    sets = stage_table(keep_named(again, "fp", hopeful))
+    sets = packed_sets(docs, rows=_filter(rows, "row"), classes=_filter(hopeful, "fp")).where("given").select("fp", "s")
+    sets = stage_table(sets if fits(hopeful) else keep_named(sets, "fp", hopeful))
     # among those, a set has to have its share of whole sets, not only of prefixes
     parts = stage_table(shared_counts(sets, slices, lambda n: n))
     often = parts.where("often").orderBy(F.col("n").desc(), "fp").limit(FREQUENT).orderBy("fp").select("fp", F.col("n").cast("int")).toArrow()
     frequent, seen = (c.to_numpy() for c in often.columns)
     whole = parts.where("NOT often").select("fp", F.col("n").alias("whole"))
     times = sets.groupBy("fp").agg(F.count(F.lit(1)).alias("times"))
-    both = stage_table(times.join(own.select("fp", "n"), "fp").join(whole, "fp", "left").select("fp", (F.col("n") * F.col("times")).alias("mass"), (F.col("whole") >= F.col("times") * partner).alias("likely")))
-    named = both.where("likely")
-    before, mass = (x or 0 for x in both.agg(F.sum("mass"), F.sum(F.when(F.col("likely"), F.col("mass")))).first())
-    staged, sets = sets, keep_named(sets, "fp", named)
-    if 2 * mass <= before:  # else a second table would be nearly as large
-        sets = stage_table(sets)
-        drop_staged(staged)
-        staged = sets
+    likely = stage_table(times.join(own.select("fp", "n"), "fp").join(whole, "fp").where(F.col("whole") >= F.col("times") * partner).select("fp", (F.col("n") * F.col("times")).alias("mass")))
+    mass = likely.agg(F.sum("mass")).first()[0] or 0
     few = 1 + mass * (100 - percent + 10) // (100 * SLICE // 4)  # an entry may make several pairs
-    groups = stage_table(components(stage_table(prefix_edges(sets, few, slices, frequent, seen, percent))))
+    near = prefix_edges(sets if fits(likely) else keep_named(sets, "fp", likely), few, slices, frequent, seen, percent, _filter(likely, "fp"))
+    groups = stage_table(components(stage_table(near)))
     member = own.join(groups, own["fp"] == groups["node"]).select("fp", "n", F.col("root").alias("near"))
     mass = stage_table(member.groupBy("near").agg(F.sum("n").alias("mass"), F.min("fp").alias("hub")))
     member = stage_table(member.join(mass, "near").drop("n"))
@@ -605,7 +615,7 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK)
     else:
         roots = links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
     roots = stage_table(roots)
-    drop_staged(staged)
+    drop_staged(sets)
     least = roots.join(own, roots["node"] == own["fp"]).groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = own.join(roots.join(least, "root"), own["fp"] == F.col("node"), "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     return known.join(of_class, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
